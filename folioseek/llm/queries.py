@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, warc
+from . import fingerprint, mixing, neardup, packing, warc
 from .common import table
 
 
@@ -26,12 +26,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op5_fingerprints, op7_mixing, op8_warc, op10_neardup]
+    own = [op5_fingerprints, op7_mixing, op8_warc, op9_packing, op10_neardup]
     return {f.__name__: f for f in own}
 
 
