@@ -193,3 +193,18 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
+
+
+def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id.
+
+    Of rows with one doc_id one stays. Rows with a null doc_id stay.
+    """
+    found = written(near_duplicates(docs, threshold).select("doc_id", "kept"), "kept")
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
