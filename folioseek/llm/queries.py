@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neardup, packing, warc
+from . import fingerprint, langid, mixing, neardup, packing, ppm, warc
 from .common import table
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_langid, op5_fingerprints, op7_mixing, op8_warc, op9_packing, op10_neardup]
+    own = [op2_ppm, op3_langid, op5_fingerprints, op7_mixing, op8_warc, op9_packing, op10_neardup]
     return {f.__name__: f for f in own}
 
 
