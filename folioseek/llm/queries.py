@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neardup, packing, ppm, warc
+from . import chat, embeddings, fingerprint, langid, mixing, neardup, packing, ppm, warc
 from .common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
@@ -43,12 +51,38 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_ppm, op3_langid, op5_fingerprints, op7_mixing, op8_warc, op9_packing, op10_neardup]
+    own = [op1_chat, op2_ppm, op3_langid, op5_fingerprints, op6_embeddings, op7_mixing, op8_warc, op9_packing, op10_neardup]
     return {f.__name__: f for f in own}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+OP1_SQL = f"""
+WITH m AS (
+  SELECT conv_id, coalesce(floor(turn / {chat.PART_TURNS}), -1)::BIGINT AS part, turn::BIGINT AS turn,
+         regexp_replace(coalesce(role, 'unknown'), '[<>|:\\r\\n]', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS body
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+p AS (SELECT m.*, speaker, m.role = speaker AS mine, CASE WHEN m.role = speaker THEN '<|assistant|>' || chr(10) WHEN m.role = 'system' THEN '<|system|>' || chr(10)
+             ELSE '<|user:' || m.role || '|>' || chr(10) END AS head, body || '<|end|>' AS tail
+      FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+a AS (SELECT *, coalesce(sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, role, body
+                                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS b FROM p)
+SELECT conv_id, speaker, part, count(*)::BIGINT AS n_messages, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS LAST, role, body) AS text,
+       coalesce(string_agg(CASE WHEN mine THEN b || ':' || (b + length(tail)) END, ',' ORDER BY turn NULLS LAST, role, body), '') AS spans,
+       coalesce(sum(CASE WHEN mine THEN length(tail) END), 0)::BIGINT AS target_chars
+FROM a GROUP BY conv_id, speaker, part
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+r(id, to_id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON r.to_id = p.a),
+c AS (SELECT id, min(to_id) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""
+
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
@@ -96,4 +130,4 @@ FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op10_neardup": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op6_embeddings": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op10_neardup": OP10_SQL}
