@@ -1 +1 @@
-"""."""
+"""Index, search, context and change-detection operators."""

@@ -1 +1 @@
-"""."""
+"""Word-processor files, file listings, text tables and stored indexes."""

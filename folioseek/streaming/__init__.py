@@ -1 +1 @@
-"""."""
+"""Refresh by Structured Streaming."""
