@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 LEVELS = 4
-_IN_DOC = Window.partitionBy("doc_index").orderBy("position")
-_EARLIER = _IN_DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _earlier() -> WindowSpec:
+    return Window.partitionBy("doc_index").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_parents(lines: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def with_parents(lines: DataFrame) -> DataFrame:
     A heading of a level counts if no heading of its level or a higher one stands between, and it is above the line's
     own level. One window remembers the last heading of each level.
     """
-    last = [F.last(F.when(F.col("level") == n, F.col("position")), ignorenulls=True).over(_EARLIER) for n in range(1, LEVELS + 1)]
+    last = [F.last(F.when(F.col("level") == n, F.col("position")), ignorenulls=True).over(_earlier()) for n in range(1, LEVELS + 1)]
     own = F.when(F.col("level") > 0, F.col("level")).otherwise(LEVELS + 1)
     lines = lines.withColumns({f"_last{n}": x for n, x in enumerate(last, 1)})
     found = []
@@ -32,7 +34,7 @@ def with_parents(lines: DataFrame) -> DataFrame:
 def with_section(lines: DataFrame) -> DataFrame:
     """doc_index, position, text -> + section: position of the nearest earlier paragraph with the section sign."""
     at = F.when(F.startswith("text", F.lit(T.SECTION)), F.col("position"))
-    return lines.withColumn("section", F.last(at, ignorenulls=True).over(_EARLIER))
+    return lines.withColumn("section", F.last(at, ignorenulls=True).over(_earlier()))
 
 
 def action_lines(lines: DataFrame, parents: str = "parent") -> DataFrame:

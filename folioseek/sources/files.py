@@ -59,9 +59,9 @@ def mime_type(path: Column) -> Column:
     return F.coalesce(kind, F.lit("application/octet-stream"))
 
 
-def _decoded(uri: Column) -> Column:
-    """The path of a file URI; a plus sign is itself."""
-    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+def _local(uri: Column) -> Column:
+    """A file's path without its scheme. The reader gives it as it is, not percent-encoded."""
+    return F.regexp_replace(uri, "^file:/+", "/")
 
 
 def listing(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -69,7 +69,7 @@ def listing(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH) -> Dat
     root = folder.rstrip("/")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType())])
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(*schema.names)
-    below = F.regexp_replace(F.substring(_decoded(F.col("path")), len(root.removeprefix("file://")) + 1, 1 << 30), "^/", "")
+    below = F.regexp_replace(F.substring(_local(F.col("path")), len(root.removeprefix("file://")) + 1, 1 << 30), "^/", "")
     rows = found.select(
         F.col("path").alias("uri"), below.alias("path"), name_of(below).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime_s")
     )
