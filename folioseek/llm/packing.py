@@ -10,7 +10,9 @@ that less than one sequence of padding is left. Patterns are joined back to docu
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +26,7 @@ from .common import written
 MAX_TOKENS = 4096
 END_ID = 2
 SALTS = 256
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 _known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
@@ -48,6 +50,46 @@ def _loaded(path: str):
     return _known[path]
 
 
+#: Words that need no normalising but lower case: printable ASCII without the apostrophe, and Latin-1 letters.
+_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: How the tokenizer cuts such words once they are in lower case.
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _learn(words: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
+    """Put the ids of new words into the cache; pieces of simple words go to the model directly."""
+    pieces: dict[str, bytes] = {}
+    tokenize, rest = tokenizer.model.tokenize, []
+    for w in words:
+        text = w.decode()
+        if not _SIMPLE.fullmatch(text):
+            rest.append(w)
+            continue
+        ids = []
+        for piece in _PIECES.findall(text.lower()):
+            found = pieces.get(piece)
+            if found is None:
+                known = cache.get(raw := piece.encode())
+                letters = piece if piece.isascii() else raw.decode("latin-1").translate(_LETTERS)
+                found = pieces[piece] = cache[raw] = known or array("H", [t.id for t in tokenize(letters)]).tobytes()
+            ids.append(found)
+        cache[w] = b"".join(ids)
+    for at in range(0, len(rest), 20_000):
+        part = rest[at : at + 20_000]
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+        cache.update((w, array("H", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
+
+
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit numbers.
 
@@ -60,10 +102,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
         new = list(set(chain.from_iterable(split)))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, found, strict=True))
+    _learn(new, tokenizer, cache)
     return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
 
