@@ -21,13 +21,13 @@ from .common import blocks, mix64, utf8, written
 NGRAMS = (3, 4)
 PROBES = 3
 #: Labelled documents of each language that are learned from (those with the least hash of doc_id), at most.
-SAMPLE = 3000
+SAMPLE = 1000
 #: n-grams in a language's filter, at most: the most frequent of its sample.
 CAPACITY = 20_000
 #: An n-gram belongs to a language where it is at least this share as frequent as where it is most frequent.
 SHARE = 0.5
 LEAST_COUNT = 3
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 UNKNOWN = "und"
 
 _CODE = np.full(256, 32, np.uint8)
