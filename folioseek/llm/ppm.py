@@ -27,7 +27,7 @@ from .common import _LOWER, blocks, shuffle_partitions, utf8, word_hashes, words
 ORDER = 5
 LOW = 2  # contexts up to this order are known everywhere
 CHUNK_BYTES = 64 << 20
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 HELD_OUT = 10
 SMOOTHING = 0.1
 WINDOW, WORD = 0, 1
