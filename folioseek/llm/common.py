@@ -41,6 +41,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Ids that are broadcast at most: 16 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def small_or_shuffled(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is counted to be small; else Spark joins it as it likes."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the 0-based rank of each row in the total order, without a one-task window.
 

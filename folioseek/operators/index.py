@@ -15,10 +15,12 @@ def occurrences(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("doc_index", "position", F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
-def build(paragraphs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Postings of all terms, or of some of them, which are filtered before anything is shuffled."""
+def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
+    """Postings of all terms, or of some of them (a list, or a table with ``term``), filtered before they are aggregated."""
     rows = occurrences(paragraphs)
-    if terms is not None:
+    if isinstance(terms, DataFrame):
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    elif terms is not None:
         rows = rows.where(F.col("term").isin(sorted(set(terms))))
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 

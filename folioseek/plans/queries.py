@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import changes, context, index, numbering, search
 from ..sources import corpus, files
+from .ranking import dense_index
 from .samples import FILES, LINES, RAW, STEMS, sample
 
 #: Words of the search queries: two near each other in order, four, and one.
@@ -81,8 +82,6 @@ def postings_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     left = docs.join(corpus.load(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_anti").select("doc_index")
-    from .ranking import dense_index
-
     numbers = dense_index(left, [F.col("doc_index")], "new_index")
     return _flat(index.renumbered(index.build(corpus.paragraphs(docs)), numbers))
 
@@ -168,7 +167,7 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _paragraphs(spark, sf_dir)
     words = F.slice(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 4)), 1, 2)
     queries = corpus.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words")).where(F.size("words") == 2)
-    found = search.search_many(queries, lines, index.build(lines))
+    found = search.search_many(queries, lines, index.build(lines, queries.select(F.explode("words").alias("term"))))
     return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
