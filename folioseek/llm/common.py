@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -73,6 +75,13 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on for the tasks after this one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---- words and shingles of Arrow strings, hashed with numpy ----
 
 _LOWER = np.arange(256, dtype=np.uint8)

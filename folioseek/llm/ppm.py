@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, shuffle_partitions, utf8, word_hashes, words, written
+from .common import _LOWER, blocks, release_memory, shuffle_partitions, utf8, word_hashes, words, written
 
 ORDER = 5
 LOW = 2  # contexts up to this order are known everywhere
-CHUNK_BYTES = 64 << 20
-BLOCK = 1 << 20
+CHUNK_BYTES = 32 << 20
+BLOCK = 1 << 19
 HELD_OUT = 10
 SMOOTHING = 0.1
 WINDOW, WORD = 0, 1
@@ -86,7 +87,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         chunk, pending = TaskContext.get().partitionId(), {WINDOW: [], WORD: []}
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=9)
 
         def merged(kind: int) -> None:
             if len(pending[kind]) > 1:
@@ -104,7 +105,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                     a, n = np.unique(keys[learn], return_counts=True)
                     b = np.unique(keys[~learn])
                     pending[kind].append(_summed(np.r_[a, b], np.r_[n, np.zeros(len(b), n.dtype)]))
-                    if sum(len(k) for k, _ in pending[kind][1:]) > 2_000_000:
+                    if sum(len(k) for k, _ in pending[kind][1:]) > 500_000:
                         merged(kind)
                 row = [[chunk], [None], [None], [None], [batch.column(0)[i:j].to_pylist()], [list(map(bool, held[i:j]))], [np.diff(at).tolist()], [squeeze.compress(text.tobytes())]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
@@ -115,6 +116,9 @@ def chunked(docs: DataFrame) -> DataFrame:
                     k = keys[a : a + 100_000]
                     made = [pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000])]
                     yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(k), t) for t in types[4:])], names)
+            pending[kind] = []
+        batch = data = text = keys = first = part = learn = a = b = n = k = made = row = None
+        release_memory()
 
     cols = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
     return written(cols.coalesce(max(1, math.ceil(size / CHUNK_BYTES))).mapInArrow(run, schema), "chunks")
@@ -224,25 +228,25 @@ def _text_scores(left: pa.Table, right: pa.Table) -> pa.Table:
     import zstandard
 
     known = {}
-    kind, keys, values = (right.column(c).combine_chunks().to_numpy() for c in ("kind", "key", "value"))
     for k in (WINDOW, WORD):
-        mine = kind == k
-        a, v = keys[mine].view(np.uint64), values[mine]
+        mine = right.filter(pc.equal(right["kind"], k)).select(["key", "value"])
+        a = mine["key"].to_numpy().view(np.uint64)
         order = np.argsort(a)
-        known[k] = a[order], v[order]
+        known[k] = a[order], mine["value"].to_numpy()[order]
+    del right, mine, a, order
     out = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "word_sum", "score")}
     expand = zstandard.ZstdDecompressor()
+
+    def looked_up(kind: int, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, first = found
+        u, back = np.unique(keys, return_inverse=True)
+        return known[kind][1][np.searchsorted(known[kind][0], u)][back], first
+
     for i in range(left.num_rows):
         data = np.frombuffer(expand.decompress(left["texts"][i].as_py()), np.uint8)
         offsets = np.r_[0, np.cumsum(np.array(left["lengths"][i].as_py(), np.int64))]
-
-        def looked_up(kind: int, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            keys, first = found
-            u, back = np.unique(keys, return_inverse=True)
-            return known[kind][1][np.searchsorted(known[kind][0], u)][back], first
-
-        score, first = looked_up(WINDOW, windows(data, offsets))
-        out["score"] += np.add.reduceat(score, first[:-1]).tolist()
+        logs, first = looked_up(WINDOW, windows(data, offsets))
+        out["score"] += np.add.reduceat(logs, first[:-1]).tolist()
         count, first = looked_up(WORD, tokens(data, offsets))
         out["n_tokens"] += np.diff(first).tolist()
         out["n_known"] += np.add.reduceat((count > 0).astype(np.int64), first[:-1]).tolist()
@@ -250,6 +254,8 @@ def _text_scores(left: pa.Table, right: pa.Table) -> pa.Table:
         out["doc_id"] += left["ids"][i].as_py()
         out["held_out"] += left["held"][i].as_py()
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    known.clear()
+    release_memory()
     return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
 
@@ -266,11 +272,8 @@ def score(docs: DataFrame) -> DataFrame:
     is_word = F.col("kind") == WORD
     total, distinct = counts.where(is_word & (F.col("n") > 0)).agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    values = written(
-        _window_scores(counts.where(~is_word)).select(F.lit(WINDOW).alias("kind"), "key", "value")
-        .unionByName(counts.where(is_word).select("kind", "key", F.col("n").cast("double").alias("value"))),
-        "values",
-    )
+    values = _window_scores(counts.where(~is_word)).select(F.lit(WINDOW).alias("kind"), "key", "value")
+    values = values.unionByName(counts.where(is_word).select("kind", "key", F.col("n").cast("double").alias("value")))
     back = wanted.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
     texts = made.where("texts is not null").select("chunk", "ids", "held", "lengths", "texts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, word_sum double, score double"
