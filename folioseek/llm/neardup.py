@@ -8,20 +8,22 @@ region is small, three or more where it is crowded. In crowded regions every mem
 region's hubs, the members that lie in the largest regions over all trees: the original of a family of edited
 copies lies in most of its copies' regions even if two copies of it are below the threshold.
 
-Links are confirmed in two rounds, so that a family of copies costs a few comparisons a member: first the best
-candidate of each class, then all candidates that are not yet in one component.
+Two bits of every min-hash travel with a class. Pairs that agree in fewer of them than a pair at the threshold does in one of
+three million cases are left out. The others are confirmed in rounds, so that a family of copies costs a few
+comparisons a member: the best candidates of each class first, in the last round all that are not yet in one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, shingle_hashes, utf8, word_hashes, words, written
+from .common import blocks, shingle_hashes, small_or_shuffled, utf8, word_hashes, words, written
 from .graph import components
 
 THRESHOLD = (75, 100)
@@ -29,7 +31,11 @@ TREES, DEPTH = 16, 6
 NEAR = 8
 SMALL_REGION = 2 * NEAR
 HUBS = 2
-BLOCK = 1 << 21
+#: Min-hashes that agree in two bits, of TREES * DEPTH, for a candidate: five deviations below the mean at the threshold.
+LEAST_AGREE = 59
+#: Rounds of confirmation; all but the last take the best open pair of each class.
+ROUNDS = 3
+BLOCK = 1 << 20
 
 _rng = np.random.default_rng(10_007)
 _FACTOR = _rng.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -62,14 +68,32 @@ def _paths(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _two_bits(paths: np.ndarray) -> np.ndarray:
+    """Two low bits of each min-hash, 32 of them in a long."""
+    low = (paths.astype(np.uint64) & np.uint64(3)).reshape(len(paths), TREES * DEPTH // 32, 32)
+    return np.bitwise_or.reduce(low << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
+
+
+def _agree(x: str, y: str) -> Column:
+    """In how many min-hashes the bits of two classes agree."""
+
+    def differ(a: Column, b: Column) -> Column:
+        z = a.bitwiseXOR(b)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    longs = TREES * DEPTH // 32
+    return F.lit(TREES * DEPTH) - sum((differ(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(longs)), F.lit(0))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, key_a, key_b (of the set), paths (null without words)."""
+    """doc_id, text -> doc_id, n_shingles, key_a, key_b (of the set), paths, bits (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1)))
             full = [s for s in sets if len(s)]
-            paths = iter(_paths(full) if full else ())
+            made = _paths(full) if full else np.zeros((0, TREES * DEPTH), ">u4")
+            paths, bits = iter(made), iter(_two_bits(made))
             with np.errstate(over="ignore"):
                 keys = [(int(s.sum(dtype=np.uint64).view(np.int64)), int((s * s).sum(dtype=np.uint64).view(np.int64))) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -77,19 +101,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                     batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                     pa.array([next(paths).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "key_a", "key_b", "paths"],
+                ["doc_id", "n_shingles", "key_a", "key_b", "paths", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary, bits array<long>")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(rep, paths) -> (a, b, score): pairs of classes, a < b; the score is the sum of their common prefixes."""
+    """(rep, paths, bits) -> (a, b, agree): pairs of classes, a < b, with the number of min-hashes that agree."""
     width = 4 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    paths = classes.select("rep", "paths", tree.alias("tree")).select(
-        "rep", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path")
+    paths = classes.select("rep", "paths", "bits", tree.alias("tree")).select(
+        "rep", "bits", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path")
     )
     region = [F.col("tree"), F.substring("path", 1, 8)]
     crowd = [F.col("tree"), F.substring("path", 1, 12)]
@@ -97,34 +122,26 @@ def candidates(classes: DataFrame) -> DataFrame:
     paths = paths.withColumn("region_n", size.over(Window.partitionBy(*region))).where("region_n > 1")
     paths = written(paths.withColumn("crowd_n", size.over(Window.partitionBy(*crowd))), "paths")
 
-    def prefix(x: str, y: str):
-        common, so_far = F.lit(2), F.lit(True)
-        for d in range(2, DEPTH):
-            so_far = so_far & (F.substring(x, 4 * d + 1, 4) == F.substring(y, 4 * d + 1, 4))
-            common = common + so_far.cast("int")
-        return common
-
     order = Window.partitionBy(*region).orderBy("path", "rep")
-    other = lambda k: F.struct(F.lag("rep", k).over(order).alias("rep"), F.lag("path", k).over(order).alias("path"))
+    other = lambda k: F.lag(F.struct("rep", "path", "bits"), k).over(order)
     near = paths.withColumn("others", F.array(*[other(k) for k in range(1, NEAR + 1)]))
-    near = near.withColumn("o", F.explode("others")).where("o.rep is not null")
-    near = near.withColumn("score", prefix("path", "o.path"))
-    near = near.where((F.col("score") >= 3) | (F.col("region_n") <= SMALL_REGION)).select("rep", F.col("o.rep").alias("other"), "score")
+    near = near.withColumn("o", F.explode("others")).where("o is not null")
+    deep = F.substring("path", 1, 12) == F.substring("o.path", 1, 12)
+    near = near.where(deep | (F.col("region_n") <= SMALL_REGION)).select("rep", F.col("o.rep").alias("other"), _agree("bits", "o.bits").alias("agree"))
 
     # Hubs of crowded regions: a partial aggregate for each region, then a join on its full prefix.
     crowded = paths.where(F.col("crowd_n") > NEAR)
     weight = crowded.groupBy("rep").agg(F.sum("crowd_n").alias("weight"))
-    member = crowded.join(weight, "rep").select("rep", "tree", F.substring("path", 1, 12).alias("place"), "weight")
+    member = crowded.join(weight, "rep").select("rep", "bits", "tree", F.substring("path", 1, 12).alias("place"), "weight")
     member = written(member, "members")
-    top = F.struct(F.col("weight"), (-F.col("rep")).alias("minus"))
-    best = member.groupBy("tree", "place").agg(F.max(top).alias("h1"))
-    second = member.join(best, ["tree", "place"]).where(F.col("rep") != -F.col("h1.minus"))
-    second = second.groupBy("tree", "place").agg(F.max(top).alias("h2"))
-    hubs = best.select("tree", "place", (-F.col("h1.minus")).alias("other")).unionByName(second.select("tree", "place", (-F.col("h2.minus")).alias("other")))
-    hubs = written(hubs, "hubs")
-    stars = member.join(hubs, ["tree", "place"]).where("rep <> other").select("rep", "other", F.lit(3).alias("score"))
-    pairs = near.unionByName(stars)
-    return pairs.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.sum("score").alias("score"))
+    top = F.struct(F.col("weight"), (-F.col("rep")).alias("minus"), F.col("bits"))
+    best = written(member.groupBy("tree", "place").agg(F.max(top).alias("h")), "hubs")
+    second = member.join(best, ["tree", "place"]).where(F.col("rep") != -F.col("h.minus"))
+    hubs = written(best.unionByName(second.groupBy("tree", "place").agg(F.max(top).alias("h"))), "hubs")
+    stars = member.join(hubs, ["tree", "place"]).where(F.col("rep") != -F.col("h.minus"))
+    stars = stars.select("rep", (-F.col("h.minus")).alias("other"), _agree("bits", "h.bits").alias("agree"))
+    pairs = near.unionByName(stars).where(F.col("agree") >= LEAST_AGREE)
+    return pairs.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.max("agree").alias("agree"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -148,8 +165,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = TH
                 keep.append(whole * both >= part * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    texts = docs.join(small_or_shuffled(needed), "doc_id", "left_semi").select("doc_id", "text")
     found = written(texts.mapInArrow(sets, "id long, set binary"), "sets")
     left = found.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = found.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -157,6 +174,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = TH
     return joined.mapInArrow(check, "a long, b long")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pairs that are the best of either end."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o"))))
+    best = pairs.select(ends.alias("e"), "agree").groupBy("e.n").agg(F.max(F.struct("agree", (-F.col("e.o")).alias("minus"))).alias("top"))
+    chosen = best.select("n", (-F.col("top.minus")).alias("o"))
+    return chosen.select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept for every row.
 
@@ -170,26 +195,26 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     keys = ["key_a", "key_b", "n_shingles"]
     classes = written(real.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pairs = written(candidates(reps.select(F.col("doc_id").alias("rep"), "paths").dropDuplicates(["rep", "paths"])).where("a <> b"), "pairs")
+    pairs = written(candidates(reps.select(F.col("doc_id").alias("rep"), "paths", "bits").dropDuplicates(["rep", "paths"])).where("a <> b"), "pairs")
 
     unique = docs.where("doc_id is not null")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("e"), "score")
-    best = ends.groupBy("e.n").agg(F.max(F.struct("score", (-F.col("e.o")).alias("minus"))).alias("top"))
-    first = best.select("n", (-F.col("top.minus")).alias("o")).select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct()
-    links = written(confirmed(written(first, "first"), unique, threshold), "links")
-    labels = components(links)
-
-    end = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    rest = rest.where(~F.coalesce(F.col("a_c"), F.col("a")).eqNullSafe(F.coalesce(F.col("b_c"), F.col("b")))).select("a", "b")
-    more = written(confirmed(written(rest, "rest"), unique, threshold), "links")
+    links, left = [], pairs
+    for turn in range(1, ROUNDS + 1):
+        chosen = written(_best(left) if turn < ROUNDS else left.select("a", "b"), "chosen")
+        links.append(written(confirmed(chosen, unique, threshold), "links"))
+        if turn < ROUNDS:
+            labels = components(reduce(DataFrame.unionByName, links))
+            end = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))  # noqa: B023, E731
+            # What is in one component by now needs no comparison; the rest of what was compared is no link.
+            left = left.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
+            left = written(left.select("a", "b", "agree").join(chosen, ["a", "b"], "left_anti"), "left")
     # Ids of several rows join the classes of all of them.
     repeated = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
     same = real.join(repeated, "doc_id", "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(links.unionByName(more).unionByName(same))
+    joined = components(reduce(DataFrame.unionByName, [*links, same]))
     named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = written(named.select(*keys, F.coalesce("component", "rep").alias("component")), "named")
-    out = made.drop("paths").join(named, keys, "left")
+    out = made.drop("paths", "bits").join(named, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -201,9 +226,9 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
     Of rows with one doc_id one stays. Rows with a null doc_id stay.
     """
     found = written(near_duplicates(docs, threshold).select("doc_id", "kept"), "kept")
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
     again = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(docs.columns)
     if again.isEmpty():
         return left
     once = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
