@@ -3,8 +3,8 @@
 Vectors that are equal are one node. The neighbour graph begins with the leaves of random-projection trees (runs of equal length in
 the order of a hyperplane code) and is refined by joins of neighbours' neighbours: all pairs among the neighbours of one
 node, forward and reverse, are compared, and what is nearer than a list's last entry goes into it. A list whose entries all
-reach the threshold is saturated, and its room is doubled. Rounds go on until few lists change and an audit, a bounded
-sample of vectors held against all rows, finds its links inside the components that the threshold edges give.
+reach the threshold is saturated, and its room is doubled. Rounds go on until an audit, a bounded sample of vectors held
+against all rows, finds its links inside the components that the threshold edges give.
 Links are then counted exactly inside each component, block by block, so that a large family of copies never meets in one
 task and its pairs are never written out.
 """
@@ -28,8 +28,7 @@ LEAF = 128
 NEIGHBOURS = 8
 SLICE = 24
 MIN_ROUNDS, MAX_ROUNDS = 2, 8
-CHANGED = 0.02
-AUDIT = 256
+AUDIT = 1024
 RECALL = 0.995
 COUNT_BLOCK = 256
 
@@ -235,7 +234,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     usable = made.where("unit is not null and vec_id is not null")
     nodes = written(usable.groupBy("unit", "dims").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     # Two different vectors may share an id that is the least of both: one of them then stands for the id in the graph.
-    n = nodes.count()
     room = nodes.select(F.col("id").alias("a"), F.lit(NEIGHBOURS).alias("room")).distinct()
     lists = written(_lists(_first_lists(nodes), room), "lists")
     labels = None
@@ -247,9 +245,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         again = lists.drop("room").join(room, "a")
         better = _refined(again, nodes)
         new = written(_lists(again.select("a", "b", "cos").unionByName(better), room), "lists")
-        changed = new.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
         lists = new
-        if turn < MIN_ROUNDS or (changed > CHANGED * n * NEIGHBOURS and turn < MAX_ROUNDS):
+        if turn < MIN_ROUNDS:
             continue
         labels = components(lists.where(F.col("cos") >= threshold).select("a", "b"))
         true, inside = _audited(nodes, labels, threshold)
