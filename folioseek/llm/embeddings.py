@@ -3,8 +3,11 @@
 Vectors that are equal are one node. The neighbour graph begins with the leaves of random-projection trees (runs of equal length in
 the order of a hyperplane code) and is refined by joins of neighbours' neighbours: all pairs among the neighbours of one
 node, forward and reverse, are compared, and what is nearer than a list's last entry goes into it. A list whose entries all
-reach the threshold is saturated, and its room is doubled. Rounds go on until an audit, a bounded sample of vectors held
-against all rows, finds its links inside the components that the threshold edges give.
+reach the threshold is saturated, and its room is doubled. Every compared pair at the threshold is an edge of the
+components, whether or not a list has room for it: a block of compared vectors gives the edges of a forest that joins what
+its pairs join. Rounds go on until one joins no more components and an audit, a bounded sample of vectors held against all rows, finds its
+links inside the components; a family counts as much in it as a single vector. If the rounds end before that, all vectors are
+held against all rows, chunk by chunk.
 Links are then counted exactly inside each component, block by block, so that a large family of copies never meets in one
 task and its pairs are never written out.
 """
@@ -26,9 +29,14 @@ TREES = 8
 BITS = 31
 LEAF = 128
 NEIGHBOURS = 8
+#: Lists guide the search alone (edges are kept without regard to them), so that their room need not grow with a family.
+MOST_ROOM = 64
 SLICE = 24
 MIN_ROUNDS, MAX_ROUNDS = 2, 8
 AUDIT = 1024
+#: Rows of a table that are held at once against the vectors of an audit or of a chunk.
+STRIP = 512
+CHUNK = 4096
 RECALL = 0.995
 COUNT_BLOCK = 256
 
@@ -81,8 +89,32 @@ def _by_run(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Recor
     yield from held
 
 
-def _first_lists(nodes: DataFrame) -> DataFrame:
-    """(id, dims, unit) -> (a, b, cos): the nearest in each tree's leaf."""
+def _forest(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, fewer than there are ids, that join what the pairs (rows, cols) of positions join."""
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, rows, label[cols])
+        np.minimum.at(low, cols, label[rows])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def _together(found: list[pa.RecordBatch], links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Entries of lists, and one forest of all the links (cos is null)."""
+    a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = _forest(ids, at[: len(a)], at[len(a) :])
+    edges = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.float64())], ["a", "b", "cos"])
+    return pa.Table.from_batches([*found, edges]).combine_chunks().to_batches()[0] if len(a) + sum(x.num_rows for x in found) else edges
+
+
+def _first_lists(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, dims, unit) -> (a, b, cos): the nearest in each tree's leaf, and edges at the threshold with a null cos."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -101,9 +133,13 @@ def _first_lists(nodes: DataFrame) -> DataFrame:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_run(_leaves(batches), 1):
             at = _runs([batch.column(0).to_numpy()])
+            out, links = [], []
             for i, j in zip(at[:-1], at[1:], strict=True):
                 leaf = batch.slice(i, j - i)
-                yield _top(leaf.column(2).to_numpy(), _matrix(leaf.column(3)), np.full(j - i, -2.0), NEIGHBOURS)
+                found, edges = _top(leaf.column(2).to_numpy(), _matrix(leaf.column(3)), np.full(j - i, -2.0), NEIGHBOURS, threshold)
+                out.append(found)
+                links.append(edges)
+            yield _together(out, links)
 
     def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tree column replaced by the number of the leaf, LEAF rows each."""
@@ -121,15 +157,16 @@ def _first_lists(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(nearest, "a long, b long, cos double")
 
 
-def _top(ids: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> pa.RecordBatch:
-    """Of each row the ``k`` nearest other rows, those nearer than its ``least``."""
+def _top(ids: np.ndarray, x: np.ndarray, least: np.ndarray, k: int, threshold: float) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+    """Of each row the ``k`` nearest other rows, those nearer than its ``least``; a forest of all pairs at the threshold."""
     cos = x @ x.T
     cos[ids[:, None] == ids[None, :]] = -3
+    links = _forest(ids, *np.nonzero(cos >= threshold))
     take = np.argpartition(-cos, min(k, len(ids) - 1), axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), cos.shape)
     c = np.take_along_axis(cos, take, axis=1)
     rows, cols = np.nonzero(c > least[:, None])
     rows, cols = rows[c[rows, cols] > -3], cols[c[rows, cols] > -3]
-    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[take[rows, cols]]), pa.array(c[rows, cols])], ["a", "b", "cos"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[take[rows, cols]]), pa.array(c[rows, cols])], ["a", "b", "cos"]), links
 
 
 def _lists(found: DataFrame, room: DataFrame) -> DataFrame:
@@ -140,8 +177,8 @@ def _lists(found: DataFrame, room: DataFrame) -> DataFrame:
     return kept
 
 
-def _refined(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of neighbours' neighbours that are nearer than the last entries of their lists."""
+def _refined(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of neighbours' neighbours that are nearer than the last entries of their lists, and edges with a null cos."""
     last = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) < F.first("room"), -2.0).otherwise(F.min("cos")).alias("least"), F.first("room").alias("room"))
     reverse = lists.select(F.col("b").alias("pivot"), F.col("a").alias("member"))
     # A node that is in many lists is a pivot in several slices; each has its own list and a part of the reverse.
@@ -158,43 +195,69 @@ def _refined(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_run(batches, 2):
             at = _runs([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            out, ids = [], batch.column(2).to_numpy()
+            out, links, ids = [], [], batch.column(2).to_numpy()
             least, x, room = batch.column(4).to_numpy(), _matrix(batch.column(3)), batch.column(5).to_numpy()
             for i, j in zip(at[:-1], at[1:], strict=True):
                 if j - i > 1:
-                    out.append(_top(ids[i:j], x[i:j], least[i:j], int(room[i:j].max())))
+                    found, edges = _top(ids[i:j], x[i:j], least[i:j], int(room[i:j].max()), threshold)
+                    out.append(found)
+                    links.append(edges)
             if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches(1 << 20)[0] if sum(b.num_rows for b in out) else out[0]
+                yield _together(out, links)
 
     rows = members.join(vectors, "member").select("pivot", "slice", "member", "unit", "least", "room")
     dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "pivot", "slice").sortWithinPartitions("pivot", "slice")
     return dealt.mapInArrow(compare, "a long, b long, cos double")
 
 
-def _audited(nodes: DataFrame, labels: DataFrame, threshold: float) -> tuple[int, int]:
-    """(links of a bounded sample to all rows, those inside one component)."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "dims", "unit").toArrow()
-    if not asked.num_rows:
-        return 0, 0
+def _held(nodes: DataFrame, asked: pa.Table, threshold: float, forest: bool) -> DataFrame:
+    """(a, b): the links of the asked vectors to all rows, or edges that join what those links join."""
     shared = nodes.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), asked["dims"].to_numpy(), asked["unit"].to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, dims, units = shared.value
+        of = {int(d): np.flatnonzero(dims == d) for d in np.unique(dims)}
+        asked_x = {d: np.frombuffer(b"".join(units[i] for i in q), np.float64).reshape(len(q), -1) for d, q in of.items()}
         for batch in batches:
             mine = batch.column(1).to_numpy()
             for d in np.intersect1d(mine, dims):
-                part, q = batch.filter(pa.array(mine == d)), np.flatnonzero(dims == d)
-                x = np.frombuffer(b"".join(units[i] for i in q), np.float64).reshape(len(q), -1)
-                a, b = np.nonzero(x @ _matrix(part.column(2)).T >= threshold)
-                other = part.column(0).to_numpy()[b]
-                real = ids[q][a] != other
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][a][real]), pa.array(other[real])], ["a", "b"])
-
-    true = nodes.select("id", "dims", "unit").mapInArrow(run, "a long, b long")
+                part, q = batch.filter(pa.array(mine == d)), ids[of[int(d)]]
+                for k in range(0, part.num_rows, STRIP):
+                    strip = part.slice(k, STRIP)
+                    a, b = np.nonzero(asked_x[int(d)] @ _matrix(strip.column(2)).T >= threshold)
+                    other = strip.column(0).to_numpy()
+                    a, b = (_forest(np.r_[q, other], a, b + len(q)) if forest else (q[a], other[b]))
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    return nodes.select("id", "dims", "unit").mapInArrow(run, "a long, b long")
+
+
+def _recall(nodes: DataFrame, labels: DataFrame, threshold: float) -> float:
+    """Which share of its links a vector has inside its component, the mean over components: a family counts once.
+
+    Held against all rows are a sample of the vectors and one of the components, each by its least hash.
+    """
+    order = [F.xxhash64("id"), F.col("id")]
+    firsts = labels.groupBy("component").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("id"))).alias("f")).select("f.id").orderBy(*order).limit(AUDIT)
+    ids = nodes.select("id").orderBy(*order).limit(AUDIT).unionByName(firsts).distinct()
+    asked = nodes.join(F.broadcast(ids), "id").select("id", "dims", "unit").toArrow()  # 2 * AUDIT ids at most
+    if not asked.num_rows:
+        return 1.0
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
-    both = true.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    row = both.agg(F.count(F.lit(1)), F.count(F.when(F.col("a_c") == F.col("b_c"), 1))).first()
-    return row[0], row[1]
+    both = _held(nodes, asked, threshold, False).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    vectors = both.groupBy("a", F.coalesce("a_c", "a").alias("c")).agg(F.avg(F.when(F.col("a_c") == F.col("b_c"), 1.0).otherwise(0.0)).alias("r"))
+    found = vectors.groupBy("c").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0]
+    return 1.0 if found is None else found
+
+
+def _exact_edges(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that join all that is linked, from all pairs, a chunk of the vectors at a time."""
+    n = -(-nodes.count() // CHUNK)
+    out = nodes.sparkSession.createDataFrame([], "a long, b long")
+    for k in range(n):
+        asked = nodes.where(F.pmod(F.xxhash64("id", "unit"), F.lit(n)) == k).select("id", "dims", "unit").toArrow()
+        out = out.unionByName(written(_held(nodes, asked, threshold, True).distinct(), "exact-edges"))
+    return out
 
 
 def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -235,23 +298,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = written(usable.groupBy("unit", "dims").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     # Two different vectors may share an id that is the least of both: one of them then stands for the id in the graph.
     room = nodes.select(F.col("id").alias("a"), F.lit(NEIGHBOURS).alias("room")).distinct()
-    lists = written(_lists(_first_lists(nodes), room), "lists")
-    labels = None
+    found = written(_first_lists(nodes, threshold), "found")
+    lists = written(_lists(found.where("cos is not null"), room), "lists")
+    edges, joined = found.where("cos is null").select("a", "b"), -1
     for turn in range(1, MAX_ROUNDS + 1):
         full = lists.groupBy("a").agg(F.min("cos").alias("least"), F.count(F.lit(1)).alias("n"), F.first("room").alias("room"))
         saturated = (F.col("least") >= threshold) & (F.col("n") >= F.col("room"))
-        room = written(full.select("a", F.when(saturated, F.col("room") * 2).otherwise(F.col("room")).alias("room")), "room")
+        room = written(full.select("a", F.when(saturated, F.least(F.col("room") * 2, F.lit(MOST_ROOM))).otherwise(F.col("room")).alias("room")), "room")
         # Lists with more room take what is as near as any.
         again = lists.drop("room").join(room, "a")
-        better = _refined(again, nodes)
-        new = written(_lists(again.select("a", "b", "cos").unionByName(better), room), "lists")
+        found = written(_refined(again, nodes, threshold), "found")
+        new = written(_lists(again.select("a", "b", "cos").unionByName(found.where("cos is not null")), room), "lists")
         lists = new
-        if turn < MIN_ROUNDS:
-            continue
-        labels = components(lists.where(F.col("cos") >= threshold).select("a", "b"))
-        true, inside = _audited(nodes, labels, threshold)
-        if inside >= RECALL * true:
+        # The edges so far, as one of each node to its component.
+        labels = components(edges.unionByName(found.where("cos is null").select("a", "b")))
+        edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        before, joined = joined, labels.where("node <> component").count()
+        if turn >= MIN_ROUNDS and joined == before and _recall(nodes, labels, threshold) >= RECALL:
             break
+    else:
+        if _recall(nodes, labels, threshold) < RECALL:
+            labels = components(edges.unionByName(_exact_edges(nodes, threshold)))
     counts = written(_counted(nodes, labels, threshold), "links")
     known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     known = written(

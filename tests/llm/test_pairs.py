@@ -98,6 +98,35 @@ def test_embeddings(spark):
     assert all(g[1] <= n[g[0]] for g in got)
 
 
+def test_families_joined_by_one_pair(spark):
+    rng = np.random.default_rng(8)
+    u, v = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    at = lambda degrees: np.cos(np.radians(degrees)) * u + np.sin(np.radians(degrees)) * v
+    family = lambda degrees: [at(degrees) + rng.standard_normal(64) * 0.002 for _ in range(60)]
+    data = [(i, x.tolist()) for i, x in enumerate([*family(0), at(4), *family(32), at(28)])]
+    unit = np.array([x for _, x in data]) / np.linalg.norm([x for _, x in data], axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    assert near[60, 121] and near[:61, 61:].sum() == 1
+    got = rows(embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    assert got == [(i, int(near[i].sum()) - 1, 0, i == 0) for i in range(122)]
+
+
+def test_recall_of_small_groups(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    family = [centre + rng.standard_normal(64) * 0.05 for _ in range(150)]
+    pairs = [x + rng.standard_normal(64) * 0.05 for x in rng.standard_normal((10, 64)) for _ in range(2)]
+    made = embeddings.normalised(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(family + pairs)], "vec_id long, embedding array<double>"))
+    nodes = made.withColumnRenamed("vec_id", "id")
+    labels = spark.createDataFrame([(i, 0) for i in range(150)], "node long, component long")
+    # 22,350 links of the family are found, all 20 of the pairs are not.
+    assert embeddings._recall(nodes, labels, 0.9) < 0.1
+    edges = embeddings._exact_edges(nodes, 0.9)
+    assert rows(embeddings.components(edges)) == [*[(i, 0) for i in range(150)], *[(i, i - i % 2) for i in range(150, 170)]]
+    whole = embeddings.components(edges)
+    assert embeddings._recall(nodes, whole, 0.9) == 1.0
+
+
 def test_embeddings_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     data = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 1)]
