@@ -11,6 +11,8 @@ copies lies in most of its copies' regions even if two copies of it are below th
 Two bits of every min-hash travel with a class. Pairs that agree in fewer of them than a pair at the threshold does in one of
 three million cases are left out. The others are confirmed in rounds, so that a family of copies costs a few
 comparisons a member: the best candidates of each class first, in the last round all that are not yet in one component.
+Regions of two values with more members than ``NEAR`` covers are then completed: block by block all their pairs that agree
+in enough bits and are not in one component are compared on full sets, so that every pair that shares a region is settled.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, shingle_hashes, small_or_shuffled, utf8, word_hashes, words, written
+from .common import blocks, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
+from .embeddings import _by_run, _forest, _runs
 from .graph import components
 
 THRESHOLD = (75, 100)
@@ -36,6 +39,8 @@ LEAST_AGREE = 59
 #: Rounds of confirmation; all but the last take the best open pair of each class.
 ROUNDS = 3
 BLOCK = 1 << 20
+#: Classes of a region in a block: of those whose bits are compared, and of those whose sets are.
+BITS_BLOCK, SETS_BLOCK = 4096, 256
 
 _rng = np.random.default_rng(10_007)
 _FACTOR = _rng.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -109,20 +114,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary, bits array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(rep, paths, bits) -> (a, b, agree): pairs of classes, a < b, with the number of min-hashes that agree."""
+def _placed(classes: DataFrame) -> DataFrame:
+    """(rep, paths, bits) -> rep, bits, tree, path, region_n, crowd_n where a region has other members."""
     width = 4 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     paths = classes.select("rep", "paths", "bits", tree.alias("tree")).select(
         "rep", "bits", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path")
     )
-    region = [F.col("tree"), F.substring("path", 1, 8)]
-    crowd = [F.col("tree"), F.substring("path", 1, 12)]
+    region, crowd = _region(), [F.col("tree"), F.substring("path", 1, 12)]
     size = F.count(F.lit(1))
     paths = paths.withColumn("region_n", size.over(Window.partitionBy(*region))).where("region_n > 1")
-    paths = written(paths.withColumn("crowd_n", size.over(Window.partitionBy(*crowd))), "paths")
+    return written(paths.withColumn("crowd_n", size.over(Window.partitionBy(*crowd))), "paths")
 
-    order = Window.partitionBy(*region).orderBy("path", "rep")
+
+def _region() -> list[Column]:
+    return [F.col("tree"), F.substring("path", 1, 8)]
+
+
+def candidates(paths: DataFrame) -> DataFrame:
+    """Placed classes -> (a, b, agree): pairs of classes, a < b, with the number of min-hashes that agree."""
+    order = Window.partitionBy(*_region()).orderBy("path", "rep")
     other = lambda k: F.lag(F.struct("rep", "path", "bits"), k).over(order)
     near = paths.withColumn("others", F.array(*[other(k) for k in range(1, NEAR + 1)]))
     near = near.withColumn("o", F.explode("others")).where("o is not null")
@@ -144,15 +155,100 @@ def candidates(classes: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.max("agree").alias("agree"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union. ``docs`` has one text an id."""
+def _blocked(members: DataFrame, sizes: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Members of regions, each once for each pair of blocks (x, y) it belongs to; i is its block. Sorted by key, x, y."""
+    of = members.join(sizes.select("key", F.ceil(F.col("size") / block).cast("int").alias("n")), "key")
+    of = of.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    of = of.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rep", "label", "bits", *columns)
+    return of.repartition(shuffle_partitions(members.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of each pair of blocks and some rows of it: (first row of the blocks, first of the rows, which pairs are still open)."""
+    keys = [batch.column(k).to_numpy() for k in range(3)]
+    block, label = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+    bits = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+    at = _runs(keys)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for k in range(a, b, 256):
+            rows = slice(k, min(k + 256, b))
+            pairs = label[rows, None] != label[None, a:b]
+            if keys[1][a] != keys[2][a]:
+                pairs &= block[rows, None] != block[None, a:b]
+            if pairs.any():
+                differ = np.zeros(pairs.shape, np.uint8)
+                for n in range(bits.shape[1]):
+                    z = bits[rows, n][:, None] ^ bits[a:b, n][None]
+                    differ += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555))
+                pairs &= differ <= TREES * DEPTH - LEAST_AGREE
+            yield a, k, pairs
+
+
+def completed(paths: DataFrame, labels: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a, b): edges that join all linked classes which share a region and are in different components of ``labels``."""
     part, whole = threshold
 
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_run(batches, 3):
+            some = np.zeros(batch.num_rows, bool)
+            for _, k, pairs in _open(batch):
+                some[k : k + len(pairs)] |= pairs.any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], ["key", "rep"]).filter(pa.array(some))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_run(batches, 3):
+            ids, at, found = batch.column(4).to_numpy(), _runs([batch.column(k).to_numpy() for k in range(3)]), ([], [])
+            end, first, value, flags = dict(zip(at[:-1], at[1:], strict=True)), -1, None, None
+            for a, k, pairs in _open(batch):
+                if a != first:
+                    first, sets = a, [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(7).slice(a, end[a] - a)]
+                    lengths = np.array([len(v) for v in sets])
+                    starts = np.cumsum(lengths) - lengths
+                    value = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                    flags = np.zeros(value.max() + 1, np.int32)
+                for r in np.flatnonzero(pairs.any(axis=1)):
+                    n = k - a + r
+                    own = value[starts[n] : starts[n] + lengths[n]]
+                    flags[own] = 1
+                    both = np.add.reduceat(flags[value], starts)
+                    flags[own] = 0
+                    near = np.flatnonzero(pairs[r] & (whole * both >= part * (lengths[n] + lengths - both)))
+                    found[0].append(np.full(len(near), a + n))
+                    found[1].append(a + near)
+            if found[0]:
+                x, y = _forest(ids, np.concatenate(found[0]), np.concatenate(found[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    named = labels.select(F.col("node").alias("rep"), "component")
+    crowded = paths.where(F.col("region_n") > NEAR + 1).select(F.xxhash64(*_region()).alias("key"), "rep", "bits")
+    crowded = crowded.join(named, "rep", "left").select("key", "rep", "bits", F.coalesce("component", "rep").alias("label"))
+    crowded = written(crowded, "crowded")
+    size = F.count(F.lit(1)).alias("size")
+    mixed = crowded.groupBy("key").agg(size, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    screened = _blocked(crowded, written(mixed, "mixed"), BITS_BLOCK).mapInArrow(screen, "key long, rep long")
+    left = written(screened.distinct(), "open")
+    sets = _sets(docs, left.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("id", "rep")
+    members = written(crowded.join(left, ["key", "rep"]).distinct().join(sets, "rep"), "open-sets")
+    pairs = _blocked(members, members.groupBy("key").agg(size), SETS_BLOCK, "set")
+    return written(pairs.mapInArrow(compare, "a long, b long").distinct(), "completed")
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set): the shingle sets of the documents with these ids."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
 
+    texts = docs.join(small_or_shuffled(written(ids, "needed")), "doc_id", "left_semi").select("doc_id", "text")
+    return written(texts.mapInArrow(sets, "id long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union. ``docs`` has one text an id."""
+    part, whole = threshold
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -165,9 +261,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = TH
                 keep.append(whole * both >= part * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    texts = docs.join(small_or_shuffled(needed), "doc_id", "left_semi").select("doc_id", "text")
-    found = written(texts.mapInArrow(sets, "id long, set binary"), "sets")
+    found = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = found.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = found.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
@@ -195,7 +289,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     keys = ["key_a", "key_b", "n_shingles"]
     classes = written(real.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pairs = written(candidates(reps.select(F.col("doc_id").alias("rep"), "paths", "bits").dropDuplicates(["rep", "paths"])).where("a <> b"), "pairs")
+    paths = _placed(reps.select(F.col("doc_id").alias("rep"), "paths", "bits").dropDuplicates(["rep", "paths"]))
+    pairs = written(candidates(paths).where("a <> b"), "pairs")
 
     unique = docs.where("doc_id is not null")
     links, left = [], pairs
@@ -211,7 +306,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     # Ids of several rows join the classes of all of them.
     repeated = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
     same = real.join(repeated, "doc_id", "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(reduce(DataFrame.unionByName, [*links, same]))
+    links.append(written(same, "same"))
+    links.append(completed(paths, components(reduce(DataFrame.unionByName, links)), unique, threshold))
+    joined = components(reduce(DataFrame.unionByName, links))
     named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = written(named.select(*keys, F.coalesce("component", "rep").alias("component")), "named")
     out = made.drop("paths", "bits").join(named, keys, "left")

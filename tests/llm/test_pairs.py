@@ -61,6 +61,23 @@ def test_near_duplicates(spark, seed):
     assert [r[0] for r in rows(kept)] == [i for i in ids if want[i] == i]
 
 
+def test_crowded_region_is_compared_whole(spark, monkeypatch):
+    # A template shared by all keeps them under 0.75, except for some pairs; the neighbours in the trees are others.
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(300)]
+    tails = [[f"u{rng.randrange(10**9)}" for _ in range(85)] for _ in range(250)]
+    tails += [t[:45] + [f"u{rng.randrange(10**9)}" for _ in range(40)] for t in tails[:50]]
+    data = [(i, " ".join(template + t), "s") for i, t in enumerate(tails)]
+    sets = [shingles(t) for _, t, _ in data]
+    links = [(a, b) for a in range(300) for b in range(a + 1, 300) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(range(300), links)
+    assert len(links) == 50
+    monkeypatch.setattr(neardup, "SETS_BLOCK", 64)
+    monkeypatch.setattr(neardup, "BITS_BLOCK", 128)
+    got = rows(neardup.near_duplicates(spark.createDataFrame(data, DOCS)))
+    assert got == [(i, len(sets[i]), want[i], want[i] == i) for i in range(300)]
+
+
 def test_near_duplicates_odd_tables(spark):
     same = " ".join(f"x{i}" for i in range(50))
     data = [(1, same, "a"), (1, same, "a"), (2, same + " y", "b"), (None, same, "c"), (3, None, None), (4, "other words here", "d"), (4, same, "d")]
