@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_rank, written
+
 SYSTEM = "system"
 UNNAMED = "unknown"
 END = "<|end|>"
@@ -21,7 +23,8 @@ def perspectives(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
 
     One row for each participant (a role other than ``system``) and part of a conversation. ``spans`` lists
     ``start:end`` in code points, after which ``text[start:end]`` is a target. Order: turn, then role and text for equal or
-    null turns, nulls last (in part -1). A null role is ``unknown``, a null text is empty, null conv_ids are one
+    null turns, nulls last (in part -1). Where a part by turn numbers would hold more than ``part_turns`` messages, that
+    conversation is cut by the ranks of its messages instead, so that no part of any conversation holds more. A null role is ``unknown``, a null text is empty, null conv_ids are one
     conversation. Marks inside texts and names are defused. Repeated rows are repeated messages. A conversation of system
     messages alone has no perspective. An empty table gives no rows; other columns are not read.
     """
@@ -31,6 +34,7 @@ def perspectives(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     m = messages.select(
         "conv_id", part.alias("part"), F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"), clean.alias("role"), body.alias("body")
     )
+    m = _bounded(m, part_turns)
     speakers = m.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     parts = m.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("late", "turn", "role", "body"))).alias("said"))
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
@@ -58,3 +62,17 @@ def perspectives(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
         "conv_id", "speaker", "part", F.size("pieces").cast("long").alias("n_messages"), text.alias("text"),
         F.array_join("mask.spans", ",").alias("spans"), F.col("mask.target").alias("target_chars"),
     )
+
+
+def _bounded(m: DataFrame, part_turns: int) -> DataFrame:
+    """The messages, conversations with an overfull part cut anew by rank: ``part_turns`` messages a part."""
+    full = m.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns)
+    full = written(full.select(F.col("conv_id").alias("_full")).distinct(), "overfull")
+    if full.isEmpty():
+        return m
+    over = F.col("conv_id").eqNullSafe(F.col("_full"))
+    ranked = with_rank(m.join(full, over, "left_semi"), [F.col(c) for c in ("conv_id", "late", "turn", "role", "body")], "rank")
+    ranked = written(ranked, "ranked-messages")
+    first = ranked.groupBy("conv_id").agg(F.min("rank").alias("_first")).withColumnRenamed("conv_id", "_full")
+    cut = ranked.join(first, over).withColumn("part", F.floor((F.col("rank") - F.col("_first")) / part_turns).cast("long"))
+    return m.join(full, over, "left_anti").unionByName(cut.select(m.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,18 @@ def test_perspectives(spark):
     assert [bob["text"][a:b] for a, b in spans] == ["hi < |end|><|end|>", "<|end|>"] and bob["target_chars"] == sum(b - a for a, b in spans)
 
 
+def test_perspectives_of_hot_conversations(spark):
+    data = [(1, i % 3, "Bob" if i % 2 else "Eve", f"m{i:04d}") for i in range(50)] + [(None, None, "Z", f"n{i:04d}") for i in range(25)] + [(2, 0, "Q", "one"), (2, 15, "Q", "two")]
+    got = chat.perspectives(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5), 10).collect()
+    assert max(r["n_messages"] for r in got) == 10
+    assert sorted((str(r["conv_id"]), r["speaker"], r["part"], r["n_messages"]) for r in got) == sorted(
+        [("1", who, k, 10) for who in ("Bob", "Eve") for k in range(5)] + [("None", "Z", 0, 10), ("None", "Z", 1, 10), ("None", "Z", 2, 5), ("2", "Q", 0, 1), ("2", "Q", 1, 1)]
+    )
+    bob = "".join(r["text"] for r in sorted(got, key=lambda r: r["part"]) if r["speaker"] == "Bob")
+    want = [text for _, _, _, text in sorted(data[:50], key=lambda x: x[1:])]
+    assert re.findall(r"m\d{4}", bob) == want
+
+
 # ---- mixing ----
 
 
