@@ -182,6 +182,8 @@ SELECT count(*) FILTER (strlen(term) < 2) AS short_terms, count(*) FILTER (n = 0
     "search_two_phase": f"{PD} {_results(Q.NEAR_QUERY, True, 'quick', extra=', 0 AS phase')} UNION ALL {_results(Q.NEAR_QUERY, True, 'remaining', extra=', 1 AS phase')}",
     "search_ranked": f"""{PD}, r AS ({_results(Q.ONE_QUERY, True)})
 SELECT row_number() OVER (ORDER BY file_date DESC NULLS LAST, n_matches DESC, doc_index) AS place, doc_index, file_date, n_matches FROM r ORDER BY place LIMIT 100""",
+    "search_places": f"""{PD}, r AS ({_results(Q.ONE_QUERY, True)})
+SELECT row_number() OVER (ORDER BY file_date DESC NULLS LAST, n_matches DESC, doc_index) AS place, doc_index, file_date, n_matches FROM r""",
     "batch_search": f"""{PD}, bp AS (SELECT item_id AS doc_index, 0 AS position, text FROM benchmark),
 bl AS (SELECT item_id AS q, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+')) AS x,
               generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+'), 1) AS i FROM benchmark),

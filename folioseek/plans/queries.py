@@ -155,13 +155,20 @@ def search_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every result of the widest query."""
+    """The first 100 places of the widest query; ``search_places`` has all."""
     results = _search(ONE_QUERY, True)(spark, sf_dir)
     order = Window.orderBy(F.col("file_date").desc_nulls_last(), F.desc("n_matches"), "doc_index")
     top = search.ranked(results).limit(100)
     return top.withColumn("place", F.row_number().over(order).cast("long")).select("place", "doc_index", "file_date", "n_matches")
 
 
+def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every result of the widest query."""
+    results = _search(ONE_QUERY, True)(spark, sf_dir).select("doc_index", "file_date", "n_matches")
+    places = dense_index(results, [F.col("file_date").desc_nulls_last(), F.desc("n_matches"), F.col("doc_index")], "place")
+    return places.select((F.col("place") + 1).cast("long").alias("place"), "doc_index", "file_date", "n_matches")
+
+
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text's first two different long words as a query, over all documents."""
     lines = _paragraphs(spark, sf_dir)
@@ -303,7 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         paragraph_explode, doc_stats, corpus_totals, tokenize_terms, stem_cases, postings_build, term_doc_freq, index_stats, postings_remove_docs,
         postings_incremental, postings_renumber, postings_dedupe, postings_cleanup, index_validation, documents_validation, index_coverage,
-        last_documents, search_two_phase, search_ranked, batch_search, filename_dates, file_name_search, file_name_search_all, file_listing,
+        last_documents, search_two_phase, search_ranked, search_places, batch_search, filename_dates, file_name_search, file_name_search_all, file_listing,
         file_policy_filter, sync_plan, change_detection, auto_numbering, docx_structure, line_breaks, parent_headings, section_parent_asof,
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
     )

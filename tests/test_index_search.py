@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from folioseek.functions import text as T
 from folioseek.operators import context, index, search
+from folioseek.plans.queries import QUERIES
 
 PARAGRAPHS = "doc_index long, file_name string, position long, text string"
 
@@ -64,6 +65,14 @@ def test_quick_and_remaining_make_full(spark):
         assert counts == {"quick": min(n, 170), "remaining": max(0, n - 170), "full": n}
 
 
+def test_every_result_has_a_place(spark):
+    sf = "/root/testdata/sf0.01"
+    want = QUERIES["search_one_word"](spark, sf).select("doc_index").count()
+    got = QUERIES["search_places"](spark, sf).orderBy("place").collect()
+    assert want > 100 and [r["place"] for r in got] == list(range(1, want + 1))
+    assert [tuple(r) for r in got[:100]] == [tuple(r) for r in QUERIES["search_ranked"](spark, sf).orderBy("place").collect()]
+
+
 def test_search_many_is_search(spark):
     lines = _lines(spark, DOCS)
     postings = index.build(lines)
