@@ -3,11 +3,14 @@
 Every five-word shingle is hashed once. Eight bits of the hash give its bin, 48 others its rank in the bin. An empty
 bin takes the value of the first non-empty bin in a sequence of bins that depends on its number alone (optimal
 densification): eight probes by a hash, then the least hash among the non-empty ones, which is the same
-choice from a random order. Of each bin the low four bits are stored, packed into sixteen longs, as hex.
+choice from a random order. Of each bin four bits of a hash of its value and its number are stored, so that bins
+that share a donor agree by chance independently of one another. They are packed into sixteen longs, as hex.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ BITS = 4
 PROBES = 8
 BUCKET_ROWS = 1500
 MAX_BUCKETS = 1 << 20
+#: Quantiles of the ids: an id that holds more rows than lie between two of them has buckets of its own.
+QUANTILES = 256
+SALTS = 1 << 20
 _RANK = (1 << 48) - 1  # in a bin of its own: no shingle
 _BLANKS = " \t\n\u000b\f\r"
 
@@ -68,11 +74,12 @@ def packed(text: Column) -> Column:
     """array<long> of BINS * BITS bits; empty for a text without words, null for a null one."""
     per = 64 // BITS
     low = lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1))
+    own = lambda ranks: F.transform(ranks, lambda v, b: F.xxhash64(v, b))
     pack = lambda ranks: F.transform(
         F.sequence(F.lit(1), F.lit(BINS), F.lit(per)),
         lambda at: F.aggregate(F.slice(ranks, at, per), F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(low(v))),
     )
-    made = _let(_densified(_binned(_shingles(text))), pack)
+    made = _let(own(_densified(_binned(_shingles(text)))), pack)
     return F.when(F.length(F.btrim(text, F.lit(_BLANKS))) > 0, made).when(text.isNotNull(), F.array().cast("array<bigint>"))
 
 
@@ -100,23 +107,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(estimate)
 
 
+def _buckets(docs: DataFrame) -> Column:
+    """A number for each row of ``docs`` (with _salt, a hash of its text below SALTS) that rises with (doc_id, _salt), nulls first.
+
+    Ranges lie between quantiles of the ids and are cut into equal parts of ids. An id that is a quantile more than once has
+    a range of its own, and so have null ids; these are cut into parts of the salt.
+    """
+    count, nulls, cuts = docs.agg(
+        F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10000)
+    ).first()
+    often = Counter(x for x in cuts or [] if x is not None)
+    heavy = {c: n for c, n in often.items() if n > 1}
+    bounds = sorted({*often, *(c + 1 for c in heavy)}) or [0]
+    of = lambda rows: int(max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS)))
+    parts = [of(heavy.get(c, 1) * count / QUANTILES) for c in bounds]
+    width = max([*parts, of(nulls)]) + 1
+    known = F.array(*[F.lit(c).cast("long") for c in bounds])
+    at = F.greatest(F.size(F.filter(known, lambda c: c <= F.col("doc_id"))), F.lit(1))
+    low, high = F.element_at(known, at), F.coalesce(F.get(known, at), F.lit(bounds[-1] + 1).cast("long"))
+    n = F.element_at(F.array(*map(F.lit, parts)), at)
+    by_salt = F.col("_salt") / SALTS
+    salted = F.element_at(F.array(*[F.lit(c in heavy) for c in bounds]), at)
+    share = F.when(salted, by_salt).otherwise((F.col("doc_id") - low).cast("double") / (high - low))
+    inside = F.greatest(F.lit(0), F.least(F.floor(share * n).cast("int"), n - 1))
+    return F.when(F.col("doc_id").isNull(), F.floor(by_salt * of(nulls)).cast("int")).otherwise(at * width + inside)
+
+
 def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
     """Add ``next_<value>``: the value of the row with the next smaller doc_id; of the largest after the smallest.
 
-    Null ids come last, equal ids in the order of their texts. Rows are dealt by ranges of ids (quantiles, then equal parts
-    of each), so that a window covers one range; the first row of each range is also sent to the range before it.
+    Null ids come last, equal ids in the order of a hash of their texts. Rows are dealt into buckets of ids, so that a window covers one of
+    them; the first row of each bucket is also sent to the bucket before it. Rows alike in id and text share a bucket.
     """
-    count, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 10000)).first()
-    cuts = sorted({x for x in cuts or [] if x is not None}) or [0]
-    parts = max(1, min(MAX_BUCKETS, count // BUCKET_ROWS) // len(cuts))
-    known = F.array(*[F.lit(c).cast("long") for c in cuts])
-    at = F.greatest(F.size(F.filter(known, lambda c: c <= F.col("doc_id"))), F.lit(1))
-    low, high = F.element_at(known, at), F.coalesce(F.get(known, at), F.lit(cuts[-1] + 1).cast("long"))
-    share = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * parts).cast("int")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * (parts + 1) + F.greatest(F.lit(0), F.least(share, F.lit(parts))))
-    docs = docs.withColumn("_bucket", bucket)
+    names = docs.columns
+    docs = docs.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+    docs = docs.withColumn("_bucket", _buckets(docs))
     down = Window.orderBy(F.desc("_bucket"))
-    ranges = docs.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))  # MAX_BUCKETS rows at most
+    key = F.struct("doc_id", "_salt", F.length("text"))
+    ranges = docs.groupBy("_bucket").agg(F.max(key).alias("_head"))  # MAX_BUCKETS rows for each bound at most
     heads = ranges.select(
         F.col("_bucket"), "_head",
         F.lag("_bucket").over(down).alias("_before"),
@@ -124,7 +152,7 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
     )
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("role"))
     d = docs.join(F.broadcast(heads), "_bucket")
-    is_head = F.col("doc_id").eqNullSafe(F.col("_head"))
+    is_head = key.eqNullSafe(F.col("_head"))
     sent = F.filter(
         F.array(
             own,
@@ -133,10 +161,10 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    dealt = d.withColumn("_to", F.explode(sent)).select(*docs.drop("_bucket").columns, F.col("_to.b").alias("_b"), F.col("_to.role").alias("_role"))
-    order = Window.partitionBy("_b").orderBy("_role", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = d.withColumn("_to", F.explode(sent)).select(*names, "_salt", F.col("_to.b").alias("_b"), F.col("_to.role").alias("_role"))
+    order = Window.partitionBy("_b").orderBy("_role", F.col("doc_id").desc_nulls_last(), F.desc("_salt"), F.length("text").desc(), "text")
     leads = {f"next_{v}": F.lead(v).over(order) for v in values}
-    return dealt.withColumns(leads).where("_role = 0").drop("_b", "_role")
+    return dealt.withColumns(leads).where("_role = 0").select(*names, *leads)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -145,7 +173,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last third (floor of the code points) replaced by the first as many code points
     of the next document in descending doc_id. A null text is empty; an empty or blank one has an empty
     fingerprint. A text of one to four words has one shingle. Equal texts have equal fingerprints. A single
-    row is its own next. An empty table gives no rows; other columns are not read.
+    row is its own next. Texts of any length are taken whole, as one row of one task. Of equal doc_ids the one whose text has
+    the larger hash is before the others, null ones come last. An empty table gives no rows; other columns are not read.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = with_next(d.withColumn("fp", packed(F.col("text"))), ["text", "fp"])

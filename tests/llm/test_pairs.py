@@ -172,6 +172,30 @@ def test_fingerprints(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_fingerprints_of_unlike_short_texts(spark):
+    data = [(i, f"word{i}") for i in range(400)] + [(None, f"null{i}") for i in range(40)] + [(7, f"seven{i}") for i in range(40)]
+    got = fingerprint.fingerprints(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len({r["fingerprint"] for r in got}) == len(data)
+    assert all(r["near_next"] < 0.25 for r in got) and np.mean([r["near_next"] for r in got]) < 0.05
+
+
+def test_next_document_of_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 10)
+    rng = random.Random(3)
+    data = [(i, f"t{i}") for i in range(0, 300, 3)] + [(150, f"hot{i}") for i in range(120)] + [(None, f"null{i}") for i in range(90)]
+    rng.shuffle(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    pairs = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.with_next(docs, ["text"]).collect()]
+    assert sorted(map(str, (p[:2] for p in pairs))) == sorted(map(str, data))
+    follows, at, seen = {t: n for _, t, n in pairs}, "t297", []
+    ids = {t: i for i, t in data}
+    for _ in data:
+        seen.append(at)
+        at = follows[at]
+    assert at == "t297" and len(set(seen)) == len(data)
+    assert [ids[t] for t in seen] == sorted((i for i, _ in data if i is not None), reverse=True) + [None] * 90
+
+
 def test_fingerprints_odd_tables(spark):
     schema = "doc_id long, text string, extra int"
     one = fingerprint.fingerprints(spark.createDataFrame([(5, "a b c", 1)], schema)).first()
