@@ -77,6 +77,9 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker lives on for the tasks after this one."""
+    if _pow["n"] > POWERS:
+        _pow.clear()
+        _pow["n"] = -1
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -146,13 +149,15 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Powers that are kept from task to task, two arrays of 8 MB; longer texts make longer ones for a while.
+POWERS = 1 << 20
 _pow = {"n": -1}
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: differences of prefix sums of a polynomial over coded bytes."""
     if len(low) > _pow["n"]:
-        n = max(len(low), 1 << 22)
+        n = max(len(low), POWERS)
         _pow.update(n=n, up=_powers(n, _ODD), down=_powers(n, _ODD_INVERSE))
     sums = np.zeros(len(low) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[low] * _pow["up"][: len(low)], out=sums[1:])

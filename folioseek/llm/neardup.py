@@ -2,42 +2,40 @@
 
 A document's set are its distinct five-word shingles (words lower-cased A-Z, split at ASCII white space); with fewer words
 the whole sequence is one shingle. Documents with equal sets form one class, known by its smallest doc_id. Every class
-has a path of ``DEPTH`` min-hashes in each of ``TREES`` trees. In each tree the paths are sorted, and candidates are the
-``NEAR`` neighbours on either side whose common prefix reaches the depth of their region: two values where the
-region is small, three or more where it is crowded. In crowded regions every member is also a candidate with the
-region's hubs, the members that lie in the largest regions over all trees: the original of a family of edited
-copies lies in most of its copies' regions even if two copies of it are below the threshold.
-
-Two bits of every min-hash travel with a class. Pairs that agree in fewer of them than a pair at the threshold does in one of
-three million cases are left out. The others are confirmed in rounds, so that a family of copies costs a few
-comparisons a member: the best candidates of each class first, in the last round all that are not yet in one component.
-Regions of two values with more members than ``NEAR`` covers are then completed: block by block all their pairs that agree
-in enough bits and are not in one component are compared on full sets, so that every pair that shares a region is settled.
+has a path of ``DEPTH`` min-hashes in each of ``TREES`` trees. Paths that share their first two values lie in one region; only
+those in a region with others take part.
+
+First each class of a crowded region is held against the region's hub, the member that lies in the largest regions over all
+trees: the original of a family of edited copies lies in most of its copies' regions even if two copies of it are below
+the threshold. Then, in ``ROUNDS`` rounds, the paths of each tree are sorted, and a class is held against the best of its
+neighbours of other components, by the longest common prefix: the more members a region has, the deeper is the prefix that
+its neighbours share. At last the regions that still have members of several components are completed: block by block all
+their pairs that are not in one component are compared on full sets, so that every pair that shares a region is settled.
+
+Two bits of every min-hash travel with a class, and pairs that agree in fewer of them than a pair at the threshold does in
+one of a thousand million cases are left out. That and pairs at the threshold that share no region (one of 500,000) is what can be missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
+from .common import blocks, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
 from .embeddings import _by_run, _forest, _runs
 from .graph import components
 
 THRESHOLD = (75, 100)
 TREES, DEPTH = 16, 6
+#: Places on either side, in a sorted order, at which a neighbour is looked for; the completion takes what lies further.
 NEAR = 8
-SMALL_REGION = 2 * NEAR
-HUBS = 2
-#: Min-hashes that agree in two bits, of TREES * DEPTH, for a candidate: five deviations below the mean at the threshold.
-LEAST_AGREE = 59
-#: Rounds of confirmation; all but the last take the best open pair of each class.
-ROUNDS = 3
+#: Min-hashes that agree in two bits, of TREES * DEPTH, for a candidate: six deviations below the mean at the threshold.
+LEAST_AGREE = 55
+#: Rounds of neighbours in the sorted orders.
+ROUNDS = 2
 BLOCK = 1 << 20
 #: Classes of a region in a block: of those whose bits are compared, and of those whose sets are.
 BITS_BLOCK, SETS_BLOCK = 4096, 256
@@ -47,16 +45,18 @@ _FACTOR = _rng.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64) | np.uint64(
 _SHIFT = _rng.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64)
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, whole; nothing for one without words."""
+def shingle_sets(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """Blocks of texts, each as the sorted distinct shingle hashes of its texts, whole; nothing for one without words."""
     data, offsets = utf8(texts)
     for i, j in blocks(offsets, BLOCK):
         part = offsets[i : j + 1]
         low, starts, ends, first = words(data[part[0] : part[-1]], part - part[0])
         hashes, at = shingle_hashes(word_hashes(low, starts, ends), first)
+        sets = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             s = np.sort(hashes[a:b])
-            yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+            sets.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
+        yield sets
 
 
 def _paths(sets: list[np.ndarray]) -> np.ndarray:
@@ -92,75 +92,105 @@ def _agree(x: str, y: str) -> Column:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, key_a, key_b (of the set), paths, bits (null without words)."""
+    names = ["doc_id", "n_shingles", "key_a", "key_b", "paths", "bits"]
+
+    def sketched(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        full = [s for s in sets if len(s)]
+        made = _paths(full) if full else np.zeros((0, TREES * DEPTH), ">u4")
+        paths, bits = iter(made), iter(_two_bits(made))
+        with np.errstate(over="ignore"):
+            keys = [(int(s.sum(dtype=np.uint64).view(np.int64)), int((s * s).sum(dtype=np.uint64).view(np.int64))) for s in sets]
+        columns = [
+            ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+            pa.array([next(paths).tobytes() if len(s) else None for s in sets], pa.binary()),
+            pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            full = [s for s in sets if len(s)]
-            made = _paths(full) if full else np.zeros((0, TREES * DEPTH), ">u4")
-            paths, bits = iter(made), iter(_two_bits(made))
-            with np.errstate(over="ignore"):
-                keys = [(int(s.sum(dtype=np.uint64).view(np.int64)), int((s * s).sum(dtype=np.uint64).view(np.int64))) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array([next(paths).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "key_a", "key_b", "paths", "bits"],
-            )
+            at = 0
+            for sets in shingle_sets(batch.column(1)):
+                yield sketched(batch.column(0).slice(at, len(sets)), sets)
+                at += len(sets)
+        batch = sets = None
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary, bits array<long>")
 
 
-def _placed(classes: DataFrame) -> DataFrame:
-    """(rep, paths, bits) -> rep, bits, tree, path, region_n, crowd_n where a region has other members."""
+def placed(classes: DataFrame) -> DataFrame:
+    """(rep, paths, bits) -> rep, bits, tree, path, region, region_n where the region has other members."""
     width = 4 * DEPTH
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    paths = classes.select("rep", "paths", "bits", tree.alias("tree")).select(
-        "rep", "bits", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path")
-    )
-    region, crowd = _region(), [F.col("tree"), F.substring("path", 1, 12)]
-    size = F.count(F.lit(1))
-    paths = paths.withColumn("region_n", size.over(Window.partitionBy(*region))).where("region_n > 1")
-    return written(paths.withColumn("crowd_n", size.over(Window.partitionBy(*crowd))), "paths")
-
-
-def _region() -> list[Column]:
-    return [F.col("tree"), F.substring("path", 1, 8)]
-
-
-def candidates(paths: DataFrame) -> DataFrame:
-    """Placed classes -> (a, b, agree): pairs of classes, a < b, with the number of min-hashes that agree."""
-    order = Window.partitionBy(*_region()).orderBy("path", "rep")
-    other = lambda k: F.lag(F.struct("rep", "path", "bits"), k).over(order)
-    near = paths.withColumn("others", F.array(*[other(k) for k in range(1, NEAR + 1)]))
-    near = near.withColumn("o", F.explode("others")).where("o is not null")
-    deep = F.substring("path", 1, 12) == F.substring("o.path", 1, 12)
-    near = near.where(deep | (F.col("region_n") <= SMALL_REGION)).select("rep", F.col("o.rep").alias("other"), _agree("bits", "o.bits").alias("agree"))
-
-    # Hubs of crowded regions: a partial aggregate for each region, then a join on its full prefix.
-    crowded = paths.where(F.col("crowd_n") > NEAR)
-    weight = crowded.groupBy("rep").agg(F.sum("crowd_n").alias("weight"))
-    member = crowded.join(weight, "rep").select("rep", "bits", "tree", F.substring("path", 1, 12).alias("place"), "weight")
-    member = written(member, "members")
+    rows = classes.select("rep", "paths", "bits", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("rep", "bits", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path"))
+    rows = rows.withColumn("region", F.xxhash64("tree", F.substring("path", 1, 8)))
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("region_n")).where("region_n > 1")
+    return written(rows.join(small_or_shuffled(written(shared, "regions")), "region"), "paths")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """(rep, other, agree) -> (a, b): of each rep the candidate that agrees most."""
+    best = found.where(F.col("agree") >= LEAST_AGREE).groupBy("rep").agg(F.max(F.struct("agree", (-F.col("other")).alias("minus"))).alias("top"))
+    chosen = best.select("rep", (-F.col("top.minus")).alias("other")).where("rep <> other")
+    return written(chosen.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
+
+
+def hub_pairs(paths: DataFrame) -> DataFrame:
+    """(a, b): each class of a crowded region with the best of its regions' hubs."""
+    crowded = paths.where(F.col("region_n") > NEAR)
+    weight = crowded.groupBy("rep").agg(F.sum("region_n").alias("weight"))
+    member = written(crowded.join(weight, "rep").select("region", "rep", "bits", "weight"), "members")
     top = F.struct(F.col("weight"), (-F.col("rep")).alias("minus"), F.col("bits"))
-    best = written(member.groupBy("tree", "place").agg(F.max(top).alias("h")), "hubs")
-    second = member.join(best, ["tree", "place"]).where(F.col("rep") != -F.col("h.minus"))
-    hubs = written(best.unionByName(second.groupBy("tree", "place").agg(F.max(top).alias("h"))), "hubs")
-    stars = member.join(hubs, ["tree", "place"]).where(F.col("rep") != -F.col("h.minus"))
-    stars = stars.select("rep", (-F.col("h.minus")).alias("other"), _agree("bits", "h.bits").alias("agree"))
-    pairs = near.unionByName(stars).where(F.col("agree") >= LEAST_AGREE)
-    return pairs.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.max("agree").alias("agree"))
-
-
-def _blocked(members: DataFrame, sizes: DataFrame, block: int, *columns: str) -> DataFrame:
-    """Members of regions, each once for each pair of blocks (x, y) it belongs to; i is its block. Sorted by key, x, y."""
-    of = members.join(sizes.select("key", F.ceil(F.col("size") / block).cast("int").alias("n")), "key")
+    hubs = written(member.groupBy("region").agg(F.max(top).alias("h")), "hubs")
+    stars = member.join(hubs, "region").where(F.col("rep") != -F.col("h.minus"))
+    return _best(stars.select("rep", (-F.col("h.minus")).alias("other"), _agree("bits", "h.bits").alias("agree")))
+
+
+def neighbour_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each class with the best of its neighbours, in the sorted orders of all trees, that share its region and not its label."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            if not whole:
+                continue
+            region, rep, label = (whole[0].column(k).to_numpy() for k in range(3))
+            n = len(rep)
+            bits = whole[0].column(3).flatten().to_numpy().view(np.uint64).reshape(n, -1)
+            best, other = np.full(n, -1), np.zeros(n, np.int64)
+            for k in range(1, min(NEAR, n - 1) + 1):
+                i = np.flatnonzero((region[k:] == region[:-k]) & (label[k:] != label[:-k]))
+                z = bits[i] ^ bits[i + k]
+                agree = TREES * DEPTH - np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+                for mine, its in ((i, i + k), (i + k, i)):
+                    more = agree > best[mine]
+                    best[mine[more]], other[mine[more]] = agree[more], rep[its[more]]
+            at = np.flatnonzero(best >= LEAST_AGREE)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(other[at]), pa.array(best[at])], ["rep", "other", "agree"])
+            held = [whole[0].slice(max(0, n - NEAR))]
+
+    order = ["tree", "path", "rep"]
+    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    return _best(dealt.select("region", "rep", "label", "bits").mapInArrow(near, "rep long, other long, agree long"))
+
+
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Paths in regions that have members of several components, each with its component as label."""
+    named = rows.drop("label").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.withColumn("label", F.coalesce("component", "rep")).drop("component")
+    mixed = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return written(named.drop("region_n").join(small_or_shuffled(written(mixed.select("region", F.col("size").alias("region_n")), "mixed")), "region"), "open")
+
+
+def _blocked(members: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Members of regions, each once for each pair of blocks (x, y) it belongs to; i is its block. Sorted by region, x, y."""
+    of = members.withColumn("n", F.ceil(F.col("region_n") / block).cast("int"))
     of = of.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    of = of.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rep", "label", "bits", *columns)
-    return of.repartition(shuffle_partitions(members.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    of = of.select("region", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rep", "label", "bits", *columns)
+    return of.repartition(shuffle_partitions(members.sparkSession), "region", "x", "y").sortWithinPartitions("region", "x", "y")
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -184,8 +214,8 @@ def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
             yield a, k, pairs
 
 
-def completed(paths: DataFrame, labels: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(a, b): edges that join all linked classes which share a region and are in different components of ``labels``."""
+def completed(rows: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a, b): edges that join all linked classes of the open ``rows`` which share a region and have different labels."""
     part, whole = threshold
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +223,7 @@ def completed(paths: DataFrame, labels: DataFrame, docs: DataFrame, threshold: t
             some = np.zeros(batch.num_rows, bool)
             for _, k, pairs in _open(batch):
                 some[k : k + len(pairs)] |= pairs.any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], ["key", "rep"]).filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], ["region", "rep"]).filter(pa.array(some))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_run(batches, 3):
@@ -219,18 +249,14 @@ def completed(paths: DataFrame, labels: DataFrame, docs: DataFrame, threshold: t
                 x, y = _forest(ids, np.concatenate(found[0]), np.concatenate(found[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    named = labels.select(F.col("node").alias("rep"), "component")
-    crowded = paths.where(F.col("region_n") > NEAR + 1).select(F.xxhash64(*_region()).alias("key"), "rep", "bits")
-    crowded = crowded.join(named, "rep", "left").select("key", "rep", "bits", F.coalesce("component", "rep").alias("label"))
-    crowded = written(crowded, "crowded")
-    size = F.count(F.lit(1)).alias("size")
-    mixed = crowded.groupBy("key").agg(size, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    screened = _blocked(crowded, written(mixed, "mixed"), BITS_BLOCK).mapInArrow(screen, "key long, rep long")
-    left = written(screened.distinct(), "open")
+    rows = rows.select("region", "region_n", "rep", "label", "bits")
+    screened = _blocked(rows, BITS_BLOCK).mapInArrow(screen, "region long, rep long")
+    left = written(screened.distinct(), "screened")
+    sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("region_n"))
     sets = _sets(docs, left.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("id", "rep")
-    members = written(crowded.join(left, ["key", "rep"]).distinct().join(sets, "rep"), "open-sets")
-    pairs = _blocked(members, members.groupBy("key").agg(size), SETS_BLOCK, "set")
-    return written(pairs.mapInArrow(compare, "a long, b long").distinct(), "completed")
+    members = rows.drop("region_n").join(left, ["region", "rep"], "left_semi").distinct().join(small_or_shuffled(written(sizes, "sizes")), "region")
+    members = written(members.join(sets, "rep"), "open-sets")
+    return written(_blocked(members, SETS_BLOCK, "set").mapInArrow(compare, "a long, b long").distinct(), "completed")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,8 +264,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
+            at = 0
+            for found in shingle_sets(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "set"])
+                at += len(found)
+        batch = found = None
+        release_memory()
 
     texts = docs.join(small_or_shuffled(written(ids, "needed")), "doc_id", "left_semi").select("doc_id", "text")
     return written(texts.mapInArrow(sets, "id long, set binary"), "sets")
@@ -268,19 +298,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int] = TH
     return joined.mapInArrow(check, "a long, b long")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The pairs that are the best of either end."""
-    ends = F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o"))))
-    best = pairs.select(ends.alias("e"), "agree").groupBy("e.n").agg(F.max(F.struct("agree", (-F.col("e.o")).alias("minus"))).alias("top"))
-    chosen = best.select("n", (-F.col("top.minus")).alias("o"))
-    return chosen.select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept for every row.
 
     Null, empty and blank texts have an empty set and link with nothing. Rows with one doc_id are one node: their
-    links are joined. A row with a null doc_id takes no part: component_id is null and kept false. An empty
+    links are joined. A row with a null doc_id takes no part: component_id is null and kept false. Texts of any length
+    are compared whole. Of candidates that agree alike the smallest id is compared first, which changes no result. An empty
     table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -289,26 +312,22 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     keys = ["key_a", "key_b", "n_shingles"]
     classes = written(real.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    paths = _placed(reps.select(F.col("doc_id").alias("rep"), "paths", "bits").dropDuplicates(["rep", "paths"]))
-    pairs = written(candidates(paths).where("a <> b"), "pairs")
-
+    paths = placed(reps.select(F.col("doc_id").alias("rep"), "paths", "bits").dropDuplicates(["rep", "paths"]))
     unique = docs.where("doc_id is not null")
-    links, left = [], pairs
-    for turn in range(1, ROUNDS + 1):
-        chosen = written(_best(left) if turn < ROUNDS else left.select("a", "b"), "chosen")
-        links.append(written(confirmed(chosen, unique, threshold), "links"))
-        if turn < ROUNDS:
-            labels = components(reduce(DataFrame.unionByName, links))
-            end = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))  # noqa: B023, E731
-            # What is in one component by now needs no comparison; the rest of what was compared is no link.
-            left = left.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
-            left = written(left.select("a", "b", "agree").join(chosen, ["a", "b"], "left_anti"), "left")
     # Ids of several rows join the classes of all of them.
     repeated = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
     same = real.join(repeated, "doc_id", "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links.append(written(same, "same"))
-    links.append(completed(paths, components(reduce(DataFrame.unionByName, links)), unique, threshold))
-    joined = components(reduce(DataFrame.unionByName, links))
+    labels = components(same.unionByName(confirmed(hub_pairs(paths), unique, threshold)))
+    rows = _open_rows(paths, labels)
+    joins = lambda edges: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
+    for _ in range(ROUNDS):
+        links = written(confirmed(neighbour_pairs(rows), unique, threshold), "links")
+        if links.isEmpty():
+            break
+        labels = joins(links)
+        rows = _open_rows(rows, labels)
+    links = completed(rows, unique, threshold)
+    joined = labels if links.isEmpty() else joins(links)
     named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = written(named.select(*keys, F.coalesce("component", "rep").alias("component")), "named")
     out = made.drop("paths", "bits").join(named, keys, "left")
