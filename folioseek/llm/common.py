@@ -39,6 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(names: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``names`` in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,12 +1,15 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One array of slots holds the filters of all languages: bit ``l`` of a slot is language ``l``'s. The conjunction of
-an n-gram's slots is the mask of all languages that contain it; the bits of these masks are counted by
-language over a text, corrected for each filter's rate of false positives, and the largest count decides.
+One array of slots holds the filters of all languages. A language has a filter for each of ``LEVELS`` rates: the first holds all
+n-grams of its sample, each further one those that are so much more frequent. The conjunction of an n-gram's slots is the mask
+of all languages and levels that contain it, and a popcount of a language's bits says how common the n-gram is in it, in
+steps of its logarithm. These counts are added up by language over a text, corrected for the filters' rates of false positives,
+and the largest decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,17 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix64, utf8, written
+from .common import blocks, columns, mix64, release_memory, unused, utf8, written
 
 NGRAMS = (3, 4)
 PROBES = 3
 #: Labelled documents of each language that are learned from (those with the least hash of doc_id), at most.
 SAMPLE = 1000
-#: n-grams in a language's filter, at most: the most frequent of its sample.
-CAPACITY = 20_000
-#: An n-gram belongs to a language where it is at least this share as frequent as where it is most frequent.
-SHARE = 0.5
-LEAST_COUNT = 3
+#: Least rates of the n-grams in a language's filters, of which each n-gram is in all up to its own.
+RATES = (0.0, *(2.0**-e for e in (20, 18, 16, 14, 12, 10, 8)))
+LEVELS = len(RATES)
 BLOCK = 1 << 19
 UNKNOWN = "und"
 
@@ -60,31 +61,44 @@ def ngram_keys(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
 
 @dataclass
 class Filters:
+    """Bit ``LEVELS * i + k`` of a slot (in word ``i // per_word``) belongs to level ``k`` of language ``i``."""
+
     languages: list[str]
-    slots: np.ndarray  # (words of 64 languages or fewer, slots)
-    false_rate: np.ndarray
+    slots: np.ndarray  # (words, slots)
+    false_rate: np.ndarray  # of each language: bits that an n-gram without it has by chance, of LEVELS
+
+    @staticmethod
+    def shape(n_languages: int, most: int) -> tuple[int, int, int]:
+        """(languages in a word, words, slots): at most a fourth of a filter's bits is set, whatever the number of n-grams."""
+        per_word = next(n for n in (1, 2, 4, 8) if n_languages <= n or n == 8)
+        return per_word, max(1, -(-n_languages // per_word)), 1 << max(10, int(np.ceil(np.log2(PROBES * max(most, 1) / 0.25))))
 
     @staticmethod
-    def build(languages: list[str], grams: list[tuple[int, np.ndarray]]) -> Filters:
-        """``grams``: (language's number, keys) pairs."""
-        most = max((len(k) for _, k in grams), default=1)
-        m = 1 << max(10, int(np.ceil(np.log2(PROBES * most / 0.25))))  # a fourth of the bits is set, at most
-        width = next(t for t in (8, 16, 32, 64) if len(languages) <= t or t == 64)
-        slots = np.zeros((max(1, -(-len(languages) // width)), m), f"u{width // 8}")
-        for number, keys in grams:
-            for at in Filters.places(keys, m):
-                slots[number // width, at] |= slots.dtype.type(1 << number % width)
-        fill = [float((slots[i // width] >> slots.dtype.type(i % width) & slots.dtype.type(1)).mean()) for i in range(len(languages))]
-        return Filters(languages, slots, np.array(fill) ** PROBES)
+    def bits(number: np.ndarray, level: np.ndarray, per_word: int) -> np.ndarray:
+        """The bits of the first ``level`` filters of a language in its word."""
+        return (np.uint64(1) << level.astype(np.uint64)) - np.uint64(1) << np.uint64(LEVELS) * (number % per_word).astype(np.uint64)
 
     @staticmethod
     def places(keys: np.ndarray, m: int) -> list[np.ndarray]:
         h = mix64(keys)
         return [(h >> np.uint64(21 * i)) & np.uint64(m - 1) for i in range(PROBES)]
 
+    @staticmethod
+    def build(languages: list[str], most: int, word: np.ndarray, slot: np.ndarray, mask: np.ndarray) -> Filters:
+        """From rows (word, slot, mask); masks of one slot are united."""
+        per_word, words, m = Filters.shape(len(languages), most)
+        slots = np.zeros((words, m), f"u{per_word * LEVELS // 8}")
+        np.bitwise_or.at(slots, (word, slot), mask.astype(slots.dtype))
+        rate = np.zeros(len(languages))
+        for i in range(len(languages)):
+            own = slots[i // per_word] >> slots.dtype.type(LEVELS * (i % per_word))
+            rate[i] = sum(float((own >> slots.dtype.type(k) & slots.dtype.type(1)).mean()) ** PROBES for k in range(LEVELS))
+        return Filters(languages, slots, rate)
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams of each text, those by language, corrected for false positives)."""
-        n, width = len(offsets) - 1, self.slots.itemsize * 8
+        """(n-grams of each text, their levels summed by language and corrected for false positives)."""
+        n, kind = len(offsets) - 1, self.slots.dtype.type
+        per_word, low = self.slots.itemsize * 8 // LEVELS, kind((1 << LEVELS) - 1)
         total, hits = np.zeros(n), np.zeros((n, len(self.languages)))
         for keys, real, first in ngram_keys(data, offsets):
             total += np.add.reduceat(real, first, dtype=np.int64)
@@ -94,16 +108,17 @@ class Filters:
                 for at in places[1:]:
                     mask &= row[at]
                 mask[~real] = 0
-                for i in range(min(width, len(self.languages) - w * width)):
-                    hits[:, w * width + i] += np.add.reduceat(mask >> mask.dtype.type(i) & mask.dtype.type(1), first, dtype=np.int64)
+                for i in range(min(per_word, len(self.languages) - w * per_word)):
+                    own = np.bitwise_count(mask >> kind(LEVELS * i) & low)
+                    hits[:, w * per_word + i] += np.add.reduceat(own, first, dtype=np.int64)
         rate = self.false_rate
-        return total, np.maximum(0, (hits - total[:, None] * rate) / (1 - rate))
+        return total, np.maximum(0, (hits - total[:, None] * rate) * LEVELS / (LEVELS - rate))
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language's number, its share of the corrected counts; 0 where no n-gram is known)."""
-        _, found = self.counts(data, offsets)
-        best, all_ = found.argmax(axis=1), found.sum(axis=1)
-        return best, np.where(all_ > 0, found[np.arange(len(best)), best] / np.maximum(all_, 1e-300), 0.0)
+        """(language's number, the mean level of the text's n-grams in it, as a share of LEVELS)."""
+        total, found = self.counts(data, offsets)
+        best = found.argmax(axis=1)
+        return best, np.minimum(1.0, found[np.arange(len(best)), best] / np.maximum(LEVELS * total, 1))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -111,13 +126,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
-    """Filters from doc_id, text, lang (none null in use). At most ``sample`` documents a language are read."""
-    usable = labelled.where("lang is not null and text is not null")
-    slim = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+def _sampled(usable: DataFrame, sample: int) -> DataFrame:
+    """lang, text of at most ``sample`` documents a language, those with the least hash of their id.
+
+    Rows that can't be among them by far are left out before the rows of a language are ranked, so that no task ranks many more
+    than ``sample`` of one. Of the rows of one id one text is read.
+    """
+    slim = usable.where("doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    sizes = F.broadcast(slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))  # a row for each language
+    share = F.col("_h") / F.lit(2.0**64) + 0.5
+    slim = slim.join(sizes, "lang").where(share * F.col("_n") <= sample + 6 * math.sqrt(sample)).select("doc_id", "lang", "_h").distinct()
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = slim.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "lang")
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")  # ``sample`` rows a language
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # ``sample`` rows a language
+    return texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
+    """Filters from doc_id, text, lang (none null in use): all n-grams of at most ``sample`` documents a language."""
+    texts = _sampled(labelled.where("lang is not null and text is not null"), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,51 +156,66 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
                     keys = [k[real] for k, real, _ in ngram_keys(data[part[0] : part[-1]], part - part[0])]
                     keys, n = np.unique(np.concatenate(keys), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        batch = data = part = keys = n = None
+        release_memory()
 
     grams = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = written(grams, "grams")
-    sums = grams.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
-    rated = grams.join(F.broadcast(sums), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    own = rated.where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= SHARE * F.col("top")))
-    rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = own.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= CAPACITY).select("lang", "gram")
-    got = kept.toArrow()  # CAPACITY rows a language at most
-    languages = sorted(r["lang"] for r in sums.select("lang").collect())
-    lang, gram = np.array(got["lang"].to_pylist(), object), np.array(got["gram"].to_pylist(), np.int64).view(np.uint64)
-    return Filters.build(languages, [(i, gram[lang == x]) for i, x in enumerate(languages)])
-
-
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The columns of ``docs`` (with text) + lang_pred, score; ``und`` and 0 if a text is null or without a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # CAPACITY n-grams a language bound its size
+    sums = grams.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).orderBy("lang").collect()  # a row for each language
+    languages, most = [r["lang"] for r in sums], max((r["kinds"] for r in sums), default=0)
+    per_word, _, m = Filters.shape(len(languages), most)
+    named = labelled.sparkSession.createDataFrame([(r["lang"], i, r["total"]) for i, r in enumerate(sums)], "lang string, number int, total long")
+    rate = F.col("n") / F.col("total")
+    level = sum(((rate >= r).cast("int") for r in RATES), F.lit(0))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, keys, levels = (c.to_numpy() for c in batch.columns)
+            mask, word = Filters.bits(number, levels, per_word).view(np.int64), (number // per_word).astype(np.int32)
+            for at in Filters.places(keys.view(np.uint64), m):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(at.astype(np.int64)), pa.array(mask)], ["word", "slot", "mask"])
+
+    made = grams.join(F.broadcast(named), "lang").select("number", "gram", level.alias("level")).mapInArrow(slots, "word int, slot long, mask long")
+    got = made.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # as many rows as slots, which follow the sample
+    return Filters.build(languages, most, got["word"].to_numpy(), got["slot"].to_numpy(), got["mask"].to_numpy().view(np.uint64))
+
+
+def predict(docs: DataFrame, filters: Filters, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns of ``docs`` (with text) + ``lang``, ``score``; ``und`` and 0 if a text is null or without a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # the n-grams of a bounded sample bound its size
     names = docs.columns
+    text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         languages = np.array(model.languages or [UNKNOWN], object)
         for batch in batches:
-            data, offsets = utf8(batch.column(names.index("text")))
-            best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            for i, j in blocks(offsets, BLOCK) if model.languages else []:
-                part = offsets[i : j + 1]
-                best[i:j], score[i:j] = model.decide(data[part[0] : part[-1]], part - part[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(languages[best]), pa.string()), pa.array(score)], [*batch.schema.names, "_lang", "_score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    found = docs.mapInArrow(run, schema)
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col("_lang") != UNKNOWN)
+            data, offsets = utf8(batch.column(text))
+            for i, j in blocks(offsets, BLOCK):
+                part, rows = offsets[i : j + 1], batch.slice(i, j - i)
+                best, share = np.zeros(j - i, int), np.zeros(j - i)
+                if model.languages:
+                    best, share = model.decide(data[part[0] : part[-1]], part - part[0])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(list(languages[best]), pa.string()), pa.array(share)], [*batch.schema.names, lang, score])
+        batch = data = rows = part = None
+        release_memory()
+
+    # Python gets plain names, as it takes a dot in one for a field.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = T.StructType([*plain.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    found = plain.mapInArrow(run, schema)
+    known = F.coalesce(F.col(f"c{text}").rlike(r"\p{L}"), F.lit(False)) & (F.col(lang) != UNKNOWN)
     return found.select(
-        *[F.col(c) for c in names],
-        F.when(known, F.col("_lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, F.col("_score")).otherwise(0.0).alias("score"),
+        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)],
+        F.when(known, F.col(lang)).otherwise(UNKNOWN).alias(lang), F.when(known, F.col(score)).otherwise(0.0).alias(score),
     )
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, lang -> doc_id, held_out, lang_pred, score for every row.
 
-    Learns from labelled rows that are not held out and predicts from the text alone. Rows with a null doc_id are not
-    held out. Without labelled rows every prediction is ``und``. Ties go to the first language by name. Repeated rows are
+    Learns from labelled rows that are not held out and predicts from the text alone, all of it however long. Rows with a null doc_id are not
+    held out, and not learned from. Without labelled rows every prediction is ``und``. Ties go to the first language by name. Repeated rows are
     predicted alike. An empty table gives no rows; other columns are not read.
     """
     held = is_held_out(F.col("doc_id"))
@@ -184,8 +226,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.2, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with ``least_score`` or more.
 
-    Texts that are null or without letters go. Learns from the labelled rows of ``docs`` that are not held out.
+    The score is the mean level of a text's n-grams in its language, about 0.7 for prose and below 0.1 for random letters, whatever the number of
+    languages. Texts that are null or without letters go. Learns from the labelled rows of ``docs`` that are not held out. Columns of any name are
+    passed on.
     """
     filters = learn(docs.select("doc_id", "text", "lang").where(~is_held_out(F.col("doc_id"))), sample)
-    found = predict(docs, filters)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(docs.columns)
+    lang, score = unused(docs.columns, "_lang_pred"), unused(docs.columns, "_lang_score")
+    found = predict(docs, filters, lang, score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*columns(docs.columns))

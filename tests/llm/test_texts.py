@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
-from folioseek.llm import chat, html_text, langid, mixing, packing, ppm, warc
+from folioseek.llm import chat, html_text, langid, mixing, neardup, packing, ppm, warc
 
 # ---- scoring ----
 
@@ -97,15 +98,55 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "abc", None)], df.schema)).collect()} == {"und"}
 
 
-def test_masks_hold_every_language():
-    keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(977)
-    for n in (3, 9, 70):
-        f = langid.Filters.build([f"l{i:02}" for i in range(n)], [(i, keys[i::n]) for i in range(n)])
-        places = f.places(keys, f.slots.shape[1])
-        mask = f.slots[:, places[0]] & f.slots[:, places[1]] & f.slots[:, places[2]]
-        width = f.slots.itemsize * 8
-        assert all((mask[i // width, i::n] >> mask.dtype.type(i % width) & mask.dtype.type(1)).all() for i in range(n))
-        assert (f.false_rate < 0.05).all()
+def ngrams_by_hand(text):
+    out = []
+    coded = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.encode())
+    for k in langid.NGRAMS:
+        padded = f" {coded} "
+        out += [g for g in (padded[i : i + k] for i in range(len(padded) - k + 1)) if "  " not in g]
+    return out
+
+
+def test_masks_hold_every_language(spark):
+    # Filters learned by Spark against dictionaries: every language and level of every n-gram is in its mask, few others are.
+    rng = random.Random(4)
+    for n in (3, 9):
+        data = []
+        for i in range(12 * n):
+            x = i % n
+            data.append((i, " ".join("".join(rng.choice("abcdefgh"[x % 4 :] + "xyzé") for _ in range(5)) for _ in range(40)), f"l{x:02}"))
+        model = langid.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+        by_hand = {f"l{x:02}": Counter(g for _, t, lang in data if lang == f"l{x:02}" for g in ngrams_by_hand(t)) for x in range(n)}
+        assert model.languages == sorted(by_hand)
+        rates = {lang: {g: c / sum(counts.values()) for g, c in counts.items()} for lang, counts in by_hand.items()}
+        for _, text, _ in data[:: 2 * n + 1]:
+            grams = ngrams_by_hand(text)
+            total, found = model.counts(*langid.utf8(pa.array([text])))
+            assert total[0] == len(grams)
+            want = np.array([sum(sum(rates[x].get(g, -1) >= r for r in langid.RATES) for g in grams) for x in model.languages])
+            assert np.abs(found[0] - want).max() <= 0.02 * langid.LEVELS * len(grams)
+        assert (model.false_rate < 0.05 * langid.LEVELS).all()
+
+
+def test_sample_of_hot_language(spark):
+    data = [(i, f"text {i}", "aa") for i in range(3000)] + [(5000, "same", "aa")] * 500 + [(9000 + i, f"other {i}", "bb") for i in range(50)]
+    got = langid._sampled(spark.createDataFrame(data, "doc_id long, text string, lang string"), 100).collect()
+    assert Counter(r["lang"] for r in got) == {"aa": 100, "bb": 50} and len({r["text"] for r in got}) == 150
+
+
+def test_stage_columns_that_clash(spark):
+    schema = "doc_id long, text string, lang string, source string, score double, lang_pred string, `_lang_score` int, `_lang` int, size int, _size int, _times int, `a.b` int, component_id long, kept boolean"
+    data = [(i, f"ka to mi shi {'ru ' * (i % 4)} w{i} x{i} y{i}", "aa", "s" if i % 3 else None, 0.5, "zz", i, 9, 9, 9, 9, i, 1, False) for i in range(90)]
+    docs = spark.createDataFrame(data, schema)
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and rows(kept) == rows(docs)
+    mixed = mixing.mix_documents(docs)
+    taken = mixing.mix(docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("size"))).collect()
+    want = {r["doc_id"]: round(r["taken"] / r["size"]) for r in taken}
+    assert mixed.columns == docs.columns and set(rows(mixed)) <= set(rows(docs))
+    assert Counter(r["doc_id"] for r in mixed.collect()) == {i: n for i, n in want.items() if n}
+    assert neardup.keep_one(docs).columns == docs.columns and rows(neardup.keep_one(docs)) == rows(docs)
+    assert packing.pack(docs).select("doc_id").distinct().count() == 90
 
 
 # ---- HTML ----
