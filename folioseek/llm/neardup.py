@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
+from .common import blocks, columns, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
 from .embeddings import _by_run, _forest, _runs
 from .graph import components
 
@@ -344,8 +344,8 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
     found = written(near_duplicates(docs, threshold).select("doc_id", "kept"), "kept")
     gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
     again = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*columns(docs.columns))
     if again.isEmpty():
         return left
-    once = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = left.join(again, "doc_id", "left_semi").select(*columns(docs.columns)).dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(*columns(docs.columns)).unionByName(once)
