@@ -88,6 +88,19 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+#: Rows that Python gets at a time, and rows of a columnar read: long texts would fill tens of megabytes with the default numbers.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024")}
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, after its session's batches have been made small where they still have Spark's own numbers of rows."""
+    conf = df.sparkSession.conf
+    for key, (default, rows) in BATCH_ROWS.items():
+        if conf.get(key, default) == default:
+            conf.set(key, rows)
+    return df
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker lives on for the tasks after this one."""
     if _pow["n"] > POWERS:

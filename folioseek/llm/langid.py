@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, columns, mix64, release_memory, unused, utf8, written
+from .common import blocks, columns, in_small_batches, mix64, release_memory, unused, utf8, written
 
 NGRAMS = (3, 4)
 PROBES = 3
@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
         batch = data = part = keys = n = None
         release_memory()
 
-    grams = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = in_small_batches(texts).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = written(grams, "grams")
     sums = grams.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).orderBy("lang").collect()  # a row for each language
     languages, most = [r["lang"] for r in sums], max((r["kinds"] for r in sums), default=0)
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, filters: Filters, lang: str = "lang_pred", score: s
     # Python gets plain names, as it takes a dot in one for a field.
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([*plain.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    found = plain.mapInArrow(run, schema)
+    found = in_small_batches(plain).mapInArrow(run, schema)
     known = F.coalesce(F.col(f"c{text}").rlike(r"\p{L}"), F.lit(False)) & (F.col(lang) != UNKNOWN)
     return found.select(
         *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)],

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
+from .common import blocks, columns, in_small_batches, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
 from .embeddings import _by_run, _forest, _runs
 from .graph import components
 
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         batch = sets = None
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary, bits array<long>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, paths binary, bits array<long>")
 
 
 def placed(classes: DataFrame) -> DataFrame:

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, release_memory, written
 
 MAX_TOKENS = 4096
 END_ID = 2
 SALTS = 256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 
 _known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
@@ -118,8 +118,10 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
                 )
+        batch = part = ids = None
+        release_memory()
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    made = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
     return written(made.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, release_memory, shuffle_partitions, utf8, word_hashes, words, written
+from .common import _LOWER, blocks, in_small_batches, release_memory, shuffle_partitions, utf8, word_hashes, words, written
 
 ORDER = 5
 LOW = 2  # contexts up to this order are known everywhere
@@ -120,7 +120,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         batch = data = text = keys = first = part = learn = a = b = n = k = made = row = None
         release_memory()
 
-    cols = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
+    cols = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text", "held_out")
     return written(cols.coalesce(max(1, math.ceil(size / CHUNK_BYTES))).mapInArrow(run, schema), "chunks")
 
 
