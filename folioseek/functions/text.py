@@ -23,6 +23,8 @@ FOLLOWUP_STOPS = (
 )
 # Phrases of the headings of arrivals and departures.
 ARRIVALS, DEPARTURES = "Вважати такими, що прибули", "Вважати такими, що вибули"
+# Fixed value: the letters that may follow a word of a highlighted sequence.
+ENDING_LETTERS = "а-яіїєґ"
 #: Bytes between two words that still count as near.
 NEAR_BYTES = 15
 
@@ -41,20 +43,35 @@ def _stem_part(word: Column) -> Column:
     return F.when(word.rlike(rf"^{NAME_STEM}(?s:.*)(?:{'|'.join(NAME_ENDS)})\z"), F.lit(NAME_STEM)).otherwise(word)
 
 
+def _stem_guarded(word: Column) -> Column:
+    """``_stem_part`` for words that end in a letter that some ending has, or begin like the name; others are their own stem."""
+    may = F.contains(F.lit(TRAILING), F.right(word, F.lit(1))) | F.startswith(word, F.lit(NAME_STEM))
+    return F.when(may, _stem_part(word)).otherwise(word)
+
+
 def stem(word: Column) -> Column:
     """The stem of a word; the parts of a hyphenated one are stemmed each."""
-    return F.array_join(F.transform(F.split(F.lower(word), "-"), _stem_part), "-")
+    return F.array_join(F.transform(F.split(F.lower(word), "-"), _stem_guarded), "-")
 
 
 def stem_token(token: Column) -> Column:
     """``stem`` for tokens, which have no hyphen."""
-    return _stem_part(F.lower(token))
+    return _stem_guarded(F.lower(token))
+
+
+def raw_tokens(text: Column) -> Column:
+    """Letter and digit runs of a text, with their apostrophes."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def term(raw: Column) -> Column:
+    """The index term of a raw token: its stem without apostrophes."""
+    return stem_token(F.replace(raw, F.lit("'"), F.lit("")))
 
 
 def tokens(text: Column) -> Column:
     """The index terms of a text in order: stems of its letter and digit runs, apostrophes removed."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: stem_token(F.replace(t, F.lit("'"), F.lit("")))), lambda t: F.octet_length(t) >= LEAST_BYTES)
+    return F.filter(F.transform(raw_tokens(text), term), lambda t: F.octet_length(t) >= LEAST_BYTES)
 
 
 def normalised(text: Column) -> Column:
@@ -154,15 +171,35 @@ def near_in_order(text: Column, words: Column, most: int = NEAR_BYTES) -> Column
     return F.aggregate(words, start, step, lambda acc: acc["ok"])
 
 
-def highlight_pattern(words: list[str]) -> str:
-    """The pattern of a query's words: two or three of them in a row, else any of them, each with its ending."""
-    parts = [re.escape(w) + "[а-яіїєґ]*" for w in words if len(w) >= 2]
-    if not parts:
-        return r"(?!)"
-    one = r"\s+".join(parts) if 2 <= len(parts) <= 3 else None
-    return "(?iu)" + "|".join(f"(?:{p})" for p in ([one] if one else []) + sorted(parts, key=len, reverse=True))
+def document_category(text: Column) -> Column:
+    """``heading_category`` as the view of a whole document has it: either phrase counts in any heading, numbered or not."""
+    return (
+        F.when(F.contains(text, F.lit(ARRIVALS)), "arrivals")
+        .when(F.contains(text, F.lit(DEPARTURES)), "departures")
+        .when(F.startswith(text, F.lit(SECTION)), "section")
+    )
+
+
+def is_personal(file_name: Column) -> Column:
+    return F.startswith(F.lower(file_name), F.lit(PERSONAL_FILE))
+
+
+def is_action(text: Column) -> Column:
+    """Whether a trimmed line begins like an action."""
+    return F.lower(text).rlike(f"^(?:{'|'.join(ACTIONS)})")
 
 
 def highlight(text: Column, words: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
-    """``text`` with the words marked, in one pass."""
-    return F.regexp_replace(text, f"({highlight_pattern(words)})".replace("((?iu)", "(?iu)(", 1), f"{before}$1{after}")
+    """``text`` with a query's words marked, in any case.
+
+    Two or three words of two letters or more are a sequence: where it occurs, each word with its ending, it alone is marked.
+    Elsewhere every occurrence of any word is, without its ending.
+    """
+    if not words:
+        return text
+    mark = lambda pattern: F.regexp_replace(text, f"(?iu)({pattern})", f"{before}$1{after}")
+    each = mark("|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))))
+    if not (2 <= len(words) <= 3 and min(map(len, words)) >= 2):
+        return each
+    sequence = r"\s+".join(f"{re.escape(w)}[{ENDING_LETTERS}]*" for w in words)
+    return F.when(text.rlike(f"(?iu){sequence}"), mark(sequence)).otherwise(each)

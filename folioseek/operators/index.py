@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,7 +12,8 @@ KEYS = ["term", "doc_index"]
 
 def occurrences(paragraphs: DataFrame) -> DataFrame:
     """One row for each term of each paragraph, with repeats."""
-    return paragraphs.select("doc_index", "position", F.explode(T.tokens(F.col("text"))).alias("term"))
+    raw = paragraphs.select("doc_index", "position", F.explode(T.raw_tokens(F.col("text"))).alias("raw"))
+    return raw.select("doc_index", "position", T.term(F.col("raw")).alias("term")).where(F.octet_length("term") >= T.LEAST_BYTES)
 
 
 def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
@@ -22,7 +23,8 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     elif terms is not None:
         rows = rows.where(F.col("term").isin(sorted(set(terms))))
-    return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    rows = rows.distinct()  # ahead of the shuffle too: most repeats of a term stand in one paragraph
+    return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def remove(postings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -93,16 +95,21 @@ def uncovered(paragraphs: DataFrame, substring: str, postings: DataFrame, term:
     return has.join(postings.where(F.col("term") == term).select("doc_index"), "doc_index", "left_anti")
 
 
-def dense_numbers(docs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """doc_index -> new_index after a deletion: less the number of deleted ones below.
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: terms, postings and positions that a step (update, removal, merge, clean-up) added to an index and took from it."""
 
-    Deleted numbers are few against all; each document counts those below it through a range of the deleted
-    list, from a rank over that list and an as-of window.
-    """
-    rank = F.row_number().over(Window.orderBy("doc_index"))
-    gone = deleted.select("doc_index").distinct().withColumn("below", rank.cast("long"))
-    marks = gone.select("doc_index", "below", F.lit(True).alias("gone")).unionByName(docs.select("doc_index", F.lit(None).cast("long").alias("below"), F.lit(False).alias("gone")))
-    last = F.max("below").over(Window.orderBy("doc_index", "gone").rowsBetween(Window.unboundedPreceding, 0))
-    left = docs.join(gone.select("doc_index"), "doc_index", "left_anti").select("doc_index")
-    shifted = marks.withColumn("below", F.coalesce(last, F.lit(0))).where("not gone").select("doc_index", (F.col("doc_index") - F.col("below")).alias("new_index"))
-    return left.join(shifted, "doc_index")
+    def side(rows: DataFrame, sign: int) -> DataFrame:
+        return rows.select(*KEYS, F.lit(sign).alias("n"), (F.size("positions") * sign).cast("long").alias("p"), F.lit(sign).alias("s"))
+
+    both = side(before, -1).unionByName(side(after, 1))
+    keys = both.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("s").alias("top"), F.min("s").alias("low"))
+    up, down = (lambda c: F.sum(F.greatest(F.col(c), F.lit(0)))), (lambda c: F.sum(F.greatest(-F.col(c), F.lit(0))))
+    terms = keys.groupBy("term").agg(
+        F.max("top").alias("top"), F.min("low").alias("low"), up("n").alias("n_up"), down("n").alias("n_down"), up("p").alias("p_up"), down("p").alias("p_down")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return terms.agg(
+        F.count_if(F.col("low") == 1).alias("terms_added"), F.count_if(F.col("top") == -1).alias("terms_removed"),
+        total("n_up").alias("postings_added"), total("n_down").alias("postings_removed"),
+        total("p_up").alias("positions_added"), total("p_down").alias("positions_removed"),
+    )

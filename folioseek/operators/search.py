@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import stored
 
 #: Documents of the quick mode: those with the highest indexes.
 QUICK_DOCUMENTS = 170
 #: Files that a name search returns.
 MOST_FILES = 200
+#: Characters of a query, and of a file name's part, below which a caller's search does not begin.
+LEAST_QUERY, LEAST_NAME = 3, 2
+#: Paragraphs to verify that are broadcast at most; more are joined by Spark as it likes.
+BROADCAST_HITS = 200_000
 MODES = ("quick", "remaining", "full")
 
 
@@ -69,14 +74,32 @@ def search(
         return grouped(rows.where(F.lit(False)))
     if postings is not None:
         hits = candidates(postings, words, mode, total_documents).select("doc_index", F.explode("positions").alias("position"))
-        rows = rows.join(hits, ["doc_index", "position"], "left_semi")
+        hits = stored(hits, "hits")
+        rows = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, ["doc_index", "position"], "left_semi")
     return ranked(grouped(rows.where(verified(words, view_mode == "fragments"))))
 
 
+def request(
+    query: str, paragraphs: DataFrame, total_documents: int, postings: DataFrame, full_search: bool = False, view_mode: str | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """A search as a caller of the service makes it: (results, {count, total_count}).
+
+    A blank query is an error. ``full_search`` asks for the remaining documents, else for the quick ones; ``count`` is the number of documents
+    returned, ``total_count`` that of the corpus.
+    """
+    if not query.strip():
+        raise ValueError("the query is blank")
+    results = search(query, paragraphs, total_documents, postings, "remaining" if full_search else "quick", view_mode)
+    return results, {"count": results.count(), "total_count": total_documents}
+
+
 def two_phase(query: str, paragraphs: DataFrame, total_documents: int, postings: DataFrame, **options) -> DataFrame:
-    """The quick documents' matches, then the remaining ones', each ranked; ``phase`` tells which."""
-    quick, rest = (search(query, paragraphs, total_documents, postings, m, **options).withColumn("phase", F.lit(i)) for i, m in enumerate(("quick", "remaining")))
-    return ranked(quick.unionByName(rest), F.col("phase").asc())
+    """The quick documents' matches, then the remaining ones', each ranked; ``phase`` tells which.
+
+    One search gives both. A query of fewer than ``LEAST_QUERY`` characters finds nothing.
+    """
+    found = search(query if len(query.strip()) >= LEAST_QUERY else "", paragraphs, total_documents, postings, "full", **options)
+    return ranked(found.withColumn("phase", F.when(in_mode("quick", total_documents), 0).otherwise(1)), F.col("phase").asc())
 
 
 def search_many(queries: DataFrame, paragraphs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -96,9 +119,14 @@ def search_many(queries: DataFrame, paragraphs: DataFrame, postings: DataFrame)
     return hits.join(norm, ["doc_index", "position"]).where(all_in & near).select("query_id", "doc_index", "position")
 
 
-def file_search(files: DataFrame, query: str, limit: int | None = MOST_FILES) -> DataFrame:
-    """Files (name, path) whose name contains the query in any case, by path; ``limit`` None returns all."""
+def file_search(files: DataFrame, query: str, limit: int | None = MOST_FILES, least: int = 1) -> DataFrame:
+    """Files (name, path) whose name contains the query in any case, by path; ``limit`` None returns all.
+
+    A blank query is an error; one of fewer than ``least`` characters finds nothing.
+    """
     if not query.strip():
+        raise ValueError("the query is blank")
+    if len(query.strip()) < least:
         return files.where(F.lit(False))
     found = files.where(F.contains(F.lower("name"), F.lit(query.lower()))).orderBy("path", "name")
     return found if limit is None else found.limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import text as T
 from ..operators import search
 from . import queries as Q
-from .samples import FILES, LINES, RAW, STEMS, values
+from .samples import ENDED, FILES, LINES, MARKS, RAW, SEQUENCE, STEMS, values
 
 _TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
@@ -114,8 +114,74 @@ b AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN size + 1 ELSE size END AS size,
       FROM f WHERE doc_id % 5 <> 0)"""
 
 _STOPS = "^(" + "|".join(T.FOLLOWUP_STOPS) + ")"
-_AFTER = f"""WITH l AS (SELECT * FROM {values(LINES)}),
+def _list(items: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+#: The paragraphs as lines of orders.
+_MARKED = f"""{P},
+q AS (SELECT doc_index, CASE WHEN doc_index % 4 = 0 THEN 'Особовий ' ELSE '' END || file_name AS file_name, position,
+             ({_list(MARKS)})[(position * 5 + doc_index) % {len(MARKS)} + 1] || text AS text FROM p)"""
+_ALL_LINES = f"""{_MARKED},
+l AS (SELECT doc_index, position, text, contains(text, '{Q.ONE_QUERY}') AS is_match FROM q
+      UNION ALL SELECT doc_index + {Q.SAMPLE_FROM}, position, text, is_match FROM {values(LINES)})"""
+_AFTER = f"""{_ALL_LINES},
 r AS (SELECT l.doc_index, m.position AS match_position, m.text AS match_text, l.position, l.text FROM l JOIN l m ON l.doc_index = m.doc_index AND m.is_match AND l.position > m.position)"""
+_LEVEL = r"""CASE WHEN regexp_matches(text, '^[0-9]+(\.[0-9]+){0,3}\.\s+') THEN len(string_split(regexp_extract(text, '^([0-9]+(\.[0-9]+){0,3})\.\s+', 1), '.')) ELSE 0 END::BIGINT"""
+_IN_DOCUMENT = f"CASE WHEN contains(text, '{T.ARRIVALS}') THEN 'arrivals' WHEN contains(text, '{T.DEPARTURES}') THEN 'departures' WHEN starts_with(text, '§') THEN 'section' END"
+
+
+def _around(is_match: str) -> str:
+    """a: the lines with what they are; m: the matches; pr: the parents of each, one a row."""
+    return f"""{_MARKED},
+a AS (SELECT *, starts_with(lower(file_name), '{T.PERSONAL_FILE}') AS personal, {_LEVEL} AS lv, regexp_extract(text, '^([0-9]+)\\.', 1) AS num,
+             starts_with(lower(text), '{T.BASIS}') AS basis, regexp_matches(lower(text), '{_STOPS}') AS rk, starts_with(text, '§') AS sg, regexp_matches(text, '^[0-9]+\\.\\s') AS plain FROM q),
+m AS (SELECT * FROM a WHERE {is_match}),
+pr AS (SELECT m.doc_index, m.position, m.personal, h.position AS hp, h.text AS ht FROM m JOIN a h ON h.doc_index = m.doc_index AND h.position < m.position
+         AND CASE WHEN m.personal THEN h.sg ELSE h.lv > 0 AND h.lv < CASE WHEN m.lv > 0 THEN m.lv ELSE 99 END END
+       WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.doc_index = m.doc_index AND b.position > h.position AND b.position < m.position
+                           AND CASE WHEN m.personal THEN b.sg ELSE b.lv BETWEEN 1 AND h.lv END))"""
+
+
+def _between(upto: str, what: str) -> str:
+    return f"EXISTS (SELECT 1 FROM a b WHERE b.doc_index = m.doc_index AND b.position > m.position AND b.position {upto} x.position AND ({what}))"
+
+
+_LEFT = "b.num <> '' AND NOT b.basis AND m.num <> '' AND b.num <> m.num"
+_EXTRACTS = f"""{_around(f"contains(text, '{Q.ONE_QUERY}')")},
+par AS (SELECT doc_index, position, string_agg(ht, chr(10) ORDER BY hp) AS parents, max(hp) AS lastp FROM pr GROUP BY ALL),
+act AS (SELECT par.doc_index, par.position, x.text AS action FROM par JOIN a x ON x.doc_index = par.doc_index AND x.position = lastp + 1 AND x.position < par.position
+        WHERE regexp_matches(lower(x.text), '^({"|".join(T.ACTIONS)})')),
+fu AS (SELECT m.doc_index, m.position, string_agg(x.text, chr(10) ORDER BY x.position) AS followups FROM m JOIN a x ON x.doc_index = m.doc_index AND x.position > m.position
+       WHERE CASE WHEN m.personal THEN NOT {_between('<=', 'b.sg OR b.rk OR b.plain')}
+                  ELSE x.num = '' AND NOT x.basis AND NOT {_between('<=', f'b.basis OR b.rk OR {_LEFT}')} END GROUP BY ALL),
+bs AS (SELECT m.doc_index, m.position, arg_min(x.text, x.position) AS basis FROM m JOIN a x ON x.doc_index = m.doc_index AND x.position > m.position AND x.basis
+       WHERE NOT m.personal AND NOT {_between('<', _LEFT)} GROUP BY ALL)
+SELECT m.doc_index, m.position, m.personal AS is_personal, coalesce(parents, '') AS parents, action, coalesce(followups, '') AS followups, bs.basis
+FROM m LEFT JOIN par USING (doc_index, position) LEFT JOIN act USING (doc_index, position) LEFT JOIN fu USING (doc_index, position) LEFT JOIN bs USING (doc_index, position)"""
+
+
+def _view() -> str:
+    words = T.query_terms(Q.NEAR_QUERY)
+    norm = "replace(lower(text), '''', '')"
+    tests = " AND ".join([*(f"contains({norm}, '{w}')" for w in words), _near(words, norm)])
+    return f"""{_around(tests)},
+up AS (SELECT doc_index, hp AS position FROM pr WHERE personal
+       UNION SELECT q.doc_index, min(q.position) FROM q JOIN (SELECT DISTINCT doc_index, ht FROM pr WHERE NOT personal) t ON t.doc_index = q.doc_index AND t.ht = q.text GROUP BY q.doc_index, q.text)
+SELECT doc_index, position, (doc_index, text) IN (SELECT (doc_index, text) FROM m) AS is_match, (doc_index, position) IN (SELECT (doc_index, position) FROM up) AS is_parent,
+       CASE WHEN (doc_index, position) IN (SELECT (doc_index, position) FROM up) THEN {_IN_DOCUMENT} END AS category FROM q"""
+
+
+def _sequence() -> str:
+    one = r"\s+".join(f"{w}[{T.ENDING_LETTERS}]*" for w in SEQUENCE)
+    return rf"""{_MARKED} SELECT doc_index, position, CASE WHEN regexp_matches(text, '{one}', 'i') THEN regexp_replace(text, '({one})', '<mark>\1</mark>', 'gi')
+  ELSE regexp_replace(text, '({"|".join(SEQUENCE)})', '<mark>\1</mark>', 'gi') END AS marked FROM q"""
+
+
+_HALVED = """e AS (SELECT doc_index, file_name, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM d
+     WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+_BAD = f"""{PD}, n AS (SELECT count(*) - 20 AS total FROM d), u AS (SELECT term, doc_index, position FROM pd),
+r AS (SELECT term, doc_index, list(position) FILTER (position % 2 = 0) AS ps FROM u GROUP BY ALL UNION ALL SELECT term, doc_index, list(position) FROM u WHERE doc_index % 3 = 0 GROUP BY ALL)"""
 _LISTED = "CASE WHEN num_id IS NOT NULL AND regexp_matches(ilvl, '^[0-9]+$') THEN ilvl::BIGINT + 1 END"
 
 _COUNTERS = """
@@ -145,7 +211,9 @@ ORACLE: dict[str, str] = {
     "doc_stats": rf"{P} SELECT doc_index, count(*) AS paragraph_count, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS word_count FROM p GROUP BY doc_index",
     "corpus_totals": rf"{P} SELECT count(DISTINCT doc_index) AS total_documents, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS total_words, count(*) AS total_paragraphs FROM p",
     "tokenize_terms": f"{TOK} SELECT doc_index, term, count(*) AS n FROM tok GROUP BY doc_index, term",
-    "stem_cases": f"""WITH s AS (SELECT word, unnest(string_split(lower(word), '-')) AS x, generate_subscripts(string_split(word, '-'), 1) AS i FROM {values(STEMS)}),
+    "stem_cases": f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}'']+')) AS x FROM documents),
+w AS (SELECT x || ({_list(ENDED)})[length(x) % {len(ENDED)} + 1] AS word FROM t UNION SELECT word FROM {values(STEMS)}),
+s AS (SELECT word, unnest(string_split(lower(word), '-')) AS x, generate_subscripts(string_split(word, '-'), 1) AS i FROM w),
 r AS (SELECT word, i, {_strip_endings('x')} AS y FROM s)
 SELECT word, string_agg({_name_rule('y')}, '-' ORDER BY i) AS stem FROM r GROUP BY word""",
     "postings_build": f"{PD} {_POSTINGS}",
@@ -164,7 +232,7 @@ SELECT term, doc_index, {_FLAT} FROM u GROUP BY term, doc_index""",
     "postings_cleanup": f"""{PD}, u AS (SELECT DISTINCT CASE WHEN length(term) > 3 THEN term ELSE substr(term, 1, 1) END AS term, doc_index, position FROM pd WHERE position % 2 = 0)
 SELECT term, doc_index, {_FLAT} FROM u WHERE strlen(term) >= 2 GROUP BY term, doc_index""",
     "index_validation": f"""{PD}, u AS (SELECT term, doc_index, count(*) FILTER (position % 2 = 0) AS n FROM pd GROUP BY ALL)
-SELECT count(*) FILTER (strlen(term) < 2) AS short_terms, count(*) FILTER (n = 0) AS empty_positions, count(*) FILTER (doc_index >= 150) AS beyond_documents,
+SELECT count(*) FILTER (strlen(term) < 2) AS short_terms, count(*) FILTER (n = 0) AS empty_positions, count(*) FILTER (doc_index >= (SELECT count(*) - 50 FROM d)) AS beyond_documents,
        count(*) > 0 AS valid FROM u""",
     "documents_validation": """SELECT count(*) AS documents, count(*) FILTER (doc_id % 50 = 0) AS empty_paths, count(*) FILTER (doc_id % 9 = 0) AS count_mismatches FROM documents""",
     "index_coverage": f"""{PD} SELECT DISTINCT doc_index FROM p WHERE contains(upper(text), 'THAT') AND doc_index NOT IN (SELECT doc_index FROM pd WHERE term = 'that')""",
@@ -199,7 +267,9 @@ SELECT query_id, doc_index, count(*) AS n_matches FROM k WHERE strpos(rest, b) >
     "file_name_search": f"SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '1') ORDER BY path, name LIMIT {search.MOST_FILES}",
     "file_name_search_all": "SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '1')",
     "file_listing": "SELECT string_split(url, '/')[-1] AS name, count(*) AS n, min(url) AS first_path FROM pages GROUP BY 1",
-    "file_policy_filter": f"""WITH f AS (SELECT path, lower(string_split(path, '/')[-1]) AS n, regexp_extract(lower(string_split(path, '/')[-1]), '[^.]\\.([^.]*)$', 1) AS e FROM {values(FILES)})
+    "file_policy_filter": f"""WITH f AS (SELECT path, lower(string_split(path, '/')[-1]) AS n, regexp_extract(lower(string_split(path, '/')[-1]), '[^.]\\.([^.]*)$', 1) AS e FROM (
+  SELECT ({_list(("2024/", "2023/.git/", "notes/", "2022/ЕРДР/", "2021/~$"))})[page_id % 7 % 5 + 1] || coalesce(string_split(url, '/')[-1], '')
+         || ({_list((".docx", ".xlsx", "", ".tmp", ".DOCX"))})[page_id % 5 + 1] AS path FROM pages UNION SELECT path FROM {values(FILES)}))
 SELECT path, NOT starts_with(n, '~$') AND n NOT IN ('.ds_store', 'thumbs.db') AND e = 'docx' AS is_document,
        contains('/' || lower(path), '/.git') OR contains('/' || lower(path), '/ердр (не виключені)') AS excluded,
        regexp_matches(path, '^[0-9]{{4}}[^/]*/.') AND e = 'docx' AND NOT starts_with(n, '~$') AS docx_only,
@@ -212,7 +282,12 @@ FROM a FULL JOIN b ON a.path = b.path""",
 FROM a FULL JOIN b ON a.path = b.path""",
     "auto_numbering": f"""{P}, v AS (SELECT doc_index AS doc, position AS seq, nullif((position * 7 + doc_index) % 6, 0) AS level FROM p), {_counters('v')}
 SELECT doc, seq, level, number FROM n""",
-    "docx_structure": f"""WITH raw AS (SELECT doc, seq, {_TRIM.format('text')} AS text, style, ilvl, num_id FROM {values(RAW)}),
+    "docx_structure": f"""WITH {DOCS}, dl AS (SELECT doc_index, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
+dk AS (SELECT *, (i * 5 + doc_index) % 9 AS k FROM dl),
+given AS (SELECT 'd' || doc_index AS doc, i AS seq, CASE k WHEN 1 THEN '' WHEN 2 THEN '3.1. ' || line WHEN 3 THEN '« 2. ' || line ELSE line END AS text,
+                 CASE k WHEN 4 THEN 'OiiSList2' WHEN 5 THEN 'Oii_S_List_3' END AS style, CASE WHEN k >= 6 THEN (k - 6)::VARCHAR END AS ilvl, CASE WHEN k >= 6 THEN '1' END AS num_id FROM dk
+          UNION ALL SELECT * FROM {values(RAW)}),
+raw AS (SELECT doc, seq, {_TRIM.format('text')} AS text, style, ilvl, num_id FROM given),
 k AS (SELECT * FROM raw WHERE text <> '' AND NOT starts_with(text, 'ПОГОДЖЕНО') AND NOT starts_with(text, 'Документ підготовлено')),
 b AS (SELECT *, lead(seq) OVER w AS nxt, row_number() OVER w AS rn FROM k WINDOW w AS (PARTITION BY doc ORDER BY seq)),
 e AS (SELECT b.*, CASE WHEN nxt IS NULL THEN 0 ELSE (SELECT count(*) FROM raw x WHERE x.doc = b.doc AND x.text = '' AND x.seq < nxt AND (x.seq > b.seq OR rn = 1)) END AS breaks FROM b),
@@ -237,11 +312,25 @@ g AS (SELECT *, NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_index = a.doc_index AN
     OR NOT b.basis AND b.position <= a.position AND b.n <> '' AND b.m <> '' AND b.n <> b.m)) AS open,
   EXISTS (SELECT 1 FROM f b WHERE b.doc_index = a.doc_index AND b.match_position = a.match_position AND b.position <= a.position AND b.shut) AS shut_by_now FROM f a)
 SELECT doc_index, match_position, position, text, CASE WHEN basis THEN 'basis' ELSE 'followup' END AS kind FROM g WHERE open AND (basis OR n = '' AND NOT shut_by_now)""",
-    "heading_classes": f"""SELECT doc_index, position, CASE WHEN regexp_matches(text, '^[0-9]+(\\.[0-9]+){{0,3}}\\.\\s+')
-  THEN len(string_split(regexp_extract(text, '^([0-9]+(\\.[0-9]+){{0,3}})\\.\\s+', 1), '.')) ELSE 0 END::BIGINT AS level,
+    "heading_classes": f"""{_ALL_LINES} SELECT doc_index, position, {_LEVEL} AS level,
   CASE WHEN regexp_matches(text, '^[0-9]+\\.\\s+') AND contains(text, '{T.ARRIVALS}') THEN 'arrivals' WHEN regexp_matches(text, '^[0-9]+\\.\\s+') AND contains(text, '{T.DEPARTURES}')
-  THEN 'departures' WHEN starts_with(text, '§') THEN 'section' END AS category FROM {values(LINES)}""",
-    "highlight_marks": rf"{P} SELECT doc_index, position, regexp_replace(text, '(that[а-яіїєґ]*)', '<mark>\1</mark>', 'gi') AS marked FROM p WHERE contains(replace(lower(text), '''', ''), 'that')",
+  THEN 'departures' WHEN starts_with(text, '§') THEN 'section' END AS category, {_IN_DOCUMENT} AS in_document FROM l""",
+    "match_extracts": _EXTRACTS,
+    "document_view": _view(),
+    "highlight_marks": rf"{P} SELECT doc_index, position, regexp_replace(text, '(that)', '<mark>\1</mark>', 'gi') AS marked FROM p WHERE contains(replace(lower(text), '''', ''), 'that')",
+    "highlight_sequences": _sequence(),
+    "search_stored": f"{PD} {_results(Q.WIDE_QUERY, True)}",
+    "search_request": f"""{PD}, f AS ({_results(Q.NEAR_QUERY, True, 'remaining')}) SELECT *, (SELECT count(*) FROM f) AS count, (SELECT count(*) FROM d) AS total_count FROM f""",
+    "postings_changes": f"""WITH {DOCS}, {_lines('d', 'p')}, {_tokens('p', 'tok')}, {_HALVED}, {_lines('e', 'p2')}, {_tokens('p2', 'tok2')},
+o AS (SELECT term, doc_index, count(DISTINCT position) AS n FROM tok GROUP BY ALL), w AS (SELECT term, doc_index, count(DISTINCT position) AS n FROM tok2 GROUP BY ALL),
+c AS (SELECT coalesce(o.term, w.term) AS term, coalesce(o.n, 0) AS a, coalesce(w.n, 0) AS b FROM o FULL JOIN w ON o.term = w.term AND o.doc_index = w.doc_index),
+t AS (SELECT term, max(a) AS a, max(b) AS b FROM c GROUP BY term)
+SELECT (SELECT count(*) FROM t WHERE a = 0) AS terms_added, (SELECT count(*) FROM t WHERE b = 0) AS terms_removed, count(*) FILTER (a = 0) AS postings_added,
+       count(*) FILTER (b = 0) AS postings_removed, sum(greatest(b - a, 0))::BIGINT AS positions_added, sum(greatest(a - b, 0))::BIGINT AS positions_removed FROM c""",
+    "index_repair": f"""{_BAD} SELECT count(*) FILTER (doc_index >= total) AS unknown_documents, count(*) FILTER (strlen(term) < 2 OR coalesce(len(ps), 0) = 0) AS cleaned,
+  (SELECT coalesce(sum(k), 0)::BIGINT FROM (SELECT count(*) - 1 AS k FROM r, n WHERE doc_index < total AND strlen(term) >= 2 AND len(ps) > 0 GROUP BY term, doc_index)) AS duplicates FROM r, n""",
+    "index_repaired": f"""{_BAD}, x AS (SELECT DISTINCT term, doc_index, unnest(ps) AS position FROM r, n WHERE doc_index < total AND strlen(term) >= 2)
+SELECT term, doc_index, {_FLAT} FROM x GROUP BY term, doc_index""",
     "full_document_flags": f"""{P}, m AS ({_matches(Q.NEAR_QUERY, False)})
 SELECT doc_index, position, (doc_index, text) IN (SELECT (doc_index, text) FROM m) AS is_match FROM p""",
     "conversation_search": f"""WITH p AS (SELECT conv_id AS doc_index, turn::BIGINT AS position, text FROM conversations), {_tokens('p', 'tok')},

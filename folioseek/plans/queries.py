@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, context, index, numbering, search
+from ..operators import changes, context, index, maintenance, numbering, search
 from ..sources import corpus, files
-from .ranking import dense_index
-from .samples import FILES, LINES, RAW, STEMS, sample
+from ..sources.store import Store
+from ..tables import dense_index, shared_folder, stored
+from .samples import ENDED, FILES, LINES, MARKS, RAW, SEQUENCE, STEMS, sample
 
 #: Words of the search queries: two near each other in order, four, and one.
+#: Where the doc_indexes of the inline lines begin.
+SAMPLE_FROM = 1_000_000_000_000
 NEAR_QUERY, WIDE_QUERY, ONE_QUERY = "that with", "that with this from", "that"
 
 
@@ -49,7 +53,11 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample(spark, STEMS).select("word", T.stem(F.col("word")).alias("stem"))
+    """Stems of all words of the documents, with Ukrainian endings put to them, and of some Ukrainian words."""
+    raw = _docs(spark, sf_dir).select(F.explode(T.raw_tokens(F.col("text"))).alias("raw")).distinct()
+    ending = F.element_at(F.array(*map(F.lit, ENDED)), (F.length("raw") % len(ENDED) + 1).cast("int"))
+    words = raw.select(F.concat("raw", ending).alias("word")).unionByName(sample(spark, STEMS))
+    return words.distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +110,7 @@ def postings_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     rows = index.build(corpus.paragraphs(docs)).withColumn("positions", F.filter("positions", lambda p: p % 2 == 0))
-    return index.postings_report(rows, 150)
+    return index.postings_report(rows, docs.count() - 50)
 
 
 def documents_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +163,7 @@ def search_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 places of the widest query; ``search_places`` has all."""
+    """A top-100 report of the widest query; ``search_places`` has the place of every result."""
     results = _search(ONE_QUERY, True)(spark, sf_dir)
     order = Window.orderBy(F.col("file_date").desc_nulls_last(), F.desc("n_matches"), "doc_index")
     top = search.ranked(results).limit(100)
@@ -199,8 +207,12 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.col("path")
-    return sample(spark, FILES).select(
+    """The file rules over the paths of all pages, as if they were files of year folders, and some odd ones."""
+    path, name = F.col("path"), files.name_of(F.col("url"))
+    kinds = F.element_at(F.array(*map(F.lit, (".docx", ".xlsx", "", ".tmp", ".DOCX"))), (F.col("page_id") % 5 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ("2024/", "2023/.git/", "notes/", "2022/ЕРДР/", "2021/~$"))), (F.col("page_id") % 7 % 5 + 1).cast("int"))
+    pages = corpus.load(spark, sf_dir, "pages").select(F.concat(folder, F.coalesce(name, F.lit("")), kinds).alias("path"))
+    return pages.unionByName(sample(spark, FILES)).distinct().select(
         "path", files.is_document(path).alias("is_document"), files.in_excluded_folder(path).alias("excluded"),
         files.is_mirrored(path).alias("docx_only"), files.is_mirrored(path, "all_but_archives").alias("all_but_archives"),
     )
@@ -234,7 +246,15 @@ def auto_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = numbering.kept_with_breaks(sample(spark, RAW))
+    """Numbering of all paragraphs of the documents, with list marks and blank lines by position, and of some odd ones."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_index"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    k = (F.col("i") * 5 + F.col("doc_index")) % 9
+    text = F.when(k == 1, "").when(k == 2, F.concat(F.lit("3.1. "), F.col("line"))).when(k == 3, F.concat(F.lit("« 2. "), F.col("line"))).otherwise(F.col("line"))
+    rows = docs.select(
+        F.concat(F.lit("d"), F.col("doc_index").cast("string")).alias("doc"), F.col("i").cast("long").alias("seq"), text.alias("text"),
+        F.when(k == 4, "OiiSList2").when(k == 5, "Oii_S_List_3").alias("style"), F.when(k >= 6, (k - 6).cast("string")).alias("ilvl"), F.when(k >= 6, "1").alias("num_id"),
+    )
+    kept = numbering.kept_with_breaks(rows.unionByName(sample(spark, RAW)))
     return numbering.sections(numbering.numbered(numbering.classified(kept))).select("doc", "position", "text", "line_breaks_after")
 
 
@@ -261,22 +281,52 @@ def section_parent_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.with_section(lines.withColumn("text", text)).select("doc_index", "position", "section")
 
 
-def _lines(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    lines = sample(spark, LINES)
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs as lines of orders: by position some have signs, numbers, actions, bases or ranks before them; some files are personal."""
+    lines = _paragraphs(spark, sf_dir)
+    k = (F.col("position") * 5 + F.col("doc_index")) % len(MARKS)
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (k + 1).cast("int"))
+    name = F.concat(F.when(F.col("doc_index") % 4 == 0, F.lit("Особовий ")).otherwise(F.lit("")), F.col("file_name"))
+    return lines.select("doc_index", name.alias("file_name"), "position", F.concat(mark, F.col("text")).alias("text"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(matches, lines): the marked paragraphs, and after them the sample's under doc_indexes of their own."""
+    odd = sample(spark, LINES).withColumn("doc_index", F.col("doc_index") + SAMPLE_FROM)
+    lines = _marked(spark, sf_dir).select("doc_index", "position", "text", F.contains("text", F.lit(ONE_QUERY)).alias("is_match")).unionByName(odd)
     return lines.where("is_match"), lines
 
 
 def followup_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.followup_personal(*_lines(spark))
+    return context.followup_personal(*_lines(spark, sf_dir))
 
 
 def followup_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.followup_ordinary(*_lines(spark))
+    return context.followup_ordinary(*_lines(spark, sf_dir))
 
 
 def heading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return sample(spark, LINES).select("doc_index", "position", T.heading_level(text).cast("long").alias("level"), T.heading_category(text).alias("category"))
+    return _lines(spark, sf_dir)[1].select(
+        "doc_index", "position", T.heading_level(text).cast("long").alias("level"), T.heading_category(text).alias("category"), T.document_category(text).alias("in_document")
+    )
+
+
+def _joined(parts: str) -> Column:
+    return F.array_join(F.col(parts), "\n").alias(parts)
+
+
+def match_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown around every paragraph with the query's word."""
+    lines = _marked(spark, sf_dir)
+    found = context.extracts(lines, lines.where(F.contains("text", F.lit(ONE_QUERY))))
+    return found.select("doc_index", "position", "is_personal", _joined("parents"), "action", _joined("followups"), "basis")
+
+
+def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _marked(spark, sf_dir)
+    found = context.document_flags(lines, lines.where(search.verified(T.query_terms(NEAR_QUERY))))
+    return found.select("doc_index", "position", "is_match", "is_parent", "category")
 
 
 def highlight_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,12 +334,73 @@ def highlight_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_index", "position", T.highlight(F.col("text"), [ONE_QUERY]).alias("marked"))
 
 
+def highlight_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Ukrainian words: in a row in some lines, apart in others."""
+    lines = _marked(spark, sf_dir)
+    return lines.select("doc_index", "position", T.highlight(F.col("text"), list(SEQUENCE)).alias("marked"))
+
+
 def full_document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _paragraphs(spark, sf_dir)
     matches = lines.where(search.verified(T.query_terms(NEAR_QUERY)))
     return context.document_flags(lines, matches).select("doc_index", "position", "is_match")
 
 
+#: Stores that this process has made, by application and tables.
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The documents as a stored index; made at the first call and used again."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stores:
+        store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        docs = _docs(spark, sf_dir)
+        lines = corpus.paragraphs(docs)
+        store.commit(documents=docs.select("doc_index", "file_name"), paragraphs=lines, postings=index.build(lines))
+        _stores[key] = store
+    return _stores[key]
+
+
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide query over a stored snapshot."""
+    store = _stored(spark, sf_dir)
+    return _results(search.search(WIDE_QUERY, store.read("paragraphs"), 0, store.read("postings")))
+
+
+def search_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's full search over a stored snapshot, with its counts."""
+    store = _stored(spark, sf_dir)
+    results, counts = search.request(NEAR_QUERY, store.read("paragraphs"), store.read("documents").count(), store.read("postings"), full_search=True)
+    return _results(results).withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
+
+
+def postings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changing the labelled documents (their upper half is left) and removing the toxic ones adds and takes away."""
+    docs = _docs(spark, sf_dir)
+    labels = corpus.load(spark, sf_dir, "labels")
+    changed = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    new = changed.withColumn("text", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    old = stored(index.build(corpus.paragraphs(docs)), "before")
+    gone = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    return index.difference(old, index.remove(index.update(old, changed, corpus.paragraphs(new)), gone))
+
+
+def index_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with an index in which postings occur twice, are empty, or belong to documents that are gone."""
+    docs = _docs(spark, sf_dir)
+    rows = index.build(corpus.paragraphs(docs))
+    bad = rows.withColumn("positions", F.filter("positions", lambda p: p % 2 == 0)).unionByName(rows.where("doc_index % 3 = 0"))
+    return maintenance.repaired(bad, docs.count() - 20)[1]
+
+
+def index_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    rows = index.build(corpus.paragraphs(docs))
+    bad = rows.withColumn("positions", F.filter("positions", lambda p: p % 2 == 0)).unionByName(rows.where("doc_index % 3 = 0"))
+    return _flat(maintenance.repaired(bad, docs.count() - 20)[0])
+
+
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index over another corpus: conversations, a turn being a paragraph."""
     turns = corpus.load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_index"), F.col("turn").cast("long").alias("position"), "text")
@@ -313,6 +424,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         last_documents, search_two_phase, search_ranked, search_places, batch_search, filename_dates, file_name_search, file_name_search_all, file_listing,
         file_policy_filter, sync_plan, change_detection, auto_numbering, docx_structure, line_breaks, parent_headings, section_parent_asof,
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
+        match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
     )
 }
 QUERIES |= {f"candidates_{m}": _candidates(m) for m in search.MODES}

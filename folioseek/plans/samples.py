@@ -12,6 +12,14 @@ STEMS = (
         "Київська вулиця київську Straße WORLD читай хлопець ого"
     ).split()],
 )
+#: Endings that are put to the words of the documents, so that the stemmer has something to do.
+ENDED = ("", "ого", "ець", "ому", "ця", "і", "ий", "цю")
+#: What is put before paragraphs, by position, to make lines of orders of them.
+MARKS = (
+    "§ 1 ", "1. Вважати такими, що прибули ", "", "видати ", "1.2. ", "Іваненку Петру ", "", "сержант ", "Підстава: ", "2. Вважати такими, що вибули ",
+    "", "Петру від Іваненка ", "2.1. ",
+)
+SEQUENCE = ("іваненк", "петр")
 FILES = (
     "path string",
     [(p,) for p in (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.ranking import dense_index
+from ..tables import dense_index
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes, index
-from ..plans.ranking import dense_index, stored
+from ..tables import dense_index, stored
 from ..sources import docx, files
 from ..sources.store import Store
 
@@ -19,8 +19,13 @@ def refresh(spark: SparkSession, folder: str, store: Store) -> dict[str, int]:
     """Bring the stored index in line with the documents of ``folder``; returns processed, skipped, deleted, errors.
 
     New files are appended in the order of their paths, changed ones keep their index, deleted ones close the gap. A file that
-    can't be read keeps its old rows. Nothing is written if nothing changed.
+    can't be read keeps its old rows. Nothing is written if nothing changed. Two refreshes wait for one another.
     """
+    with store.locked():
+        return _refresh(spark, folder, store)
+
+
+def _refresh(spark: SparkSession, folder: str, store: Store) -> dict[str, int]:
     found = files.listing(spark, folder).where(files.is_document(F.col("path")) & ~files.in_excluded_folder(F.col("path")))
     first = store.current() is None
     known = spark.createDataFrame([], DOCUMENTS) if first else store.read("documents")
@@ -62,7 +67,7 @@ def refresh(spark: SparkSession, folder: str, store: Store) -> dict[str, int]:
         postings = index.renumbered(store.read("postings"), moved).unionByName(postings)
         kept = store.read("paragraphs").join(moved, "doc_index").withColumn("doc_index", F.col("new_index")).select(new_lines.columns)
         new_lines = kept.unionByName(new_lines)
-    store.commit(documents=docs, paragraphs=new_lines, postings=index.merged(postings))
+    store.commit(documents=docs, paragraphs=new_lines, postings=postings)
     return stats
 
 

@@ -1,4 +1,4 @@
-"""Dense ranks without a one-task window."""
+"""Tables in the folder that all executors share, and dense ranks without a one-task window."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own where spark.checkpoint.dir is unset."""
+    """The folder that all executors see, from spark.checkpoint.dir; where that is unset, a temporary one in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

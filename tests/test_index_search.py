@@ -1,9 +1,14 @@
+import threading
+
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from folioseek.functions import text as T
-from folioseek.operators import context, index, search
+from folioseek.operators import context, index, maintenance, search
 from folioseek.plans.queries import QUERIES
+from folioseek.sources.store import Store
+from folioseek.tables import dense_index
 
 PARAGRAPHS = "doc_index long, file_name string, position long, text string"
 
@@ -28,7 +33,7 @@ def test_incremental_is_rebuild(spark):
 def test_delete_and_renumber(spark):
     lines = _lines(spark, DOCS)
     docs = lines.select("doc_index").distinct()
-    numbers = index.dense_numbers(docs, spark.createDataFrame([(1,)], "doc_index long"))
+    numbers = dense_index(docs.where("doc_index <> 1"), [F.col("doc_index")], "new_index")
     assert rows(numbers) == [(0, 0), (2, 1), (3, 2)]
     moved = index.renumbered(index.build(lines), numbers)
     want = index.build(_lines(spark, {0: DOCS[0], 1: DOCS[2], 2: DOCS[3]}))
@@ -86,7 +91,9 @@ def test_file_search(spark):
     files = spark.createDataFrame([(f"Nakaz {i}.docx", f"p/{i:03}") for i in range(300)], "name string, path string")
     assert search.file_search(files, "NAKAZ").count() == 200
     assert search.file_search(files, "nakaz", None).count() == 300
-    assert search.file_search(files, " ").count() == 0
+    assert search.file_search(files, "n", least=search.LEAST_NAME).count() == 0
+    with pytest.raises(ValueError):
+        search.file_search(files, " ")
 
 
 def test_parents_by_a_literal_walk(spark):
@@ -111,3 +118,50 @@ def test_action_and_flags(spark):
     flags = context.document_flags(lines.drop("parent"), lines.where("position = 3").drop("parent"))
     assert [r["is_match"] for r in flags.orderBy("position").collect()] == [False, False, True, True]
     assert [r[0] for r in lines.select(T.heading_category(F.col("text"))).collect()][0] == "section"
+
+
+def test_request(spark):
+    lines = _lines(spark, {i: ["солдат тут"] for i in range(200)})
+    postings = index.build(lines)
+    quick, counts = search.request("солдат", lines, 200, postings)
+    assert counts == {"count": 170, "total_count": 200} and quick.agg({"doc_index": "min"}).first()[0] == 30
+    assert search.request("солдат", lines, 200, postings, full_search=True)[1] == {"count": 30, "total_count": 200}
+    with pytest.raises(ValueError):
+        search.request(" ", lines, 200, postings)
+    with pytest.raises(ValueError):
+        search.file_search(lines, " ")
+    phases = search.two_phase("солдат", lines, 200, postings).groupBy("phase").count()
+    assert rows(phases) == [(0, 170), (1, 30)] and search.two_phase("со", lines, 200, postings).isEmpty()
+
+
+def test_repair_and_rebuild(spark, tmp_path):
+    lines = _lines(spark, DOCS)
+    good = index.build(lines)
+    bad = good.unionByName(good.where("doc_index = 0")).unionByName(spark.createDataFrame([("x", 0, [1]), ("зайве", 9, [0])], good.schema))
+    store = Store(spark, f"file://{tmp_path}/index")
+    store.commit(documents=lines.select("doc_index", "file_name").distinct(), paragraphs=lines, postings=bad)
+    assert maintenance.validate_and_repair(store) == {"unknown_documents": 1, "cleaned": 1, "duplicates": good.where("doc_index = 0").count()}
+    assert rows(store.read("postings")) == rows(good)
+    assert set(maintenance.validate_and_repair(store).values()) == {0} and not maintenance.rebuild_if_needed(store)
+    store.commit(postings=good.where("false"))
+    assert maintenance.rebuild_if_needed(store) and rows(store.read("postings")) == rows(good)
+    assert tuple(index.difference(good, good.where("doc_index <> 3")).first()) == (0, 1, 0, 1, 0, 1)
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store, order = Store(spark, f"file://{tmp_path}/locked"), []
+
+    def work(name):
+        with store.locked():
+            order.append((name, "in"))
+            order.append((name, "out"))
+
+    with store.locked():
+        other = threading.Thread(target=work, args=("b",))
+        other.start()
+        order.append(("a", "in"))
+        with pytest.raises(TimeoutError), store.locked(patience=0.3):
+            pass
+        order.append(("a", "out"))
+    other.join()
+    assert order == [("a", "in"), ("a", "out"), ("b", "in"), ("b", "out")]

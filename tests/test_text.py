@@ -85,5 +85,7 @@ def test_small_functions(spark):
     assert [r[0] for r in df.select(T.network_path(F.col("p"), "./cache/", "\\\\share\\")).collect()] == ["\\\\share\\x\\y.docx", "other/x"]
     marked = spark.createDataFrame([("Солдати Іваненко прибули",)], "t string").select(T.highlight(F.col("t"), ["солдат", "іваненк"])).first()[0]
     assert marked == "<mark>Солдати Іваненко</mark> прибули"
+    apart = spark.createDataFrame([("Солдати та Іваненко",)], "t string").select(T.highlight(F.col("t"), ["солдат", "іваненк"])).first()[0]
+    assert apart == "<mark>Солдат</mark>и та <mark>Іваненк</mark>о"
     trimmed = spark.createDataFrame([("  a b \n",)], "t string").select(T.unicode_trim(F.col("t"))).first()[0]
     assert trimmed == "a b"
