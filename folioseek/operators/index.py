@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,13 +19,20 @@ def occurrences(paragraphs: DataFrame) -> DataFrame:
 
 
 def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
-    """Postings of all terms, or of some of them (a list, or a table with ``term``), filtered before they are aggregated."""
+    """Postings of all terms, or of some of them (a list, or a table with ``term``), filtered before they are aggregated.
+
+    As a term is the beginning of its token, paragraphs that hold none of listed terms as they stand are left out unread.
+    """
+    if isinstance(terms, list):
+        norm = T.normalised(F.col("text"))
+        paragraphs = paragraphs.where(reduce(Column.__or__, [F.contains(norm, F.lit(t)) for t in sorted(set(terms))], F.lit(False)))
     rows = occurrences(paragraphs)
     if isinstance(terms, DataFrame):
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     elif terms is not None:
         rows = rows.where(F.col("term").isin(sorted(set(terms))))
-    rows = rows.distinct()  # ahead of the shuffle too: most repeats of a term stand in one paragraph
+    # Dealt by key first, so that the repeats within a paragraph and the positions are gathered after one shuffle.
+    rows = rows.select("term", "doc_index", "position").repartition(*KEYS).distinct()
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
