@@ -4,37 +4,23 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dense_index as with_rank  # noqa: F401
+from ..tables import shared_folder  # noqa: F401
+from ..tables import stored as written  # noqa: F401
+
+
 #: White space that separates words, everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS_IN_SHINGLE = 5
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,29 +51,6 @@ def small_or_shuffled(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 0-based rank of each row in the total order, without a one-task window.
-
-    Rows are range-partitioned and written with their partition number; the rank is the row number inside
-    the partition plus the rows of the partitions before it (one number for each partition).
-    """
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(shuffle_partitions(spark), *order).withColumn("_part", F.spark_partition_id())
-    dealt = written(dealt, "ranked")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    within = Window.partitionBy("_part").orderBy(*order)
-    return (
-        dealt.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(starts), "_part")  # one row for each shuffle partition
-        .withColumn(name, F.col("_start") + F.col("_row") - 1)
-        .drop("_part", "_row", "_start")
-    )
-
-
 #: Rows that Python gets at a time, and rows of a columnar read: long texts would fill tens of megabytes with the default numbers.
 BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024")}
 

@@ -2,9 +2,9 @@
 
 The builder knows void elements, implied start and end tags (paragraphs, list items, definition lists, options, table
 parts), raw-text elements and stray end tags. Nothing is emitted for elements that are not shown: scripts, styles, templates,
-the head, ``hidden``, ``display:none`` or ``visibility:hidden``. Blocks stand on their own lines, paragraphs, headings, lists
+the head, ``hidden``, ``display:none``, or text with ``visibility:hidden`` unless ``visible`` inside of it. Blocks stand on their own lines, paragraphs, headings, lists
 and tables with a blank line around them, list items have a bullet or their number and an indent, and table cells
-are padded to their column's width. An element is rendered when it closes, so that no tree is kept and depth costs no
+stand under one another, those of several rows or columns in all of theirs. An element is rendered when it closes, so that no tree is kept and depth costs no
 recursion.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("iframe noembed noframes script style textarea title xmp".split())
-UNSEEN = set("audio canvas datalist head iframe math noembed noframes object script select style svg template title video".split())
+UNSEEN = set("annotation annotation-xml audio canvas datalist defs desc head iframe metadata noembed noframes script style template title video".split())
 #: Blank lines around a block.
 SPACED = {"blockquote": 1, "dl": 1, "figure": 1, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "hr": 1, "ol": 1, "p": 1, "pre": 1, "table": 1, "ul": 1}
 BLOCK = set(SPACED) | set(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html legend li main menu nav "
-    "search section summary tbody td tfoot th thead tr".split()
+    "optgroup option search section select summary tbody td tfoot th thead tr".split()
 )
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 #: A start tag ends an open element of these, unless one of the others is open inside of it.
@@ -33,6 +34,8 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "td": ({"td", "th", "caption"}, {"tr", "table"}),
     "th": ({"td", "th", "caption"}, {"tr", "table"}),
@@ -42,12 +45,16 @@ ENDS = {
 }
 #: Where the search for an open paragraph stops.
 SCOPE = {"td", "th", "caption", "table", "button", "html", "body"}
-#: Cells longer than this don't widen their column.
+#: Cells longer than this don't widen their column, and a row goes on past it: else one long cell would fill every row with blanks.
 MOST_PADDING = 60
+#: List items, definitions and quotes inside one another beyond this are not set in further.
+MOST_INDENT = 40
+INDENTED = ("li", "dd", "blockquote")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -55,15 +62,15 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 class _Frame:
     """An open element. Inline elements share the lines of the block around them."""
 
-    __slots__ = ("tag", "hidden", "pre", "block", "inline", "blocks", "rows", "span", "number")
+    __slots__ = ("tag", "hidden", "unseen", "pre", "block", "inline", "blocks", "rows", "span", "down", "number")
 
-    def __init__(self, tag: str, hidden: bool, pre: bool, block: _Frame | None):
-        self.tag, self.hidden, self.pre = tag, hidden, pre
+    def __init__(self, tag: str, hidden: bool, unseen: bool, pre: bool, block: _Frame | None):
+        self.tag, self.hidden, self.unseen, self.pre = tag, hidden, unseen, pre
         self.block = block or self
         self.inline: list[str] = []  # of a block: its current line, "\0" for a forced break
         self.blocks: list[tuple[int, list[str], int]] = []  # of a block: blank lines before, lines, blank lines after
-        self.rows: list[list[tuple[int, list[str]]]] = []  # of a table; of a row: one list
-        self.span = 1
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # of a table: cells (columns, rows, lines); of a row: one list
+        self.span = self.down = 1
         self.number = 1
 
     def flush(self) -> None:
@@ -99,43 +106,66 @@ class _Frame:
 
 
 def _width(text: str) -> int:
-    return len(text)
+    """Columns of a terminal: wide characters take two."""
+    return len(text) if text.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _table(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells as (column, columns, lines): columns taken by a cell of several rows are passed over in the rows below."""
+    taken: dict[int, int] = {}  # column -> rows for which it is still taken
+    out = []
+    for row in rows:
+        at, cells, new = 0, [], {}
+        for span, down, lines in row:
+            while any(c in taken for c in range(at, at + span)):
+                at += 1
+            cells.append((at, span, lines))
+            if down > 1:
+                new |= {c: down for c in range(at, at + span)}
+            at += span
+        taken = {c: n - 1 for c, n in (taken | new).items() if n > 1}
+        out.append(cells)
+    return out
+
+
+def _table(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
     """Lines of a table, cells padded to their columns; a cell of several columns does not widen them."""
     widths: list[int] = []
-    for row in rows:
-        at = 0
-        for span, lines in row:
+    grid = _placed(rows)
+    for row in grid:
+        for at, span, lines in row:
             widths += [0] * (at + span - len(widths))
             if span == 1:
                 widths[at] = max([widths[at], *(w for w in map(_width, lines) if w <= MOST_PADDING)])
-            at += span
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            line, at = "", 0
-            for span, lines in row:
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
+    for row in grid:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, done, late = [], 0, 0  # late: columns by which long cells have pushed the line on
+            for at, _, lines in row:
                 text = lines[k] if k < len(lines) else ""
-                line += text + " " * (max(0, room - _width(text)) + 2)
-                at += span
-            out.append(line.rstrip())
+                gap = max(starts[at] + late - done, 2 if done else 0)
+                late = done + gap - starts[at]
+                line.append(" " * gap + text)
+                done += gap + _width(text)
+            out.append("".join(line).rstrip())
     return out
 
 
 class _Page:
     def __init__(self) -> None:
-        self.stack = [_Frame("#page", False, False, None)]
+        self.stack = [_Frame("#page", False, False, False, None)]
         self.open: dict[str, int] = {}
 
     # ---- elements ----
 
-    def push(self, tag: str, hidden: bool = False, pre: bool = False) -> _Frame:
+    def push(self, tag: str, hidden: bool = False, pre: bool = False, unseen: bool | None = None) -> _Frame:
+        """``hidden``: it has no box, nor has what is inside. ``unseen``: its text is not visible; None takes that over from around it."""
         top = self.stack[-1]
         block = tag in BLOCK
-        frame = _Frame(tag, top.hidden or hidden, top.pre or pre, None if block else top.block)
+        frame = _Frame(tag, top.hidden or hidden, top.unseen if unseen is None else unseen, top.pre or pre, None if block else top.block)
         if block:
             top.block.flush() if not frame.hidden else None
         self.stack.append(frame)
@@ -156,22 +186,23 @@ class _Page:
             row = next((f for f in reversed(self.stack) if f.tag == "tr"), None)
             if row is not None:
                 row.rows = row.rows or [[]]
-                row.rows[0].append((frame.span, lines))
+                row.rows[0].append((frame.span, frame.down, lines))
                 return
         if tag == "table":
             if frame.rows:
                 lines = [*lines, *_table(frame.rows)]
-        elif tag == "li":
+        elif tag == "li" and not (frame.unseen and not lines):
             holder = next((f for f in reversed(self.stack) if f.tag in ("ul", "ol", "menu")), None)
             mark = "- "
             if holder is not None and holder.tag == "ol":
-                mark, holder.number = f"{holder.number}. ", holder.number + 1
-            pad = " " * len(mark)
+                number = holder.number if frame.number is None else frame.number
+                mark, holder.number = f"{number}. ", number + 1
+            pad = " " * len(mark) if self.indent() else ""
             lines = [(mark if i == 0 else pad if x else "") + x for i, x in enumerate(lines)] or [mark.rstrip()]
             top = bottom = 0
-        elif tag == "dd":
+        elif tag == "dd" and self.indent():
             lines = ["  " + x if x else x for x in lines]
-        elif tag == "blockquote":
+        elif tag == "blockquote" and self.indent():
             lines = ["> " + x if x else ">" for x in lines]
         if not lines:
             return
@@ -181,12 +212,15 @@ class _Page:
         parent.flush()
         parent.blocks.append((max(top, space), lines, max(bottom, space)))
 
+    def indent(self) -> bool:
+        return sum(self.open.get(t, 0) for t in INDENTED) < MOST_INDENT
+
     def add_row(self, frame: _Frame) -> None:
         _, loose, _ = frame.lines()
         table = next((f for f in reversed(self.stack) if f.tag == "table"), None)
         cells = frame.rows[0] if frame.rows else []
         if loose:
-            cells = [(1, loose), *cells]
+            cells = [(1, 1, loose), *cells]
         if cells and table is not None:
             table.rows.append(cells)
 
@@ -200,13 +234,14 @@ class _Page:
 
     def close_within(self, tags: set[str], barrier: set[str]) -> None:
         """Pop the outermost open element of ``tags`` that is not beyond a ``barrier``."""
-        if not any(self.open.get(t) for t in tags):
-            return
+        left = sum(self.open.get(t, 0) for t in tags)
         found = 0
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if left else ():
             tag = self.stack[depth].tag
             if tag in tags:
-                found = depth
+                found, left = depth, left - 1
+                if not left:
+                    break
             elif tag in barrier:
                 break
         if found:
@@ -217,7 +252,7 @@ class _Page:
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            if not self.stack[-1].hidden:
+            if not (self.stack[-1].hidden or self.stack[-1].unseen):
                 self.stack[-1].block.inline.append("\0")
             return
         if tag in BLOCK and self.open.get("head"):
@@ -232,22 +267,26 @@ class _Page:
             self.start("tr", "")
         elif tag in ("tr", "tbody", "thead", "tfoot", "caption") and not self.open.get("table"):
             self.push("table")
-        hidden, span, number, kind = tag in UNSEEN, 1, 1, ""
+        hidden, unseen, span, down, number, kind = tag in UNSEEN, None, 1, 1, None, ""
         if attributes and ("=" in attributes or "idden" in attributes.lower()):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or name == "style" and _UNSEEN_STYLE.search(value):
+                if name == "hidden" or name == "style" and _NO_BOX.search(value):
                     hidden = True
+                elif name == "style" and (found := _VISIBILITY.search(value)):
+                    unseen = found[1].lower() != "visible"
+                elif name == "rowspan" and value.isascii() and value.isdigit():
+                    down = min(max(1, int(value[:5])), 65_534)
                 elif name == "colspan" and value.isascii() and value.isdigit():
                     span = min(max(1, int(value[:4])), 1000)
-                elif name == "start" and re.fullmatch(r"-?[0-9]{1,9}", value):
+                elif name == ("value" if tag == "li" else "start") and re.fullmatch(r"-?[0-9]{1,9}", value):
                     number = int(value)
                 elif name == "type":
                     kind = value.lower()
         elif attributes.strip() == "hidden":
             hidden = True
         if tag in VOID:
-            if not (hidden or self.stack[-1].hidden):
+            if not (hidden or self.stack[-1].hidden or (self.stack[-1].unseen if unseen is None else unseen)):
                 block = self.stack[-1].block
                 if tag == "hr":
                     block.flush()
@@ -256,8 +295,9 @@ class _Page:
                     shown = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "value"), "")
                     block.inline.append(html.unescape(shown).replace("\0", ""))
             return
-        frame = self.push(tag, hidden, tag in ("pre", "textarea", "listing"))
-        frame.span, frame.number = span, number
+        frame = self.push(tag, hidden, tag in ("pre", "textarea", "listing"), unseen)
+        frame.span, frame.down = span, down
+        frame.number = number if tag == "li" else 1 if number is None else number
 
     def in_table(self, tag: str) -> bool:
         """Whether this table part is open inside the innermost table."""
@@ -297,7 +337,7 @@ class _Page:
 
     def text(self, raw: str) -> None:
         top = self.stack[-1]
-        if top.hidden:
+        if top.hidden or top.unseen:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if "\0" in text:

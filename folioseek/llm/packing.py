@@ -44,14 +44,14 @@ def _loaded(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _known[path] = made, {}
+        _known[path] = Tokenizer.from_file(path), {}
     return _known[path]
 
 
 #: Words that need no normalising but lower case: printable ASCII without the apostrophe, and Latin-1 letters.
 _SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: What the strings of special tokens begin with. These are matched as they stand, so that words with it are not lower-cased here.
+_MAY_BE_SPECIAL = b"<|"
 #: How the tokenizer cuts such words once they are in lower case.
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -72,7 +72,7 @@ def _learn(words: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
     tokenize, rest = tokenizer.model.tokenize, []
     for w in words:
         text = w.decode()
-        if not _SIMPLE.fullmatch(text):
+        if _MAY_BE_SPECIAL in w or not _SIMPLE.fullmatch(text):
             rest.append(w)
             continue
         ids = []
@@ -97,7 +97,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     words one after another; words that occurred are kept in a bounded cache.
     """
     tokenizer, cache = _loaded(path)
-    split = [t.lower().split() for t in texts]
+    split = [t.lower().split() if _MAY_BE_SPECIAL not in t else [w if _MAY_BE_SPECIAL in w else w.lower() for w in t.split()] for t in texts]
     new = list(set(chain.from_iterable(split)).difference(cache))
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
@@ -203,7 +203,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = MAX_TOKENS)
     """doc_id, text -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids end with ``END_ID``; a null or empty text has that id alone. Rows with equal or null
-    doc_ids are documents of their own. An empty table gives no rows; other columns are not read.
+    doc_ids are documents of their own. Texts of any length are cut into whole sequences and a rest; rests of equal length are
+    interchangeable and placed in the order of a hash of their rows. The tokenizer is used as its file has it: the string of a special token in a
+    text is that token. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     tokens = tokenized(docs, tokenizer or default_tokenizer())

@@ -80,19 +80,30 @@ def chunked(docs: DataFrame) -> DataFrame:
     schema = "chunk long, kind int, key long, n long, ids array<long>, held array<boolean>, lengths array<long>, texts binary"
     names = ["chunk", "kind", "key", "n", "ids", "held", "lengths", "texts"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        chunk, pending = TaskContext.get().partitionId(), {WINDOW: [], WORD: []}
+        # A chunk is a part of a task's rows, so that its size does not follow that of the input's partitions.
+        chunk, size, pending = TaskContext.get().partitionId() << 20, 0, {WINDOW: [], WORD: []}
         squeeze = zstandard.ZstdCompressor(level=9)
 
         def merged(kind: int) -> None:
             if len(pending[kind]) > 1:
                 pending[kind] = [_summed(*map(np.concatenate, zip(*pending[kind], strict=True)))]
 
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for kind in pending:
+                merged(kind)
+                for keys, n in pending[kind]:
+                    for a in range(0, len(keys), 100_000):
+                        k = keys[a : a + 100_000]
+                        made = [pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000])]
+                        yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(k), t) for t in types[4:])], names)
+                pending[kind] = []
+
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             held = np.array(batch.column(2).to_pylist(), bool)
@@ -109,19 +120,16 @@ def chunked(docs: DataFrame) -> DataFrame:
                         merged(kind)
                 row = [[chunk], [None], [None], [None], [batch.column(0)[i:j].to_pylist()], [list(map(bool, held[i:j]))], [np.diff(at).tolist()], [squeeze.compress(text.tobytes())]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
-        for kind in pending:
-            merged(kind)
-            for keys, n in pending[kind]:
-                for a in range(0, len(keys), 100_000):
-                    k = keys[a : a + 100_000]
-                    made = [pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000])]
-                    yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(k), t) for t in types[4:])], names)
-            pending[kind] = []
-        batch = data = text = keys = first = part = learn = a = b = n = k = made = row = None
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield from wanted()
+                    chunk, size = chunk + 1, 0
+        yield from wanted()
+        batch = data = text = keys = first = part = learn = a = b = n = row = None
         release_memory()
 
     cols = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text", "held_out")
-    return written(cols.coalesce(max(1, math.ceil(size / CHUNK_BYTES))).mapInArrow(run, schema), "chunks")
+    return written(cols.coalesce(max(1, math.ceil(total / CHUNK_BYTES))).mapInArrow(run, schema), "chunks")
 
 
 class Trie:
@@ -262,7 +270,7 @@ def _text_scores(left: pa.Table, right: pa.Table) -> pa.Table:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    Null and empty texts have their end alone. Rows with a null doc_id are learned from. Repeated rows count as often as
+    Null and empty texts have their end alone; texts of any length are scored whole, and one longer than a chunk is a chunk by itself. Rows with a null doc_id are learned from. Repeated rows count as often as
     they occur. An empty table gives no rows; without training texts all bytes are equally likely. Other columns
     are not read.
     """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,18 @@ def test_scores(spark):
         assert g[5:] == pytest.approx(w[5:])
 
 
+def test_chunks_are_bounded_inside_a_task(spark, monkeypatch):
+    data = [(i, " ".join(f"w{i * j % 97}" for j in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    whole = rows(ppm.score(docs))
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(ppm, "BLOCK", 300)
+    made = ppm.chunked(docs.selectExpr("doc_id", "text", "false AS held_out").coalesce(1))
+    assert made.select("chunk").distinct().count() > 5
+    for a, b in zip(rows(ppm.score(docs)), whole, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
 def test_scores_of_nothing(spark):
     assert ppm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -159,6 +172,10 @@ PAGES = {
     "<table><tr><td>a<p>b</td><td>c</table>": "a  c\n\nb", "<div hidden>x</div><p style='display : none'>y</p>z": "z",
     "<pre> a\n  b</pre>": " a\n  b", "x < y > z": "x < y > z", "<a title='>'>q</a>": "q", "</p></div>x": "x", "<h1>a</h2>b": "a\n\nb",
     "<dl><dt>a<dd>b</dl>": "a\n  b", "a<hr>b": "a\n\n--------\n\nb", "<p>a</p>\n\n<p>b</p>": "a\n\nb", "<ul><li></ul>x": "-\n\nx",
+    "<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>": "A  b\n   c\nd  e", "<ol><li>a<li value=7>b<li>c</ol>": "1. a\n7. b\n8. c",
+    "<div style='visibility:hidden'>x<p style='visibility: visible'>y</p></div>z": "y\n\nz", "<select><option>a<option>b</select>": "a\nb",
+    "<svg><title>t</title><text>s</text></svg> <math><mi>x</mi><annotation>q</annotation></math>": "s x",
+    "<table><tr><td>字字<td>b<tr><td>c<td>d</table>": "字字  b\nc     d", "<table><tr><td colspan=2>aa<td>b<tr><td>c<td>d<td>e</table>": "aa    b\nc  d  e",
 }
 
 
@@ -174,6 +191,10 @@ def test_pages(spark):
 def test_hostile_pages_end():
     for page in ("<a \"" * 9000, "<div>" * 20000 + "x", "<table>" * 500, "<td>" * 3000, "<" * 20000, "<b>" * 9000 + "x" + "</b>" * 9000, "<li>" * 9000):
         html_text.page_text(page)
+    began = time.time()
+    assert len(html_text.page_text("<blockquote>x" * 2000)) < 400_000
+    html_text.page_text("<div>" * 4000 + "<p>x" * 4000)
+    assert time.time() - began < 5
 
 
 # ---- chats ----
@@ -304,9 +325,10 @@ def test_packing(spark):
 
     path = packing.default_tokenizer()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     rng = random.Random(9)
     data = [(i, " ".join(rng.choice(["It's", "Émile", "ÇA", "l'été", "x1y2", "--", "(don't)", "plain", "日本", "áb", "#tag"]) for _ in range(rng.choice([1, 9, 300, 3000]))), 0) for i in range(120)]
+    odd = ["a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|startoftext|><|endoftext|>", "q <| r", "A<|endoftext|", "É<|startoftext|>È <|StartOfText|>"]
+    data += [(600 + i, t, 0) for i, t in enumerate(odd)]
     data += [(500, None, 0), (501, "", 0), (502, "same", 0), (502, "same", 0), (None, "x <|endoftext|> y", 0)]
     got = packing.pack(spark.createDataFrame(data, "doc_id long, text string, length int")).collect()
     ids = defaultdict(list)
@@ -327,4 +349,5 @@ def test_packing(spark):
             at += length
         assert at <= packing.MAX_TOKENS
     assert sum(r["length"] for r in got) > packing.MAX_TOKENS * (len(sequences) - 1)
+    assert ids[None][0] == [343, 49407, 344, 2]
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
