@@ -24,20 +24,27 @@ def sync_plan(remote: DataFrame, local: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", F.when(F.col("_a").isNull(), "delete").when(copy, "copy").otherwise("keep").alias("action"))
 
 
-def listings_differ(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two listings (path, size, mtime_s) are unlike."""
+def listing_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """path, size, mtime_s of both -> the entries that one has and the other has not, n: how many more ``b`` has (less than 0: ``a``)."""
     cols = ["path", "size", "mtime_s"]
-    return not (a.select(cols).exceptAll(b.select(cols)).isEmpty() and b.select(cols).exceptAll(a.select(cols)).isEmpty())
+    both = a.select(*cols, F.lit(-1).alias("n")).unionByName(b.select(*cols, F.lit(1).alias("n")))
+    return both.groupBy(cols).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def index_is_stale(cache: DataFrame, indexed: DataFrame) -> bool:
-    """Whether a cached file is missing from the index, of another size or later, or an indexed one is gone.
+def listings_differ(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two listings (path, size, mtime_s) are unlike."""
+    return not listing_differences(a, b).isEmpty()
 
-    An empty cache is never newer.
-    """
-    if cache.isEmpty():
-        return False
+
+def stale_files(cache: DataFrame, indexed: DataFrame) -> DataFrame:
+    """path, size, mtime_s × path, size, last_modified -> path, reason: missing from the index, gone, of another size, or later."""
     a = cache.select("path", "size", "mtime_s", F.lit(True).alias("_a"))
     b = indexed.select("path", F.col("size").alias("_s"), F.col("last_modified").alias("_t"), F.lit(True).alias("_b"))
-    unlike = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("size") != F.col("_s")) | (F.col("mtime_s") > F.col("_t"))
-    return not a.join(b, "path", "full_outer").where(unlike).isEmpty()
+    reason = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "gone").when(F.col("size") != F.col("_s"), "size")
+    reason = reason.when(F.col("mtime_s") > F.col("_t"), "later")
+    return a.join(b, "path", "full_outer").select("path", reason.alias("reason")).where("reason is not null")
+
+
+def index_is_stale(cache: DataFrame, indexed: DataFrame) -> bool:
+    """Whether any file is stale. An empty cache is never newer."""
+    return not cache.isEmpty() and not stale_files(cache, indexed).isEmpty()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,37 +46,53 @@ def action_lines(lines: DataFrame, parents: str = "parent") -> DataFrame:
     return lines.join(nxt, on, "left").withColumn("action", F.col("_t")).drop("_d", "_p", "_t")
 
 
-def _after(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    m = matches.select("doc_index", F.col("position").alias("match_position"), F.col("text").alias("match_text"))
-    return lines.select("doc_index", "position", "text").join(m, "doc_index").where("position > match_position")
+def _in_stretches(lines: DataFrame, stop: Column) -> DataFrame:
+    """+ _stop, and _stretch: how many stops there were up to a line, itself included. No stop lies between lines that share it."""
+    to_here = Window.partitionBy("doc_index").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select("doc_index", "position", "text").withColumn("_stop", F.coalesce(stop, F.lit(False)))
+    return rows.withColumn("_stretch", F.sum(F.col("_stop").cast("int")).over(to_here))
+
+
+def _matched(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """The lines that are matches, as match_position."""
+    return rows.join(matches.select("doc_index", "position").distinct(), ["doc_index", "position"], "left_semi").withColumnRenamed("position", "match_position")
 
 
 def followup_personal(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    """Paragraphs after a match up to the next section sign, none from a rank or numbered line on."""
-    to_here = Window.partitionBy("doc_index", "match_position").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _after(matches, lines)
-    rows = rows.withColumn("_out", F.max(F.startswith("text", F.lit(T.SECTION))).over(to_here))
-    rows = rows.withColumn("_shut", F.max(T.ends_followup(F.col("text")) | T.is_numbered(F.col("text"))).over(to_here))
-    return rows.where("not _out and not _shut").select("doc_index", "match_position", "position", "text")
+    """Lines after a match up to the next section sign, none from a rank or numbered line on; a match is one of the lines.
+
+    A match is joined with the lines of its own stretch alone.
+    """
+    text = F.col("text")
+    rows = _in_stretches(lines, F.startswith(text, F.lit(T.SECTION)) | T.ends_followup(text) | T.is_numbered(text))
+    found = _matched(rows, matches).select("doc_index", "match_position", "_stretch").join(rows.where("not _stop"), ["doc_index", "_stretch"])
+    return found.where("position > match_position").select("doc_index", "match_position", "position", "text")
 
 
 def followup_ordinary(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    """Paragraphs after a match in its section, and its basis (``kind``).
+    """Lines after a match in its section, and its basis (``kind``); a match is one of the lines.
 
     The basis ends the search. A numbered line ends it if its first number is not the match's, and is not added itself; a match
     without a number has no end of section. Nothing is added from a line that begins with a rank on, but the basis is still
-    looked for.
+    looked for. Windows inside a document find the ends, and a match is joined with the lines of its own stretch alone.
     """
-    key = Window.partitionBy("doc_index", "match_position").orderBy("position")
-    to_here, before = key.rowsBetween(Window.unboundedPreceding, 0), key.rowsBetween(Window.unboundedPreceding, -1)
-    number = lambda c: F.regexp_extract(T.unicode_trim(F.col(c)), r"^([0-9]+)\.", 1)
-    rows = _after(matches, lines).withColumn("_basis", T.is_basis(F.col("text"))).withColumn("_n", number("text")).withColumn("_m", number("match_text"))
-    left = (F.col("_n") != "") & (F.col("_m") != "") & (F.col("_n") != F.col("_m"))
-    rows = rows.withColumn("_ended", F.coalesce(F.max("_basis").over(before), F.lit(False)) | F.max(left & ~F.col("_basis")).over(to_here))
-    rows = rows.withColumn("_shut", F.max(T.ends_followup(F.col("text"))).over(to_here)).where("not _ended")
-    rows = rows.where(F.col("_basis") | ((F.col("_n") == "") & ~F.col("_shut")))
-    kind = F.when(F.col("_basis"), "basis").otherwise("followup")
-    return rows.select("doc_index", "match_position", "position", "text", kind.alias("kind"))
+    text = F.col("text")
+    up, down = (Window.partitionBy("doc_index").orderBy(x) for x in (F.col("position"), F.desc("position")))
+    rows = _in_stretches(lines, T.is_basis(text) | T.ends_followup(text))
+    rows = rows.withColumns({"_basis": T.is_basis(text), "_n": F.regexp_extract(T.unicode_trim(text), r"^([0-9]+)\.", 1)})
+    nearest = F.last(F.when(F.col("_basis"), F.struct("position", "text")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = rows.where(F.col("_n") != "").select("doc_index", "position", "_n", F.lead("_n").over(up).alias("_n2"), F.lead("position").over(up).alias("_p2"))
+    end = F.last(F.when(F.col("_n2") != F.col("_n"), F.col("_p2")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    ends = numbered.select("doc_index", F.col("position").alias("match_position"), end.alias("_end"))
+    at = _matched(rows.withColumn("_nearest", nearest), matches).join(ends, ["doc_index", "match_position"], "left")
+    at = at.select("doc_index", "match_position", "_stretch", "_nearest", "_end")
+    inside = lambda p: F.coalesce(p < F.col("_end"), F.lit(True))
+    told = at.join(rows.where("not _stop and _n = ''").select("doc_index", "_stretch", "position", "text"), ["doc_index", "_stretch"])
+    told = told.where(F.col("position") > F.col("match_position")).where(inside(F.col("position")))
+    basis = at.where(F.col("_nearest").isNotNull() & inside(F.col("_nearest.position")))
+    return told.select("doc_index", "match_position", "position", "text", F.lit("followup").alias("kind")).unionByName(
+        basis.select("doc_index", "match_position", "_nearest.position", "_nearest.text", F.lit("basis").alias("kind"))
+    )
 
 
 def extracts(lines: DataFrame, matches: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..operators import search
+from ..sources import files
 from . import queries as Q
-from .samples import ENDED, FILES, LINES, MARKS, RAW, SEQUENCE, STEMS, values
+from .samples import ENDED, FILES, KINDS, LINES, MARKS, RAW, SEQUENCE, STEMS, values
 
 _TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 
@@ -80,7 +81,7 @@ def _cand(words: list[str], mode: str) -> str:
     return f"(SELECT doc_index FROM pd WHERE term IN ({_ins(words)}) AND {_mode(mode)} GROUP BY doc_index HAVING count(DISTINCT term) = {n})"
 
 
-def _matches(query: str, indexed: bool, mode: str = "full", no_basis: bool = False) -> str:
+def _matches(query: str, indexed: bool, mode: str = "full", no_basis: bool = False, table: str = "p") -> str:
     words = T.query_terms(query)
     norm = "replace(lower(text), '''', '')"
     tests = [f"contains({norm}, '{w}')" for w in words] + [_near(words, norm)]
@@ -88,13 +89,13 @@ def _matches(query: str, indexed: bool, mode: str = "full", no_basis: bool = Fal
         tests.append(f"NOT starts_with({_TRIM.format('lower(text)')}, '{T.BASIS}')")
     if indexed:
         tests.append(f"(doc_index, position) IN (SELECT (doc_index, position) FROM pd WHERE term IN ({_ins(words)}) AND doc_index IN {_cand(words, mode)})")
-    return f"SELECT doc_index, file_name, position, text FROM p WHERE {' AND '.join(tests)}"
+    return f"SELECT doc_index, file_name, position, text FROM {table} WHERE {' AND '.join(tests)}"
 
 
-def _results(query: str, indexed: bool, mode: str = "full", no_basis: bool = False, extra: str = "") -> str:
+def _results(query: str, indexed: bool, mode: str = "full", no_basis: bool = False, extra: str = "", table: str = "p") -> str:
     return f"""SELECT doc_index, file_name, {_date('file_name')} AS file_date, count(*)::BIGINT AS n_matches,
        string_agg(position::VARCHAR, ',' ORDER BY position) AS positions{extra}
-FROM ({_matches(query, indexed, mode, no_basis)}) GROUP BY doc_index, file_name"""
+FROM ({_matches(query, indexed, mode, no_basis, table)}) GROUP BY doc_index, file_name"""
 
 
 _NEAR_WORDS = T.query_terms(Q.NEAR_QUERY)
@@ -280,6 +281,16 @@ FROM a FULL JOIN b ON a.path = b.path""",
     "change_detection": f"""{_LISTING} SELECT coalesce(a.path, b.path) AS path,
   CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN a.mtime_s > b.mtime_s THEN 'changed' ELSE 'unchanged' END AS status
 FROM a FULL JOIN b ON a.path = b.path""",
+    "mime_types": f"""WITH f AS (SELECT page_id, url || ({_list(KINDS)})[page_id % {len(KINDS)} + 1] AS path FROM pages)
+SELECT page_id, path, CASE regexp_extract(lower(string_split(path, '/')[-1]), '[^.]\\.([^.]*)$', 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.MIME.items())}
+  ELSE 'application/octet-stream' END AS mime_type FROM f""",
+    "network_paths": f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/tmp/' || url ELSE '{Q.SHARE}' || replace(url, '/', chr(92)) END AS network_path FROM pages""",
+    "listing_differences": f"""{_LISTING} SELECT path, size, mtime_s, sum(k)::BIGINT AS n FROM (SELECT *, -1 AS k FROM a UNION ALL SELECT *, 1 AS k FROM b) GROUP BY ALL HAVING sum(k) <> 0""",
+    "stale_files": f"""{_LISTING}, s AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'gone'
+  WHEN a.size <> b.size THEN 'size' WHEN a.mtime_s > b.mtime_s THEN 'later' END AS reason FROM a FULL JOIN b ON a.path = b.path)
+SELECT path, reason FROM s WHERE reason IS NOT NULL""",
+    "search_friendly": f"{_MARKED} {_results(' '.join(SEQUENCE), False, table='q')}",
+    "index_rebuilt": f"{PD} {_POSTINGS}",
     "auto_numbering": f"""{P}, v AS (SELECT doc_index AS doc, position AS seq, nullif((position * 7 + doc_index) % 6, 0) AS level FROM p), {_counters('v')}
 SELECT doc, seq, level, number FROM n""",
     "docx_structure": f"""WITH {DOCS}, dl AS (SELECT doc_index, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
@@ -338,3 +349,5 @@ pd AS (SELECT DISTINCT term, doc_index, position FROM tok WHERE term IN ({_ins(_
 SELECT doc_index, count(DISTINCT position)::BIGINT AS n_positions FROM pd GROUP BY doc_index HAVING count(DISTINCT term) = 2""",
     "event_feed_latest": "SELECT user_id, count(*) AS n, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
 }
+# Files hold what was put into them.
+ORACLE["docx_containers"] = ORACLE["docx_structure"]

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import changes, context, index, maintenance, numbering, search
-from ..sources import corpus, files
+from ..sources import corpus, docx, files
 from ..sources.store import Store
 from ..tables import dense_index, shared_folder, stored
-from .samples import ENDED, FILES, LINES, MARKS, RAW, SEQUENCE, STEMS, sample
+from .samples import ENDED, FILES, KINDS, LINES, MARKS, RAW, SEQUENCE, STEMS, sample
 
-#: Words of the search queries: two near each other in order, four, and one.
 #: Where the doc_indexes of the inline lines begin.
 SAMPLE_FROM = 1_000_000_000_000
+#: Where the files lie that a share shows, and the share.
+LOCAL, SHARE = "/srv/orders/", "\\\\server\\orders\\"
+#: Two words as a person writes them, with commas and endings.
+FRIENDLY_QUERY = "Іваненко, Петра,"
+#: Words of the search queries: two near each other in order, four, and one.
 NEAR_QUERY, WIDE_QUERY, ONE_QUERY = "that with", "that with this from", "that"
 
 
@@ -218,6 +222,20 @@ def file_policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mime_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of all pages as files of several kinds."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("page_id") % len(KINDS) + 1).cast("int"))
+    pages = corpus.load(spark, sf_dir, "pages").select("page_id", F.concat(F.col("url"), kind).alias("path"))
+    return pages.select("page_id", "path", files.mime_type(F.col("path")).alias("mime_type"))
+
+
+def network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, two of three in the folder that is shared, some of these with backslashes."""
+    folder = F.when(F.col("page_id") % 3 == 0, "/tmp/").when(F.col("page_id") % 3 == 1, LOCAL).otherwise(LOCAL.replace("/", "\\"))
+    pages = corpus.load(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.col("url")).alias("path"))
+    return pages.select("page_id", T.network_path(F.col("path"), LOCAL, SHARE).alias("network_path"))
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = corpus.load(spark, sf_dir, "documents").select(
         F.concat(F.lit("2024/"), corpus.file_name(F.col("doc_id"))).alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 7 % 1000).alias("mtime_s"), "doc_id"
@@ -238,6 +256,15 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.file_changes(new, old.withColumnRenamed("mtime_s", "last_modified"))
 
 
+def listing_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.listing_differences(*_listing(spark, sf_dir))
+
+
+def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, old = _listing(spark, sf_dir)
+    return changes.stale_files(new, old.withColumnRenamed("mtime_s", "last_modified"))
+
+
 def auto_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of paragraphs whose level follows from their position."""
     lines = _paragraphs(spark, sf_dir)
@@ -245,8 +272,8 @@ def auto_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.numbered(lines.select(F.col("doc_index").alias("doc"), F.col("position").alias("seq"), level.alias("level"))).select("doc", "seq", "level", "number")
 
 
-def docx_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbering of all paragraphs of the documents, with list marks and blank lines by position, and of some odd ones."""
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the documents as raw paragraphs, with list marks and blank ones by position, and some odd ones."""
     docs = _docs(spark, sf_dir).select(F.col("doc_index"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     k = (F.col("i") * 5 + F.col("doc_index")) % 9
     text = F.when(k == 1, "").when(k == 2, F.concat(F.lit("3.1. "), F.col("line"))).when(k == 3, F.concat(F.lit("« 2. "), F.col("line"))).otherwise(F.col("line"))
@@ -254,10 +281,21 @@ def docx_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_index").cast("string")).alias("doc"), F.col("i").cast("long").alias("seq"), text.alias("text"),
         F.when(k == 4, "OiiSList2").when(k == 5, "Oii_S_List_3").alias("style"), F.when(k >= 6, (k - 6).cast("string")).alias("ilvl"), F.when(k >= 6, "1").alias("num_id"),
     )
-    kept = numbering.kept_with_breaks(rows.unionByName(sample(spark, RAW)))
+    return rows.unionByName(sample(spark, RAW))
+
+
+def docx_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering of all raw paragraphs."""
+    kept = numbering.kept_with_breaks(_raw(spark, sf_dir))
     return numbering.sections(numbering.numbered(numbering.classified(kept))).select("doc", "position", "text", "line_breaks_after")
 
 
+def docx_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of word-processor files: every document's raw paragraphs as a file's bytes, which are then read."""
+    read = docx.read_raw(docx.containers(_raw(spark, sf_dir)))
+    return docx.structured(read).select("doc", "position", "text", "line_breaks_after")
+
+
 def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank lines of documents; every 4th line is blanked."""
     docs = _docs(spark, sf_dir)
@@ -375,6 +413,21 @@ def search_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(results).withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
 
 
+def search_friendly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of the marked lines for words with commas and endings."""
+    return _results(search.search(FRIENDLY_QUERY, _marked(spark, sf_dir), 0, friendly=True))
+
+
+def index_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index that lacks two thirds of its documents, found out and built anew."""
+    store = Store(spark, f"{shared_folder(spark)}/rebuilt-{uuid.uuid4().hex}")
+    docs = _docs(spark, sf_dir)
+    lines = corpus.paragraphs(docs)
+    store.commit(documents=docs.select("doc_index", "file_name"), paragraphs=lines, postings=index.build(lines.where("doc_index % 3 = 0")))
+    maintenance.rebuild_if_needed(store)
+    return _flat(store.read("postings"))
+
+
 def postings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changing the labelled documents (their upper half is left) and removing the toxic ones adds and takes away."""
     docs = _docs(spark, sf_dir)
@@ -425,6 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_policy_filter, sync_plan, change_detection, auto_numbering, docx_structure, line_breaks, parent_headings, section_parent_asof,
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
+        mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt,
     )
 }
 QUERIES |= {f"candidates_{m}": _candidates(m) for m in search.MODES}

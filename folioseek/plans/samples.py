@@ -20,6 +20,8 @@ MARKS = (
     "", "Петру від Іваненка ", "2.1. ",
 )
 SEQUENCE = ("іваненк", "петр")
+#: Ends of file names, by number.
+KINDS = (".pdf", ".JPG", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".svg", ".docx", "", ".pdf.")
 FILES = (
     "path string",
     [(p,) for p in (

@@ -64,11 +64,22 @@ def _local(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
-def listing(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """uri, path (relative), name, size, mtime_s of all files below a folder, the contents not read."""
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def listing(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH, missing_is_empty: bool = False) -> DataFrame:
+    """uri, path (relative), name, size, mtime_s of all files below a folder, the contents not read.
+
+    A folder that is not there is an error, so that a refresh does not take it for an emptied one, unless ``missing_is_empty``.
+    """
     root = folder.rstrip("/")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType())])
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(*schema.names)
+    if missing_is_empty and not _exists(spark, root):
+        found = spark.createDataFrame([], schema)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(*schema.names)
     below = F.regexp_replace(F.substring(_local(F.col("path")), len(root.removeprefix("file://")) + 1, 1 << 30), "^/", "")
     rows = found.select(
         F.col("path").alias("uri"), below.alias("path"), name_of(below).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime_s")

@@ -57,12 +57,28 @@ def test_listing(spark, tmp_path):
     assert [r[:3] for r in rows(files.listing(spark, str(tmp_path)).select("path", "name", "size"))] == [("2024/a.docx", "a.docx", 3), ("x y/é%20.docx", "é%20.docx", 3)]
 
 
+def test_missing_folder(spark, tmp_path):
+    assert rows(files.listing(spark, str(tmp_path / "none"), missing_is_empty=True)) == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.listing(spark, str(tmp_path / "none"))
+
+
+def test_containers(spark):
+    data = [("a", 0, "x < y & \"z\"\r", "S&\"1\"", None, None), ("a", 1, None, None, None, None), ("a", 2, "li\x0bst", None, "0", "1"), ("b", 0, "ї", None, None, "2")]
+    raw = spark.createDataFrame(data, "doc string, seq long, text string, style string, ilvl string, num_id string")
+    want = [("a", 0, "x < y & \"z\"\r", "S&\"1\"", None, None), ("a", 1, "", None, None, None), ("a", 2, "list", None, "0", "1"), ("b", 0, "ї", None, None, "2")]
+    assert [r[:6] for r in rows(docx.read_raw(docx.containers(raw)))] == want
+    assert docx.containers(raw.where("false")).collect() == []
+
+
 def test_changes(spark):
     now = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 2, 5), ("d", 1, 6)], "path string, size long, mtime_s long")
     old = spark.createDataFrame([("b", 1, 5), ("c", 1, 5), ("d", 1, 5), ("e", 1, 5)], "path string, size long, mtime_s long")
     assert rows(changes.sync_plan(now, old)) == [("a", "copy"), ("b", "keep"), ("c", "copy"), ("d", "copy"), ("e", "delete")]
     indexed = old.withColumnRenamed("mtime_s", "last_modified")
     assert rows(changes.file_changes(now, indexed)) == [("a", "new"), ("b", "unchanged"), ("c", "unchanged"), ("d", "changed"), ("e", "deleted")]
+    assert rows(changes.listing_differences(now, old)) == [("a", 1, 5, -1), ("c", 1, 5, 1), ("c", 2, 5, -1), ("d", 1, 5, 1), ("d", 1, 6, -1), ("e", 1, 5, 1)]
+    assert rows(changes.stale_files(now, indexed)) == [("a", "missing"), ("c", "size"), ("d", "later"), ("e", "gone")]
     assert changes.listings_differ(now, old) and not changes.listings_differ(now, now)
     assert changes.index_is_stale(now, indexed) and not changes.index_is_stale(now.where("false"), indexed) and not changes.index_is_stale(old, indexed)
 
@@ -111,5 +127,12 @@ def test_json_exchange(spark, tmp_path):
     assert tuple(store.documents_json_report(spark, str(bad)).first()) == (True, False, False, False)
     postings.write_text('{"word_to_docs": {"ab": [{"doc_index": 1, "paragraph_positions": [0, 2]}]}, "total_documents": 2}')
     assert rows(store.read_postings_json(spark, str(postings))) == [("ab", 1, [0, 2])]
+    with pytest.raises(ValueError, match="wrong_total"):
+        store.read_documents_json(spark, str(bad))
+    assert store.read_documents_json(spark, str(bad), checked=False)[0].count() == 2
+    postings.write_text('{"word_to_docs": {}, "total_documents": 101}')
+    with pytest.raises(ValueError, match="no words"):
+        store.read_postings_json(spark, str(postings))
+    assert rows(store.read_postings_json(spark, str(postings), checked=False)) == []
     with pytest.raises(FileNotFoundError):
         store.Store(spark, str(tmp_path / "nothing")).read("documents")
