@@ -20,7 +20,8 @@ BINS = 256
 BITS = 4
 PROBES = 8
 BUCKET_ROWS = 1500
-MAX_BUCKETS = 1 << 20
+#: Buckets of as many rows as there are; as their first rows are broadcast, a larger table has larger buckets, not more.
+MAX_BUCKETS = 1 << 18
 #: Quantiles of the ids: an id that holds more rows than lie between two of them has buckets of its own.
 QUANTILES = 256
 SALTS = 1 << 20
@@ -119,7 +120,7 @@ def _buckets(docs: DataFrame) -> Column:
     often = Counter(x for x in cuts or [] if x is not None)
     heavy = {c: n for c, n in often.items() if n > 1}
     bounds = sorted({*often, *(c + 1 for c in heavy)}) or [0]
-    of = lambda rows: int(max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS)))
+    of = lambda rows: int(max(1, min(rows // BUCKET_ROWS, MAX_BUCKETS * rows // max(count, 1))))
     parts = [of(heavy.get(c, 1) * count / QUANTILES) for c in bounds]
     width = max([*parts, of(nulls)]) + 1
     known = F.array(*[F.lit(c).cast("long") for c in bounds])
@@ -144,7 +145,7 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
     docs = docs.withColumn("_bucket", _buckets(docs))
     down = Window.orderBy(F.desc("_bucket"))
     key = F.struct("doc_id", "_salt", F.length("text"))
-    ranges = docs.groupBy("_bucket").agg(F.max(key).alias("_head"))  # MAX_BUCKETS rows for each bound at most
+    ranges = docs.groupBy("_bucket").agg(F.max(key).alias("_head"))  # three times MAX_BUCKETS at most, and one a range
     heads = ranges.select(
         F.col("_bucket"), "_head",
         F.lag("_bucket").over(down).alias("_before"),
