@@ -209,7 +209,7 @@ def _blocks(anchors: DataFrame, dims: int) -> Iterator[list]:
 
 
 def mine(
-    vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES,
+    vectors: DataFrame, is_anchor: Column | str, positives: int = POSITIVES, negatives: int = NEGATIVES,
     least_share: int = LEAST_SHARE, most_share: int = MOST_SHARE, scale: int = SCALE,
 ) -> DataFrame:
     """vec_id, label, embedding -> anchor_id, positive_id, rank, negative_id, positive_score, negative_score.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, embeddings, fingerprint, hardneg, html_text, langid, mixing, neardup, packing, ppm, warc
+from . import binslack, chat, divergence, embeddings, fingerprint, hardneg, html_text, langid, mixing, neardup, packing, ppm, warc
 from .common import table
 
 
@@ -54,6 +54,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_binslack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, placed = binslack.pack(table(spark, sf_dir, "documents"))
+    # Checksums before the join, so that ids are not shuffled.
+    digests = cut.select("piece_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(placed, "piece_id").drop("piece_id")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector as an anchor; labels of every seventh are changed first."""
     changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -66,7 +73,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_chat, op2_ppm, op3_langid, op4_html, op5_fingerprints, op6_embeddings, op7_mixing, op8_warc, op9_packing, op10_neardup]
-    own += [op12_hard_negatives, op13_divergence]
+    own += [op11_binslack, op12_hard_negatives, op13_divergence]
     return {f.__name__: f for f in own}
 
 
