@@ -268,13 +268,13 @@ SELECT query_id, doc_index, count(*) AS n_matches FROM k WHERE strpos(rest, b) >
     "file_name_search": f"SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '1') ORDER BY path, name LIMIT {search.MOST_FILES}",
     "file_name_search_all": "SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '1')",
     "file_listing": "SELECT string_split(url, '/')[-1] AS name, count(*) AS n, min(url) AS first_path FROM pages GROUP BY 1",
-    "file_policy_filter": f"""WITH f AS (SELECT path, lower(string_split(path, '/')[-1]) AS n, regexp_extract(lower(string_split(path, '/')[-1]), '[^.]\\.([^.]*)$', 1) AS e FROM (
+    "file_policy_filter": f"""WITH f AS (SELECT path, lower(string_split(path, '/')[-1]) AS n, regexp_extract(lower(string_split(path, '/')[-1]), '^.+\\.([^.]*)$', 1, 's') AS e FROM (
   SELECT ({_list(("2024/", "2023/.git/", "notes/", "2022/ЕРДР/", "2021/~$"))})[page_id % 7 % 5 + 1] || coalesce(string_split(url, '/')[-1], '')
          || ({_list((".docx", ".xlsx", "", ".tmp", ".DOCX"))})[page_id % 5 + 1] AS path FROM pages UNION SELECT path FROM {values(FILES)}))
 SELECT path, NOT starts_with(n, '~$') AND n NOT IN ('.ds_store', 'thumbs.db') AND e = 'docx' AS is_document,
        contains('/' || lower(path), '/.git') OR contains('/' || lower(path), '/ердр (не виключені)') AS excluded,
-       regexp_matches(path, '^[0-9]{{4}}[^/]*/.') AND e = 'docx' AND NOT starts_with(n, '~$') AS docx_only,
-       regexp_matches(path, '^[0-9]{{4}}[^/]*/.') AND e NOT IN ('zip', 'xlsx', 'xls') AND NOT contains(path, 'ЕРДР') AND NOT contains(path, '.git') AS all_but_archives FROM f""",
+       regexp_matches(path, '^[0-9]{{4}}[^/]*/.') AND ends_with(lower(path), '.docx') AND NOT starts_with(n, '~$') AS docx_only,
+       regexp_matches(path, '^[0-9]{{4}}[^/]*/.') AND NOT ends_with(path, '.zip') AND NOT ends_with(path, '.xlsx') AND NOT ends_with(path, '.xls') AND NOT contains(path, 'ЕРДР') AND NOT contains(path, '.git') AS all_but_archives FROM f""",
     "sync_plan": f"""{_LISTING} SELECT coalesce(a.path, b.path) AS path,
   CASE WHEN a.path IS NULL THEN 'delete' WHEN b.path IS NULL OR a.mtime_s > b.mtime_s OR a.size <> b.size THEN 'copy' ELSE 'keep' END AS action
 FROM a FULL JOIN b ON a.path = b.path""",
@@ -282,7 +282,7 @@ FROM a FULL JOIN b ON a.path = b.path""",
   CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted' WHEN a.mtime_s > b.mtime_s THEN 'changed' ELSE 'unchanged' END AS status
 FROM a FULL JOIN b ON a.path = b.path""",
     "mime_types": f"""WITH f AS (SELECT page_id, url || ({_list(KINDS)})[page_id % {len(KINDS)} + 1] AS path FROM pages)
-SELECT page_id, path, CASE regexp_extract(lower(string_split(path, '/')[-1]), '[^.]\\.([^.]*)$', 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.MIME.items())}
+SELECT page_id, path, CASE regexp_extract(lower(string_split(path, '/')[-1]), '^.+\\.([^.]*)$', 1, 's') {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in files.MIME.items())}
   ELSE 'application/octet-stream' END AS mime_type FROM f""",
     "network_paths": f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/tmp/' || url ELSE '{Q.SHARE}' || replace(url, '/', chr(92)) END AS network_path FROM pages""",
     "listing_differences": f"""{_LISTING} SELECT path, size, mtime_s, sum(k)::BIGINT AS n FROM (SELECT *, -1 AS k FROM a UNION ALL SELECT *, 1 AS k FROM b) GROUP BY ALL HAVING sum(k) <> 0""",

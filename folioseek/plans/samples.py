@@ -21,12 +21,13 @@ MARKS = (
 )
 SEQUENCE = ("іваненк", "петр")
 #: Ends of file names, by number.
-KINDS = (".pdf", ".JPG", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".svg", ".docx", "", ".pdf.")
+KINDS = (".pdf", ".JPG", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".svg", ".docx", "", ".pdf.", "..png")
 FILES = (
     "path string",
     [(p,) for p in (
         "2024/a.docx", "2024/A.DOCX", "2024/~$a.docx", "2024/b.zip", "2024/b.xlsx", "root.docx", "notes/a.docx", "2023рік/x.docx",
         "2024/ЕРДР/y.docx", "2024/.git/z.docx", "2024/.github/z.docx", "2024/t.tmp", "2024/thumbs.db", "2024/c.pdf", "2024/.docx", "ердр (не виключені)/a.docx",
+        "2024/a..docx", "2024/..docx", "2024/.xlsx", "2024/A.ZIP", "2024/b.Xls", "2024/.zip", "2024/docx", "2024/a.docx.", "2024/.DS_Store", "2024/a.db.docx",
     )],
 )
 LINES = (

@@ -23,7 +23,8 @@ def name_of(path: Column) -> Column:
 
 
 def extension_of(path: Column) -> Column:
-    return F.regexp_extract(F.lower(name_of(path)), r"[^.]\.([^.]*)$", 1)
+    """What follows the last dot of the name, in lower case; a name that only begins with a dot has none."""
+    return F.regexp_extract(F.lower(name_of(path)), r"(?s)^.+\.([^.]*)$", 1)
 
 
 def is_document(path: Column) -> Column:
@@ -45,13 +46,16 @@ def in_year_folder(path: Column) -> Column:
 
 
 def is_mirrored(path: Column, policy: str = "docx_only") -> Column:
-    """Whether the mirror takes a relative path: documents alone, or all but archives and excluded words."""
+    """Whether the mirror takes a relative path: documents alone, or all but archives and excluded words.
+
+    Both look at the end of the path, so that a name of nothing but an ending counts; the ends of archives are told apart by case.
+    """
     if policy == "docx_only":
-        return in_year_folder(path) & (extension_of(path) == "docx") & ~F.startswith(name_of(path), F.lit("~$"))
+        return in_year_folder(path) & F.endswith(F.lower(path), F.lit(".docx")) & ~F.startswith(name_of(path), F.lit("~$"))
     if policy != "all_but_archives":
         raise ValueError(f"no policy {policy!r}")
-    archive = F.endswith(F.lower(path), F.lit(ARCHIVES[0])) | F.endswith(F.lower(path), F.lit(ARCHIVES[1])) | F.endswith(F.lower(path), F.lit(ARCHIVES[2]))
-    return in_year_folder(path) & ~archive & ~F.contains(path, F.lit(EXCLUDED_WORDS[0])) & ~F.contains(path, F.lit(EXCLUDED_WORDS[1]))
+    archive = [F.endswith(path, F.lit(end)) for end in ARCHIVES]
+    return in_year_folder(path) & ~(archive[0] | archive[1] | archive[2]) & ~F.contains(path, F.lit(EXCLUDED_WORDS[0])) & ~F.contains(path, F.lit(EXCLUDED_WORDS[1]))
 
 
 def mime_type(path: Column) -> Column:

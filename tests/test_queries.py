@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from folioseek.plans.oracle import ORACLE
 from folioseek.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
