@@ -1,7 +1,7 @@
 """Source divergence audit: how far the word use of each source is from that of the others of its language.
 
-A document's terms are counted inside its row (sorted, then cut into runs), so that a task sums one row for each distinct term of a
-document before anything is shuffled. Each kept term then becomes one wide row: an array over the sources of its language, in their order,
+A document's terms are exploded twice, all of them and the different ones, so that one partial aggregate in the task that read it counts both
+occurrences and documents before anything is shuffled. Each kept term then becomes one wide row: an array over the sources of its language, in their order,
 of smoothed integer shares. Higher-order functions of the JVM emit the contributions of a term to each pair of sources, and partial
 aggregates add them up by (language, pair) in the tasks that made them. All arithmetic is on integers.
 """
@@ -26,11 +26,15 @@ BROADCAST_GROUPS = 100_000
 SALTS = 64
 
 
+#: All but ASCII and some ranges beyond it that lower() leaves as they are (Latin and Cyrillic small letters, punctuation, Chinese
+#: and Japanese). Texts without such a character need no table of letters.
+MAY_CHANGE = r"[^\x00-\xBF\xD7\xDF-\xFF\u0430-\u045F\u2000-\u206F\u3000-\u9FFF]"
+
+
 def terms(text: Column) -> Column:
     """The terms of a text in order, with A-Z (and no other letter) in lower case."""
-    upper, lower = string.ascii_uppercase, string.ascii_lowercase
-    low = lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, upper, lower))
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), low)
+    low = F.when(text.rlike(MAY_CHANGE), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
 
 
 def _whole(a: Column, b: Column) -> Column:
@@ -49,15 +53,11 @@ def _distance(p: Column, q: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, text (no nulls) -> lang, source, term, n, df: occurrences, and documents that have the term."""
-    ordered = docs.select("lang", "source", F.sort_array(terms(F.col("text"))).alias("t"))
-    at = lambda i: F.element_at("t", i)
-    size = F.size("t")
-    starts = F.filter(F.when(size > 0, F.sequence(F.lit(1), size)), lambda i: F.when(i == 1, True).otherwise(at(i) != at(F.greatest(i - 1, F.lit(1)))))
-    begun = ordered.select("lang", "source", "t", starts.alias("s"))
-    end = lambda k: F.coalesce(F.get("s", k + 1), F.size("t") + 1)
-    runs = F.transform("s", lambda i, k: F.struct(at(i).alias("term"), (end(k) - i).cast("long").alias("n")))
-    rows = begun.select("lang", "source", F.explode(runs).alias("r"))
-    return rows.groupBy("lang", "source", F.col("r.term").alias("term")).agg(F.sum("r.n").alias("n"), F.count(F.lit(1)).alias("df"))
+    found = docs.select("lang", "source", terms(F.col("text")).alias("all"))
+    # Each text's terms, and then once more the different ones.
+    both = found.select("lang", "source", F.posexplode(F.array("all", F.array_distinct("all"))).alias("once", "t"))
+    rows = both.select("lang", "source", "once", F.explode("t").alias("term"))
+    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("df"))
 
 
 def wide_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:

@@ -232,6 +232,13 @@ def test_divergence_of_a_long_text(spark):
     assert rows(divergence.audit(spark.createDataFrame(data, DOCS))) == brute_audit(data)
 
 
+def test_letters_that_lower_changes(spark):
+    import pyspark.sql.functions as F
+
+    found = spark.createDataFrame([(chr(i),) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000], "c string")
+    assert found.where((F.lower("c") != F.col("c")) & ~F.col("c").rlike(divergence.MAY_CHANGE)).collect() == []
+
+
 def test_shares_beyond_a_long(spark):
     import pyspark.sql.functions as F
 
