@@ -68,15 +68,20 @@ def search(
 
     ``view_mode="fragments"`` leaves out basis paragraphs. A query without words finds nothing.
     """
-    words = T.query_terms(query, friendly)
+    found = matches(T.query_terms(query, friendly), paragraphs, None if postings is None else postings.where(in_mode(mode, total_documents)), view_mode == "fragments")
+    return ranked(grouped(found))
+
+
+def matches(words: list[str], paragraphs: DataFrame, postings: DataFrame | None, without_basis: bool = False) -> DataFrame:
+    """doc_index, file_name, position, text of the paragraphs that match: those of the candidates in ``postings``, or of all if it is None."""
     rows = paragraphs.select("doc_index", "file_name", "position", "text")
     if not words:
-        return grouped(rows.where(F.lit(False)))
+        return rows.where(F.lit(False))
     if postings is not None:
-        hits = candidates(postings, words, mode, total_documents).select("doc_index", F.explode("positions").alias("position"))
+        hits = candidates(postings, words, "full", 0).select("doc_index", F.explode("positions").alias("position"))
         hits = stored(hits, "hits")
         rows = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, ["doc_index", "position"], "left_semi")
-    return ranked(grouped(rows.where(verified(words, view_mode == "fragments"))))
+    return rows.where(verified(words, without_basis))
 
 
 def request(
@@ -89,8 +94,8 @@ def request(
     """
     if not query.strip():
         raise ValueError("the query is blank")
-    results = search(query, paragraphs, total_documents, postings, "remaining" if full_search else "quick", view_mode)
-    return results, {"count": results.count(), "total_count": total_documents}
+    results = stored(search(query, paragraphs, total_documents, postings, "remaining" if full_search else "quick", view_mode), "results")
+    return ranked(results), {"count": results.count(), "total_count": total_documents}
 
 
 def two_phase(query: str, paragraphs: DataFrame, total_documents: int, postings: DataFrame, **options) -> DataFrame:

@@ -207,6 +207,12 @@ FROM v LEFT JOIN v h ON h.doc_index = v.doc_index AND h.position < v.position AN
 GROUP BY ALL"""
 
 
+_SEGMENTED = f"""WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id % 3 = 0, doc_id) - 1 AS doc_index, {_NAME} AS file_name,
+         CASE WHEN doc_id % 3 <> 0 AND doc_id IN (SELECT doc_id FROM labels) THEN substr(text, 1, length(text) // 2) ELSE text END AS text
+  FROM documents WHERE doc_id % 3 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+{_lines('d', 'p')}, {_tokens('p', 'tok')}, pd AS (SELECT DISTINCT term, doc_index, position FROM tok)"""
+
 ORACLE: dict[str, str] = {
     "paragraph_explode": f"{P} SELECT doc_index, file_name, position, text FROM p",
     "doc_stats": rf"{P} SELECT doc_index, count(*) AS paragraph_count, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS word_count FROM p GROUP BY doc_index",
@@ -291,6 +297,10 @@ SELECT page_id, path, CASE regexp_extract(lower(string_split(path, '/')[-1]), '^
 SELECT path, reason FROM s WHERE reason IS NOT NULL""",
     "search_friendly": f"{_MARKED} {_results(' '.join(SEQUENCE), False, table='q')}",
     "index_rebuilt": f"{PD} {_POSTINGS}",
+    "refresh_segments": f"{_SEGMENTED} {_POSTINGS}",
+    "index_compacted": f"{_SEGMENTED} {_POSTINGS}",
+    "search_segments": f"{_SEGMENTED} {_results(Q.NEAR_QUERY, True, 'quick')}",
+    "commit_conflict": """SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 1 ELSE 2 END AS writer, 2 AS tries, 3 AS snapshot FROM documents""",
     "auto_numbering": f"""{P}, v AS (SELECT doc_index AS doc, position AS seq, nullif((position * 7 + doc_index) % 6, 0) AS level FROM p), {_counters('v')}
 SELECT doc, seq, level, number FROM n""",
     "docx_structure": f"""WITH {DOCS}, dl AS (SELECT doc_index, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, context, index, maintenance, numbering, search
+from ..operators import changes, context, index, maintenance, numbering, search, segments
 from ..sources import corpus, docx, files
-from ..sources.store import Store
+from ..sources.store import Snapshot, Store
 from ..tables import dense_index, shared_folder, stored
 from .samples import ENDED, FILES, KINDS, LINES, MARKS, RAW, SEQUENCE, STEMS, sample
 
@@ -388,31 +388,99 @@ def full_document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stores: dict[tuple[str, str], Store] = {}
 
 
+def _versions(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """Documents as rows of a stored index; their paths are in the order of their ids."""
+    key = F.lit(None).cast("long") if key is None else key
+    return docs.select(key.alias("doc_key"), F.format_string("%020d", "doc_id").alias("file_path"), "file_name")
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    lines = corpus.paragraphs(docs.select(F.col("doc_id").alias("doc_index"), "file_name", "text"))
+    return lines.select(F.format_string("%020d", "doc_index").alias("file_path"), "position", "text", F.lit(0).cast("long").alias("line_breaks_after"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("file_name", corpus.file_name(F.col("doc_id")))
+
+
+def _new_store(spark: SparkSession, kind: str) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> Store:
-    """The documents as a stored index; made at the first call and used again."""
+    """The documents as a stored index of one segment; made at the first call and used again."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stores:
-        store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
-        docs = _docs(spark, sf_dir)
-        lines = corpus.paragraphs(docs)
-        store.commit(documents=docs.select("doc_index", "file_name"), paragraphs=lines, postings=index.build(lines))
+        store, docs = _new_store(spark, "index"), _named(spark, sf_dir)
+        segments.update(store.snapshot(), _versions(docs), _text(docs))
         _stores[key] = store
     return _stores[key]
 
 
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide query over a stored snapshot."""
-    store = _stored(spark, sf_dir)
-    return _results(search.search(WIDE_QUERY, store.read("paragraphs"), 0, store.read("postings")))
+    return _results(segments.search(_stored(spark, sf_dir).snapshot(), WIDE_QUERY))
 
 
 def search_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's full search over a stored snapshot, with its counts."""
-    store = _stored(spark, sf_dir)
-    results, counts = search.request(NEAR_QUERY, store.read("paragraphs"), store.read("documents").count(), store.read("postings"), full_search=True)
+    results, counts = segments.request(_stored(spark, sf_dir).snapshot(), NEAR_QUERY, full_search=True)
     return _results(results).withColumns({name: F.lit(n).cast("long") for name, n in counts.items()})
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> Store:
+    """A stored index after an update: at first two of three documents; then the rest is new, the labelled ones are cut to their upper half, the toxic ones gone."""
+    store, docs, labels = _new_store(spark, "segments"), _named(spark, sf_dir), corpus.load(spark, sf_dir, "labels").select("doc_id", "toxic").distinct()
+    first = docs.where("doc_id % 3 <> 0")
+    segments.update(store.snapshot(), _versions(first), _text(first))
+
+    def step(base: Snapshot) -> None:
+        known = segments.live(base, "documents").select(F.col("file_path").cast("long").alias("doc_id"), "rev", "doc_key")
+        ended = known.join(labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("gone")), "doc_id")
+        half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+        changed = docs.join(ended.where("not gone").select("doc_id", "doc_key"), "doc_id").withColumn("text", half)
+        fresh = docs.where("doc_id % 3 = 0").withColumn("doc_key", F.lit(None).cast("long")).unionByName(changed)
+        segments.update(base, _versions(fresh, F.col("doc_key")), _text(fresh), ended.select("rev", "doc_key", "gone"))
+
+    store.updated(step)
+    return store
+
+
+def refresh_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of an updated index, under dense indexes."""
+    return _flat(segments.numbered(_segmented(spark, sf_dir).snapshot(), "postings"))
+
+
+def index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after compaction."""
+    store = _segmented(spark, sf_dir)
+    segments.compact(store)
+    return _flat(segments.numbered(store.snapshot(), "postings"))
+
+
+def search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quick search over an updated index: the documents with the highest indexes."""
+    return _results(segments.search(_segmented(spark, sf_dir).snapshot(), NEAR_QUERY, "quick"))
+
+
+def commit_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers that begin from one snapshot: the slower one finds the conflict and runs again, so that both commits are there."""
+    store, docs = _new_store(spark, "conflict"), corpus.load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    store.commit(documents=docs.where("doc_id % 2 = 0").withColumn("writer", F.lit(0)))
+    tries = []
+
+    def slower(base: Snapshot) -> Snapshot:
+        if not tries:  # the other writer comes between
+            store.commit(store.snapshot(), append={"documents": docs.where("doc_id % 4 = 1").withColumn("writer", F.lit(1))})
+        tries.append(base.number)
+        held = base.read("documents").select("doc_id")
+        return store.commit(base, append={"documents": docs.join(held, "doc_id", "left_anti").withColumn("writer", F.lit(2))})
+
+    made = store.updated(slower)
+    return made.read("documents").select("doc_id", "lang", "n_chars", "writer", F.lit(len(tries)).alias("tries"), F.lit(made.number).alias("snapshot"))
+
+
 def search_friendly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of the marked lines for words with commas and endings."""
     return _results(search.search(FRIENDLY_QUERY, _marked(spark, sf_dir), 0, friendly=True))
@@ -420,12 +488,11 @@ def search_friendly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index that lacks two thirds of its documents, found out and built anew."""
-    store = Store(spark, f"{shared_folder(spark)}/rebuilt-{uuid.uuid4().hex}")
-    docs = _docs(spark, sf_dir)
-    lines = corpus.paragraphs(docs)
-    store.commit(documents=docs.select("doc_index", "file_name"), paragraphs=lines, postings=index.build(lines.where("doc_index % 3 = 0")))
+    store, docs = _new_store(spark, "rebuilt"), _named(spark, sf_dir)
+    made = segments.update(store.snapshot(), _versions(docs), _text(docs))
+    store.commit(made, postings=made.read("postings").where("rev % 3 = 0"))
     maintenance.rebuild_if_needed(store)
-    return _flat(store.read("postings"))
+    return _flat(segments.numbered(store.snapshot(), "postings"))
 
 
 def postings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,7 +545,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_policy_filter, sync_plan, change_detection, auto_numbering, docx_structure, line_breaks, parent_headings, section_parent_asof,
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
-        mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt,
+        mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments,
+        commit_conflict,
     )
 }
 QUERIES |= {f"candidates_{m}": _candidates(m) for m in search.MODES}

@@ -1,17 +1,21 @@
-"""Word-processor files as paragraphs: one Python step reads the container, windows do the rest."""
+"""Word-processor files as paragraphs: a data source reads the containers, windows do the rest."""
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..operators import numbering
 from . import files
@@ -77,22 +81,26 @@ def _without_empty_paragraphs(body: bytes) -> bytes:
 
 def read_raw(contents: DataFrame) -> DataFrame:
     """(doc, content) -> ``RAW`` rows; a file that can't be read has one row with ``error``."""
-    names = ["doc", "seq", "text", "style", "ilvl", "num_id", "error"]
-    types = [pa.string(), pa.int64(), *[pa.string()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [(doc, i, *p, None) for i, p in enumerate(raw_paragraphs(content or b""))]
-                except ValueError as e:
-                    rows = [(doc, 0, None, None, None, None, str(e)[:200])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield from _rows(doc, content or b"")
 
     return contents.select("doc", "content").mapInArrow(run, RAW)
 
 
+def _rows(doc: str | None, content: bytes) -> Iterator[pa.RecordBatch]:
+    names = ["doc", "seq", "text", "style", "ilvl", "num_id", "error"]
+    types = [pa.string(), pa.int64(), *[pa.string()] * 5]
+    try:
+        rows = [(doc, i, *p, None) for i, p in enumerate(raw_paragraphs(content))]
+    except ValueError as e:
+        rows = [(doc, 0, None, None, None, None, str(e)[:200])]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 #: Characters that XML 1.0 does not know.
 _NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
@@ -133,9 +141,81 @@ def structured(raw: DataFrame) -> DataFrame:
     return numbering.sections(numbering.numbered(numbering.classified(kept)))
 
 
+#: Files that one task of the data source opens, about; paths that are named in one read, at most.
+FILES_PER_TASK, MOST_PATHS = 64, 50_000
+
+
+@dataclass
+class _Files(InputPartition):
+    """Files that one task opens."""
+
+    value: list[tuple[str, str]]  # (name, path)
+
+
+class DocxReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root = options.get("path", "").removeprefix("file://").rstrip("/")
+        self.names = json.loads(options["names"]) if "names" in options else None
+        self.per_task = int(options.get("filespertask", FILES_PER_TASK))
+
+    def partitions(self) -> list[_Files]:
+        names = self.names if self.names is not None else sorted(files.documents_below(self.root))
+        return [_Files([(n, f"{self.root}/{n}") for n in names[k : k + self.per_task]]) for k in range(0, len(names), self.per_task)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        for name, path in partition.value:
+            try:
+                with open(path, "rb") as f:
+                    content = f.read()
+            except FileNotFoundError:
+                content = b""  # it went since it was listed: an error like that of a broken file
+            yield from _rows(name, content)
+
+
+class DocxSource(DataSource):
+    """Word-processor files as ``RAW`` rows, for ``spark.read.format("docx").load(folder)``.
+
+    Partitions are lists of files, and a file that is not in one is never opened. Option ``names``: a JSON list of paths below the
+    folder, in place of all documents that lie there (excluded folders and those too deep are not entered); ``filesPerTask``. The folder is one that
+    driver and executors can open; files elsewhere are read through ``read_named``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "docx"
+
+    def schema(self) -> str:
+        return RAW
+
+    def reader(self, schema: StructType) -> DocxReader:
+        return DocxReader(self.options)
+
+
+def read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``RAW`` rows of these files below a folder, ``MOST_PATHS`` at most; no other file is opened.
+
+    Files on local disks are read by the data source, others by Spark's reader of whole files, given their paths.
+    """
+    if len(names) > MOST_PATHS:
+        raise ValueError(f"{len(names)} paths in one read; at most {MOST_PATHS}")
+    if not names:
+        return spark.createDataFrame([], RAW)
+    if files.is_local(folder):
+        spark.dataSource.register(DocxSource)
+        return spark.read.format("docx").option("names", json.dumps(names)).load(folder)
+    root = folder.rstrip("/")
+    plain = [f"{root}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", n) for n in names]
+    found = spark.read.format("binaryFile").load(plain).select(files.below(F.col("path"), root).alias("doc"), "content")
+    return read_raw(found)
+
+
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """All documents below a folder: (paragraphs, errors)."""
-    listed = files.listing(spark, folder).where(files.is_document(F.col("path")) & ~files.in_excluded_folder(F.col("path")))
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("uri"), "content")
-    raw = read_raw(content.join(listed, "uri").select(F.col("path").alias("doc"), "content"))
+    """All documents below a folder: (paragraphs, errors). Contents are joined with nothing: what is no document is not opened."""
+    if files.is_local(folder):
+        spark.dataSource.register(DocxSource)
+        raw = spark.read.format("docx").load(folder)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(files.below(F.col("path"), folder.rstrip("/")).alias("doc"), "content")
+        doc = F.col("doc")
+        raw = read_raw(found.where(files.is_document(doc) & ~files.in_excluded_folder(doc) & (F.size(F.split(doc, "/")) <= files.MAX_DEPTH)))
     return structured(raw), raw.where("error is not null").select("doc", "error")

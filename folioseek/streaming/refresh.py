@@ -2,72 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import changes, index
-from ..tables import dense_index, stored
+from ..operators import changes, segments
 from ..sources import docx, files
-from ..sources.store import Store
+from ..sources.store import Snapshot, Store
+from ..tables import dense_index, stored
 
 PERIOD = "180 seconds"
-DOCUMENTS = "doc_index long, file_path string, file_name string, file_size long, last_modified long, word_count long, paragraph_count long"
+DOCUMENTS = "rev long, doc_key long, file_path string, file_name string, file_size long, last_modified long, word_count long, paragraph_count long"
 
 
-def refresh(spark: SparkSession, folder: str, store: Store) -> dict[str, int]:
+def refresh(spark: SparkSession, folder: str, store: Store, most_segments: int = 16) -> dict[str, int]:
     """Bring the stored index in line with the documents of ``folder``; returns processed, skipped, deleted, errors.
 
     New files are appended in the order of their paths, changed ones keep their index, deleted ones close the gap. A file that
-    can't be read keeps its old rows. Nothing is written if nothing changed. Two refreshes wait for one another.
+    can't be read keeps its old rows. New and changed files alone are opened, their rows alone are written; nothing is written if nothing changed.
+    Refreshes wait for one another; where a writer of another kind commits meanwhile, the refresh runs again on what that one left. Once the index has
+    more than ``most_segments`` segments it is compacted.
     """
     with store.locked():
-        return _refresh(spark, folder, store)
+        stats = store.updated(lambda base: _refresh(spark, folder, base))
+        segments.compact(store, most_segments)
+    return stats
+
+
+def listed(spark: SparkSession, folder: str):
+    """path, name, size, mtime_s of the documents of a folder."""
+    found = files.walk(spark, folder) if files.is_local(folder) else files.listing(spark, folder)
+    return found.where(files.is_document(F.col("path")) & ~files.in_excluded_folder(F.col("path")))
 
 
-def _refresh(spark: SparkSession, folder: str, store: Store) -> dict[str, int]:
-    found = files.listing(spark, folder).where(files.is_document(F.col("path")) & ~files.in_excluded_folder(F.col("path")))
-    first = store.current() is None
-    known = spark.createDataFrame([], DOCUMENTS) if first else store.read("documents")
+def _read(spark: SparkSession, folder: str, paths: DataFrame, n: int) -> DataFrame:
+    """Raw rows of the files in ``paths``, which are read in lists of a bounded length; written."""
+    if n <= docx.MOST_PATHS:
+        return stored(docx.read_named(spark, folder, [r["path"] for r in paths.collect()]), "raw")
+    numbers, out = stored(dense_index(paths, [F.col("path")], "k"), "paths"), None
+    for first in range(0, n, docx.MOST_PATHS):
+        names = [r["path"] for r in numbers.where(F.col("k").between(first, first + docx.MOST_PATHS - 1)).select("path").collect()]
+        part = stored(docx.read_named(spark, folder, names), "raw")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _refresh(spark: SparkSession, folder: str, base: Snapshot) -> dict[str, int]:
+    found = stored(listed(spark, folder), "listing")
+    known = segments.live(base, "documents") if base.has("documents") else spark.createDataFrame([], DOCUMENTS)
     plan = stored(changes.file_changes(found, known.select(F.col("file_path").alias("path"), "last_modified")), "changes")
     counts = {r["status"]: r["count"] for r in plan.groupBy("status").count().collect()}
-    todo = plan.where("status in ('new', 'changed')")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("uri"), "content")
-    raw = docx.read_raw(content.join(found.join(todo, "path").select("uri", F.col("path").alias("doc")), "uri"))
-    raw = stored(raw, "raw")
+    stats = {"processed": 0, "skipped": counts.get("unchanged", 0), "deleted": counts.get("deleted", 0), "errors": 0}
+    n_todo = counts.get("new", 0) + counts.get("changed", 0)
+    if not (n_todo or stats["deleted"]):
+        return stats
+
+    todo = plan.where("status in ('new', 'changed')").select("path")
+    raw = _read(spark, folder, todo, n_todo)
     failed = raw.where("error is not null").select(F.col("doc").alias("path")).distinct()
     good = stored(todo.join(failed, "path", "left_anti"), "good")
-    n_good, n_failed = good.count(), failed.count()
-    stats = {"processed": n_good, "skipped": counts.get("unchanged", 0), "deleted": counts.get("deleted", 0), "errors": n_failed}
+    stats["processed"] = good.count()
+    stats["errors"] = n_todo - stats["processed"]
     if not (stats["processed"] or stats["deleted"]):
         return stats
 
-    lines = stored(docx.structured(raw), "lines")
-    old = known.join(plan.where("status = 'deleted'").select(F.col("path").alias("file_path")), "file_path", "left_anti")
-    # Old documents in their order, then new ones by path: ranks are the new indexes.
-    rows = old.select("file_path", F.col("doc_index").alias("old_index")).unionByName(
-        good.where("status = 'new'").select(F.col("path").alias("file_path"), F.lit(None).cast("long").alias("old_index"))
-    )
-    numbers = dense_index(rows, [F.col("old_index").isNull().asc(), F.col("old_index").asc(), F.col("file_path").asc()], "new_index")
+    lines = stored(docx.structured(raw).withColumnRenamed("doc", "file_path"), "lines")
     words = F.size(F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda w: w != "")).cast("long")
-    sizes = lines.groupBy(F.col("doc").alias("file_path")).agg(F.sum(words).alias("word_count"), F.count(F.lit(1)).alias("paragraph_count"))
-    fresh = good.select(F.col("path").alias("file_path")).join(found.withColumnRenamed("path", "file_path"), "file_path").join(sizes, "file_path", "left")
-    fresh = fresh.join(numbers, "file_path").select(
-        F.col("new_index").alias("doc_index"), "file_path", F.col("name").alias("file_name"), F.col("size").alias("file_size"),
-        F.col("mtime_s").alias("last_modified"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("paragraph_count", F.lit(0)).alias("paragraph_count"),
-    )
-    same = old.join(good.select(F.col("path").alias("file_path")), "file_path", "left_anti").join(numbers.select("file_path", "new_index"), "file_path")
-    docs = same.withColumn("doc_index", F.col("new_index")).select(fresh.columns).unionByName(fresh)
-    new_lines = lines.join(fresh.select(F.col("file_path").alias("doc"), "doc_index", "file_name"), "doc").select(
-        "doc_index", "file_name", "position", "text", "line_breaks_after"
-    )
-    postings = index.build(new_lines)
-    if not first:
-        moved = same.select(known["doc_index"], "new_index")
-        postings = index.renumbered(store.read("postings"), moved).unionByName(postings)
-        kept = store.read("paragraphs").join(moved, "doc_index").withColumn("doc_index", F.col("new_index")).select(new_lines.columns)
-        new_lines = kept.unionByName(new_lines)
-    store.commit(documents=docs, paragraphs=new_lines, postings=postings)
+    sizes = lines.groupBy("file_path").agg(F.sum(words).alias("word_count"), F.count(F.lit(1)).alias("paragraph_count"))
+    fresh = good.join(found, "path").select(F.col("path").alias("file_path"), F.col("name").alias("file_name"), F.col("size").alias("file_size"), F.col("mtime_s").alias("last_modified"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    fresh = fresh.join(sizes, "file_path", "left").join(known.select("file_path", "doc_key"), "file_path", "left")
+    fresh = fresh.select("doc_key", "file_path", "file_name", "file_size", "last_modified", zero("word_count"), zero("paragraph_count"))
+    gone = plan.where("status = 'deleted'").select(F.col("path").alias("file_path"), F.lit(True).alias("gone"))
+    ended = gone.unionByName(good.select(F.col("path").alias("file_path"), F.lit(False).alias("gone")))
+    segments.update(base, fresh, lines, known.join(ended, "file_path").select("rev", "doc_key", "gone"))
     return stats
 
 

@@ -3,9 +3,10 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
-from folioseek.operators import changes
+from folioseek.operators import changes, segments
 from folioseek.sources import docx, files, store
 from folioseek.streaming import refresh
 
@@ -83,6 +84,10 @@ def test_changes(spark):
     assert changes.index_is_stale(now, indexed) and not changes.index_is_stale(now.where("false"), indexed) and not changes.index_is_stale(old, indexed)
 
 
+def numbered(kept, table, *columns):
+    return rows(segments.numbered(kept.snapshot(), table).select(*columns))
+
+
 def test_refresh_and_store(spark, tmp_path):
     folder, kept = tmp_path / "in", store.Store(spark, str(tmp_path / "index"))
     make_docx(folder / "a.docx", ["солдат один"])
@@ -98,10 +103,94 @@ def test_refresh_and_store(spark, tmp_path):
     make_docx(folder / "0.docx", ["новий солдат"])
     (folder / "broken.docx").write_text("x")
     assert refresh.refresh(spark, str(folder), kept) == {"processed": 2, "skipped": 1, "deleted": 1, "errors": 1}
-    assert rows(kept.read("documents").select("doc_index", "file_name")) == [(0, "b.docx"), (1, "c.docx"), (2, "0.docx")]
-    assert rows(kept.read("postings").where("term = 'солдат'").select("doc_index", "positions")) == [(0, [1]), (1, [1]), (2, [0])]
-    assert rows(kept.read("paragraphs").select("doc_index", "position", "text")) == [(0, 0, "сержант"), (0, 1, "солдат"), (1, 0, "капітан"), (1, 1, "солдат"), (2, 0, "новий солдат")]
-    assert kept.vacuum() == 1 and kept.read("documents").count() == 3
+    documents = [(0, "b.docx"), (1, "c.docx"), (2, "0.docx")]
+    lines = [(0, 0, "сержант"), (0, 1, "солдат"), (1, 0, "капітан"), (1, 1, "солдат"), (2, 0, "новий солдат")]
+    for compacted in (False, True):
+        assert numbered(kept, "documents", "doc_index", "file_name") == documents
+        assert [r[1:] for r in numbered(kept, "postings", "term", "doc_index", "positions") if r[0] == "солдат"] == [(0, [1]), (1, [1]), (2, [0])]
+        assert numbered(kept, "paragraphs", "doc_index", "position", "text") == lines
+        found = segments.search(kept.snapshot(), "солдат").select("doc_index", "n_matches")
+        assert rows(found) == [(0, 1), (1, 1), (2, 1)]
+        assert segments.compact(kept) is not compacted
+    assert kept.vacuum(grace=0) == 2 and numbered(kept, "documents", "doc_index", "file_name") == documents
+    assert len(os.listdir(tmp_path / "index/data")) == 3
+
+
+def test_refresh_opens_changed_files_only(spark, tmp_path):
+    folder, kept = tmp_path / "in", store.Store(spark, str(tmp_path / "index"))
+    for i in range(1000):
+        make_docx(folder / f"{i % 7}/{i}.docx", [f"солдат {i}"])
+    assert refresh.refresh(spark, str(folder), kept)["processed"] == 1000
+    # Were any of them opened again, it would be an error: they are no containers now.
+    for i in range(1000):
+        path = folder / f"{i % 7}/{i}.docx"
+        then = path.stat().st_mtime
+        path.write_text("unreadable")
+        os.utime(path, (then, then))
+    make_docx(folder / "3/3.docx", ["капітан"])
+    os.utime(folder / "3/3.docx", (4e9, 4e9))
+    before = {f: sum(len(fs) for _, _, fs in os.walk(tmp_path / "index" / f)) for f in kept.snapshot().tables["paragraphs"]}
+    assert refresh.refresh(spark, str(folder), kept) == {"processed": 1, "skipped": 999, "deleted": 0, "errors": 0}
+    now = kept.snapshot()
+    assert now.tables["paragraphs"][:1] == list(before) and len(now.tables["paragraphs"]) == 2
+    written = spark.read.parquet(f"{tmp_path}/index/{now.tables['paragraphs'][1]}")
+    assert rows(written.select("text")) == [("капітан",)]
+    assert segments.search(now, "солдат").count() == 999 and segments.search(now, "капітан").count() == 1
+
+
+def test_data_source(spark, tmp_path):
+    for name in ("a.docx", "x/b [1]*.docx", "x/.git/c.docx", "x/~$d.docx", "x/e.txt"):
+        make_docx(tmp_path / name, [name.split("/")[-1], "рядок"])
+    spark.dataSource.register(docx.DocxSource)
+    read = spark.read.format("docx")
+    assert [r[:3] for r in rows(read.load(str(tmp_path)).where("seq = 0").select("doc", "seq", "text"))] == [("a.docx", 0, "a.docx"), ("x/b [1]*.docx", 0, "b [1]*.docx")]
+    some = read.option("names", '["x/b [1]*.docx", "gone.docx"]').load(str(tmp_path))
+    assert [(r["doc"], r["error"] is None) for r in some.where("seq = 0").orderBy("doc").collect()] == [("gone.docx", False), ("x/b [1]*.docx", True)]
+    one_each = spark.read.format("docx").option("filesPerTask", 1).load(str(tmp_path))
+    assert one_each.rdd.getNumPartitions() == 2
+    assert docx.read_named(spark, str(tmp_path), []).isEmpty()
+    with pytest.raises(ValueError, match="at most"):
+        docx.read_named(spark, str(tmp_path), ["x"] * (docx.MOST_PATHS + 1))
+
+
+def test_named_files_through_spark(spark, tmp_path, monkeypatch):
+    for name in ("a.docx", "x/b [1]*{2}.docx", "x/other.docx"):
+        make_docx(tmp_path / name, [name])
+    monkeypatch.setattr(files, "is_local", lambda folder: False)
+    found = docx.read_named(spark, f"file://{tmp_path}", ["a.docx", "x/b [1]*{2}.docx"])
+    assert rows(found.select("doc", "text")) == [("a.docx", "a.docx"), ("x/b [1]*{2}.docx", "x/b [1]*{2}.docx")]
+    assert rows(docx.read_folder(spark, f"file://{tmp_path}")[0].select("doc")) == [("a.docx",), ("x/b [1]*{2}.docx",), ("x/other.docx",)]
+
+
+def test_walk(spark, tmp_path):
+    for p in ("2024/a.docx", "x y/é%20.docx", "/".join("d" * 9) + "/in.docx", "/".join("d" * 10) + "/deep.docx", "2024/.git/hidden", "2024/.github/hidden", "b.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("abc")
+    (tmp_path / "2024/link.docx").symlink_to(tmp_path / "b.txt")
+    (tmp_path / "empty").mkdir()
+    found = rows(files.walk(spark, str(tmp_path)).select("path", "name", "size"))
+    assert found == sorted([("2024/a.docx", "a.docx", 3), ("x y/é%20.docx", "é%20.docx", 3), ("/".join("d" * 9) + "/in.docx", "in.docx", 3), ("b.txt", "b.txt", 3)])
+    assert sorted(files.documents_below(str(tmp_path))) == sorted(p for p, _, _ in found if p.endswith(".docx"))
+    assert rows(files.walk(spark, str(tmp_path / "empty"))) == []
+    with pytest.raises(Exception, match="none"):
+        files.walk(spark, str(tmp_path / "none"))
+
+
+def test_walk_enters_no_excluded_folder(spark, tmp_path, monkeypatch):
+    make_docx(tmp_path / "a.docx", ["x"])
+    (tmp_path / ".git").mkdir()
+    entered = []
+    real = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda path: entered.append(str(path)) or real(path))
+    assert list(files.documents_below(str(tmp_path))) == ["a.docx"]
+    assert entered == [str(tmp_path)]
+
+
+def test_document_names(spark):
+    names = ["a.docx", "A.DOCX", "a..docx", "..docx", ".docx", "~$a.docx", "a.docx.tmp", "docx", "thumbs.db", ".DS_Store", "a.docx ", "x.y.docx"]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", files.is_document(F.col("n"))).collect()}
+    assert got == {n: files._is_document(n) for n in names}
+    assert [n for n in names if got[n]] == ["a.docx", "A.DOCX", "a..docx", "..docx", "x.y.docx"]
 
 
 def test_stream_triggers_a_refresh(spark, tmp_path):
