@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, release_memory, written
-from .packing import default_tokenizer, encode_texts
+from .packing import default_tokenizer, encode_texts, id_type
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -90,14 +90,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4")
+        end, kind = np.array([end_id], "<u4"), id_type(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 out: list[tuple] = []
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 for doc_id, raw in zip(part.column(0).to_pylist(), encode_texts(texts, path), strict=True):
-                    ids = np.concatenate([np.frombuffer(raw, "<u2").astype("<u4"), end])
+                    ids = np.concatenate([np.frombuffer(raw, kind).astype("<u4"), end])
                     out += [(doc_id, k, k * room, len(cut := ids[k * room : (k + 1) * room]), cut.tobytes()) for k in range(-(-len(ids) // room))]
                 columns = zip(*out, strict=True)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())

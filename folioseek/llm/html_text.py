@@ -2,7 +2,7 @@
 
 The builder knows void elements, implied start and end tags (paragraphs, list items, definition lists, options, table
 parts), raw-text elements and stray end tags. Nothing is emitted for elements that are not shown: scripts, styles, templates,
-the head, ``hidden``, ``display:none``, or text with ``visibility:hidden`` unless ``visible`` inside of it. Blocks stand on their own lines, paragraphs, headings, lists
+the head, ``hidden``, ``display:none``, a closed ``dialog``, a closed ``details`` but for its summary, or text with ``visibility:hidden`` unless ``visible`` inside of it. Blocks stand on their own lines, paragraphs, headings, lists
 and tables with a blank line around them, list items have a bullet or their number and an indent, and table cells
 stand under one another, those of several rows or columns in all of theirs. An element is rendered when it closes, so that no tree is kept and depth costs no
 recursion.
@@ -44,7 +44,7 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}),
 }
 #: Where the search for an open paragraph stops.
-SCOPE = {"td", "th", "caption", "table", "button", "html", "body"}
+SCOPE = set("annotation-xml applet button body caption desc foreignobject html marquee mi mn mo ms mtext object table td template th title".split())
 #: Cells longer than this don't widen their column, and a row goes on past it: else one long cell would fill every row with blanks.
 MOST_PADDING = 60
 #: List items, definitions and quotes inside one another beyond this are not set in further.
@@ -53,16 +53,29 @@ INDENTED = ("li", "dd", "blockquote")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_NO_BOX = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def _declared(style: str, wanted: tuple[str, ...]) -> dict[str, str]:
+    """The values of some properties in a style attribute: the last one of a property counts, or the last important one."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in _COMMENT.sub("", html.unescape(style)).split(";"):
+        name, colon, value = declaration.partition(":")
+        name = name.strip().lower()
+        if colon and name in wanted:
+            value, mark, rest = value.strip().lower().partition("!")
+            important = bool(mark) and rest.strip() == "important"
+            if important or name not in found or not found[name][0]:
+                found[name] = important, value.strip()
+    return {name: value for name, (_, value) in found.items()}
+
+
 class _Frame:
     """An open element. Inline elements share the lines of the block around them."""
 
-    __slots__ = ("tag", "hidden", "unseen", "pre", "block", "inline", "blocks", "rows", "span", "down", "number")
+    __slots__ = ("tag", "hidden", "unseen", "pre", "block", "inline", "blocks", "rows", "span", "down", "number", "shut")
 
     def __init__(self, tag: str, hidden: bool, unseen: bool, pre: bool, block: _Frame | None):
         self.tag, self.hidden, self.unseen, self.pre = tag, hidden, unseen, pre
@@ -72,6 +85,7 @@ class _Frame:
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # of a table: cells (columns, rows, lines); of a row: one list
         self.span = self.down = 1
         self.number = 1
+        self.shut = False  # a closed disclosure: nothing but its first summary is shown
 
     def flush(self) -> None:
         if not self.inline:
@@ -165,6 +179,11 @@ class _Page:
         """``hidden``: it has no box, nor has what is inside. ``unseen``: its text is not visible; None takes that over from around it."""
         top = self.stack[-1]
         block = tag in BLOCK
+        if top.shut:
+            if tag == "summary" and not top.rows:
+                top.rows = [[]]  # it has its summary now
+            else:
+                hidden = True
         frame = _Frame(tag, top.hidden or hidden, top.unseen if unseen is None else unseen, top.pre or pre, None if block else top.block)
         if block:
             top.block.flush() if not frame.hidden else None
@@ -252,7 +271,7 @@ class _Page:
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            if not (self.stack[-1].hidden or self.stack[-1].unseen):
+            if not (self.stack[-1].hidden or self.stack[-1].unseen or self.stack[-1].shut):
                 self.stack[-1].block.inline.append("\0")
             return
         if tag in BLOCK and self.open.get("head"):
@@ -267,18 +286,23 @@ class _Page:
             self.start("tr", "")
         elif tag in ("tr", "tbody", "thead", "tfoot", "caption") and not self.open.get("table"):
             self.push("table")
-        hidden, unseen, span, down, number, kind = tag in UNSEEN, None, 1, 1, None, ""
-        if attributes and ("=" in attributes or "idden" in attributes.lower()):
+        hidden, unseen, span, down, number, kind, opened = tag in UNSEEN, None, 1, 1, None, "", False
+        if attributes and ("=" in attributes or "idden" in attributes.lower() or tag in ("details", "dialog")):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or name == "style" and _NO_BOX.search(value):
+                if name == "hidden":
                     hidden = True
-                elif name == "style" and (found := _VISIBILITY.search(value)):
-                    unseen = found[1].lower() != "visible"
+                elif name == "style":
+                    style = _declared(value, ("display", "visibility"))
+                    hidden = hidden or style.get("display") == "none"
+                    if style.get("visibility") in ("hidden", "collapse", "visible"):
+                        unseen = style["visibility"] != "visible"
+                elif name == "open":
+                    opened = True
                 elif name == "rowspan" and value.isascii() and value.isdigit():
-                    down = min(max(1, int(value[:5])), 65_534)
+                    down = 65_534 if len(value.lstrip("0")) > 5 else min(max(1, int(value)), 65_534)
                 elif name == "colspan" and value.isascii() and value.isdigit():
-                    span = min(max(1, int(value[:4])), 1000)
+                    span = 1000 if len(value.lstrip("0")) > 4 else min(max(1, int(value)), 1000)
                 elif name == ("value" if tag == "li" else "start") and re.fullmatch(r"-?[0-9]{1,9}", value):
                     number = int(value)
                 elif name == "type":
@@ -286,7 +310,7 @@ class _Page:
         elif attributes.strip() == "hidden":
             hidden = True
         if tag in VOID:
-            if not (hidden or self.stack[-1].hidden or (self.stack[-1].unseen if unseen is None else unseen)):
+            if not (hidden or self.stack[-1].hidden or self.stack[-1].shut or (self.stack[-1].unseen if unseen is None else unseen)):
                 block = self.stack[-1].block
                 if tag == "hr":
                     block.flush()
@@ -295,8 +319,9 @@ class _Page:
                     shown = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "value"), "")
                     block.inline.append(html.unescape(shown).replace("\0", ""))
             return
+        hidden = hidden or tag == "dialog" and not opened
         frame = self.push(tag, hidden, tag in ("pre", "textarea", "listing"), unseen)
-        frame.span, frame.down = span, down
+        frame.span, frame.down, frame.shut = span, down, tag == "details" and not opened
         frame.number = number if tag == "li" else 1 if number is None else number
 
     def in_table(self, tag: str) -> bool:
@@ -322,7 +347,7 @@ class _Page:
             self.close_within({"td", "th"}, {"table"})
         elif tag in ("body", "html"):
             pass  # what follows still belongs to the body
-        elif tag in BLOCK or tag in ("button", "select", "svg", "object", "template", "video", "audio", "canvas", "head", "noscript"):
+        elif tag in BLOCK or tag in ("applet", "button", "marquee", "select", "svg", "object", "template", "video", "audio", "canvas", "head", "noscript"):
             self.close(tag)
         elif self.open.get(tag):
             # An inline element ends here unless a block around it does.
@@ -337,7 +362,7 @@ class _Page:
 
     def text(self, raw: str) -> None:
         top = self.stack[-1]
-        if top.hidden or top.unseen:
+        if top.hidden or top.unseen or top.shut:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if "\0" in text:
@@ -404,7 +429,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, html -> page_id, text, n_chars, n_lines for every row.
 
     Null and empty pages have an empty text and no lines. Rows with equal or null ids are pages of their own. Text with no
-    markup is its own text, white space collapsed. An empty table gives no rows; other columns are not read.
+    markup is its own text, white space collapsed. A page of any length is rendered whole, by one task. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ NGRAMS = (3, 4)
 PROBES = 3
 #: Labelled documents of each language that are learned from (those with the least hash of doc_id), at most.
 SAMPLE = 1000
+#: Languages that are learned at most, those with most documents: the filters and their sums hold a bit and a row for each.
+MOST_LANGUAGES = 4096
 #: Least rates of the n-grams in a language's filters, of which each n-gram is in all up to its own.
 RATES = (0.0, *(2.0**-e for e in (20, 18, 16, 14, 12, 10, 8)))
 LEVELS = len(RATES)
@@ -127,13 +129,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _sampled(usable: DataFrame, sample: int) -> DataFrame:
-    """lang, text of at most ``sample`` documents a language, those with the least hash of their id.
+    """lang, text of at most ``sample`` documents a language, those with the least hash of their id, of the ``MOST_LANGUAGES`` with most documents.
 
     Rows that can't be among them by far are left out before the rows of a language are ranked, so that no task ranks many more
     than ``sample`` of one. Of the rows of one id one text is read.
     """
     slim = usable.where("doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    sizes = F.broadcast(slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))  # a row for each language
+    sizes = F.broadcast(slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES))
     share = F.col("_h") / F.lit(2.0**64) + 0.5
     slim = slim.join(sizes, "lang").where(share * F.col("_n") <= sample + 6 * math.sqrt(sample)).select("doc_id", "lang", "_h").distinct()
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")

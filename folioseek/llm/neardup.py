@@ -21,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, columns, in_small_batches, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, utf8, word_hashes, words, written
+from .common import blocks, columns, in_small_batches, release_memory, shingle_hashes, shuffle_partitions, small_or_shuffled, unused, utf8, word_hashes, words, written
 from .embeddings import _by_run, _forest, _runs
 from .graph import components
 
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
 def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose component has a smaller doc_id.
 
-    Of rows with one doc_id one stays. Rows with a null doc_id stay.
+    Of rows with one doc_id one stays, the first in the order of their values as JSON, so that reruns agree. Rows with a null doc_id stay.
     """
     found = written(near_duplicates(docs, threshold).select("doc_id", "kept"), "kept")
     gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
@@ -347,5 +347,8 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
     left = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*columns(docs.columns))
     if again.isEmpty():
         return left
-    once = left.join(again, "doc_id", "left_semi").select(*columns(docs.columns)).dropDuplicates(["doc_id"])
+    twice = left.join(again, "doc_id", "left_semi").select(*columns(docs.columns))
+    rank = unused(docs.columns, "_rank")
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*columns(docs.columns))))
+    once = twice.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     return left.join(again, "doc_id", "left_anti").select(*columns(docs.columns)).unionByName(once)

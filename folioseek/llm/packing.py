@@ -10,10 +10,11 @@ that less than one sequence of padding is left. Patterns are joined back to docu
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ END_ID = 2
 SALTS = 256
 CACHED_WORDS = 300_000
 
-_known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_known: dict[str, tuple[object, dict[bytes, bytes] | None, str]] = {}
 
 
 def default_tokenizer() -> str:
@@ -37,17 +38,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How a tokenizer file must normalise and cut for words to be encoded one by one (fixed values: the lower-casing word tokenizer's).
+_BY_WORDS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _loaded(path: str):
+    """(tokenizer, cache of words, numpy type of its ids); without a cache where texts must be encoded whole."""
     if path not in _known:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        file = json.loads(tokenizer.to_str())
+        by_words = all(file[k] == v for k, v in _BY_WORDS.items()) and all(t["content"].startswith(_MAY_BE_SPECIAL.decode()) for t in file["added_tokens"])
+        kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        _known[path] = tokenizer, {} if by_words and kind == "<u2" else None, kind
     return _known[path]
 
 
+def id_type(path: str) -> str:
+    """The numpy type in which ``encode_texts`` gives the ids of a tokenizer file: as narrow as its vocabulary allows."""
+    return _loaded(path)[2]
+
+
 #: Words that need no normalising but lower case: printable ASCII without the apostrophe, and Latin-1 letters.
 _SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 #: What the strings of special tokens begin with. These are matched as they stand, so that words with it are not lower-cased here.
@@ -91,12 +123,18 @@ def _learn(words: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 16-bit numbers.
+    """Ids of each text as little-endian numbers of ``id_type``.
 
-    This tokenizer drops white space and lower-cases, and no token crosses white space, so a text's ids are those of its
-    words one after another; words that occurred are kept in a bounded cache.
+    A tokenizer that drops white space and lower-cases, so that no token crosses white space, has for a text the ids of its
+    words one after another; words that occurred are kept in a bounded cache. With any other file texts are encoded whole.
     """
-    tokenizer, cache = _loaded(path)
+    tokenizer, cache, kind = _loaded(path)
+    if cache is None:
+        out = []
+        for at in range(0, len(texts), 16):
+            encoded = tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 16]], add_special_tokens=False)
+            out += [np.array(e.ids, kind).tobytes() for e in encoded]
+        return out
     split = [t.lower().split() if _MAY_BE_SPECIAL not in t else [w if _MAY_BE_SPECIAL in w else w.lower() for w in t.split()] for t in texts]
     new = list(set(chain.from_iterable(split)).difference(cache))
     if len(cache) + len(new) > CACHED_WORDS:
@@ -108,7 +146,8 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) -> row_id, doc_id, n_tokens, ids: written, so that row_id stays the same."""
-    end = END_ID.to_bytes(2, "little")
+    kind = id_type(tokenizer)
+    end = np.array([END_ID], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +155,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
                 part = batch.slice(at, 128)
                 ids = [x + end for x in encode_texts([(t or "").encode() for t in part.column(1).to_pylist()], tokenizer)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
+                    [part.column(0), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
                 )
         batch = part = ids = None
         release_memory()
@@ -232,17 +271,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = MAX_TOKENS)
     fields = ["start", "length", "sequence_id", "offset"]
     pieces = ends.unionByName(fulls).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces"))
     joined = tokens.join(pieces, "row_id").select("doc_id", "n_tokens", "ids", "pieces")
-    return joined.mapInArrow(_cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(_cutter(id_type(tokenizer or default_tokenizer())), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    for batch in batches:
-        out = []
-        for doc_id, n, ids, pieces in zip(*(c for c in batch.columns), strict=True):
-            doc_id, n = doc_id.as_py(), n.as_py()
-            wide = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
-            for p in pieces.as_py():
-                a, k = p["start"], p["length"]
-                out.append((doc_id, a, k, zlib.crc32(wide[a : a + k]), n, p["sequence_id"], p["offset"]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, n, ids, pieces in zip(*(c for c in batch.columns), strict=True):
+                doc_id, n = doc_id.as_py(), n.as_py()
+                wide = np.frombuffer(ids.as_buffer(), kind).astype("<u4")
+                for p in pieces.as_py():
+                    a, k = p["start"], p["length"]
+                    out.append((doc_id, a, k, zlib.crc32(wide[a : a + k]), n, p["sequence_id"], p["offset"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, names)
+
+    return run

@@ -6,6 +6,7 @@ their list; ``read_archives`` reads such files as rows and validates every heade
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -22,6 +23,14 @@ from .common import shared_folder, written
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+REVISIT_PROFILES = (
+    REVISIT_PROFILE,
+    "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest",
+    "http://netpreserve.org/warc/1.1/revisit/server-not-modified",
+    "http://netpreserve.org/warc/1.0/revisit/server-not-modified",
+)
+#: Skippable frames are those whose magic number is one of 16 from this one on.
+SKIPPABLE_MAGIC = 0x184D2A50
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
@@ -63,39 +72,77 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict:
-    """The fields of one record; ValueError if a header or a length is wrong."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
+#: Fields that every record has, and types of records beside responses and revisits: these are passed through.
+NEEDED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
+OTHER_TYPES = {"warcinfo", "request", "metadata", "resource", "conversion", "continuation"}
+
+
+def _is_digest_of(label: str, data: bytes) -> bool:
+    """Whether a labelled digest (sha256 or sha1, as hex or base 32) is that of ``data``; other algorithms are not held against it."""
+    algorithm, colon, value = label.partition(":")
+    if not colon or not value:
+        raise ValueError("bad digest")
+    if algorithm.lower() not in ("sha1", "sha256"):
+        return True
+    digest = hashlib.new(algorithm.lower(), data).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
+def _parse_fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8").split("\r\n")
-    if not gap or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
+    if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
         raise ValueError("no record header")
     fields: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name or name.lower() in fields:
+        if line[:1] in " \t" and fields:  # a folded line goes on with the one before
+            fields[next(reversed(fields))] += " " + line.strip()
+            continue
+        if not colon or not name or name.lower() in fields and name.lower() != "warc-concurrent-to":
             raise ValueError(f"bad header line {line[:60]!r}")
         fields[name.lower()] = value.strip()
-    if lost := {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - fields.keys():
+    return fields
+
+
+def parse_record(data: bytes) -> dict:
+    """The fields of one record; ValueError if a header, a length or a digest is wrong.
+
+    Responses and revisits of web pages have their payload's length and SHA-256; where a record names another digest, it is checked
+    as well. Records of other types are passed through with their block as payload.
+    """
+    head, gap, rest = data.partition(b"\r\n\r\n")
+    fields = _parse_fields(head)
+    if not gap:
+        raise ValueError("no record header")
+    if lost := NEEDED - fields.keys():
         raise ValueError(f"missing {', '.join(sorted(lost))}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("the block's length is not Content-Length")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
+    block, kind = rest[:-4], fields["warc-type"]
+    if "warc-block-digest" in fields and not _is_digest_of(fields["warc-block-digest"], block):
+        raise ValueError("the block does not have its digest")
+    number = lambda name: int(fields[name]) if name in fields else None
+    out = {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("x-refers-to-page-id")}
+    web = fields.get("content-type", "application/http").lower().startswith("application/http")
+    if kind in OTHER_TYPES or kind == "response" and not web:
+        return out | {"payload": block, "payload_bytes": len(block), "payload_digest": hashlib.sha256(block).hexdigest()}
+    http, gap, payload = block.partition(b"\r\n\r\n")
     length = re.search(rb"(?mi)^content-length: *(\d+)\r?$", http)
-    if not gap or not http.startswith(b"HTTP/1.") or not length:
+    if not gap or not http.startswith(b"HTTP/"):
         raise ValueError("no HTTP header")
-    kind, (algorithm, _, digest) = fields["warc-type"], fields["warc-payload-digest"].partition(":")
-    if algorithm != "sha256" or not re.fullmatch("[0-9a-f]{64}", digest):
-        raise ValueError("bad payload digest")
+    label = fields.get("warc-payload-digest", "")
+    own = label.removeprefix("sha256:") if re.fullmatch("sha256:[0-9a-f]{64}", label) else None
     if kind == "response":
-        if len(payload) != int(length[1]) or hashlib.sha256(payload).hexdigest() != digest:
+        # Bodies that were sent in chunks or compressed have lengths of their own, if any.
+        encoded = re.search(rb"(?mi)^(transfer|content)-encoding:", http)
+        if length and not encoded and len(payload) != int(length[1]) or label and not _is_digest_of(label, payload):
             raise ValueError("the payload does not have its length or digest")
-    elif kind != "revisit" or payload or fields.get("warc-profile") != REVISIT_PROFILE or "warc-refers-to" not in fields:
+        return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": own or hashlib.sha256(payload).hexdigest()}
+    if kind != "revisit" or payload or fields.get("warc-profile") not in REVISIT_PROFILES or "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields:
         raise ValueError(f"bad record of type {kind[:20]}")
-    number = lambda name: int(fields[name]) if name in fields else None
-    return {
-        "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None,
-        "payload_bytes": int(length[1]), "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page-id"),
-    }
+    if not re.fullmatch("[A-Za-z0-9]+:[A-Za-z0-9=+/_-]+", label):
+        raise ValueError("bad payload digest")
+    return out | {"payload": None, "payload_bytes": int(length[1]) if length else None, "payload_digest": own or label}
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -119,7 +166,11 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def read_archive(content: bytes) -> Iterator[dict]:
-    """The records of one archive; a bad frame or record gives a row with ``error`` instead."""
+    """The records of one archive; a bad frame or record gives a row with ``error`` instead.
+
+    A dictionary is read from a skippable frame at the beginning, other skippable frames are passed over; frames need not tell
+    the size of their content.
+    """
     import zstandard
 
     data, at, dictionary = memoryview(content), 0, None
@@ -134,13 +185,18 @@ def read_archive(content: bytes) -> Iterator[dict]:
         dictionary = zstandard.ZstdCompressionDict(raw)
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & ~15 == SKIPPABLE_MAGIC:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                yield {"error": "a skippable frame is cut off"}
+            continue
         try:
             end = frame_end(data, at)
         except ValueError as e:
             yield {"error": str(e)}
             return  # what follows can't be told apart
         try:
-            yield parse_record(reader.decompress(data[at:end]))
+            yield parse_record(reader.decompressobj().decompress(data[at:end]))
         except (ValueError, zstandard.ZstdError) as e:
             yield {"error": str(e)[:200] or "bad record"}
         at = end
@@ -244,8 +300,8 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives into the shared folder and read them back.
 
     Null html is an empty payload; a null page_id or url has no such header. Repeated rows each have their
-    record; rows equal in payload and page_id to the smallest are responses as well. An empty table gives no
-    rows; other columns are not archived.
+    record; rows equal in payload and page_id to the smallest are responses as well. A page of any length is one record, and an archive of its own
+    if it is longer than those. An empty table gives no rows; other columns are not archived.
     """
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     made = write_archives(with_revisits(pages), folder)
