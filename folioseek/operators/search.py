@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,11 +79,15 @@ def matches(words: list[str], paragraphs: DataFrame, postings: DataFrame | None,
         return rows.where(F.lit(False))
     if postings is not None:
         hits = candidates(postings, words, "full", 0).select("doc_index", F.explode("positions").alias("position"))
-        hits = stored(hits, "hits")
-        rows = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, ["doc_index", "position"], "left_semi")
+        rows = at(rows, stored(hits, "hits"))
     return rows.where(verified(words, without_basis))
 
 
+def at(paragraphs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The paragraphs at these places (a written table), which are broadcast if they are counted to be few."""
+    return paragraphs.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, ["doc_index", "position"], "left_semi")
+
+
 def request(
     query: str, paragraphs: DataFrame, total_documents: int, postings: DataFrame, full_search: bool = False, view_mode: str | None = None
 ) -> tuple[DataFrame, dict[str, int]]:
@@ -107,21 +111,40 @@ def two_phase(query: str, paragraphs: DataFrame, total_documents: int, postings:
     return ranked(found.withColumn("phase", F.when(in_mode("quick", total_documents), 0).otherwise(1)), F.col("phase").asc())
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_HITS else rows
+
+
 def search_many(queries: DataFrame, paragraphs: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, words) -> query_id, doc_index, position of every matching paragraph.
 
-    The words are joined with the postings on the term, so that no query is compared with all paragraphs.
+    The postings of the queries' words alone are kept. Each query's rarest word gives its candidates, and its other words are looked up for
+    these by word and document, so that a common word is never joined with all the queries that have it. Paragraphs are read, and normalised, at
+    the places of candidates only. Queries, candidates and places are broadcast where they are counted to be few.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    hits = postings.join(terms, "term").groupBy("query_id", "doc_index").agg(
+    asked = queries.select("query_id", F.array_distinct("words").alias("terms"))
+    terms = stored(asked.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("k")), "terms")
+    mine = postings.join(_few(stored(terms.select("term").distinct(), "words")), "term", "left_semi").select("term", "doc_index", "positions")
+    mine = stored(mine.repartitionByRange("term", "doc_index").sortWithinPartitions("term", "doc_index"), "wanted")
+    sizes = mine.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.col("n").asc(), F.col("term").asc())
+    known = terms.join(sizes, "term").withColumn("place", F.row_number().over(order)).withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    known = stored(known.where(F.col("found") == F.col("k")).drop("found", "n"), "known")  # a query with an unknown word finds nothing
+    rarest, others = known.where("place = 1"), known.where("place > 1").select("query_id", "term")
+    first = stored(mine.join(_few(rarest.select("query_id", "term", "k")), "term").select("query_id", "k", "doc_index", "positions"), "candidates")
+    more = _few(stored(first.select("query_id", "k", "doc_index").join(_few(others), "query_id"), "looked-up"))
+    more = mine.join(more, ["term", "doc_index"]).select("query_id", "k", "doc_index", "positions")
+    every = first.unionByName(more).groupBy("query_id", "k", "doc_index").agg(
         F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions")
     )
-    hits = hits.join(queries, "query_id").where(F.col("n") == F.size(F.array_distinct("words")))
-    hits = hits.select("query_id", "words", "doc_index", F.explode("positions").alias("position"))
-    norm = paragraphs.select("doc_index", "position", T.normalised(F.col("text")).alias("norm"))
+    hits = stored(every.where(F.col("n") == F.col("k")).select("query_id", "doc_index", F.explode("positions").alias("position")), "hits")
+    lines = at(paragraphs.select("doc_index", "position", "text"), stored(hits.select("doc_index", "position").distinct(), "places"))
+    lines = lines.select("doc_index", "position", T.normalised(F.col("text")).alias("norm"))
     near = ~F.size("words").between(2, 3) | T.near_in_order(F.col("norm"), F.col("words"))
     all_in = F.forall("words", lambda w: F.contains(F.col("norm"), w))
-    return hits.join(norm, ["doc_index", "position"]).where(all_in & near).select("query_id", "doc_index", "position")
+    found = lines.join(_few(hits), ["doc_index", "position"]).join(_few(stored(queries.select("query_id", "words"), "queries")), "query_id")
+    return found.where(all_in & near).select("query_id", "doc_index", "position")
 
 
 def file_search(files: DataFrame, query: str, limit: int | None = MOST_FILES, least: int = 1) -> DataFrame:

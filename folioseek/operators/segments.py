@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.store import Snapshot, Store
 from ..tables import dense_index, stored
-from . import index
+from . import context, grams, index
 from . import search as searching
 
 #: Marks that are broadcast at most.
@@ -62,12 +62,18 @@ def _running(sizes: DataFrame) -> DataFrame:
     return rows.join(starts, "_group").select("_block", (F.col("_own") + F.col("_start")).alias("_before"))
 
 
-def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFrame | None = None) -> Snapshot:
+#: Tables that follow from the paragraphs; grams only if they are asked for.
+DERIVED = {"postings": index.build, "outline": context.outline, "grams": grams.build}
+TABLES = ("documents", "paragraphs", *DERIVED)
+
+
+def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFrame | None = None, with_grams: bool = False) -> Snapshot:
     """Append versions of documents and mark others; commits on ``base``, which is a ``Conflict`` if another writer came first.
 
     ``fresh``: file_path, file_name, doc_key (null for a new document, which goes after all others, in the order of paths) and any columns of
     documents. ``lines``: file_path, position, text, line_breaks_after of these. ``dropped``: rev, doc_key, gone of the versions that end (gone: without
-    a new one). Only these rows are written.
+    a new one). Only these rows are written: paragraphs, postings, outline and, if the store has them or they are asked for with its first
+    segment, grams.
     """
     store, known = base.store, base.properties
     next_key, next_rev = known.get("next_key", 0), known.get("next_rev", 0)
@@ -79,10 +85,13 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
     docs = stored(fresh.join(placed, "file_path").withColumn("doc_key", key).withColumn("rev", F.col("_place") + next_rev).drop("_place"), "versions")
     append: dict[str, DataFrame | str] = {}
     if n:
-        text = lines.join(docs.select("file_path", "file_name", "rev"), "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
+        own = lines.select("file_path", "position", "text", "line_breaks_after")
+        text = own.join(docs.select("file_path", "file_name", "rev"), "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
         append = {"documents": docs, "paragraphs": store.written("paragraphs", text)}
         written = store.spark.read.parquet(f"{store.folder}/{append['paragraphs']}")
-        append["postings"] = index.build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
+        for table, build in DERIVED.items():
+            if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
+                append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
     marks = gone = 0
     if dropped is not None:
         dropped = stored(dropped.select("rev", "doc_key", "gone"), "dropped")
@@ -108,14 +117,15 @@ def compact(store: Store, most_segments: int = 1) -> bool:
         n = numbers.count()
         properties = {"next_key": n, "next_rev": n, "documents": n, "segments": 1, "marks": 0}
         docs = docs.join(numbers, "rev").withColumns({"rev": F.col("new"), "doc_key": F.col("new")}).drop("new")
-        store.commit(base, drop=("deleted",), properties=properties, documents=docs, paragraphs=again(live(base, "paragraphs")), postings=again(live(base, "postings")))
+        rest = {t: again(live(base, t)) for t in TABLES if t != "documents" and base.has(t)}
+        store.commit(base, drop=("deleted",), properties=properties, documents=docs, **rest)
         return True
 
     return store.updated(step)
 
 
 def numbered(snapshot: Snapshot, table: str) -> DataFrame:
-    """Live rows of ``documents``, ``paragraphs`` or ``postings`` under their dense doc_index, in place of rev and doc_key."""
+    """Live rows of a table under their dense doc_index, in place of rev and doc_key."""
     docs = with_index(snapshot, live(snapshot, "documents"))
     if table == "documents":
         return docs.drop("rev", "doc_key")
@@ -133,19 +143,46 @@ def _in_mode(snapshot: Snapshot, mode: str) -> Column:
     return quick if mode == "quick" else ~quick
 
 
-def search(snapshot: Snapshot, query: str, mode: str = "full", view_mode: str | None = None, friendly: bool = False) -> DataFrame:
+def _matches(snapshot: Snapshot, query: str, mode: str, view_mode: str | None, friendly: bool, substring: bool) -> DataFrame:
+    """rev (as doc_index), file_name, position, text of the matching paragraphs."""
+    words, chosen = T.query_terms(query, friendly), F.lit(True) if substring else _in_mode(snapshot, mode)
+    as_index = lambda table: live(snapshot, table).where(chosen).withColumnRenamed("rev", "doc_index")
+    if not substring:
+        return searching.matches(words, as_index("paragraphs"), as_index("postings"), view_mode == "fragments")
+    if not snapshot.has("grams"):
+        return searching.matches(words, as_index("paragraphs"), None, view_mode == "fragments")
+    return grams.matches(words, as_index("paragraphs"), as_index("grams"), view_mode == "fragments")
+
+
+def _indexed(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
+    """Rows whose doc_index is a rev, under the dense doc_index."""
+    keys = live(snapshot, "documents").select(F.col("rev").alias("doc_index"), "doc_key")
+    return with_index(snapshot, rows.join(keys, "doc_index").drop("doc_index")).drop("doc_key")
+
+
+def search(snapshot: Snapshot, query: str, mode: str = "full", view_mode: str | None = None, friendly: bool = False, substring: bool = False) -> DataFrame:
     """Matching documents of a snapshot, ranked, as ``operators.search.search`` gives them.
 
-    Terms and marks are looked up first; only the paragraphs of candidates are read, by ranges of rev.
+    Terms and marks are looked up first; only the paragraphs of candidates are read, by ranges of rev. ``substring``: as a scan without an index
+    finds them, words being parts of words and ``mode`` without effect; from the grams, if the store has them.
     """
-    words = T.query_terms(query, friendly)
-    chosen = _in_mode(snapshot, mode)
-    as_index = lambda rows: rows.where(chosen).withColumnRenamed("rev", "doc_index")
-    postings, lines = as_index(live(snapshot, "postings")), as_index(live(snapshot, "paragraphs"))
-    found = searching.matches(words, lines, postings, view_mode == "fragments")
-    keys = live(snapshot, "documents").select(F.col("rev").alias("doc_index"), "doc_key")
-    rows = with_index(snapshot, found.join(keys, "doc_index").drop("doc_index")).drop("doc_key")
-    return searching.ranked(searching.grouped(rows))
+    found = _matches(snapshot, query, mode, view_mode, friendly, substring)
+    return searching.ranked(searching.grouped(_indexed(snapshot, found)))
+
+
+def search_extracts(snapshot: Snapshot, query: str, mode: str = "full", view_mode: str | None = None, friendly: bool = False, substring: bool = False) -> DataFrame:
+    """What is shown around each matching paragraph (see ``context.extracts``), looked up in the stored outline of its document."""
+    found = stored(_matches(snapshot, query, mode, view_mode, friendly, substring).select("doc_index", "position"), "matches")
+    docs = stored(found.select("doc_index").distinct(), "found")
+    docs = F.broadcast(docs) if docs.count() <= BROADCAST_MARKS else docs
+    mine = lambda table: live(snapshot, table).withColumnRenamed("rev", "doc_index").join(docs, "doc_index", "left_semi")
+    return _indexed(snapshot, context.extracts_by(mine("outline"), mine("paragraphs"), found))
+
+
+def search_many(snapshot: Snapshot, queries: DataFrame) -> DataFrame:
+    """(query_id, words) -> query_id, doc_index, position of every matching paragraph of a snapshot."""
+    as_index = lambda table: live(snapshot, table).withColumnRenamed("rev", "doc_index")
+    return _indexed(snapshot, searching.search_many(queries, as_index("paragraphs"), as_index("postings")))
 
 
 def request(snapshot: Snapshot, query: str, full_search: bool = False, view_mode: str | None = None) -> tuple[DataFrame, dict[str, int]]:

@@ -300,6 +300,12 @@ SELECT path, reason FROM s WHERE reason IS NOT NULL""",
     "refresh_segments": f"{_SEGMENTED} {_POSTINGS}",
     "index_compacted": f"{_SEGMENTED} {_POSTINGS}",
     "search_segments": f"{_SEGMENTED} {_results(Q.NEAR_QUERY, True, 'quick')}",
+    "index_stored": f"""{PD}, x AS (SELECT doc_index, replace(lower(text), '''', '') AS t FROM p), o AS (SELECT doc_index, t, unnest(range(1, length(t) - 1)) AS i FROM x)
+SELECT 'documents' AS "table", count(*) AS n FROM d UNION ALL SELECT 'paragraphs', count(*) FROM p UNION ALL SELECT 'outline', count(*) FROM p
+UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT term, doc_index FROM pd) UNION ALL SELECT 'grams', count(*) FROM (SELECT DISTINCT substr(t, i, 3), doc_index FROM o)""",
+    "search_substring": f"{P} {_results(Q.WIDE_QUERY, False)}",
+    "file_name_search_grams": f"SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '{Q.NAME_QUERY}')",
+    "search_extracts": _EXTRACTS.replace(f"contains(text, '{Q.ONE_QUERY}')", f"contains(replace(lower(text), '''', ''), '{Q.ONE_QUERY}')"),
     "commit_conflict": """SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 1 ELSE 2 END AS writer, 2 AS tries, 3 AS snapshot FROM documents""",
     "auto_numbering": f"""{P}, v AS (SELECT doc_index AS doc, position AS seq, nullif((position * 7 + doc_index) % 6, 0) AS level FROM p), {_counters('v')}
 SELECT doc, seq, level, number FROM n""",
@@ -360,4 +366,9 @@ SELECT doc_index, count(DISTINCT position)::BIGINT AS n_positions FROM pd GROUP
     "event_feed_latest": "SELECT user_id, count(*) AS n, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
 }
 # Files hold what was put into them.
+ORACLE["batch_search_stored"] = ORACLE["batch_search"]
+# The same queries by scan: words are parts of words, and no posting is needed.
+ORACLE["batch_scan"] = ORACLE["batch_search"].split("h AS (")[0] + f"""t AS (SELECT query_id, a, b, doc_index, position, replace(lower(text), '''', '') AS t FROM q JOIN p ON contains(replace(lower(text), '''', ''), a) AND contains(replace(lower(text), '''', ''), b)),
+k AS (SELECT *, substr(t, strpos(t, a) + length(a)) AS rest FROM t)
+SELECT query_id, doc_index, count(*) AS n_matches FROM k WHERE strpos(rest, b) > 0 AND strlen(substr(rest, 1, strpos(rest, b) - 1)) <= {T.NEAR_BYTES} GROUP BY ALL"""
 ORACLE["docx_containers"] = ORACLE["docx_structure"]

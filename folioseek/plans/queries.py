@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, context, index, maintenance, numbering, search, segments
+from ..operators import changes, context, grams, index, maintenance, numbering, scan, search, segments
 from ..sources import corpus, docx, files
 from ..sources.store import Snapshot, Store
 from ..tables import dense_index, shared_folder, stored
@@ -24,6 +25,9 @@ FRIENDLY_QUERY = "Іваненко, Петра,"
 #: Words of the search queries: two near each other in order, four, and one.
 NEAR_QUERY, WIDE_QUERY, ONE_QUERY = "that with", "that with this from", "that"
 
+#: Part of a file name.
+NAME_QUERY = "?page="
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir)
@@ -183,9 +187,7 @@ def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text's first two different long words as a query, over all documents."""
-    lines = _paragraphs(spark, sf_dir)
-    words = F.slice(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 4)), 1, 2)
-    queries = corpus.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words")).where(F.size("words") == 2)
+    lines, queries = _paragraphs(spark, sf_dir), _asked(spark, sf_dir)
     found = search.search_many(queries, lines, index.build(lines, queries.select(F.explode("words").alias("term"))))
     return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
 
@@ -413,11 +415,60 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stores:
         store, docs = _new_store(spark, "index"), _named(spark, sf_dir)
-        segments.update(store.snapshot(), _versions(docs), _text(docs))
+        segments.update(store.snapshot(), _versions(docs), _text(docs), with_grams=True)
         _stores[key] = store
     return _stores[key]
 
 
+def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds."""
+    now = _stored(spark, sf_dir).snapshot()
+    sizes = [now.read(t).groupBy(F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("n")) for t in sorted(now.tables)]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide query as a scan finds it, from the stored runs of three characters."""
+    return _results(segments.search(_stored(spark, sf_dir).snapshot(), WIDE_QUERY, substring=True))
+
+
+def file_name_search_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names that contain a few characters, from an index of names."""
+    pages = _pages(spark, sf_dir).select("name", "path")
+    return grams.file_search(grams.build_names(pages), pages, NAME_QUERY, None)
+
+
+def search_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown around every paragraph with the query's word, as a scan finds it, looked up in a stored outline."""
+    store, lines = _new_store(spark, "outline"), _marked(spark, sf_dir)
+    path, key = F.format_string("%020d", "doc_index").alias("file_path"), F.lit(None).cast("long").alias("doc_key")
+    docs = lines.select(key, path, "file_name").distinct()
+    # Documents without a line have a place too, so that indexes are those of the corpus.
+    blank = _docs(spark, sf_dir).select(key, path, "file_name").join(docs.select("file_path"), "file_path", "left_anti")
+    text = lines.select(path, "position", "text", F.lit(0).cast("long").alias("line_breaks_after"))
+    now = segments.update(store.snapshot(), docs.unionByName(blank.select(docs.columns)), text)
+    found = segments.search_extracts(now, ONE_QUERY, substring=True)
+    return found.select("doc_index", "position", "is_personal", _joined("parents"), "action", _joined("followups"), "basis")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text's first two different long words as a query."""
+    words = F.slice(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 4)), 1, 2)
+    return corpus.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words")).where(F.size("words") == 2)
+
+
+def batch_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's queries over the stored index."""
+    found = segments.search_many(_stored(spark, sf_dir).snapshot(), _asked(spark, sf_dir))
+    return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
+def batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's queries in one pass over all paragraphs, by an automaton of their words."""
+    found = scan.scan_many(_asked(spark, sf_dir), _paragraphs(spark, sf_dir))
+    return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide query over a stored snapshot."""
     return _results(segments.search(_stored(spark, sf_dir).snapshot(), WIDE_QUERY))
@@ -546,7 +597,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
         mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments,
-        commit_conflict,
+        commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_scan,
     )
 }
 QUERIES |= {f"candidates_{m}": _candidates(m) for m in search.MODES}
