@@ -14,7 +14,11 @@ KEYS = ["term", "doc_index"]
 
 def occurrences(paragraphs: DataFrame) -> DataFrame:
     """One row for each term of each paragraph, with repeats."""
-    raw = paragraphs.select("doc_index", "position", F.explode(T.raw_tokens(F.col("text"))).alias("raw"))
+    return _terms(paragraphs, T.raw_tokens(F.col("text")))
+
+
+def _terms(paragraphs: DataFrame, tokens: Column) -> DataFrame:
+    raw = paragraphs.select("doc_index", "position", F.explode(tokens).alias("raw"))
     return raw.select("doc_index", "position", T.term(F.col("raw")).alias("term")).where(F.octet_length("term") >= T.LEAST_BYTES)
 
 
@@ -26,14 +30,15 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
     if isinstance(terms, list):
         norm = T.normalised(F.col("text"))
         paragraphs = paragraphs.where(reduce(Column.__or__, [F.contains(norm, F.lit(t)) for t in sorted(set(terms))], F.lit(False)))
-    rows = occurrences(paragraphs)
+    # Once for each distinct token of a paragraph: repeats are neither stemmed nor shuffled.
+    rows = _terms(paragraphs, F.array_distinct(T.raw_tokens(F.col("text"))))
     if isinstance(terms, DataFrame):
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     elif terms is not None:
         rows = rows.where(F.col("term").isin(sorted(set(terms))))
-    # Dealt by key first, so that the repeats within a paragraph and the positions are gathered after one shuffle.
-    rows = rows.select("term", "doc_index", "position").repartition(*KEYS).distinct()
-    return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    # Dealt by key first, so that different tokens of one term and the positions are gathered after one shuffle.
+    rows = rows.select("term", "doc_index", "position").repartition(*KEYS)
+    return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
 def remove(postings: DataFrame, docs: DataFrame) -> DataFrame:

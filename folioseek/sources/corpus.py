@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import dense_index
+from ..tables import dense_index, stored
+
+#: Ranks that are broadcast at most: 16 MB.
+BROADCAST_KEYS = 1_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,14 @@ def file_name(doc_id):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, doc_index, file_name, text; doc_index is the rank of doc_id."""
+    """doc_id, doc_index, file_name, text; doc_index is the rank of doc_id.
+
+    Ranks are broadcast where they are counted to be few, so that texts stay where they are; beyond that the join shuffles them, once. A stored index
+    (``operators.segments``) gives its documents their numbers when they come and joins no texts.
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    keys = dense_index(docs.select("doc_id"), [F.col("doc_id")], "doc_index")
+    keys = stored(dense_index(docs.select("doc_id"), [F.col("doc_id")], "doc_index"), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     return docs.join(keys, "doc_id").withColumn("file_name", file_name(F.col("doc_id")))
 
 
