@@ -198,6 +198,10 @@ class Trie:
         return out
 
 
+#: Windows that a task scores at once, about.
+PART = 500_000
+
+
 def _window_scores(counts: DataFrame) -> DataFrame:
     """(key, n) of windows -> (key, value): their log10 probability."""
     low = counts.where("n > 0").groupBy((F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))).alias("k")).agg(F.sum("n").alias("n"))
@@ -206,7 +210,7 @@ def _window_scores(counts: DataFrame) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held = Trie(shared.value), None
+        base, held, size, most = Trie(shared.value), [], 0, PART
 
         def scored(part: np.ndarray) -> pa.RecordBatch:
             keys, n = part[0].view(np.uint64), part[1]
@@ -215,16 +219,21 @@ def _window_scores(counts: DataFrame) -> DataFrame:
 
         # Contexts of three bytes and more stay together: a part ends where the last three bytes before the symbol change.
         for batch in batches:
-            part = np.array([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            held = part if held is None else np.concatenate([held, part], axis=1)
-            if held.shape[1] > 500_000:
-                suffix = held[0] >> 8 & 0xFFFFFF
+            held.append(np.array([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            size += batch.num_rows
+            if size > most:
+                whole = np.concatenate(held, axis=1)
+                suffix = whole[0] >> 8 & 0xFFFFFF
                 cuts = np.flatnonzero(suffix[1:] != suffix[:-1])
-                if len(cuts):
-                    yield scored(held[:, : cuts[-1] + 1])
-                    held = held[:, cuts[-1] + 1 :]
-        if held is not None and held.shape[1]:
-            yield scored(held)
+                end = cuts[-1] + 1 if len(cuts) else 0
+                held, size = [whole[:, end:].copy()], whole.shape[1] - end
+                most = max(PART, 2 * size)  # a suffix of many windows is not looked through again at every batch
+                if end:
+                    part, whole, suffix = whole[:, :end], None, None
+                    yield scored(part)
+                    part = None
+        if size:
+            yield scored(np.concatenate(held, axis=1))
 
     suffix = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
     dealt = counts.select("key", "n").repartition(shuffle_partitions(counts.sparkSession), suffix).sortWithinPartitions(suffix, "key")
