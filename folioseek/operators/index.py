@@ -89,10 +89,12 @@ def postings_report(postings: DataFrame, total_documents: int) -> DataFrame:
     )
 
 
-def documents_report(docs: DataFrame) -> DataFrame:
-    """file_path, n_lines, paragraph_count -> violations of the document table."""
+def documents_report(docs: DataFrame, total_documents: int | None = None) -> DataFrame:
+    """file_path, n_lines, paragraph_count -> violations of the document table, held against the total it should have (None: any)."""
+    n = F.count(F.lit(1))
     return docs.agg(
-        F.count(F.lit(1)).alias("documents"),
+        n.alias("documents"),
+        (F.lit(False) if total_documents is None else n != F.lit(total_documents)).alias("wrong_total"),
         F.count_if(F.coalesce(F.col("file_path"), F.lit("")) == "").alias("empty_paths"),
         F.count_if(F.col("n_lines") != F.col("paragraph_count")).alias("count_mismatches"),
     )

@@ -241,7 +241,7 @@ SELECT term, doc_index, {_FLAT} FROM u WHERE strlen(term) >= 2 GROUP BY term, do
     "index_validation": f"""{PD}, u AS (SELECT term, doc_index, count(*) FILTER (position % 2 = 0) AS n FROM pd GROUP BY ALL)
 SELECT count(*) FILTER (strlen(term) < 2) AS short_terms, count(*) FILTER (n = 0) AS empty_positions, count(*) FILTER (doc_index >= (SELECT count(*) - 50 FROM d)) AS beyond_documents,
        count(*) > 0 AS valid FROM u""",
-    "documents_validation": """SELECT count(*) AS documents, count(*) FILTER (doc_id % 50 = 0) AS empty_paths, count(*) FILTER (doc_id % 9 = 0) AS count_mismatches FROM documents""",
+    "documents_validation": """SELECT count(*) AS documents, true AS wrong_total, count(*) FILTER (doc_id % 50 = 0) AS empty_paths, count(*) FILTER (doc_id % 9 = 0) AS count_mismatches FROM documents""",
     "index_coverage": f"""{PD} SELECT DISTINCT doc_index FROM p WHERE contains(upper(text), 'THAT') AND doc_index NOT IN (SELECT doc_index FROM pd WHERE term = 'that')""",
     "last_documents": f"WITH {DOCS} SELECT doc_index, file_name FROM d ORDER BY doc_index DESC LIMIT 10",
     **{f"candidates_{m}": _candidates(m) for m in search.MODES},
@@ -371,4 +371,14 @@ ORACLE["batch_search_stored"] = ORACLE["batch_search"]
 ORACLE["batch_scan"] = ORACLE["batch_search"].split("h AS (")[0] + f"""t AS (SELECT query_id, a, b, doc_index, position, replace(lower(text), '''', '') AS t FROM q JOIN p ON contains(replace(lower(text), '''', ''), a) AND contains(replace(lower(text), '''', ''), b)),
 k AS (SELECT *, substr(t, strpos(t, a) + length(a)) AS rest FROM t)
 SELECT query_id, doc_index, count(*) AS n_matches FROM k WHERE strpos(rest, b) > 0 AND strlen(substr(rest, 1, strpos(rest, b) - 1)) <= {T.NEAR_BYTES} GROUP BY ALL"""
-ORACLE["docx_containers"] = ORACLE["docx_structure"]
+ORACLE["docx_containers"] = ORACLE["docx_folder"] = ORACLE["docx_structure"]
+# Files in the order of their paths, those that came later after the others.
+ORACLE["refresh_folder"] = f"""WITH f AS ({ORACLE["docx_structure"]}), n AS (SELECT 'd' || (row_number() OVER (ORDER BY doc_id) - 1) AS doc FROM documents
+  UNION ALL SELECT DISTINCT doc FROM {values(RAW)}),
+o AS (SELECT doc, row_number() OVER (ORDER BY coalesce(try_cast(substr(doc, 2) AS INTEGER), 0) % 3 = 0, doc) - 1 AS doc_index FROM n)
+SELECT doc_index, doc || '.docx' AS file_name, position, text, line_breaks_after FROM f JOIN o USING (doc)"""
+ORACLE["listing_events"] = """WITH p AS (SELECT page_id || '/' || url AS path, length(html)::BIGINT AS size, page_id, n AS pass FROM pages, range(1, 5) t(n)),
+h AS (SELECT *, pass < 4 AND (page_id + pass) % 4 <> 0 AS here, CASE WHEN page_id % 5 = 0 AND pass = 3 THEN 2 ELSE 1 END::BIGINT AS mtime_s FROM p),
+b AS (SELECT a.path, a.size, a.pass, a.here, a.mtime_s, coalesce(x.here, false) AS before, x.mtime_s AS old FROM h a LEFT JOIN h x ON x.page_id = a.page_id AND x.pass = a.pass - 1)
+SELECT path, CASE WHEN here AND NOT before THEN 'new' WHEN here THEN 'changed' ELSE 'deleted' END AS event, size, CASE WHEN here THEN mtime_s ELSE old END AS mtime_s, pass
+FROM b WHERE here <> before OR here AND mtime_s <> old"""

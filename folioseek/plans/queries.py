@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import changes, context, grams, index, maintenance, numbering, scan, search, segments
 from ..sources import corpus, docx, files
 from ..sources.store import Snapshot, Store
+from ..streaming import refresh, watch
 from ..tables import dense_index, shared_folder, stored
 from .samples import ENDED, FILES, KINDS, LINES, MARKS, RAW, SEQUENCE, STEMS, sample
 
@@ -125,7 +126,8 @@ def documents_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     n = F.size(F.split("text", "\n")).cast("long")
     path = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("file_name"))
-    return index.documents_report(docs.select(path.alias("file_path"), n.alias("n_lines"), F.when(F.col("doc_id") % 9 == 0, n + 1).otherwise(n).alias("paragraph_count")))
+    rows = docs.select(path.alias("file_path"), n.alias("n_lines"), F.when(F.col("doc_id") % 9 == 0, n + 1).otherwise(n).alias("paragraph_count"))
+    return index.documents_report(rows, docs.count() + 1)
 
 
 def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +300,53 @@ def docx_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.structured(read).select("doc", "position", "text", "line_breaks_after")
 
 
+def _files(spark: SparkSession, sf_dir: str, folder: str, which: str) -> None:
+    """Raw paragraphs of some documents as word-processor files."""
+    made = docx.containers(_raw(spark, sf_dir).where(which))
+    docx.write_files(made.withColumn("doc", F.concat(F.lit("2024/"), "doc", F.lit(".docx"))), folder)
+
+
+def docx_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a folder of files, which the data source lists and reads."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _files(spark, sf_dir, folder, "true")
+    lines, _ = docx.read_folder(spark, folder)
+    return lines.select(F.regexp_extract("doc", r"^2024/(.*)\.docx$", 1).alias("doc"), "position", "text", "line_breaks_after")
+
+
+def refresh_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that follows a folder: two of three files at first, the others when the stream looks again."""
+    folder, store = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}", _new_store(spark, "followed")
+    late = "coalesce(try_cast(substring(doc, 2) as int), 0) % 3 = 0"
+    _files(spark, sf_dir, folder, f"not ({late})")
+    refresh.refresh(spark, folder, store)
+    _files(spark, sf_dir, folder, late)
+    query = refresh.follow(spark, folder, store, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", once=True)
+    query.awaitTermination()
+    return segments.numbered(store.snapshot(), "paragraphs").select("doc_index", "file_name", "position", "text", "line_breaks_after")
+
+
+def listing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over the pages as files, of which some are missing, changed or back, as events of a stream."""
+    passes, root = f"{shared_folder(spark)}/passes-{uuid.uuid4().hex}", shared_folder(spark)
+    pages = corpus.load(spark, sf_dir, "pages").select(F.concat(F.col("page_id"), F.lit("/"), F.col("url")).alias("path"), F.length("html").alias("size"), "page_id")
+    for number in (1, 2, 3, 4):
+        mtime = F.when((F.col("page_id") % 5 == 0) & F.lit(number == 3), 2).otherwise(1).alias("mtime_s")
+        here = pages.where((F.col("page_id") + number) % 4 != 0) if number < 4 else pages.where("false")
+        watch.record_listing(here.select("path", "size", mtime), passes)
+    before = {k: spark.conf.get(k, None) for k in watch.PROVIDER}
+    for k, v in watch.PROVIDER.items():
+        spark.conf.set(k, v)
+    try:
+        out = f"{root}/events-{uuid.uuid4().hex}"
+        query = watch.events(spark, passes).writeStream.format("parquet").option("path", out)
+        query.option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(watch.EVENTS).parquet(out)
+
+
 def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank lines of documents; every 4th line is blanked."""
     docs = _docs(spark, sf_dir)
@@ -507,6 +556,7 @@ def index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after compaction."""
     store = _segmented(spark, sf_dir)
     segments.compact(store)
+    store.vacuum(grace=0)  # the tables of earlier snapshots go
     return _flat(segments.numbered(store.snapshot(), "postings"))
 
 
@@ -597,7 +647,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
         mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments,
-        commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_scan,
+        commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_scan, docx_folder,
+        refresh_folder, listing_events,
     )
 }
 QUERIES |= {f"candidates_{m}": _candidates(m) for m in search.MODES}

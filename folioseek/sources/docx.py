@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,6 +136,29 @@ def containers(raw: DataFrame) -> DataFrame:
     return raw.groupBy("doc").agg(paragraphs.alias("paragraphs")).mapInArrow(run, "doc string, content binary")
 
 
+def write_files(contents: DataFrame, folder: str) -> int:
+    """Write (doc, content) rows as files ``doc`` below a folder, by the tasks that have them; returns how many.
+
+    A file has its name when it is whole; a task that runs again writes the same bytes under it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{root}/{doc}"
+                draft = f"{path}.{uuid.uuid4().hex}.tmp"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(content)
+                store.move(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return contents.select("doc", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def structured(raw: DataFrame) -> DataFrame:
     """Raw rows -> doc, position, text, line_breaks_after."""
     kept = numbering.kept_with_breaks(raw.where("error is null"))

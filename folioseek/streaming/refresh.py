@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import changes, segments
 from ..sources import docx, files
 from ..sources.store import Snapshot, Store
-from ..tables import dense_index, stored
+from ..tables import dense_index, scratch, stored
 
 PERIOD = "180 seconds"
 DOCUMENTS = "rev long, doc_key long, file_path string, file_name string, file_size long, last_modified long, word_count long, paragraph_count long"
@@ -23,7 +23,7 @@ def refresh(spark: SparkSession, folder: str, store: Store, most_segments: int =
     Refreshes wait for one another; where a writer of another kind commits meanwhile, the refresh runs again on what that one left. Once the index has
     more than ``most_segments`` segments it is compacted.
     """
-    with store.locked():
+    with store.locked(), scratch(spark):
         stats = store.updated(lambda base: _refresh(spark, folder, base))
         segments.compact(store, most_segments)
     return stats

@@ -9,6 +9,7 @@ event is told again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,25 +26,30 @@ EVENTS = "path string, event string, size long, mtime_s long, pass long"
 _SEEN = "size long, mtime_s long, pass long"
 
 
-def record(spark: SparkSession, folder: str, passes: str, number: int) -> None:
-    """List the documents of ``folder`` as pass ``number``, which is higher than those before, into the folder ``passes``."""
-    record_listing(refresh.listed(spark, folder), passes, number)
+def record(spark: SparkSession, folder: str, passes: str) -> int:
+    """List the documents of ``folder`` as the next pass into the folder ``passes``; returns its number."""
+    return record_listing(refresh.listed(spark, folder), passes)
 
 
-def record_listing(listing: DataFrame, passes: str, number: int) -> None:
-    """path, size, mtime_s as pass ``number``. A row without a path tells the end of an earlier pass even if the folder is empty."""
-    spark = listing.sparkSession
+def record_listing(listing: DataFrame, passes: str) -> int:
+    """path, size, mtime_s as the next pass, which appears at once; returns its number, 1 for the first.
+
+    A row without a path tells the end of the pass before even if the folder is empty. Of two that write one pass one gets a FileExistsError.
+    """
+    spark, root = listing.sparkSession, passes.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(path(root))] if store.exists(path(root)) else []
+    number = max((int(n.removeprefix("pass-")) for n in names if n.startswith("pass-")), default=0) + 1
+    draft, target = path(f"{root}/_{uuid.uuid4().hex}"), path(f"{root}/pass-{number:012d}")
     rows = listing.select("path", F.col("size").cast("long").alias("size"), F.col("mtime_s").cast("long").alias("mtime_s"), F.lit(number).cast("long").alias("pass"))
-    mark = spark.createDataFrame([(None, None, None, number)], PASS)
-    jvm, root = spark.sparkContext._jvm, passes.rstrip("/")
-    draft, target = (jvm.org.apache.hadoop.fs.Path(f"{root}/{name}{number:012d}") for name in ("_", "pass-"))
-    store = draft.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(target):
-        raise FileExistsError(f"pass {number} is in {passes} already")
-    rows.unionByName(mark).write.mode("overwrite").parquet(draft.toString())
+    rows.unionByName(spark.createDataFrame([(None, None, None, number)], PASS)).write.parquet(draft.toString())
     # A name that begins with an underscore is not read: the pass is there when it has its own.
-    if not store.rename(draft, target):
-        raise OSError(f"pass {number} could not be put into {passes}")
+    if store.exists(target) or not store.rename(draft, target):
+        store.delete(draft, True)
+        raise FileExistsError(f"pass {number} is in {passes} already")
+    return number
 
 
 class _Watcher(StatefulProcessor):
@@ -56,12 +62,15 @@ class _Watcher(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         if key[0] is None:
             return
-        for r in sorted(rows, key=lambda r: r["pass"]):
+        for r in sorted(rows, key=lambda r: (r["pass"], r["size"], r["mtime_s"])):
             old = self.seen.get() if self.seen.exists() else None
             if old is not None:
-                if old[2] > r["pass"]:
+                if old[2] >= r["pass"]:
                     continue
                 self.handle.deleteTimer(_end_of(old[2]))
+                if r["pass"] > old[2] + 1:  # passes have consecutive numbers: it was gone in between
+                    yield Row(path=key[0], event="deleted", size=old[0], mtime_s=old[1], **{"pass": old[2] + 1})
+                    old = None
             if old is None or (old[0], old[1]) != (r["size"], r["mtime_s"]):
                 yield Row(path=key[0], event="new" if old is None else "changed", size=r["size"], mtime_s=r["mtime_s"], **{"pass": r["pass"]})
             self.seen.update((r["size"], r["mtime_s"], r["pass"]))
@@ -84,8 +93,9 @@ def _end_of(number: int) -> int:
 def events(spark: SparkSession, passes: str) -> DataFrame:
     """A stream of path, event (new, changed, deleted), size, mtime_s, pass over the folder ``passes``.
 
-    ``pass`` is that in which an event showed; a deletion comes once a pass without the path has been read whole. The session's state store must be
-    the one in ``PROVIDER``. A change is another size or time. Rows of one path in one pass count one after another.
+    ``pass`` is that in which an event showed; a deletion comes once a pass without the path has been read. Events do not depend on how many passes
+    are read at once, but a pass must be read whole: no limit of files is set. The session's state store must be the one in ``PROVIDER``. A change is
+    another size or time. Of several rows of one path in a pass the first in the order of size and time counts.
     """
     rows = spark.readStream.schema(PASS).parquet(f"{passes.rstrip('/')}/pass-*")
     timed = rows.withColumn("at", F.timestamp_seconds("pass")).withWatermark("at", "0 seconds")

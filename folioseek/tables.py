@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,10 +23,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` makes in the block, on this thread, are deleted at its end: for steps that end with a commit or a number."""
+    before, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _made.paths:
+            found = jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(conf).delete(found, True)
+        _made.paths = before
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back. It stays there, unless it is made inside of ``scratch``."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
