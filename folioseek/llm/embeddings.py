@@ -6,7 +6,8 @@ node, forward and reverse, are compared, and what is nearer than a list's last e
 reach the threshold is saturated, and its room is doubled. Every compared pair at the threshold is an edge of the
 components, whether or not a list has room for it: a block of compared vectors gives the edges of a forest that joins what
 its pairs join. Rounds go on until one joins no more components and an audit, a bounded sample of vectors held against all rows, finds its
-links inside the components; a family counts as much in it as a single vector. If the rounds end before that, all vectors are
+links inside the components; a family counts as much in it as a single vector. Where none of the audited vectors has a link, another
+forest of trees takes the audit's place: it must join nothing more. If the rounds end before that, all vectors are
 held against all rows, chunk by chunk.
 Links are then counted exactly inside each component, block by block, so that a large family of copies never meets in one
 task and its pairs are never written out.
@@ -34,6 +35,7 @@ MOST_ROOM = 64
 SLICE = 24
 MIN_ROUNDS, MAX_ROUNDS = 2, 8
 AUDIT = 1024
+AUDIT_SEED = 1_000_003
 #: Rows of a table that are held at once against the vectors of an audit or of a chunk.
 STRIP = 512
 CHUNK = 4096
@@ -113,7 +115,7 @@ def _together(found: list[pa.RecordBatch], links: list[tuple[np.ndarray, np.ndar
     return pa.Table.from_batches([*found, edges]).combine_chunks().to_batches()[0] if len(a) + sum(x.num_rows for x in found) else edges
 
 
-def _first_lists(nodes: DataFrame, threshold: float) -> DataFrame:
+def _first_lists(nodes: DataFrame, threshold: float, seed: int = 77) -> DataFrame:
     """(id, dims, unit) -> (a, b, cos): the nearest in each tree's leaf, and edges at the threshold with a null cos."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _first_lists(nodes: DataFrame, threshold: float) -> DataFrame:
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 if d not in planes:
-                    planes[d] = np.random.default_rng(77 + int(d)).standard_normal((int(d), TREES * BITS))
+                    planes[d] = np.random.default_rng(seed + int(d)).standard_normal((int(d), TREES * BITS))
                 bits = (_matrix(part.column(2)) @ planes[d] > 0).reshape(-1, TREES, BITS)
                 codes = bits @ (1 << np.arange(BITS - 1, -1, -1))
                 for t in range(TREES):
@@ -232,8 +234,8 @@ def _held(nodes: DataFrame, asked: pa.Table, threshold: float, forest: bool) ->
     return nodes.select("id", "dims", "unit").mapInArrow(run, "a long, b long")
 
 
-def _recall(nodes: DataFrame, labels: DataFrame, threshold: float) -> float:
-    """Which share of its links a vector has inside its component, the mean over components: a family counts once.
+def _recall(nodes: DataFrame, labels: DataFrame, threshold: float) -> float | None:
+    """Which share of its links a vector has inside its component, the mean over components: a family counts once. None if no audited vector has a link.
 
     Held against all rows are a sample of the vectors and one of the components, each by its least hash.
     """
@@ -242,12 +244,22 @@ def _recall(nodes: DataFrame, labels: DataFrame, threshold: float) -> float:
     ids = nodes.select("id").orderBy(*order).limit(AUDIT).unionByName(firsts).distinct()
     asked = nodes.join(F.broadcast(ids), "id").select("id", "dims", "unit").toArrow()  # 2 * AUDIT ids at most
     if not asked.num_rows:
-        return 1.0
+        return None
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
     both = _held(nodes, asked, threshold, False).join(of("a"), "a", "left").join(of("b"), "b", "left")
     vectors = both.groupBy("a", F.coalesce("a_c", "a").alias("c")).agg(F.avg(F.when(F.col("a_c") == F.col("b_c"), 1.0).otherwise(0.0)).alias("r"))
-    found = vectors.groupBy("c").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0]
-    return 1.0 if found is None else found
+    return vectors.groupBy("c").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0]
+
+
+def _audited(nodes: DataFrame, labels: DataFrame, edges: DataFrame, threshold: float, turn: int) -> tuple[bool, DataFrame, DataFrame]:
+    """(whether the links are found, labels, edges). Where links are so rare that the audit meets none, another forest must join nothing more."""
+    recall = _recall(nodes, labels, threshold)
+    if recall is not None:
+        return recall >= RECALL, labels, edges
+    more = written(_first_lists(nodes, threshold, AUDIT_SEED + turn * 100_003).where("cos is null").select("a", "b"), "audit-edges")
+    again = components(edges.unionByName(more))
+    same = again.where("node <> component").count() == labels.where("node <> component").count()
+    return same, again, again.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _exact_edges(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -314,10 +326,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         labels = components(edges.unionByName(found.where("cos is null").select("a", "b")))
         edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         before, joined = joined, labels.where("node <> component").count()
-        if turn >= MIN_ROUNDS and joined == before and _recall(nodes, labels, threshold) >= RECALL:
-            break
+        if turn >= MIN_ROUNDS and joined == before:
+            sound, labels, edges = _audited(nodes, labels, edges, threshold, turn)
+            if sound:
+                break
+            joined = labels.where("node <> component").count()
     else:
-        if _recall(nodes, labels, threshold) < RECALL:
+        sound, labels, edges = _audited(nodes, labels, edges, threshold, MAX_ROUNDS + 1)
+        if not sound:
             labels = components(edges.unionByName(_exact_edges(nodes, threshold)))
     counts = written(_counted(nodes, labels, threshold), "links")
     known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")

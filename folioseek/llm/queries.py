@@ -35,6 +35,19 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with up to four variants each: every eighth component larger by half, or (a farther one) with its sign changed."""
+    x, j = F.col("embedding"), F.col("j")
+    factor = lambda i: F.when((j == 0) | (i % 8 != j), 1.0).when(j == 4, -1.0).otherwise(1.5)
+    rows = table(spark, sf_dir, "embeddings").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vec_id") % 5)))
+    return rows.select((F.col("vec_id") * 8 + j).alias("vec_id"), F.transform(x, lambda v, i: v.cast("double") * factor(i)).alias("embedding"))
+
+
+def op6_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over vectors that have variants, so that there are links on any input."""
+    return embeddings.near_duplicates(_families(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
@@ -72,7 +85,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat, op2_ppm, op3_langid, op4_html, op5_fingerprints, op6_embeddings, op7_mixing, op8_warc, op9_packing, op10_neardup]
+    own = [op1_chat, op2_ppm, op3_langid, op4_html, op5_fingerprints, op6_embeddings, op6_families, op7_mixing, op8_warc, op9_packing, op10_neardup]
     own += [op11_binslack, op12_hard_negatives, op13_divergence]
     return {f.__name__: f for f in own}
 
@@ -105,6 +118,14 @@ n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id
 """
 
+OP6_FAMILIES_SQL = OP6_SQL.replace(
+    "WITH RECURSIVE v",
+    """WITH RECURSIVE f AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(0, vec_id % 5 + 1)) AS j FROM embeddings),
+embedded AS (SELECT vec_id * 8 + j AS vec_id,
+  list_transform(e, lambda x, i: x * CASE WHEN j = 0 OR (i - 1) % 8 <> j THEN 1.0 WHEN j = 4 THEN -1.0 ELSE 1.5 END) AS embedding FROM f),
+v""",
+).replace("FROM embeddings WHERE len", "FROM embedded WHERE len").replace("FROM embeddings UNION", "FROM embedded UNION")
+
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
@@ -189,6 +210,7 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 10
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat": OP1_SQL, "op6_embeddings": OP6_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op10_neardup": OP10_SQL} | {
+        "op6_families": OP6_FAMILIES_SQL,
         "op12_hard_negatives": OP12_SQL,
         "op13_divergence": OP13_SQL,
     }

@@ -115,6 +115,21 @@ def test_embeddings(spark):
     assert all(g[1] <= n[g[0]] for g in got)
 
 
+def test_audit_without_links(spark, monkeypatch):
+    # No audited vector has a link: another forest is asked, and what it finds is kept.
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((300, 16))
+    base = np.r_[base, base[:6] + rng.standard_normal((6, 16)) * 0.05]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)), strict=True)]
+    want, asked, first = components(range(len(data)), links), [], embeddings._first_lists
+    monkeypatch.setattr(embeddings, "_recall", lambda *a: None)
+    monkeypatch.setattr(embeddings, "_first_lists", lambda nodes, threshold, seed=77: asked.append(seed) or first(nodes, threshold, seed))
+    got = rows(embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    assert [g[2] for g in got] == [want[i] for i in range(len(data))] and len(asked) == 2 and len(set(asked)) == 2
+
+
 def test_families_joined_by_one_pair(spark):
     rng = np.random.default_rng(8)
     u, v = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
