@@ -154,7 +154,7 @@ def _matches(snapshot: Snapshot, query: str, mode: str, view_mode: str | None, f
     return grams.matches(words, as_index("paragraphs"), as_index("grams"), view_mode == "fragments")
 
 
-def _indexed(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
+def indexed(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
     """Rows whose doc_index is a rev, under the dense doc_index."""
     keys = live(snapshot, "documents").select(F.col("rev").alias("doc_index"), "doc_key")
     return with_index(snapshot, rows.join(keys, "doc_index").drop("doc_index")).drop("doc_key")
@@ -167,7 +167,7 @@ def search(snapshot: Snapshot, query: str, mode: str = "full", view_mode: str |
     finds them, words being parts of words and ``mode`` without effect; from the grams, if the store has them.
     """
     found = _matches(snapshot, query, mode, view_mode, friendly, substring)
-    return searching.ranked(searching.grouped(_indexed(snapshot, found)))
+    return searching.ranked(searching.grouped(indexed(snapshot, found)))
 
 
 def search_extracts(snapshot: Snapshot, query: str, mode: str = "full", view_mode: str | None = None, friendly: bool = False, substring: bool = False) -> DataFrame:
@@ -176,13 +176,13 @@ def search_extracts(snapshot: Snapshot, query: str, mode: str = "full", view_mod
     docs = stored(found.select("doc_index").distinct(), "found")
     docs = F.broadcast(docs) if docs.count() <= BROADCAST_MARKS else docs
     mine = lambda table: live(snapshot, table).withColumnRenamed("rev", "doc_index").join(docs, "doc_index", "left_semi")
-    return _indexed(snapshot, context.extracts_by(mine("outline"), mine("paragraphs"), found))
+    return indexed(snapshot, context.extracts_by(mine("outline"), mine("paragraphs"), found))
 
 
 def search_many(snapshot: Snapshot, queries: DataFrame) -> DataFrame:
     """(query_id, words) -> query_id, doc_index, position of every matching paragraph of a snapshot."""
     as_index = lambda table: live(snapshot, table).withColumnRenamed("rev", "doc_index")
-    return _indexed(snapshot, searching.search_many(queries, as_index("paragraphs"), as_index("postings")))
+    return indexed(snapshot, searching.search_many(queries, as_index("paragraphs"), as_index("postings")))
 
 
 def request(snapshot: Snapshot, query: str, full_search: bool = False, view_mode: str | None = None) -> tuple[DataFrame, dict[str, int]]:

@@ -367,6 +367,7 @@ SELECT doc_index, count(DISTINCT position)::BIGINT AS n_positions FROM pd GROUP
 }
 # Files hold what was put into them.
 ORACLE["batch_search_stored"] = ORACLE["batch_search"]
+ORACLE["batch_search_bucketed"] = _SEGMENTED + ORACLE["batch_search"].removeprefix(PD)
 # The same queries by scan: words are parts of words, and no posting is needed.
 ORACLE["batch_scan"] = ORACLE["batch_search"].split("h AS (")[0] + f"""t AS (SELECT query_id, a, b, doc_index, position, replace(lower(text), '''', '') AS t FROM q JOIN p ON contains(replace(lower(text), '''', ''), a) AND contains(replace(lower(text), '''', ''), b)),
 k AS (SELECT *, substr(t, strpos(t, a) + length(a)) AS rest FROM t)

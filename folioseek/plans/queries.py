@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, context, grams, index, maintenance, numbering, scan, search, segments
+from ..operators import buckets, changes, context, grams, index, maintenance, numbering, scan, search, segments
 from ..sources import corpus, docx, files
 from ..sources.store import Snapshot, Store
 from ..streaming import refresh, watch
@@ -512,6 +512,13 @@ def batch_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
+def batch_search_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from buckets of an index that was updated before, without a shuffle of postings or paragraphs."""
+    store = _segmented(spark, sf_dir)
+    found = buckets.search_many(buckets.write(store, 8), _asked(spark, sf_dir))
+    return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
 def batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's queries in one pass over all paragraphs, by an automaton of their words."""
     found = scan.scan_many(_asked(spark, sf_dir), _paragraphs(spark, sf_dir))
@@ -647,7 +654,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
         mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments,
-        commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_scan, docx_folder,
+        commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_search_bucketed, batch_scan, docx_folder,
         refresh_folder, listing_events,
     )
 }
