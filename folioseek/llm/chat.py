@@ -26,7 +26,7 @@ def perspectives(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     null turns, nulls last (in part -1). Where a part by turn numbers would hold more than ``part_turns`` messages, that
     conversation is cut by the ranks of its messages instead, so that no part of any conversation holds more. A null role is ``unknown``, a null text is empty, null conv_ids are one
     conversation. Marks inside texts and names are defused. Repeated rows are repeated messages. A conversation of system
-    messages alone has no perspective. An empty table gives no rows; other columns are not read.
+    messages alone has no perspective. A text of any length is rendered whole, once for each participant. An empty table gives no rows; other columns are not read.
     """
     clean = F.regexp_replace(F.coalesce(F.col("role"), F.lit(UNNAMED)), r"[<>|:\r\n]", "_")
     body = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))

@@ -302,7 +302,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, embedding -> vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty or zero, or hold a null or a non-finite component, link with nothing, and vectors of unlike
-    lengths don't link. Equal vectors are one node and count as many links. Rows that repeat a vec_id are rows of
+    lengths don't link. A cosine of just the threshold links; equal cosines are links alike, whatever their order. Vectors of any length are compared whole.
+    Equal vectors are one node and count as many links. Rows that repeat a vec_id are rows of
     their own; a null vec_id links with nothing and is not kept. An empty table gives no rows; other columns are not read.
     """
     made = written(normalised(vectors), "units")
