@@ -8,7 +8,7 @@ see is computed on reading: a document's key less the number of documents with s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,7 +21,7 @@ from . import search as searching
 BROADCAST_MARKS = 1_000_000
 #: Keys of a block, for which the number of documents gone before is kept.
 KEYS_BLOCK = 4096
-#: Blocks that are broadcast at most.
+#: Blocks that are broadcast at most, if the marks are few as well.
 BROADCAST_BLOCKS = 10_000
 
 
@@ -45,15 +45,14 @@ def with_index(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
     sizes = stored(snapshot.store.spark.range(n).select(F.col("id").alias("_block")).join(filled, "_block", "left"), "blocks")
     counted = _running(sizes.select("_block", F.coalesce(F.size("_keys"), F.lit(0)).alias("_n")))
     blocks = sizes.join(counted, "_block")
-    found = rows.withColumn("_block", block(F.col("doc_key"))).join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "_block")
+    few = n <= BROADCAST_BLOCKS and snapshot.properties["marks"] <= BROADCAST_MARKS
+    found = rows.withColumn("_block", block(F.col("doc_key"))).join(F.broadcast(blocks) if few else blocks, "_block")
     inside = F.coalesce(F.size(F.filter("_keys", lambda k: k < F.col("doc_key"))), F.lit(0))
     return found.withColumn("doc_index", F.col("doc_key") - F.col("_before") - inside).drop("_block", "_keys", "_before")
 
 
 def _running(sizes: DataFrame) -> DataFrame:
     """_block, _n -> _block, _before: the sum of _n over earlier blocks, by groups of ``KEYS_BLOCK`` blocks, so that no task has all."""
-    from pyspark.sql import Window
-
     group = F.floor(F.col("_block") / KEYS_BLOCK).alias("_group")
     earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for 16 million keys
     starts = sizes.groupBy(group).agg(F.sum("_n").alias("_sum")).select("_group", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
@@ -64,7 +63,16 @@ def _running(sizes: DataFrame) -> DataFrame:
 
 #: Tables that follow from the paragraphs; grams only if they are asked for.
 DERIVED = {"postings": index.build, "outline": context.outline, "grams": grams.build}
-TABLES = ("documents", "paragraphs", *DERIVED)
+#: ``sizes``: postings and positions of each rev, so that what an update takes away is known without a look at the postings.
+TABLES = ("documents", "paragraphs", *DERIVED, "sizes")
+
+
+def _entries() -> dict[str, Column]:
+    return {"postings": F.count(F.lit(1)), "positions": F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("long")}
+
+
+def _sizes(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("rev").agg(*(c.alias(n) for n, c in _entries().items()))
 
 
 def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFrame | None = None, with_grams: bool = False) -> Snapshot:
@@ -72,7 +80,8 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
 
     ``fresh``: file_path, file_name, doc_key (null for a new document, which goes after all others, in the order of paths) and any columns of
     documents. ``lines``: file_path, position, text, line_breaks_after of these. ``dropped``: rev, doc_key, gone of the versions that end (gone: without
-    a new one). Only these rows are written: paragraphs, postings, outline and, if the store has them or they are asked for with its first
+    a new one). The properties of the new snapshot tell how many postings and positions the update added and removed, and how many there are:
+    they are observed while the rows are written, and summed from the sizes of dropped revs. Only these rows are written: paragraphs, postings, outline and, if the store has them or they are asked for with its first
     segment, grams.
     """
     store, known = base.store, base.properties
@@ -84,6 +93,7 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
     key = F.coalesce("doc_key", F.col("_place") - (n - n_new) + next_key)
     docs = stored(fresh.join(placed, "file_path").withColumn("doc_key", key).withColumn("rev", F.col("_place") + next_rev).drop("_place"), "versions")
     append: dict[str, DataFrame | str] = {}
+    added = removed = {"postings": 0, "positions": 0}
     if n:
         own = lines.select("file_path", "position", "text", "line_breaks_after")
         text = own.join(docs.select("file_path", "file_name", "rev"), "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
@@ -92,16 +102,22 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
         for table, build in DERIVED.items():
             if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
                 append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
+        append["postings"], added = store.counted("postings", append["postings"], **_entries())
+        append["sizes"] = _sizes(store.spark.read.parquet(f"{store.folder}/{append['postings']}"))
     marks = gone = 0
     if dropped is not None:
         dropped = stored(dropped.select("rev", "doc_key", "gone"), "dropped")
         marks, gone = dropped.agg(F.count(F.lit(1)), F.count_if("gone")).first()
         if marks:
             append["deleted"] = dropped
+            mine = base.read("sizes").join(dropped, "rev", "left_semi")
+            removed = mine.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added)).first().asDict()
     properties = {
         "next_key": next_key + n_new, "next_rev": next_rev + n, "documents": known.get("documents", 0) + n_new - gone,
         "segments": known.get("segments", 0) + bool(n), "marks": known.get("marks", 0) + marks,
     }
+    for c in added:
+        properties |= {f"{c}_added": added[c], f"{c}_removed": removed[c], c: known.get(c, 0) + added[c] - removed[c]}
     return store.commit(base, append=append, properties=properties)
 
 

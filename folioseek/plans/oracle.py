@@ -299,10 +299,19 @@ SELECT path, reason FROM s WHERE reason IS NOT NULL""",
     "index_rebuilt": f"{PD} {_POSTINGS}",
     "refresh_segments": f"{_SEGMENTED} {_POSTINGS}",
     "index_compacted": f"{_SEGMENTED} {_POSTINGS}",
+    "segment_changes": f"""{PD}, ids AS (SELECT doc_index, doc_id, doc_id % 3 <> 0 AS early, doc_id IN (SELECT doc_id FROM labels) AS labelled,
+  doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM d),
+{_HALVED}, {_lines('e', 'p2')}, {_tokens('p2', 'tok2')},
+old AS (SELECT early, labelled, count(DISTINCT term) AS n, count(DISTINCT (term, position)) AS m FROM pd JOIN ids USING (doc_index) GROUP BY doc_index, early, labelled),
+new AS (SELECT count(DISTINCT term) AS n, count(DISTINCT (term, position)) AS m FROM tok2 JOIN ids USING (doc_index) WHERE early AND labelled AND NOT toxic GROUP BY doc_index),
+s AS (SELECT sum(n) FILTER (NOT early) + (SELECT sum(n) FROM new) AS pa, sum(n) FILTER (early AND labelled) AS pr, sum(n) FILTER (early) AS pb,
+             sum(m) FILTER (NOT early) + (SELECT sum(m) FROM new) AS ma, sum(m) FILTER (early AND labelled) AS mr, sum(m) FILTER (early) AS mb FROM old)
+SELECT pa::BIGINT AS postings_added, pr::BIGINT AS postings_removed, (pb + pa - pr)::BIGINT AS postings,
+       ma::BIGINT AS positions_added, mr::BIGINT AS positions_removed, (mb + ma - mr)::BIGINT AS positions FROM s""",
     "search_segments": f"{_SEGMENTED} {_results(Q.NEAR_QUERY, True, 'quick')}",
     "index_stored": f"""{PD}, x AS (SELECT doc_index, replace(lower(text), '''', '') AS t FROM p), o AS (SELECT doc_index, t, unnest(range(1, length(t) - 1)) AS i FROM x)
 SELECT 'documents' AS "table", count(*) AS n FROM d UNION ALL SELECT 'paragraphs', count(*) FROM p UNION ALL SELECT 'outline', count(*) FROM p
-UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT term, doc_index FROM pd) UNION ALL SELECT 'grams', count(*) FROM (SELECT DISTINCT substr(t, i, 3), doc_index FROM o)""",
+UNION ALL SELECT 'sizes', count(DISTINCT doc_index) FROM pd UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT term, doc_index FROM pd) UNION ALL SELECT 'grams', count(*) FROM (SELECT DISTINCT substr(t, i, 3), doc_index FROM o)""",
     "search_substring": f"{P} {_results(Q.WIDE_QUERY, False)}",
     "file_name_search_grams": f"SELECT string_split(url, '/')[-1] AS name, url AS path FROM pages WHERE contains(lower(string_split(url, '/')[-1]), '{Q.NAME_QUERY}')",
     "search_extracts": _EXTRACTS.replace(f"contains(text, '{Q.ONE_QUERY}')", f"contains(replace(lower(text), '''', ''), '{Q.ONE_QUERY}')"),

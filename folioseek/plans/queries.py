@@ -567,6 +567,13 @@ def index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(segments.numbered(store.snapshot(), "postings"))
 
 
+def segment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings and positions the update added and removed, and how many there are, as its manifest has them."""
+    found = _segmented(spark, sf_dir).snapshot().properties
+    kinds = [f"{c}{end}" for c in ("postings", "positions") for end in ("_added", "_removed", "")]
+    return spark.createDataFrame([tuple(found[k] for k in kinds)], ", ".join(f"{k} long" for k in kinds))
+
+
 def search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quick search over an updated index: the documents with the highest indexes."""
     return _results(segments.search(_segmented(spark, sf_dir).snapshot(), NEAR_QUERY, "quick"))
@@ -653,7 +660,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_policy_filter, sync_plan, change_detection, auto_numbering, docx_structure, line_breaks, parent_headings, section_parent_asof,
         followup_personal, followup_section, heading_classes, highlight_marks, full_document_flags, conversation_search, event_feed_latest,
         match_extracts, document_view, highlight_sequences, search_stored, search_request, postings_changes, index_repair, index_repaired,
-        mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments,
+        mime_types, network_paths, listing_differences, stale_files, docx_containers, search_friendly, index_rebuilt, refresh_segments, index_compacted, search_segments, segment_changes,
         commit_conflict, index_stored, search_substring, file_name_search_grams, search_extracts, batch_search_stored, batch_search_bucketed, batch_scan, docx_folder,
         refresh_folder, listing_events,
     )
