@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
 
 KEYS = ["term", "doc_index"]
+#: Rows that a task gathers at once, about; the rows of a document are never parted.
+GATHERED = 200_000
 
 
 def occurrences(paragraphs: DataFrame) -> DataFrame:
@@ -31,16 +38,68 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
         norm = T.normalised(F.col("text"))
         paragraphs = paragraphs.where(reduce(Column.__or__, [F.contains(norm, F.lit(t)) for t in sorted(set(terms))], F.lit(False)))
     # Once for each distinct token of a paragraph: repeats are neither stemmed nor shuffled.
-    rows = _terms(paragraphs, F.array_distinct(T.raw_tokens(F.col("text"))))
+    tokens = F.array_distinct(T.raw_tokens(F.col("text")))
+    if terms is None:
+        # Texts are shuffled, which are less than their terms; a document's terms are then gathered where they arise.
+        dealt = paragraphs.select("doc_index", "position", "text").repartition("doc_index").sortWithinPartitions("doc_index", "position")
+        return _gathered(_terms(dealt, tokens).select(*KEYS, F.col("position").alias("positions")))
+    rows = _terms(paragraphs, tokens)
     if isinstance(terms, DataFrame):
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    elif terms is not None:
+    else:
         rows = rows.where(F.col("term").isin(sorted(set(terms))))
     # Dealt by key first, so that different tokens of one term and the positions are gathered after one shuffle.
     rows = rows.select("term", "doc_index", "position").repartition(*KEYS)
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """term, doc_index, positions (one, or a list) -> a row for each term and document, positions in order and without repeats.
+
+    The rows of a document lie in one partition, one after another. Terms without a position have no row.
+    """
+    doc, place = rows.schema["doc_index"].dataType, rows.schema["positions"].dataType
+    place = place.elementType if isinstance(place, types.ArrayType) else place
+    schema = types.StructType([types.StructField("term", types.StringType()), types.StructField("doc_index", doc), types.StructField("positions", types.ArrayType(place))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, most = [], GATHERED
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < most:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            docs = whole.column("doc_index").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            cut = int(np.searchsorted(docs, docs[-1]))  # codes are given in the order of documents
+            if cut:
+                yield _lists(whole.slice(0, cut))
+            held, most = whole.slice(cut).to_batches(), max(GATHERED, 2 * (whole.num_rows - cut))
+        if held and sum(b.num_rows for b in held):
+            yield _lists(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _lists(table: pa.Table) -> pa.RecordBatch:
+    """Rows of whole documents -> their postings."""
+    term, doc, at = (table.column(c).combine_chunks() for c in ("term", "doc_index", "positions"))
+    terms, docs = term.dictionary_encode("encode"), doc.dictionary_encode("encode")
+    keys = docs.indices.to_numpy().astype(np.int64) * len(terms.dictionary) + terms.indices.to_numpy()
+    if pa.types.is_list(at.type):
+        keys, at = keys[pc.list_parent_indices(at).to_numpy()], at.flatten()
+    places = at.to_numpy(zero_copy_only=False)
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    other = keys[1:] != keys[:-1]
+    kept = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), other | (places[1:] != places[:-1])])
+    keys, places = keys[kept], places[kept]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(places, at.type))
+    of = lambda codes, values: values.take(pa.array(codes, pa.int64()))
+    n = max(1, len(terms.dictionary))
+    return pa.RecordBatch.from_arrays([of(keys[first] % n, terms.dictionary), of(keys[first] // n, docs.dictionary), lists], [*KEYS, "positions"])
+
+
 def remove(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """Postings without those of ``docs`` (doc_index); terms without postings are gone by themselves."""
     return postings.join(docs.select("doc_index"), "doc_index", "left_anti").select(postings.columns)
@@ -59,8 +118,8 @@ def renumbered(postings: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def merged(postings: DataFrame) -> DataFrame:
     """One row for each term and document, positions united; those without positions go."""
-    united = F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions"))))
-    return postings.groupBy(*KEYS).agg(united.alias("positions")).where(F.size("positions") > 0)
+    rows = postings.where(F.size("positions") > 0).select(*KEYS, "positions")
+    return _gathered(rows.repartition("doc_index").sortWithinPartitions("doc_index"))
 
 
 def cleaned(postings: DataFrame) -> DataFrame:
