@@ -2,10 +2,16 @@
 
 Whatever contains a word contains all its runs of three characters, so that the paragraphs with the rarest of these are the only ones to
 look at; a test of the whole words follows. Words of one or two characters have no such run: they are tested alone, and a query of nothing else is a scan.
+
+The places of a run lie in lists, one for each run and some neighbouring documents: a row for each run and document would be many times the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +22,10 @@ from . import search
 GRAM = 3
 #: Runs of a query that are looked up, the rarest ones: each leaves fewer paragraphs, which are all tested.
 LOOKED_UP = 4
-KEYS = ["gram", "doc_index"]
+#: Characters whose runs share lists, about; a document is never parted.
+CHARACTERS = 1_000_000
+#: Rows of ``build``: the first document of a list; for each place how far its document is from that of the place before, and its position; documents.
+LISTS = "gram string, first long, steps array<int>, positions array<int>, documents long"
 
 
 def runs(text: Column) -> Column:
@@ -29,9 +38,89 @@ def runs_of(words: list[str]) -> list[str]:
 
 
 def build(paragraphs: DataFrame) -> DataFrame:
-    """doc_index, position, text -> gram, doc_index, positions: a row for each run and document. Only keys are shuffled, no texts."""
-    rows = paragraphs.select("doc_index", "position", F.explode(runs(T.normalised(F.col("text")))).alias("gram"))
-    return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """doc_index, position, text -> ``LISTS``. Documents are dealt in ranges, each to one task, and only texts are shuffled."""
+    norm = T.normalised(F.col("text")).alias("text")
+    rows = paragraphs.where(F.col("text").isNotNull()).select(F.col("doc_index").cast("long"), F.col("position").cast("long"), norm)
+    return rows.repartitionByRange("doc_index").sortWithinPartitions("doc_index", "position").mapInArrow(_by_chunks, LISTS)
+
+
+def _by_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs: list[int] = []
+    positions: list[int] = []
+    texts: list[str] = []
+    n = 0
+    for batch in batches:
+        for doc, position, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if docs and doc != docs[-1] and (n >= CHARACTERS or doc - docs[0] > np.iinfo(np.int32).max):
+                yield from _lists(docs, positions, texts)
+                docs, positions, texts, n = [], [], [], 0
+            docs.append(doc)
+            positions.append(position)
+            texts.append(text)
+            n += len(text)
+    yield from _lists(docs, positions, texts)
+
+
+def _lists(docs: list[int], positions: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """The lists of some whole documents, whose paragraphs are in order."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if len(codes) < GRAM:
+        return
+    here = np.zeros(0x110000, bool)
+    here[codes] = True
+    letters = np.flatnonzero(here)
+    numbers = np.zeros(0x110000, np.int64)
+    numbers[letters] = np.arange(len(letters))
+    numbers, k = numbers[codes], len(letters)
+    paragraph = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = paragraph[:-2] == paragraph[2:]
+    at = paragraph[:-2][inside]
+    if k**GRAM * len(texts) < 1 << 63:
+        run = ((numbers[:-2] * k + numbers[1:-1]) * k + numbers[2:])[inside]
+        both = np.sort(run * len(texts) + at)
+        both = both[np.r_[np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]]
+        run, at = both // len(texts), both % len(texts)
+        of = np.stack([run // (k * k), run // k % k, run % k], axis=1)
+    else:  # so many different letters and paragraphs that a number does not hold a run and its place
+        of = np.stack([x[inside] for x in (numbers[:-2], numbers[1:-1], numbers[2:])], axis=1)
+        order = np.lexsort((at, of[:, 2], of[:, 1], of[:, 0]))
+        of, at = of[order], at[order]
+        kept = np.flatnonzero(np.r_[np.ones(min(1, len(at)), bool), (of[1:] != of[:-1]).any(axis=1) | (at[1:] != at[:-1])])
+        of, at = of[kept], at[kept]
+    if not len(at):
+        return
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(axis=1)])
+    doc = np.array(docs, np.int64)[at]
+    steps = np.diff(doc, prepend=doc[0])
+    steps[first] = 0
+    new = steps > 0
+    new[first] = True
+    names = letters[of[first]].astype(np.uint32).tobytes().decode("utf-32-le")
+    offsets = pa.array(np.r_[first, len(at)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (steps, np.array(positions, np.int64)[at])]
+    grams = pa.array([names[i : i + GRAM] for i in range(0, len(names), GRAM)], pa.string())
+    columns = [grams, pa.array(doc[first]), *lists, pa.array(np.add.reduceat(new.astype(np.int64), first))]
+    made = pa.RecordBatch.from_arrays(columns, ["gram", "first", "steps", "positions", "documents"])
+    yield from (made.slice(i, 10_000) for i in range(0, made.num_rows, 10_000))
+
+
+def entries(grams: DataFrame) -> DataFrame:
+    """``LISTS`` -> gram, doc_index, position: a row for each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, first, steps, positions = batch.columns
+            sizes = np.diff(steps.offsets.to_numpy())
+            row, far = np.repeat(np.arange(batch.num_rows), sizes), np.cumsum(steps.flatten().to_numpy().astype(np.int64))
+            start = np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
+            base = np.zeros(batch.num_rows, np.int64)
+            base[sizes > 0] = far[start]  # the step of a first place is 0
+            docs = first.to_numpy()[row] + far - base[row]
+            out = [gram.take(pa.array(row)), pa.array(docs), pa.array(positions.flatten().to_numpy().astype(np.int64))]
+            for i in range(0, len(docs), 10_000):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 10_000) for c in out], ["gram", "doc_index", "position"])
+
+    return grams.select("gram", "first", "steps", "positions").mapInArrow(run, "gram string, doc_index long, position long")
 
 
 def candidates(grams: DataFrame, words: list[str]) -> DataFrame | None:
@@ -42,9 +131,9 @@ def candidates(grams: DataFrame, words: list[str]) -> DataFrame | None:
     mine = grams.where(F.col("gram").isin(wanted))
     sizes = {r["gram"]: r["n"] for r in mine.groupBy("gram").agg(F.sum(F.size("positions")).alias("n")).collect()}  # a row for each run of the query
     if len(sizes) < len(wanted):
-        return mine.where(F.lit(False)).select("doc_index", F.explode("positions").alias("position"))
+        return entries(mine.where(F.lit(False))).select("doc_index", "position")
     rare = sorted(wanted, key=lambda g: (sizes[g], g))[:LOOKED_UP]
-    rows = grams.where(F.col("gram").isin(rare)).select("doc_index", F.explode("positions").alias("position"))
+    rows = entries(grams.where(F.col("gram").isin(rare)))
     return rows.groupBy("doc_index", "position").count().where(F.col("count") == len(rare)).drop("count")
 
 

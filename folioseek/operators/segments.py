@@ -28,6 +28,8 @@ BROADCAST_BLOCKS = 10_000
 def live(snapshot: Snapshot, table: str) -> DataFrame:
     """The rows of a table whose rev is not marked as deleted. The marks are broadcast if they are few by the manifest's count."""
     rows = snapshot.read(table)
+    if table == "grams":  # lists of several documents; rows by place
+        rows = grams.entries(rows).withColumnRenamed("doc_index", "rev")
     if not snapshot.has("deleted"):
         return rows
     marks = snapshot.read("deleted").select("rev")
@@ -102,8 +104,10 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
         for table, build in DERIVED.items():
             if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
                 append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
-        append["postings"], added = store.counted("postings", append["postings"], **_entries())
-        append["sizes"] = _sizes(store.spark.read.parquet(f"{store.folder}/{append['postings']}"))
+        # Written as they are made: ranges are found by a look at all rows, which would make them twice. Documents lie together here.
+        made = stored(append["postings"], "made")
+        append["postings"], added = store.counted("postings", made, **_entries())
+        append["sizes"] = _sizes(made)
     marks = gone = 0
     if dropped is not None:
         dropped = stored(dropped.select("rev", "doc_key", "gone"), "dropped")
@@ -133,7 +137,9 @@ def compact(store: Store, most_segments: int = 1) -> bool:
         n = numbers.count()
         properties = {"next_key": n, "next_rev": n, "documents": n, "segments": 1, "marks": 0}
         docs = docs.join(numbers, "rev").withColumns({"rev": F.col("new"), "doc_key": F.col("new")}).drop("new")
-        rest = {t: again(live(base, t)) for t in TABLES if t != "documents" and base.has(t)}
+        rest = {t: again(live(base, t)) for t in TABLES if t not in ("documents", "grams") and base.has(t)}
+        if base.has("grams"):
+            rest["grams"] = grams.build(rest["paragraphs"].withColumnRenamed("rev", "doc_index"))
         store.commit(base, drop=("deleted",), properties=properties, documents=docs, **rest)
         return True
 
@@ -167,7 +173,8 @@ def _matches(snapshot: Snapshot, query: str, mode: str, view_mode: str | None, f
         return searching.matches(words, as_index("paragraphs"), as_index("postings"), view_mode == "fragments")
     if not snapshot.has("grams"):
         return searching.matches(words, as_index("paragraphs"), None, view_mode == "fragments")
-    return grams.matches(words, as_index("paragraphs"), as_index("grams"), view_mode == "fragments")
+    # Places in marked revs meet no live paragraph.
+    return grams.matches(words, as_index("paragraphs"), snapshot.read("grams"), view_mode == "fragments")
 
 
 def indexed(snapshot: Snapshot, rows: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def postings_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = index.build(_paragraphs(spark, sf_dir))
+    postings = stored(index.build(_paragraphs(spark, sf_dir)), "built")  # read twice
     twice = postings.unionByName(postings.withColumn("positions", F.transform("positions", lambda p: p + 1)))
     return _flat(index.merged(twice))
 
@@ -472,7 +472,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
 def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stored index holds."""
     now = _stored(spark, sf_dir).snapshot()
-    sizes = [now.read(t).groupBy(F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("n")) for t in sorted(now.tables)]
+    n = lambda t: F.sum("documents") if t == "grams" else F.count(F.lit(1))
+    sizes = [now.read(t).groupBy(F.lit(t).alias("table")).agg(n(t).alias("n")) for t in sorted(now.tables)]
     return reduce(DataFrame.unionByName, sizes)
 
 
@@ -624,14 +625,14 @@ def postings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with an index in which postings occur twice, are empty, or belong to documents that are gone."""
     docs = _docs(spark, sf_dir)
-    rows = index.build(corpus.paragraphs(docs))
+    rows = stored(index.build(corpus.paragraphs(docs)), "built")  # read twice
     bad = rows.withColumn("positions", F.filter("positions", lambda p: p % 2 == 0)).unionByName(rows.where("doc_index % 3 = 0"))
     return maintenance.repaired(bad, docs.count() - 20)[1]
 
 
 def index_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    rows = index.build(corpus.paragraphs(docs))
+    rows = stored(index.build(corpus.paragraphs(docs)), "built")  # read twice
     bad = rows.withColumn("positions", F.filter("positions", lambda p: p % 2 == 0)).unionByName(rows.where("doc_index % 3 = 0"))
     return _flat(maintenance.repaired(bad, docs.count() - 20)[0])
 

@@ -2,9 +2,10 @@
 
 import re
 
+from conftest import rows
 from pyspark.sql import functions as F
 
-from folioseek.operators import index
+from folioseek.operators import grams, index
 
 
 def exchanges(df):
@@ -24,3 +25,17 @@ def test_postings_are_gathered_where_their_documents_are(spark, monkeypatch):
     assert {key for _, key in exchanges(built) if _ == "hashpartitioning"} == {"doc_index"}
     shifted = built.unionByName(built.withColumn("positions", F.transform("positions", lambda p: p + 1))).unionByName(built.withColumn("positions", F.filter("positions", lambda p: p < 0)))
     assert sorted(map(tuple, index.merged(shifted).collect())) == sorted((*k, sorted({*v, *(p + 1 for p in v)})) for k, v in want.items())
+
+
+def test_grams_are_lists(spark, monkeypatch):
+    """One row has the places of a run in many documents; all letters that a number can't hold give the same."""
+    data = [(d + (d > 30) * (1 << 40), p, f"абв{chr(0x4E00 + d)}абв x𝒳y{p}") for d in range(60) for p in range(3)] + [(70, 0, None), (71, 0, "ab")]
+    lines = spark.createDataFrame(data, "doc_index long, position long, text string")
+    want = sorted({(t[i : i + 3], d, p) for d, p, t in data if t for i in range(len(t) - 2)})
+    built = grams.build(lines.coalesce(1))
+    assert rows(grams.entries(built)) == want
+    assert built.where("gram = 'абв'").count() <= 5 and built.where("gram = 'абв'").agg(F.sum("documents")).first()[0] == 60
+    docs, places, texts = zip(*[(0, 0, "".join(map(chr, range(0x10000, 0x10FFFF))))] + [(1, p, "abcabc"[: 2 * p]) for p in range(9)], strict=True)
+    (made,) = [b for b in grams._lists(list(docs), list(places), list(texts)) if "abc" in b.column("gram").to_pylist()]
+    at = made.column("gram").to_pylist().index("abc")
+    assert [c[at].as_py() for c in made.columns] == ["abc", 1, [0] * 7, [2, 3, 4, 5, 6, 7, 8], 1]
