@@ -21,8 +21,8 @@ from . import segments
 
 #: What is stored in buckets: from which table, by which column.
 BUCKETED = {"postings_by_term": ("postings", "term"), "paragraphs_by_document": ("paragraphs", "rev")}
-#: Bytes of a table that go into one bucket, about.
-BUCKET_BYTES = 256 << 20
+#: Bytes of stored files that go into one bucket, about, and the least number of buckets: a task sorts a bucket, which takes many times its file.
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 8
 
 
 def _written(store: Store, rows: DataFrame, key: str, buckets: int) -> str:
@@ -35,12 +35,13 @@ def _written(store: Store, rows: DataFrame, key: str, buckets: int) -> str:
     return name
 
 
-def write(store: Store, buckets: int) -> Snapshot:
-    """Add the bucketed tables of the live rows to the newest snapshot; ``buckets``: as many as its size asks for (see ``BUCKET_BYTES``)."""
+def write(store: Store, buckets: int | None = None) -> Snapshot:
+    """Add the bucketed tables of the live rows to the newest snapshot; ``buckets``: if None, as many as its size asks for (see ``BUCKET_BYTES``)."""
 
     def step(base: Snapshot) -> Snapshot:
-        made = {t: _written(store, segments.live(base, source), key, buckets) for t, (source, key) in BUCKETED.items()}
-        return store.commit(base, properties={"buckets": buckets, "bucketed": _state(base)}, **made)
+        n = buckets or max(LEAST_BUCKETS, *(-(-base.size(source) // BUCKET_BYTES) for source, _ in BUCKETED.values()))
+        made = {t: _written(store, segments.live(base, source), key, n) for t, (source, key) in BUCKETED.items()}
+        return store.commit(base, properties={"buckets": n, "bucketed": _state(base)}, **made)
 
     return store.updated(step)
 

@@ -516,7 +516,7 @@ def batch_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_search_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from buckets of an index that was updated before, without a shuffle of postings or paragraphs."""
     store = _segmented(spark, sf_dir)
-    found = buckets.search_many(buckets.write(store, 8), _asked(spark, sf_dir))
+    found = buckets.search_many(buckets.write(store), _asked(spark, sf_dir))
     return found.groupBy("query_id", "doc_index").agg(F.count(F.lit(1)).alias("n_matches"))
 
 

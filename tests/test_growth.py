@@ -5,7 +5,10 @@ import re
 from conftest import rows
 from pyspark.sql import functions as F
 
-from folioseek.operators import grams, index
+from test_store import text, versions
+
+from folioseek.operators import buckets, grams, index, segments
+from folioseek.sources.store import Store
 
 
 def exchanges(df):
@@ -39,3 +42,17 @@ def test_grams_are_lists(spark, monkeypatch):
     (made,) = [b for b in grams._lists(list(docs), list(places), list(texts)) if "abc" in b.column("gram").to_pylist()]
     at = made.column("gram").to_pylist().index("abc")
     assert [c[at].as_py() for c in made.columns] == ["abc", 1, [0] * 7, [2, 3, 4, 5, 6, 7, 8], 1]
+
+
+def test_buckets_grow_with_the_index(spark, tmp_path, monkeypatch):
+    docs = {f"p/{i:03}": ["солдат тут", f"майор{i}"] for i in range(20)}
+    kept = Store(spark, str(tmp_path / "s"))
+    now = segments.update(kept.snapshot(), versions(spark, docs), text(spark, docs))
+    largest = max(now.size("postings"), now.size("paragraphs"))
+    assert buckets.write(kept).properties["buckets"] == buckets.LEAST_BUCKETS
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", largest // 10)
+    now = buckets.write(kept)
+    assert now.properties["buckets"] >= 10
+    asked = spark.createDataFrame([(1, ["солдат"]), (2, ["майор3"])], "query_id long, words array<string>")
+    found = rows(buckets.search_many(now, asked))
+    assert len(found) == 21 and found == rows(segments.search_many(now, asked))
