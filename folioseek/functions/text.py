@@ -33,8 +33,9 @@ LEAST_BYTES = 2
 
 
 def unicode_trim(text: Column) -> Column:
-    """Strip every kind of white space at both ends (``trim`` knows the blank only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Strip every kind of white space at both ends (``trim`` knows the blank only). A text is searched for it only where its first or last character is one."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(text)
 
 
 def _stem_part(word: Column) -> Column:
@@ -56,7 +57,12 @@ def stem(word: Column) -> Column:
 
 def stem_token(token: Column) -> Column:
     """``stem`` for tokens, which have no hyphen."""
-    return _stem_guarded(F.lower(token))
+    return stem_lowered(F.lower(token))
+
+
+def stem_lowered(word: Column) -> Column:
+    """``stem_token`` for one that is in lower case."""
+    return _stem_guarded(word)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -69,6 +75,17 @@ def term(raw: Column) -> Column:
     return stem_token(F.replace(raw, F.lit("'"), F.lit("")))
 
 
+#: Letters whose lower case hangs on the letters around, or is more than a letter: a text with one has its tokens cut before they are in lower case.
+UNLIKE = ("\u0130", "\u03a3")
+
+
+def words(text: Column) -> Column:
+    """The raw tokens of a text in lower case without apostrophes; those of apostrophes alone may be left out. A text is changed as a whole if it can be."""
+    odd = F.contains(text, F.lit(UNLIKE[0])) | F.contains(text, F.lit(UNLIKE[1]))
+    each = F.transform(raw_tokens(text), lambda w: F.lower(F.replace(w, F.lit("'"), F.lit(""))))
+    return F.when(odd, each).otherwise(F.regexp_extract_all(normalised(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
 def tokens(text: Column) -> Column:
     """The index terms of a text in order: stems of its letter and digit runs, apostrophes removed."""
     return F.filter(F.transform(raw_tokens(text), term), lambda t: F.octet_length(t) >= LEAST_BYTES)
@@ -94,6 +111,15 @@ def stem_word(word: str) -> str:
     return "-".join(parts)
 
 
+def stem_lowered_word(word: str) -> str:
+    """``stem_lowered`` of a Python string."""
+    if word[-1:] not in TRAILING and not word.startswith(NAME_STEM):
+        return word
+    for rule in _PY_RULES:
+        word = rule.sub("", word)
+    return NAME_STEM if word.startswith(NAME_STEM) and word.endswith(NAME_ENDS) else word
+
+
 def query_terms(query: str, friendly: bool = False) -> list[str]:
     """The words of a query, in order and with repeats; ``friendly`` drops commas after words first.
 

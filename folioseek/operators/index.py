@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,12 +21,12 @@ GATHERED = 200_000
 
 def occurrences(paragraphs: DataFrame) -> DataFrame:
     """One row for each term of each paragraph, with repeats."""
-    return _terms(paragraphs, T.raw_tokens(F.col("text")))
+    return _terms(paragraphs, T.words(F.col("text")))
 
 
-def _terms(paragraphs: DataFrame, tokens: Column) -> DataFrame:
-    raw = paragraphs.select("doc_index", "position", F.explode(tokens).alias("raw"))
-    return raw.select("doc_index", "position", T.term(F.col("raw")).alias("term")).where(F.octet_length("term") >= T.LEAST_BYTES)
+def _terms(paragraphs: DataFrame, words: Column) -> DataFrame:
+    rows = paragraphs.select("doc_index", "position", F.explode(words).alias("word"))
+    return rows.select("doc_index", "position", T.stem_lowered(F.col("word")).alias("term")).where(F.octet_length("term") >= T.LEAST_BYTES)
 
 
 def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
@@ -37,13 +37,13 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
     if isinstance(terms, list):
         norm = T.normalised(F.col("text"))
         paragraphs = paragraphs.where(reduce(Column.__or__, [F.contains(norm, F.lit(t)) for t in sorted(set(terms))], F.lit(False)))
-    # Once for each distinct token of a paragraph: repeats are neither stemmed nor shuffled.
-    tokens = F.array_distinct(T.raw_tokens(F.col("text")))
+    # Once for each distinct word of a paragraph: repeats are neither stemmed nor shuffled.
+    words = F.array_distinct(T.words(F.col("text")))
     if terms is None:
         # Texts are shuffled, which are less than their terms; a document's terms are then gathered where they arise.
         dealt = paragraphs.select("doc_index", "position", "text").repartition("doc_index").sortWithinPartitions("doc_index", "position")
-        return _gathered(_terms(dealt, tokens).select(*KEYS, F.col("position").alias("positions")))
-    rows = _terms(paragraphs, tokens)
+        return _gathered(dealt.select(words.alias("words"), "doc_index", "position"), _of_words)
+    rows = _terms(paragraphs, words)
     if isinstance(terms, DataFrame):
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     else:
@@ -53,51 +53,76 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    """term, doc_index, positions (one, or a list) -> a row for each term and document, positions in order and without repeats.
+def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Rows of lists and their doc_index -> a row for each term and document, positions in order and without repeats.
 
-    The rows of a document lie in one partition, one after another. Terms without a position have no row.
+    The rows of a document lie in one partition, one after another. ``lists`` makes the postings of whole documents. Terms without a position have no row.
     """
-    doc, place = rows.schema["doc_index"].dataType, rows.schema["positions"].dataType
+    words, doc, place = (f.dataType for f in rows.schema.fields)
+    word = words.elementType if isinstance(words, types.ArrayType) else words
     place = place.elementType if isinstance(place, types.ArrayType) else place
-    schema = types.StructType([types.StructField("term", types.StringType()), types.StructField("doc_index", doc), types.StructField("positions", types.ArrayType(place))])
+    schema = types.StructType([types.StructField("term", word), types.StructField("doc_index", doc), types.StructField("positions", types.ArrayType(place))])
+
+    def entries(batch: pa.RecordBatch) -> int:
+        """Entries of its lists, or rows if these are more."""
+        held = [len(c.flatten()) for c in batch.columns if pa.types.is_list(c.type)]
+        return max(batch.num_rows, *held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, most = [], GATHERED
+        held, n, most = [], 0, GATHERED
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < most:
+            n += entries(batch)
+            if n < most:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
             docs = whole.column("doc_index").combine_chunks().dictionary_encode("encode").indices.to_numpy()
             cut = int(np.searchsorted(docs, docs[-1]))  # codes are given in the order of documents
             if cut:
-                yield _lists(whole.slice(0, cut))
-            held, most = whole.slice(cut).to_batches(), max(GATHERED, 2 * (whole.num_rows - cut))
+                yield lists(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+            n = sum(map(entries, held))
+            most = max(GATHERED, 2 * n)
         if held and sum(b.num_rows for b in held):
-            yield _lists(pa.Table.from_batches(held))
+            yield lists(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, schema)
 
 
-def _lists(table: pa.Table) -> pa.RecordBatch:
-    """Rows of whole documents -> their postings."""
-    term, doc, at = (table.column(c).combine_chunks() for c in ("term", "doc_index", "positions"))
-    terms, docs = term.dictionary_encode("encode"), doc.dictionary_encode("encode")
-    keys = docs.indices.to_numpy().astype(np.int64) * len(terms.dictionary) + terms.indices.to_numpy()
-    if pa.types.is_list(at.type):
-        keys, at = keys[pc.list_parent_indices(at).to_numpy()], at.flatten()
-    places = at.to_numpy(zero_copy_only=False)
+def _of_words(table: pa.Table) -> pa.RecordBatch:
+    """words, doc_index, position of whole documents -> their postings. Each distinct word is stemmed once."""
+    words, doc, at = (table.column(c).combine_chunks() for c in ("words", "doc_index", "position"))
+    row, words = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
+    stems = pa.array([T.stem_lowered_word(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    code = stems.indices.to_numpy()[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    kept = pc.greater_equal(pc.binary_length(stems.dictionary), T.LEAST_BYTES).to_numpy(zero_copy_only=False)
+    if not kept.all():
+        row, code = row[kept[code]], code[kept[code]]
+    docs = doc.dictionary_encode("encode")
+    return _postings(code, stems.dictionary, docs.indices.to_numpy()[row], docs.dictionary, at.to_numpy()[row], at.type)
+
+
+def _of_lists(table: pa.Table) -> pa.RecordBatch:
+    """term, doc_index, positions of whole documents -> their postings."""
+    term, doc, at = (table.column(c).combine_chunks() for c in (*KEYS, "positions"))
+    terms, docs, row = term.dictionary_encode("encode"), doc.dictionary_encode("encode"), pc.list_parent_indices(at).to_numpy()
+    at = at.flatten()
+    return _postings(terms.indices.to_numpy()[row], terms.dictionary, docs.indices.to_numpy()[row], docs.dictionary, at.to_numpy(zero_copy_only=False), at.type)
+
+
+def _postings(term: np.ndarray, terms: pa.Array, doc: np.ndarray, docs: pa.Array, places: np.ndarray, place: pa.DataType) -> pa.RecordBatch:
+    """Codes of terms and documents, and a place with each -> a row for each pair of these, places in order and without repeats."""
+    n = max(1, len(terms))
+    keys = doc.astype(np.int64) * n + term
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
-    other = keys[1:] != keys[:-1]
-    kept = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), other | (places[1:] != places[:-1])])
+    kept = np.ones(len(keys), bool)
+    kept[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
     keys, places = keys[kept], places[kept]
     first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(places, at.type))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(places, place))
     of = lambda codes, values: values.take(pa.array(codes, pa.int64()))
-    n = max(1, len(terms.dictionary))
-    return pa.RecordBatch.from_arrays([of(keys[first] % n, terms.dictionary), of(keys[first] // n, docs.dictionary), lists], [*KEYS, "positions"])
+    return pa.RecordBatch.from_arrays([of(keys[first] % n, terms), of(keys[first] // n, docs), lists], [*KEYS, "positions"])
 
 
 def remove(postings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -119,7 +144,7 @@ def renumbered(postings: DataFrame, numbers: DataFrame) -> DataFrame:
 def merged(postings: DataFrame) -> DataFrame:
     """One row for each term and document, positions united; those without positions go."""
     rows = postings.where(F.size("positions") > 0).select(*KEYS, "positions")
-    return _gathered(rows.repartition("doc_index").sortWithinPartitions("doc_index"))
+    return _gathered(rows.repartition("doc_index").sortWithinPartitions("doc_index"), _of_lists)
 
 
 def cleaned(postings: DataFrame) -> DataFrame:

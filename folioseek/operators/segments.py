@@ -73,10 +73,6 @@ def _entries() -> dict[str, Column]:
     return {"postings": F.count(F.lit(1)), "positions": F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("long")}
 
 
-def _sizes(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("rev").agg(*(c.alias(n) for n, c in _entries().items()))
-
-
 def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFrame | None = None, with_grams: bool = False) -> Snapshot:
     """Append versions of documents and mark others; commits on ``base``, which is a ``Conflict`` if another writer came first.
 
@@ -105,9 +101,10 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
             if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
                 append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
         # Written as they are made: ranges are found by a look at all rows, which would make them twice. Documents lie together here.
-        made = stored(append["postings"], "made")
-        append["postings"], added = store.counted("postings", made, **_entries())
-        append["sizes"] = _sizes(made)
+        # Lengths stand beside the lists, so that sizes are summed from two narrow columns.
+        made = stored(append["postings"].withColumn("_n", F.size("positions")), "made")
+        append["postings"], added = store.counted("postings", made.drop("_n"), **_entries())
+        append["sizes"] = made.groupBy("rev").agg(F.count(F.lit(1)).alias("postings"), F.sum("_n").alias("positions"))
     marks = gone = 0
     if dropped is not None:
         dropped = stored(dropped.select("rev", "doc_key", "gone"), "dropped")

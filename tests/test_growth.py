@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from test_store import text, versions
 
+from folioseek.functions import text as T
 from folioseek.operators import buckets, grams, index, segments
 from folioseek.sources.store import Store
 
@@ -56,3 +57,31 @@ def test_buckets_grow_with_the_index(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(1, ["солдат"]), (2, ["майор3"])], "query_id long, words array<string>")
     found = rows(buckets.search_many(now, asked))
     assert len(found) == 21 and found == rows(segments.search_many(now, asked))
+
+
+def test_words_are_stemmed_once_for_a_batch(spark):
+    """Paragraphs, not a row for each term, go to the gathering tasks, with what a token for itself gives, whatever its letters."""
+    texts = ["О'Нілові ІВАНЕНКА федір'ор ' '' a' 'b", "ΣΊΣΥΦΟΣ ΟΔΟΣ'Σ ὈΔΥΣΣΕΎΣ", "İSTANBUL Iğdır ǅ Ⅷ Ⓐ ẞß ﬁ", "Ꭰ Ა ⅷx ця ЦЮ фед Федор Фед'", None, "", "солдата-майора ʼ’ ́е́ 𝒳𐐀", "цяця"]
+    lines = spark.createDataFrame([(d, 0, t) for d, t in enumerate(texts)], "doc_index long, position long, text string")
+    each = lines.select("doc_index", F.explode(T.raw_tokens(F.col("text"))).alias("raw")).select(T.term(F.col("raw")).alias("term"), "doc_index")
+    want = rows(each.where(F.octet_length("term") >= T.LEAST_BYTES).distinct())
+    built = index.build(lines)
+    assert rows(built.select("term", "doc_index")) == want == rows(index.build(lines, each).select("term", "doc_index"))
+    assert rows(index.occurrences(lines).select("term", "doc_index").distinct()) == want
+    assert "Generate" not in built._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sizes_are_summed_from_lengths(spark, tmp_path, monkeypatch):
+    """The lists of positions are not read for the sizes of documents."""
+    seen, plain = [], segments.stored
+    monkeypatch.setattr(segments, "stored", lambda df, name: seen.append((name, df.columns)) or plain(df, name))
+    docs = {"p/a": ["солдат тут", "солдат"], "p/b": ["майор"]}
+    now = segments.update(Store(spark, str(tmp_path / "s")).snapshot(), versions(spark, docs), text(spark, docs))
+    assert rows(now.read("sizes").select("rev", "postings", "positions")) == [(0, 2, 3), (1, 1, 1)]
+    assert ("made", ["term", "rev", "positions", "_n"]) in seen and "_n" not in now.read("postings").columns
+
+
+def test_trimming_finds_all_white_space(spark):
+    texts = ["", " ", "a", " a", "a\u2003", "\u00a0\u0085a b\u2028\n", "\u200ba\u200b", "\t\n", None, "a \n b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.unicode_trim(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
