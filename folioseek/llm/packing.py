@@ -29,7 +29,7 @@ END_ID = 2
 SALTS = 256
 CACHED_WORDS = 300_000
 
-_known: dict[str, tuple[object, dict[bytes, bytes] | None, str]] = {}
+_known: dict[str, tuple[object, dict[bytes, bytes] | None, dict[str, bytes], str]] = {}
 
 
 def default_tokenizer() -> str:
@@ -60,7 +60,7 @@ _BY_WORDS = {
 
 
 def _loaded(path: str):
-    """(tokenizer, cache of words, numpy type of its ids); without a cache where texts must be encoded whole."""
+    """(tokenizer, cache of words, ids of pieces, numpy type of its ids); without a cache where texts must be encoded whole."""
     if path not in _known:
         import os
 
@@ -71,13 +71,13 @@ def _loaded(path: str):
         file = json.loads(tokenizer.to_str())
         by_words = all(file[k] == v for k, v in _BY_WORDS.items()) and all(t["content"].startswith(_MAY_BE_SPECIAL.decode()) for t in file["added_tokens"])
         kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        _known[path] = tokenizer, {} if by_words and kind == "<u2" else None, kind
+        _known[path] = tokenizer, {} if by_words and kind == "<u2" else None, _Pieces(tokenizer), kind
     return _known[path]
 
 
 def id_type(path: str) -> str:
     """The numpy type in which ``encode_texts`` gives the ids of a tokenizer file: as narrow as its vocabulary allows."""
-    return _loaded(path)[2]
+    return _loaded(path)[3]
 
 
 #: Words that need no normalising but lower case: printable ASCII without the apostrophe, and Latin-1 letters.
@@ -98,6 +98,24 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+#: Texts that need no normalising but lower case and white space: printable ASCII and Latin-1 letters, and how the tokenizer cuts them then.
+_SIMPLE_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_TEXT_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+class _Pieces(dict):
+    """Ids of the pieces of simple texts; those of a new piece come from the model."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        found = self[piece] = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+        return found
+
+
 def _learn(words: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
     """Put the ids of new words into the cache; pieces of simple words go to the model directly."""
     pieces: dict[str, bytes] = {}
@@ -126,22 +144,34 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian numbers of ``id_type``.
 
     A tokenizer that drops white space and lower-cases, so that no token crosses white space, has for a text the ids of its
-    words one after another; words that occurred are kept in a bounded cache. With any other file texts are encoded whole.
+    words one after another; words that occurred are kept in a bounded cache. Simple texts are cut into pieces as the tokenizer does it, without a look at
+    their words. With any other file texts are encoded whole.
     """
-    tokenizer, cache, kind = _loaded(path)
+    tokenizer, cache, pieces, kind = _loaded(path)
     if cache is None:
         out = []
         for at in range(0, len(texts), 16):
             encoded = tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 16]], add_special_tokens=False)
             out += [np.array(e.ids, kind).tobytes() for e in encoded]
         return out
-    split = [t.lower().split() if _MAY_BE_SPECIAL not in t else [w if _MAY_BE_SPECIAL in w else w.lower() for w in t.split()] for t in texts]
+    if len(pieces) > CACHED_WORDS:
+        pieces.clear()
+    out, others, ids = [], [], pieces.__getitem__
+    for k, raw in enumerate(texts):
+        if _MAY_BE_SPECIAL not in raw and _SIMPLE_TEXT.fullmatch(text := raw.decode()):
+            out.append(b"".join(map(ids, _TEXT_PIECES.findall(text.lower()))))
+        else:
+            out.append(b"")
+            others.append(k)
+    split = [t.lower().split() if _MAY_BE_SPECIAL not in t else [w if _MAY_BE_SPECIAL in w else w.lower() for w in t.split()] for t in (texts[k] for k in others)]
     new = list(set(chain.from_iterable(split)).difference(cache))
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
         new = list(set(chain.from_iterable(split)))
     _learn(new, tokenizer, cache)
-    return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+    for k, words in zip(others, split, strict=True):
+        out[k] = b"".join(map(cache.__getitem__, words))
+    return out
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:

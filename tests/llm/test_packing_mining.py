@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from folioseek.llm import binslack, divergence, hardneg
+from folioseek.llm import binslack, divergence, hardneg, packing
 from folioseek.llm.common import table
 from folioseek.llm.queries import queries
 
@@ -245,3 +245,16 @@ def test_shares_beyond_a_long(spark):
     n = 5 * 10**17
     found = spark.range(1).select(divergence._share(F.lit(n), F.lit(2 * n))).first()[0]
     assert found == 1 + 10**9 * (n + 2) // (2 * n)
+
+
+def test_simple_texts_are_cut_into_pieces_without_their_words():
+    """Texts of plain letters, apostrophes and white space of any kind get the tokenizer's ids; none of their words is learned, other texts' words are."""
+    path = packing.default_tokenizer()
+    tokenizer, words, *_ = packing._loaded(path)
+    words.clear()
+    simple = ["It's they'LL ['s 's't ''re x'vevm I'D", "\tÀÖß Øÿ\x0b\x0c12345 a1b2--c..!\r\n", "", " ", "Straße's", "~`^|><"]
+    others = ["<|x it's", "тест it's", "ﬁ é x", "a b"]
+    want = lambda ts: [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in ts]
+    assert packing.encode_texts([t.encode() for t in simple], path) == want(simple) and not words
+    mixed = [*others[:2], *simple, *others[2:]]
+    assert packing.encode_texts([t.encode() for t in mixed], path) == want(mixed) and b"it's" in words
