@@ -33,17 +33,17 @@ def classified(raw: DataFrame) -> DataFrame:
 def numbered(lines: DataFrame) -> DataFrame:
     """doc, seq, level -> + number such as ``1.2. ``: empty below the fourth level, null for no list item.
 
-    The counter of a level is the number of its items since the last item of a higher level.
+    The counter of a level is the number of its items since the last item of a higher level: their number up to here less that up to there. All
+    windows have one order, so that lines are sorted once.
     """
-    to_here = lambda *keys: Window.partitionBy(*_DOC, *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.coalesce("level", F.lit(LEVELS + 1))
-    for n in range(1, LEVELS + 1):
-        lines = lines.withColumn(f"_g{n}", F.sum((level < n).cast("int")).over(to_here()))
-    for n in range(1, LEVELS + 1):
-        lines = lines.withColumn(f"_c{n}", F.sum((level == n).cast("int")).over(to_here(f"_g{n}")))
-    counters = F.slice(F.array(*[F.col(f"_c{n}").cast("string") for n in range(1, LEVELS + 1)]), 1, F.col("level").cast("int"))
+    to_here = Window.partitionBy(*_DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    level, levels = F.coalesce("level", F.lit(LEVELS + 1)), range(1, LEVELS + 1)
+    lines = lines.withColumns({f"_t{n}": F.sum((level == n).cast("int")).over(to_here) for n in levels})
+    before = {n: F.max(F.when(level < n, F.col(f"_t{n}"))).over(to_here) for n in levels}
+    lines = lines.withColumns({f"_c{n}": F.col(f"_t{n}") - F.coalesce(before[n], F.lit(0)) for n in levels})
+    counters = F.slice(F.array(*[F.col(f"_c{n}").cast("string") for n in levels]), 1, F.col("level").cast("int"))
     number = F.when(F.col("level").isNull(), None).when(F.col("level") > LEVELS, "").otherwise(F.concat(F.array_join(counters, "."), F.lit(". ")))
-    return lines.withColumn("number", number).drop(*[f"_{x}{n}" for x in "gc" for n in range(1, LEVELS + 1)])
+    return lines.withColumn("number", number).drop(*[f"_{x}{n}" for x in "tc" for n in levels])
 
 
 def kept_with_breaks(raw: DataFrame) -> DataFrame:

@@ -302,8 +302,8 @@ def docx_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str, folder: str, which: str) -> None:
     """Raw paragraphs of some documents as word-processor files."""
-    made = docx.containers(_raw(spark, sf_dir).where(which))
-    docx.write_files(made.withColumn("doc", F.concat(F.lit("2024/"), "doc", F.lit(".docx"))), folder)
+    raw = _raw(spark, sf_dir).where(which)
+    docx.write_documents(raw.withColumn("doc", F.concat(F.lit("2024/"), "doc", F.lit(".docx"))), folder)
 
 
 def docx_folder(spark: SparkSession, sf_dir: str) -> DataFrame:

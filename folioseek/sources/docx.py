@@ -7,18 +7,19 @@ import json
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
-from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators import numbering
+from ..tables import stored
 from . import files
 
 BODY, NUMBERING = "word/document.xml", "word/numbering.xml"
@@ -65,6 +66,7 @@ def raw_paragraphs(content: bytes) -> list[tuple[str, str | None, str | None, st
             now["text"].append(data)
 
     reader = expat.ParserCreate()
+    reader.buffer_text = True
     reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = start, end, text
     try:
         # An element without content is no blank paragraph; expat tells it by its end at the place of its start.
@@ -84,56 +86,117 @@ def read_raw(contents: DataFrame) -> DataFrame:
     """(doc, content) -> ``RAW`` rows; a file that can't be read has one row with ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _rows(doc, content or b"")
+        return _batched((doc.as_py(), content.as_py() or b"") for batch in batches for doc, content in zip(batch.column(0), batch.column(1), strict=True))
 
     return contents.select("doc", "content").mapInArrow(run, RAW)
 
 
-def _rows(doc: str | None, content: bytes) -> Iterator[pa.RecordBatch]:
+#: Rows and characters of text after which a batch of raw rows is full; a file's rows are never parted.
+FULL_ROWS, FULL_CHARS = 4096, 1 << 22
+
+
+def _batched(found: Iterable[tuple[str | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Raw rows of files, those of many small ones in one batch."""
+    rows, chars = [], 0
+    for doc, content in found:
+        try:
+            mine = [(doc, i, *p, None) for i, p in enumerate(raw_paragraphs(content))]
+        except ValueError as e:
+            mine = [(doc, 0, None, None, None, None, str(e)[:200])]
+        rows += mine
+        chars += sum(len(r[2] or "") for r in mine)
+        if len(rows) >= FULL_ROWS or chars >= FULL_CHARS:
+            yield _batch(rows)
+            rows, chars = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["doc", "seq", "text", "style", "ilvl", "num_id", "error"]
     types = [pa.string(), pa.int64(), *[pa.string()] * 5]
-    try:
-        rows = [(doc, i, *p, None) for i, p in enumerate(raw_paragraphs(content))]
-    except ValueError as e:
-        rows = [(doc, 0, None, None, None, None, str(e)[:200])]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 #: Characters that XML 1.0 does not know.
-_NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+_NO_XML = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
 
+def _escaped(text: Column, marks: tuple[tuple[str, str], ...]) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), *marks):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
 
-def _container(paragraphs: list[dict]) -> bytes:
-    body = []
-    for p in paragraphs:
-        value = lambda name: quoteattr(_NO_XML.sub("", p[name]))  # noqa: B023, E731
-        style = f"<w:pStyle w:val={value('style')}/>" if p["style"] is not None else ""
-        listed = "".join(f"<w:{tag} w:val={value(name)}/>" for tag, name in (("ilvl", "ilvl"), ("numId", "num_id")) if p[name] is not None)
-        marks = f"<w:pPr>{style}{f'<w:numPr>{listed}</w:numPr>' if listed else ''}</w:pPr>" if style or listed else ""
-        body.append(f"<w:p>{marks}<w:r><w:t>{escape(_NO_XML.sub('', p['text'] or ''), {chr(13): '&#13;'})}</w:t></w:r></w:p>")
+
+def _element() -> Column:
+    """The XML of a paragraph's row."""
+    value = lambda name: _escaped(F.col(name), (('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;")))
+    tag = lambda tag, name: F.coalesce(F.concat(F.lit(f'<w:{tag} w:val="'), value(name), F.lit('"/>')), F.lit(""))
+    listed = F.when(F.col("ilvl").isNull() & F.col("num_id").isNull(), "").otherwise(F.concat(F.lit("<w:numPr>"), tag("ilvl", "ilvl"), tag("numId", "num_id"), F.lit("</w:numPr>")))
+    inner = F.concat(tag("pStyle", "style"), listed)
+    marks = F.when(inner == "", "").otherwise(F.concat(F.lit("<w:pPr>"), inner, F.lit("</w:pPr>")))
+    text = F.coalesce(_escaped(F.col("text"), ()), F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("<w:p>"), marks, F.lit("<w:r><w:t>"), text, F.lit("</w:t></w:r></w:p>")), _NO_XML, "")
+
+
+def _dealt(raw: DataFrame) -> DataFrame:
+    """doc, xml of each paragraph: a document's lie in one partition, one after another in their order."""
+    return raw.select("doc", "seq", _element().alias("xml")).repartition("doc").sortWithinPartitions("doc", "seq", "xml").select("doc", "xml")
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+    """Batches of ``_dealt`` rows -> each document and its file's bytes; one document is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column(0))
+        xml, first = batch.column(1).to_pylist(), 0
+        for doc, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if held and doc != now:
+                yield now, _container(held)
+                held = []
+            now = doc
+            held += xml[first:end]
+            first = end
+    if held:
+        yield now, _container(held)
+
+
+def _container(elements: list[str]) -> bytes:
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(BODY, f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="w"><w:body>{"".join(body)}</w:body></w:document>')
+        z.writestr(BODY, f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="w"><w:body>{"".join(elements)}</w:body></w:document>')
     return data.getvalue()
 
 
+#: Bytes of files after which a batch of them is full.
+FULL_BYTES = 1 << 22
+
+
 def containers(raw: DataFrame) -> DataFrame:
     """doc, seq, text, style, ilvl, num_id -> doc, content: a file's bytes for each document, for ``read_raw`` to read.
 
-    A null text is a blank paragraph; characters that XML does not know are left out. One document's paragraphs meet in one group.
+    A null text is a blank paragraph; characters that XML does not know are left out. Paragraphs are dealt by document and sorted, so that a task
+    holds those of one document at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_container(p) for p in part.column(1).to_pylist()], pa.binary())], ["doc", "content"])
+        files = lambda held: pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], ["doc", "content"])
+        held, n = [], 0
+        for doc, content in _made(batches):
+            held.append((doc, content))
+            n += len(content)
+            if n >= FULL_BYTES:
+                yield files(held)
+                held, n = [], 0
+        if held:
+            yield files(held)
+
+    return _dealt(raw).mapInArrow(run, "doc string, content binary")
 
-    paragraphs = F.array_sort(F.collect_list(F.struct("seq", "text", "style", "ilvl", "num_id")))
-    return raw.groupBy("doc").agg(paragraphs.alias("paragraphs")).mapInArrow(run, "doc string, content binary")
+
+def write_documents(raw: DataFrame, folder: str) -> int:
+    """``containers`` as files ``doc`` below a folder, each written by the task that makes it as soon as it is made; returns how many."""
+    return _written(_dealt(raw), folder, _made)
 
 
 def write_files(contents: DataFrame, folder: str) -> int:
@@ -141,22 +204,32 @@ def write_files(contents: DataFrame, folder: str) -> int:
 
     A file has its name when it is whole; a task that runs again writes the same bytes under it.
     """
+    return _written(contents.select("doc", "content"), folder, _given)
+
 
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+    return ((doc.as_py(), content.as_py()) for batch in batches for doc, content in zip(batch.column(0), batch.column(1), strict=True))
+
+
+def _written(rows: DataFrame, folder: str, made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str | None, bytes]]]) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = f"{root}/{doc}"
-                draft = f"{path}.{uuid.uuid4().hex}.tmp"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(draft, compression=None) as out:
-                    out.write(content)
-                store.move(draft, path)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return contents.select("doc", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        folders, n = set(), 0
+        for doc, content in made(batches):
+            path = f"{root}/{doc}"
+            if (above := path.rpartition("/")[0]) not in folders:
+                store.create_dir(above, recursive=True)
+                folders.add(above)
+            draft = f"{path}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(draft, compression=None) as out:
+                out.write(content)
+            store.move(draft, path)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def structured(raw: DataFrame) -> DataFrame:
@@ -167,6 +240,16 @@ def structured(raw: DataFrame) -> DataFrame:
 
 #: Files that one task of the data source opens, about; paths that are named in one read, at most.
 FILES_PER_TASK, MOST_PATHS = 64, 50_000
+#: Files that one task opens of a table of paths, about; tasks are fewer than the shuffle's partitions only where a task would have under ``LEAST_LISTED`` files.
+LISTED_PER_TASK, LEAST_LISTED = 1000, 16
+
+
+def _content(path: str) -> bytes:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except FileNotFoundError:
+        return b""  # it went since it was listed: an error like that of a broken file
 
 
 @dataclass
@@ -187,13 +270,7 @@ class DocxReader(DataSourceReader):
         return [_Files([(n, f"{self.root}/{n}") for n in names[k : k + self.per_task]]) for k in range(0, len(names), self.per_task)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for name, path in partition.value:
-            try:
-                with open(path, "rb") as f:
-                    content = f.read()
-            except FileNotFoundError:
-                content = b""  # it went since it was listed: an error like that of a broken file
-            yield from _rows(name, content)
+        return _batched((name, _content(path)) for name, path in partition.value)
 
 
 class DocxSource(DataSource):
@@ -233,11 +310,24 @@ def read_named(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return read_raw(found)
 
 
+def read_listed(spark: SparkSession, folder: str, paths: DataFrame, n: int) -> DataFrame:
+    """``RAW`` rows of the ``n`` files in a table of paths below a folder that driver and executors can open. Tasks read the paths: the driver sees none."""
+    root = folder.removeprefix("file://").rstrip("/")
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_LISTED), -(-n // LISTED_PER_TASK), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched((name, _content(f"{root}/{name}")) for batch in batches for name in batch.column(0).to_pylist())
+
+    return paths.select("path").repartition(parts).mapInArrow(run, RAW)
+
+
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """All documents below a folder: (paragraphs, errors). Contents are joined with nothing: what is no document is not opened."""
     if files.is_local(folder):
-        spark.dataSource.register(DocxSource)
-        raw = spark.read.format("docx").load(folder)
+        path = F.col("path")
+        # Written, so that both results are of one listing.
+        found = stored(files.walk(spark, folder).where(files.is_document(path) & ~files.in_excluded_folder(path)).select("path"), "documents-found")
+        raw = read_listed(spark, folder, found, found.count())
     else:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(files.below(F.col("path"), folder.rstrip("/")).alias("doc"), "content")
         doc = F.col("doc")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from functools import reduce
@@ -110,6 +111,8 @@ def listing(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH, missin
 
 # ---- a walk that enters no excluded folder ----
 
+#: Entries of a folder that are held at once.
+LISTED = 10_000
 _ENTRIES = "path string, is_folder boolean, size long, mtime_s long"
 
 
@@ -160,8 +163,8 @@ def walk(spark: SparkSession, folder: str, max_depth: int = MAX_DEPTH) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for parent in batch.column(0).to_pylist():
-                rows = list(_entries(root, parent))
-                if rows:
+                found = _entries(root, parent)
+                while rows := list(itertools.islice(found, LISTED)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["path", "is_folder", "size", "mtime_s"])
 
     level, found = spark.createDataFrame([("",)], "path string"), []

@@ -36,7 +36,9 @@ def listed(spark: SparkSession, folder: str):
 
 
 def _read(spark: SparkSession, folder: str, paths: DataFrame, n: int) -> DataFrame:
-    """Raw rows of the files in ``paths``, which are read in lists of a bounded length; written."""
+    """Raw rows of the files in ``paths``; written. Local files are opened by tasks that have their paths, others are read in lists of a bounded length."""
+    if files.is_local(folder):
+        return stored(docx.read_listed(spark, folder, paths, n), "raw")
     if n <= docx.MOST_PATHS:
         return stored(docx.read_named(spark, folder, [r["path"] for r in paths.collect()]), "raw")
     numbers, out = stored(dense_index(paths, [F.col("path")], "k"), "paths"), None

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from test_store import text, versions
 
 from folioseek.functions import text as T
-from folioseek.operators import buckets, grams, index, segments
+from folioseek.operators import buckets, grams, index, numbering, segments
+from folioseek.sources import docx, files
 from folioseek.sources.store import Store
 
 
@@ -85,3 +86,38 @@ def test_trimming_finds_all_white_space(spark):
     texts = ["", " ", "a", " a", "a\u2003", "\u00a0\u0085a b\u2028\n", "\u200ba\u200b", "\t\n", None, "a \n b"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.unicode_trim(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")).collect()
     assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_numbering_sorts_once(spark):
+    """Counters of all levels come from windows of one order, and are those of a walk."""
+    data = [(d, s, [None, 1, 2, 3, 4, 5, 6][(d * 7 + s * s * 3 + s) % 7]) for d in range(9) for s in range(60)]
+    got = numbering.numbered(spark.createDataFrame(data, "doc int, seq long, level long"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    for d in range(9):
+        counts, want = [0] * 5, []
+        for _, s, level in (x for x in data if x[0] == d):
+            if level is not None and level <= 4:
+                counts = [*counts[: level], counts[level] + 1, *[0] * (4 - level)]
+            want.append((s, None if level is None else "" if level > 4 else ".".join(map(str, counts[1 : level + 1])) + ". "))
+        assert rows(got.where(F.col("doc") == d).select("seq", "number")) == want
+
+
+def test_a_folder_is_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Paths are neither listed nor named by the driver, a folder's entries are held in parts, and a document is held at a time."""
+    raw = spark.range(300).selectExpr("'2024/' || id % 30 || '.docx' AS doc", "id AS seq", "'a<&>\r\"' || id AS text", "if(id % 3 = 0, 'S&\"\t\n1', null) AS style", "cast(null AS string) AS ilvl", "if(id % 2 = 0, '1', null) AS num_id")
+    monkeypatch.setattr(files, "LISTED", 7)
+    monkeypatch.setattr(docx, "LISTED_PER_TASK", 10)
+    monkeypatch.setattr(docx, "FULL_BYTES", 1)
+    monkeypatch.setattr(files, "documents_below", None)
+    assert docx.write_documents(raw, f"file://{tmp_path}") == 30 and len(list(tmp_path.glob("2024/*"))) == 30
+    want = [tuple(r) for r in raw.orderBy("doc", "seq").select("doc", "text", "style", "ilvl", "num_id").collect()]
+    listed = files.walk(spark, str(tmp_path)).select("path")
+    read = docx.read_listed(spark, str(tmp_path), listed, 30)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and read.rdd.getNumPartitions() == 3
+    assert [tuple(r) for r in read.orderBy("doc", "seq").select("doc", "text", "style", "ilvl", "num_id").collect()] == want
+    assert docx.read_folder(spark, str(tmp_path))[0].select("doc").distinct().count() == 30
+    made = docx.containers(raw)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 30
+    content = made.first()["content"]
+    assert [b.num_rows for b in docx._batched((str(k), content) for k in range(1000))] == [4100, 4100, 1800]
