@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text as T
+from ..tables import stored
 
 KEYS = ["term", "doc_index"]
 #: Rows that a task gathers at once, about; the rows of a document are never parted.
 GATHERED = 200_000
+#: Documents whose numbers are broadcast at most.
+FEW_DOCUMENTS = 1_000_000
+#: Postings of two indexes that a task compares, about.
+COMPARED = 500_000
 
 
 def occurrences(paragraphs: DataFrame) -> DataFrame:
@@ -43,11 +48,10 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
         # Texts are shuffled, which are less than their terms; a document's terms are then gathered where they arise.
         dealt = paragraphs.select("doc_index", "position", "text").repartition("doc_index").sortWithinPartitions("doc_index", "position")
         return _gathered(dealt.select(words.alias("words"), "doc_index", "position"), _of_words)
-    rows = _terms(paragraphs, words)
     if isinstance(terms, DataFrame):
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        rows = _terms(paragraphs, words).join(terms.select("term").distinct(), "term", "left_semi")
     else:
-        rows = rows.where(F.col("term").isin(sorted(set(terms))))
+        rows = _terms(paragraphs, words).where(F.col("term").isin(sorted(set(terms))))
     # Dealt by key first, so that different tokens of one term and the positions are gathered after one shuffle.
     rows = rows.select("term", "doc_index", "position").repartition(*KEYS)
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
@@ -125,15 +129,22 @@ def _postings(term: np.ndarray, terms: pa.Array, doc: np.ndarray, docs: pa.Array
     return pa.RecordBatch.from_arrays([of(keys[first] % n, terms), of(keys[first] // n, docs), lists], [*KEYS, "positions"])
 
 
+def _numbers(docs: DataFrame) -> DataFrame:
+    """The doc_index of documents, written, to be broadcast where they are counted to be few, so that postings stay where they are."""
+    found = stored(docs.select("doc_index").distinct(), "numbers")
+    return F.broadcast(found) if found.count() <= FEW_DOCUMENTS else found
+
+
 def remove(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """Postings without those of ``docs`` (doc_index); terms without postings are gone by themselves."""
-    return postings.join(docs.select("doc_index"), "doc_index", "left_anti").select(postings.columns)
+    return postings.join(_numbers(docs), "doc_index", "left_anti").select(postings.columns)
 
 
 def update(postings: DataFrame, changed: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Postings with the documents of ``changed`` (doc_index) replaced by those in ``paragraphs``."""
-    fresh = paragraphs.join(changed.select("doc_index"), "doc_index", "left_semi")
-    return remove(postings, changed).unionByName(build(fresh))
+    changed = _numbers(changed)
+    left = postings.join(changed, "doc_index", "left_anti").select(postings.columns)
+    return left.unionByName(build(paragraphs.join(changed, "doc_index", "left_semi")))
 
 
 def renumbered(postings: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -195,14 +206,27 @@ def uncovered(paragraphs: DataFrame, substring: str, postings: DataFrame, term:
     return has.join(postings.where(F.col("term") == term).select("doc_index"), "doc_index", "left_anti")
 
 
-def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: terms, postings and positions that a step (update, removal, merge, clean-up) added to an index and took from it."""
+def difference(before: DataFrame, after: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """One row: terms, postings and positions that a step (update, removal, merge, clean-up) added to an index and took from it.
 
-    def side(rows: DataFrame, sign: int) -> DataFrame:
-        return rows.select(*KEYS, F.lit(sign).alias("n"), (F.size("positions") * sign).cast("long").alias("p"), F.lit(sign).alias("s"))
+    ``touched`` (doc_index): the documents that the step may have changed, if these are known; of the others the terms alone are looked at. Postings are
+    counted, and dealt to so many tasks that each compares ``COMPARED`` of them, before they are aggregated.
+    """
 
-    both = side(before, -1).unionByName(side(after, 1))
-    keys = both.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("s").alias("top"), F.min("s").alias("low"))
+    def side(rows: DataFrame, sign: int) -> DataFrame:
+        return rows.select(*KEYS, F.lit(sign).alias("n"), (F.size("positions") * sign).cast("long").alias("p"))
+
+    rest = None
+    if touched is not None:
+        docs = _numbers(touched)
+        rest = before.join(docs, "doc_index", "left_anti").select("term").distinct()
+        before, after = (rows.join(docs, "doc_index", "left_semi") for rows in (before, after))
+    both = stored(side(before, -1).unionByName(side(after, 1)), "compared")
+    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // COMPARED))
+    keys = both.repartition(parts, *KEYS).groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("n").alias("top"), F.min("n").alias("low"))
+    if rest is not None:  # such a term is in both
+        nothing = [F.lit(0).cast("long").alias(c) for c in ("n", "p")]
+        keys = keys.drop("doc_index").unionByName(rest.select("term", *nothing, F.lit(1).alias("top"), F.lit(-1).alias("low")))
     up, down = (lambda c: F.sum(F.greatest(F.col(c), F.lit(0)))), (lambda c: F.sum(F.greatest(-F.col(c), F.lit(0))))
     terms = keys.groupBy("term").agg(
         F.max("top").alias("top"), F.min("low").alias("low"), up("n").alias("n_up"), down("n").alias("n_down"), up("p").alias("p_up"), down("p").alias("p_down")

@@ -619,7 +619,8 @@ def postings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = changed.withColumn("text", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")))
     old = stored(index.build(corpus.paragraphs(docs)), "before")
     gone = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
-    return index.difference(old, index.remove(index.update(old, changed, corpus.paragraphs(new)), gone))
+    touched = changed.select("doc_index").unionByName(gone.select("doc_index"))
+    return index.difference(old, index.remove(index.update(old, changed, corpus.paragraphs(new)), gone), touched)
 
 
 def index_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,22 @@ def test_a_folder_is_read_by_tasks(spark, tmp_path, monkeypatch):
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 30
     content = made.first()["content"]
     assert [b.num_rows for b in docx._batched((str(k), content) for k in range(1000))] == [4100, 4100, 1800]
+
+
+def test_difference_of_touched_documents(spark, monkeypatch):
+    """The postings of touched documents alone are compared, in tasks whose number follows theirs; terms of the others count as there."""
+    monkeypatch.setattr(index, "COMPARED", 10)
+    lines = spark.createDataFrame([(d, p, f"слово{d % 3} x{d} спільний y{p}") for d in range(40) for p in range(3)] + [(3, 9, "рідкісний")], "doc_index long, position long, text string")
+    before = index.build(lines)
+    changed, gone = spark.createDataFrame([(3,), (4,), (7,)], "doc_index long"), spark.createDataFrame([(7,), (8,)], "doc_index long")
+    new = lines.where("doc_index in (3, 4, 7) and position < 2").withColumn("text", F.concat("text", F.lit(" новий")))
+    after = index.remove(index.update(before, changed, new), gone)
+    seen, plain = [], index.stored
+    monkeypatch.setattr(index, "stored", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    whole, some = index.difference(before, after), index.difference(before, after, changed.unionByName(gone))
+    # new: новий in 3 and 4; gone: рідкісний, x7, x8, and y2 of 3, 4, 7, 8.
+    assert rows(some) == rows(whole) and some.first()["terms_added"] == 1 and some.first()["terms_removed"] == 3
+    assert {r[0] for r in seen[-1][1].select("doc_index").distinct().collect()} == {3, 4, 7, 8}
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    n = dict((k, v) for k, v in seen[:1])["compared"].count()
+    assert f", {-(-n // 10)}), REPARTITION_BY_NUM" in plan and n > 40
