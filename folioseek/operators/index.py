@@ -18,8 +18,8 @@ from ..tables import stored
 KEYS = ["term", "doc_index"]
 #: Rows that a task gathers at once, about; the rows of a document are never parted.
 GATHERED = 200_000
-#: Documents whose numbers are broadcast at most.
-FEW_DOCUMENTS = 1_000_000
+#: Terms that are asked for, sent with the tasks at most; documents whose numbers are broadcast at most.
+FEW_TERMS, FEW_DOCUMENTS = 100_000, 1_000_000
 #: Postings of two indexes that a task compares, about.
 COMPARED = 500_000
 
@@ -49,7 +49,7 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
         dealt = paragraphs.select("doc_index", "position", "text").repartition("doc_index").sortWithinPartitions("doc_index", "position")
         return _gathered(dealt.select(words.alias("words"), "doc_index", "position"), _of_words)
     if isinstance(terms, DataFrame):
-        rows = _terms(paragraphs, words).join(terms.select("term").distinct(), "term", "left_semi")
+        rows = _asked(paragraphs, stored(terms.select("term").distinct(), "asked"))
     else:
         rows = _terms(paragraphs, words).where(F.col("term").isin(sorted(set(terms))))
     # Dealt by key first, so that different tokens of one term and the positions are gathered after one shuffle.
@@ -57,6 +57,26 @@ def build(paragraphs: DataFrame, terms: list[str] | DataFrame | None = None) ->
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
+def _asked(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Where the terms of a written table are. Each distinct word of a batch is stemmed once; words are rows only where their terms are asked for, if the terms are counted to be few."""
+    known = {r["term"] for r in terms.collect()} if terms.count() <= FEW_TERMS else None
+    rows = paragraphs.select(T.words(F.col("text")).alias("words"), "doc_index", "position")
+    _, doc, place = rows.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            row, words = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
+            stems = [T.stem_lowered_word(w) for w in words.dictionary.to_pylist()]
+            code, kept = words.indices.to_numpy(), np.array([(known is None or s in known) and len(s.encode()) >= T.LEAST_BYTES for s in stems], bool)
+            at = np.flatnonzero(kept[code]) if len(code) else np.zeros(0, np.int64)
+            of = lambda values, codes: values.take(pa.array(codes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([of(pa.array(stems, pa.string()), code[at]), *(of(batch.column(c), row[at]) for c in ("doc_index", "position"))], ["term", "doc_index", "position"])
+
+    found = rows.mapInArrow(run, types.StructType([types.StructField("term", types.StringType()), doc, place]))
+    return found if known is not None else found.join(terms, "term", "left_semi")
+
+
 def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """Rows of lists and their doc_index -> a row for each term and document, positions in order and without repeats.
 

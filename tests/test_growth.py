@@ -140,3 +140,16 @@ def test_difference_of_touched_documents(spark, monkeypatch):
     plan = whole._jdf.queryExecution().executedPlan().toString()
     n = dict((k, v) for k, v in seen[:1])["compared"].count()
     assert f", {-(-n // 10)}), REPARTITION_BY_NUM" in plan and n > 40
+
+
+def test_words_that_are_not_asked_for_are_no_rows(spark, monkeypatch):
+    texts = ["О'Нілові ІВАНЕНКА федір'ор ' солдата солдат", "ΣΊΣΥΦΟΣ солдату майор", None, "", "x"]
+    lines = spark.createDataFrame([(d, p, t) for d, t in enumerate(texts) for p in range(2)], "doc_index long, position int, text string").repartition(3)
+    asked = spark.createDataFrame([("солдат",), ("фед",), ("σίσυφος",), ("нема",), ("солдат",), ("x",)], "term string")
+    want = rows(index.build(lines).join(asked.distinct(), "term", "left_semi").select("term", "doc_index", "positions"))
+    for few in (100, 1):
+        monkeypatch.setattr(index, "FEW_TERMS", few)
+        built = index.build(lines, asked)
+        assert rows(built) == want and len(want) == 4
+        plan = built._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and ("LeftSemi" in plan) is (few == 1)
