@@ -19,6 +19,8 @@ from . import search as searching
 
 #: Marks that are broadcast at most.
 BROADCAST_MARKS = 1_000_000
+#: New versions whose paths, names and revs are broadcast at most.
+BROADCAST_VERSIONS = 200_000
 #: Keys of a block, for which the number of documents gone before is kept.
 KEYS_BLOCK = 4096
 #: Blocks that are broadcast at most, if the marks are few as well.
@@ -94,14 +96,17 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
     added = removed = {"postings": 0, "positions": 0}
     if n:
         own = lines.select("file_path", "position", "text", "line_breaks_after")
-        text = own.join(docs.select("file_path", "file_name", "rev"), "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
+        keys = docs.select("file_path", "file_name", "rev")
+        keys = F.broadcast(keys) if n <= BROADCAST_VERSIONS else keys
+        text = own.join(keys, "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
         append = {"documents": docs, "paragraphs": store.written("paragraphs", text)}
         written = store.spark.read.parquet(f"{store.folder}/{append['paragraphs']}")
         for table, build in DERIVED.items():
             if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
                 append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
-        # Written as they are made: ranges are found by a look at all rows, which would make them twice. Documents lie together here.
-        # Lengths stand beside the lists, so that sizes are summed from two narrow columns.
+        # Written as they are made: ranges are found by a look at all rows, which would make them twice.
+        append["outline"] = stored(append["outline"], "outlined")
+        # Documents lie together here. Lengths stand beside the lists, so that sizes are summed from two narrow columns.
         made = stored(append["postings"].withColumn("_n", F.size("positions")), "made")
         append["postings"], added = store.counted("postings", made.drop("_n"), **_entries())
         append["sizes"] = made.groupBy("rev").agg(F.count(F.lit(1)).alias("postings"), F.sum("_n").alias("positions"))

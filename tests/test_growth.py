@@ -153,3 +153,19 @@ def test_words_that_are_not_asked_for_are_no_rows(spark, monkeypatch):
         assert rows(built) == want and len(want) == 4
         plan = built._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and ("LeftSemi" in plan) is (few == 1)
+
+
+def test_outlines_are_made_once(spark, tmp_path, monkeypatch):
+    """An outline is written before its ranges are sought; the paths of few new versions are broadcast, and texts are not shuffled for them."""
+    seen, laid = [], []
+    plain, written = segments.stored, Store.written
+    monkeypatch.setattr(segments, "stored", lambda df, name: seen.append(name) or plain(df, name))
+    monkeypatch.setattr(Store, "written", lambda self, table, df, *a: laid.append((table, df._jdf.queryExecution().optimizedPlan().toString())) or written(self, table, df, *a))
+    docs = {"p/a": ["1. солдат тут", "солдат"], "p/b": ["майор"]}
+    for most in (10, 1):
+        monkeypatch.setattr(segments, "BROADCAST_VERSIONS", most)
+        now = segments.update(Store(spark, str(tmp_path / f"s{most}")).snapshot(), versions(spark, docs), text(spark, docs))
+        assert rows(now.read("outline").select("rev", "position")) == [(0, 0), (0, 1), (1, 0)] and "outlined" in seen
+        plans = dict(laid)
+        assert "Window" not in plans["outline"] and ("strategy=broadcast" in plans["paragraphs"]) is (most == 10)
+        seen.clear()
