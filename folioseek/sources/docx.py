@@ -145,17 +145,17 @@ def _dealt(raw: DataFrame) -> DataFrame:
 
 
 def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
-    """Batches of ``_dealt`` rows -> each document and its file's bytes; one document is held at a time."""
+    """Batches of ``_dealt`` rows -> each document and its file's bytes; the texts of one document are held at a time, and those of a batch as Arrow has them."""
     now, held = None, []
     for batch in batches:
         runs = pc.run_end_encode(batch.column(0))
-        xml, first = batch.column(1).to_pylist(), 0
+        xml, first = batch.column(1), 0
         for doc, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
             if held and doc != now:
                 yield now, _container(held)
                 held = []
             now = doc
-            held += xml[first:end]
+            held += xml.slice(first, end - first).to_pylist()
             first = end
     if held:
         yield now, _container(held)
@@ -211,6 +211,11 @@ def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, byte
     return ((doc.as_py(), content.as_py()) for batch in batches for doc, content in zip(batch.column(0), batch.column(1), strict=True))
 
 
+#: Bytes of rows after which a batch that a writing task gets is full, where the session has Spark's own 64 MB: paragraphs may be long.
+GIVEN_BYTES = 1 << 22
+_GIVEN, _SPARKS = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def _written(rows: DataFrame, folder: str, made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str | None, bytes]]]) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -229,7 +234,14 @@ def _written(rows: DataFrame, folder: str, made: Callable[[Iterator[pa.RecordBat
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    conf = rows.sparkSession.conf
+    if own := conf.get(_GIVEN) == _SPARKS:
+        conf.set(_GIVEN, str(GIVEN_BYTES))
+    try:
+        return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        if own:
+            conf.unset(_GIVEN)
 
 
 def structured(raw: DataFrame) -> DataFrame:

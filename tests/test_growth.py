@@ -123,6 +123,32 @@ def test_a_folder_is_read_by_tasks(spark, tmp_path, monkeypatch):
     assert [b.num_rows for b in docx._batched((str(k), content) for k in range(1000))] == [4100, 4100, 1800]
 
 
+def test_long_paragraphs_are_written_in_small_batches(spark, tmp_path, monkeypatch):
+    """A writing task gets long paragraphs a few at a time and turns one document's into Python's texts; the session keeps its own size of batches."""
+    raw = spark.range(400, numPartitions=1).selectExpr("'d' || id % 20 || '.docx' AS doc", "id AS seq", "repeat(id || 'слово ', 1000) AS text", "cast(null AS string) AS style", "cast(null AS string) AS ilvl", "cast(null AS string) AS num_id")
+    seen, made = f"{tmp_path}/seen", docx._made
+
+    def watched(batches):
+        def noted():
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{batch.num_rows} {batch.nbytes}\n")
+                yield batch
+
+        return made(noted())
+
+    monkeypatch.setattr(docx, "_made", watched)
+    monkeypatch.setattr(docx, "GIVEN_BYTES", 100_000, raising=False)
+    own = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert docx.write_documents(raw, f"file://{tmp_path}/files") == 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == own
+    with open(seen) as f:
+        batches = [tuple(map(int, line.split())) for line in f]
+    assert sum(n for n, _ in batches) == 400 and max(size for _, size in batches) < 200_000
+    read = docx.read_folder(spark, f"{tmp_path}/files")[0]
+    assert rows(read.select("doc", "text")) == rows(raw.select("doc", F.trim("text").alias("text")))
+
+
 def test_difference_of_touched_documents(spark, monkeypatch):
     """The postings of touched documents alone are compared, in tasks whose number follows theirs; terms of the others count as there."""
     monkeypatch.setattr(index, "COMPARED", 10)
