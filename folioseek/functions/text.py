@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import numbers
+
 # Endings that the stemmer removes, in this order, and the vowels and signs it then strips.
 ENDINGS = ("ець|ця|цю", "ого", "ому")
 TRAILING = "аеєиіїоуюяьй"
@@ -86,6 +92,39 @@ def words(text: Column) -> Column:
     return F.when(odd, each).otherwise(F.regexp_extract_all(normalised(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
+#: Where the letters end of which ``words_of`` cuts words: Latin, Greek and Cyrillic. No character below comes or changes its kind any more, and its lower case is one character.
+PLAIN = 0x500
+#: Letters and digits among these and their lower cases.
+_LETTERS = np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x3000)])
+#: Bytes of texts that are cut at once, about.
+CUT_BYTES = 1 << 20
+
+
+def unplain(text: Column) -> Column:
+    """Whether a text has a character that ``words_of`` does not know."""
+    odd = text.rlike(rf"[\x{{{PLAIN:X}}}-\x{{10FFFF}}]") | F.contains(text, F.lit(UNLIKE[0])) | F.contains(text, F.lit(UNLIKE[1]))
+    return (F.octet_length(text) > F.length(text)) & odd  # others are ASCII
+
+
+def words_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """``words`` of plain texts: (the text of each word, all words)."""
+    rows, found = [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+    for first, n in numbers.slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), CUT_BYTES):
+        part = pc.fill_null(pc.replace_substring(texts.slice(first, n), "'", ""), "")
+        text = "\n".join(part.to_pylist()).lower()
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        inside = _LETTERS[codes]
+        at = np.flatnonzero(inside & np.r_[True, ~inside[:-1]][: len(inside)])
+        sizes = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800)
+        held = np.cumsum(sizes * inside, dtype=np.int64)
+        offsets = np.r_[held[at] - sizes[at], held[-1:] if len(held) else 0].astype(np.int32)
+        data = np.frombuffer(text.encode(), np.uint8)[np.repeat(inside, sizes)]
+        starts = np.cumsum(pc.utf8_length(part).to_numpy().astype(np.int64) + 1)
+        rows.append(first + np.searchsorted(starts, at, "right"))
+        found.append(pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))))
+    return np.concatenate(rows), pa.concat_arrays(found)
+
+
 def tokens(text: Column) -> Column:
     """The index terms of a text in order: stems of its letter and digit runs, apostrophes removed."""
     return F.filter(F.transform(raw_tokens(text), term), lambda t: F.octet_length(t) >= LEAST_BYTES)
@@ -145,13 +184,18 @@ def file_date(file_name: Column) -> Column:
     return F.when(valid, year * 10000 + month * 100 + day)
 
 
+def _beginning(text: Column, letters: int) -> Column:
+    """The first letters of a text in lower case: so much of it is compared with words of this length."""
+    return F.lower(F.left(text, F.lit(letters)))
+
+
 def is_basis(text: Column) -> Column:
-    return F.startswith(unicode_trim(F.lower(text)), F.lit(BASIS))
+    return F.startswith(_beginning(unicode_trim(text), len(BASIS)), F.lit(BASIS))
 
 
 def ends_followup(text: Column) -> Column:
     """Whether a paragraph begins with a rank or another word that ends a follow-up."""
-    return F.lower(unicode_trim(text)).rlike(f"^(?:{'|'.join(FOLLOWUP_STOPS)})")
+    return _beginning(unicode_trim(text), max(map(len, FOLLOWUP_STOPS))).rlike(f"^(?:{'|'.join(FOLLOWUP_STOPS)})")
 
 
 def is_numbered(text: Column) -> Column:
@@ -212,7 +256,7 @@ def is_personal(file_name: Column) -> Column:
 
 def is_action(text: Column) -> Column:
     """Whether a trimmed line begins like an action."""
-    return F.lower(text).rlike(f"^(?:{'|'.join(ACTIONS)})")
+    return _beginning(text, max(map(len, ACTIONS))).rlike(f"^(?:{'|'.join(ACTIONS)})")
 
 
 def highlight(text: Column, words: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:

@@ -11,13 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import numbers
 from ..functions import text as T
 from ..tables import stored
 
 KEYS = ["term", "doc_index"]
 #: Rows that a task gathers at once, about; the rows of a document are never parted.
 GATHERED = 200_000
+#: Words whose documents share lists, about.
+LISTED = 1_000_000
+#: Rows of ``lists``: the first document of a list; how far each document is from the first; how many positions each has; steps of documents, these
+#: numbers and steps of positions, packed. The last is all that is shuffled.
+LISTS = "term string, first long, docs array<int>, sizes array<int>, places binary"
+#: Bytes of packed lists that are opened at once, about.
+OPENED = 1 << 20
 #: Terms that are asked for, sent with the tasks at most; documents whose numbers are broadcast at most.
 FEW_TERMS, FEW_DOCUMENTS = 100_000, 1_000_000
 #: Postings of two indexes that a task compares, about.
@@ -77,6 +86,69 @@ def _asked(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
     return found if known is not None else found.join(terms, "term", "left_semi")
 
 
+def lists(paragraphs: DataFrame, sizes: bool = True) -> DataFrame:
+    """The postings of all terms as ``LISTS`` (without docs and sizes if these are not asked for), a row for each term and some neighbouring documents, to be dealt by term and then opened.
+
+    A row for each term and document would be shuffled and sorted as many times the texts. Documents are dealt in ranges, so that no list lies between two others of its term.
+    """
+    dealt = paragraphs.select(F.col("doc_index").cast("long"), "position", "text").repartitionByRange("doc_index").sortWithinPartitions("doc_index", "position")
+    # Plain texts are cut where their terms are gathered; of others the words come joined. Repeats go there.
+    text, odd = F.col("text"), T.unplain(F.col("text"))
+    rows = dealt.select(F.when(odd, F.array_join(T.words(text), "\n")).otherwise(text).alias("text"), odd.alias("odd"), "doc_index", "position")
+    gathered, columns = _in_batches(_lists_of_words, LISTED), [c.split()[0] for c in LISTS.split(", ") if sizes or "array" not in c]
+    schema = ", ".join(c for c in LISTS.split(", ") if c.split()[0] in columns)
+    return rows.mapInArrow(lambda batches: (made.select(columns) for made in gathered(map(_cut, batches))), schema)
+
+
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """text, odd, doc_index, position -> words, doc_index, position: those of a text, or those that come joined if it is odd."""
+    text, odd = batch.column("text"), pc.fill_null(batch.column("odd"), False)
+    row, words = T.words_of(pc.if_else(odd, pa.scalar(None, pa.string()), text))
+    if pc.any(odd).as_py():
+        more = pc.split_pattern(text.filter(odd), "\n")
+        rows = np.r_[row, np.flatnonzero(odd.to_numpy(zero_copy_only=False))[pc.list_parent_indices(more).to_numpy()]]
+        order = np.argsort(rows, kind="stable")
+        row, words = rows[order], pa.concat_arrays([words, more.flatten()]).take(pa.array(order))
+    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)
+    return pa.RecordBatch.from_arrays([lists, batch.column("doc_index"), batch.column("position")], ["words", "doc_index", "position"])
+
+
+def opened(lists: DataFrame, doc: types.DataType, place: types.DataType) -> DataFrame:
+    """term, first, places of ``LISTS`` -> a row for each term and document, in the order of the lists."""
+    schema = types.StructType([types.StructField("term", types.StringType()), types.StructField("doc_index", doc), types.StructField("positions", types.ArrayType(place))])
+    doc, place = to_arrow_type(doc), to_arrow_type(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in numbers.slices(pc.binary_length(batch.column("places")).to_numpy(), OPENED):
+                made = _opened(batch.slice(at, n), doc, place)
+                yield from (made.slice(i, 10_000) for i in range(0, made.num_rows, 10_000))
+
+    return lists.select("term", "first", "places").mapInArrow(run, schema)
+
+
+def _opened(batch: pa.RecordBatch, doc: pa.DataType, place: pa.DataType) -> pa.RecordBatch:
+    values, counts = numbers.unpacked(batch.column("places"))
+    n = values[np.cumsum(counts) - counts]  # documents of each list
+    of = np.repeat(np.arange(len(n)), counts)
+    at = numbers.within(counts)
+    inside = at - n[of]  # 1 .. n: sizes; beyond: positions
+    steps, sizes, places = values[(at > 0) & (inside <= 0)], values[(inside > 0) & (inside <= n[of])], values[inside > n[of]]
+    row = np.repeat(np.arange(len(n)), n)
+    docs = batch.column("first").to_numpy()[row] + numbers.running(steps, numbers.within(n) == 0)
+    positions = numbers.running(places, numbers.within(sizes) == 0)
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(positions, place))
+    return pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(row)), pa.array(docs, doc), positions], [*KEYS, "positions"])
+
+
+def list_sizes(lists: DataFrame) -> DataFrame:
+    """first, docs, sizes of ``LISTS`` -> doc_index, postings, positions: one row for each document."""
+    rows = lists.select("first", F.explode(F.arrays_zip("docs", "sizes")).alias("_d"))
+    rows = rows.select((F.col("first") + F.col("_d.docs")).alias("doc_index"), F.col("_d.sizes").alias("_n"))
+    return rows.groupBy("doc_index").agg(F.count(F.lit(1)).alias("postings"), F.sum("_n").alias("positions"))
+
+
 def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """Rows of lists and their doc_index -> a row for each term and document, positions in order and without repeats.
 
@@ -86,6 +158,11 @@ def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> D
     word = words.elementType if isinstance(words, types.ArrayType) else words
     place = place.elementType if isinstance(place, types.ArrayType) else place
     schema = types.StructType([types.StructField("term", word), types.StructField("doc_index", doc), types.StructField("positions", types.ArrayType(place))])
+    return rows.mapInArrow(_in_batches(lists, GATHERED), schema)
+
+
+def _in_batches(lists: Callable[[pa.Table], pa.RecordBatch], least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``lists`` of some whole documents at a time, which have ``least`` rows, about."""
 
     def entries(batch: pa.RecordBatch) -> int:
         """Entries of its lists, or rows if these are more."""
@@ -93,7 +170,7 @@ def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> D
         return max(batch.num_rows, *held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, most = [], 0, GATHERED
+        held, n, most = [], 0, least
         for batch in batches:
             held.append(batch)
             n += entries(batch)
@@ -106,15 +183,15 @@ def _gathered(rows: DataFrame, lists: Callable[[pa.Table], pa.RecordBatch]) -> D
                 yield lists(whole.slice(0, cut))
             held = whole.slice(cut).to_batches()
             n = sum(map(entries, held))
-            most = max(GATHERED, 2 * n)
+            most = max(least, 2 * n)
         if held and sum(b.num_rows for b in held):
             yield lists(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
-def _of_words(table: pa.Table) -> pa.RecordBatch:
-    """words, doc_index, position of whole documents -> their postings. Each distinct word is stemmed once."""
+def _coded(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array, np.ndarray, pa.DataType]:
+    """words, doc_index, position of whole documents -> what ``_postings`` takes. Each distinct word is stemmed once."""
     words, doc, at = (table.column(c).combine_chunks() for c in ("words", "doc_index", "position"))
     row, words = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
     stems = pa.array([T.stem_lowered_word(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
@@ -123,7 +200,42 @@ def _of_words(table: pa.Table) -> pa.RecordBatch:
     if not kept.all():
         row, code = row[kept[code]], code[kept[code]]
     docs = doc.dictionary_encode("encode")
-    return _postings(code, stems.dictionary, docs.indices.to_numpy()[row], docs.dictionary, at.to_numpy()[row], at.type)
+    return code, stems.dictionary, docs.indices.to_numpy()[row], docs.dictionary, at.to_numpy()[row], at.type
+
+
+def _of_words(table: pa.Table) -> pa.RecordBatch:
+    """words, doc_index, position of whole documents -> their postings."""
+    return _postings(*_coded(table))
+
+
+def _lists_of_words(table: pa.Table) -> pa.RecordBatch:
+    """words, doc_index, position of whole documents -> their postings as ``LISTS``."""
+    term, terms, doc, docs, places, _ = _coded(table)
+    n, docs = max(1, len(docs)), docs.to_numpy()
+    by_name = pc.sort_indices(terms)  # terms that begin alike are shuffled together
+    rank = np.empty(len(terms), np.int64)
+    rank[by_name.to_numpy()] = np.arange(len(terms))
+    terms = terms.take(by_name)
+    keys, places = _ordered(rank[term] * n + doc, places)
+    first = _starts(keys)  # a posting each
+    sizes, of, doc = np.diff(np.r_[first, len(keys)]), keys[first] // n, docs[keys[first] % n]
+    start = np.union1d(_starts(of), _starts(doc >> 31))  # a list each; its documents are less than 2 ** 31 apart
+    held = np.diff(np.r_[start, len(of)])
+    new = np.zeros(len(of), bool)
+    new[start] = True
+    steps, begun = np.where(new, 0, np.diff(doc, prepend=0)), np.zeros(len(keys), bool)
+    begun[first] = True
+    places = np.where(begun, places, np.diff(places, prepend=0))
+    # Of each list: how many documents, their steps, their sizes, steps of positions.
+    counts = np.add.reduceat(sizes, start) if len(start) else sizes
+    offset = np.cumsum(2 * held + counts + 1) - (2 * held + counts + 1)
+    values, row = np.zeros(len(start) + 2 * len(of) + len(keys), np.int64), np.repeat(np.arange(len(start)), held)
+    values[offset], at = held, offset[row] + 1 + numbers.within(held)
+    values[at], values[at + held[row]] = steps, sizes
+    values[np.repeat(offset + 1 + 2 * held, counts) + numbers.within(counts)] = places
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[start, len(of)], pa.int32()), pa.array(v, pa.int64()).cast(pa.int32()))
+    columns = [terms.take(pa.array(of[start], pa.int64())), pa.array(doc[start], pa.int64()), lists(doc - doc[start][row]), lists(sizes), numbers.packed(values, 2 * held + counts + 1)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "first", "docs", "sizes", "places"])
 
 
 def _of_lists(table: pa.Table) -> pa.RecordBatch:
@@ -137,16 +249,29 @@ def _of_lists(table: pa.Table) -> pa.RecordBatch:
 def _postings(term: np.ndarray, terms: pa.Array, doc: np.ndarray, docs: pa.Array, places: np.ndarray, place: pa.DataType) -> pa.RecordBatch:
     """Codes of terms and documents, and a place with each -> a row for each pair of these, places in order and without repeats."""
     n = max(1, len(terms))
-    keys = doc.astype(np.int64) * n + term
+    keys, places = _ordered(doc.astype(np.int64) * n + term, places)
+    first = _starts(keys)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(places, place))
+    of = lambda codes, values: values.take(pa.array(codes, pa.int64()))
+    return pa.RecordBatch.from_arrays([of(keys[first] % n, terms), of(keys[first] // n, docs), lists], [*KEYS, "positions"])
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where another value begins."""
+    return np.flatnonzero(np.r_[np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+
+
+def _ordered(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and a place with each, in order and without repeats; keys are not negative."""
+    if len(keys) and places.min() >= 0 and (int(keys.max()) + 1) * (span := int(places.max()) + 1) < 1 << 63:  # a number holds both
+        both = np.sort(keys * span + places)
+        both = both[_starts(both)]
+        return both // span, both % span
     order = np.lexsort((places, keys))
     keys, places = keys[order], places[order]
     kept = np.ones(len(keys), bool)
     kept[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
-    keys, places = keys[kept], places[kept]
-    first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(places, place))
-    of = lambda codes, values: values.take(pa.array(codes, pa.int64()))
-    return pa.RecordBatch.from_arrays([of(keys[first] % n, terms), of(keys[first] // n, docs), lists], [*KEYS, "positions"])
+    return keys[kept], places[kept]
 
 
 def _numbers(docs: DataFrame) -> DataFrame:

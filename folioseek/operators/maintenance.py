@@ -52,7 +52,9 @@ def validate_and_repair(store: Store) -> dict[str, int]:
 
 def _rebuilt(base: Snapshot) -> None:
     lines, back = _keyed(base, "paragraphs")
-    base.store.commit(base, postings=back(index.build(lines)))
+    key = back(lines.select("doc_index")).columns[0]
+    made, _ = segments.written_postings(base.store, segments.listed(index.lists(lines, sizes=False)), back(lines), key)
+    base.store.commit(base, postings=made)
 
 
 def rebuild(store: Store) -> None:

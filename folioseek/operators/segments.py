@@ -66,7 +66,7 @@ def _running(sizes: DataFrame) -> DataFrame:
 
 
 #: Tables that follow from the paragraphs; grams only if they are asked for.
-DERIVED = {"postings": index.build, "outline": context.outline, "grams": grams.build}
+DERIVED = {"postings": index.lists, "outline": context.outline, "grams": grams.build}
 #: ``sizes``: postings and positions of each rev, so that what an update takes away is known without a look at the postings.
 TABLES = ("documents", "paragraphs", *DERIVED, "sizes")
 
@@ -75,6 +75,19 @@ def _entries() -> dict[str, Column]:
     return {"postings": F.count(F.lit(1)), "positions": F.coalesce(F.sum(F.size("positions")), F.lit(0)).cast("long")}
 
 
+def listed(lists: DataFrame) -> DataFrame:
+    """``index.LISTS`` written once, under the names of the stored postings: rev holds the documents, positions the packed places, _n the sizes (if they are there)."""
+    rev, more = (F.struct("first", "docs"), [F.col("sizes").alias("_n")]) if "sizes" in lists.columns else (F.struct("first"), [])
+    return stored(lists.select("term", rev.alias("rev"), F.col("places").alias("positions"), *more), "made")
+
+
+def written_postings(store: Store, made: DataFrame, lines: DataFrame, key: str = "rev") -> tuple[str, dict[str, int]]:
+    """The name of the postings of ``listed`` lists, and how many there are. Lists are dealt in ranges and sorted, and are opened as they are written. ``lines`` have been indexed by ``key``."""
+    doc, place = (lines.schema[c].dataType for c in (key, "position"))
+    opened = lambda rows: index.opened(rows.withColumnRenamed(key, "first"), doc, place).withColumnRenamed("doc_index", key)
+    return store.counted("postings", made.select("term", F.col("rev.first").alias(key), F.col("positions").alias("places")), opened, **_entries())
+
+
 def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFrame | None = None, with_grams: bool = False) -> Snapshot:
     """Append versions of documents and mark others; commits on ``base``, which is a ``Conflict`` if another writer came first.
 
@@ -97,19 +110,19 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
     if n:
         own = lines.select("file_path", "position", "text", "line_breaks_after")
         keys = docs.select("file_path", "file_name", "rev")
-        keys = F.broadcast(keys) if n <= BROADCAST_VERSIONS else keys
+        keys = F.broadcast(keys) if n <= BROADCAST_VERSIONS else keys.hint("shuffle_hash")  # texts are not sorted for their paths
         text = own.join(keys, "file_path").select("rev", "file_name", "position", "text", "line_breaks_after")
         append = {"documents": docs, "paragraphs": store.written("paragraphs", text)}
         written = store.spark.read.parquet(f"{store.folder}/{append['paragraphs']}")
         for table, build in DERIVED.items():
             if table != "grams" or (base.has("grams") if known.get("segments") else with_grams):
-                append[table] = build(written.withColumnRenamed("rev", "doc_index")).withColumnRenamed("doc_index", "rev")
+                append[table] = build(written.withColumnRenamed("rev", "doc_index"))
         # Written as they are made: ranges are found by a look at all rows, which would make them twice.
-        append["outline"] = stored(append["outline"], "outlined")
-        # Documents lie together here. Lengths stand beside the lists, so that sizes are summed from two narrow columns.
-        made = stored(append["postings"].withColumn("_n", F.size("positions")), "made")
-        append["postings"], added = store.counted("postings", made.drop("_n"), **_entries())
-        append["sizes"] = made.groupBy("rev").agg(F.count(F.lit(1)).alias("postings"), F.sum("_n").alias("positions"))
+        append["outline"] = stored(append["outline"].withColumnRenamed("doc_index", "rev"), "outlined")
+        # Lengths stand beside the lists, so that sizes are summed from narrow columns.
+        made = listed(append["postings"])
+        append["postings"], added = written_postings(store, made, written)
+        append["sizes"] = index.list_sizes(made.select("rev.first", "rev.docs", F.col("_n").alias("sizes"))).withColumnRenamed("doc_index", "rev")
     marks = gone = 0
     if dropped is not None:
         dropped = stored(dropped.select("rev", "doc_key", "gone"), "dropped")
@@ -148,8 +161,22 @@ def compact(store: Store, most_segments: int = 1) -> bool:
     return store.updated(step)
 
 
+def _first_versions(snapshot: Snapshot) -> bool:
+    """Whether the manifest tells that every version is the only one of its document and none has ended, so that rev, doc_key and doc_index are one number."""
+    known = snapshot.properties
+    return not snapshot.has("deleted") and "next_rev" in known and known["next_rev"] == known["next_key"] == known["documents"]
+
+
+def _under_rev(snapshot: Snapshot, rows: DataFrame, rev: str) -> DataFrame:
+    """Rows of known documents with rev as doc_index, where these are one number: no row is joined with its document."""
+    inside = rows.where(F.col(rev).between(0, snapshot.properties["next_rev"] - 1))
+    return inside.select(*(c for c in rows.columns if c != rev), F.col(rev).cast("long").alias("doc_index"))
+
+
 def numbered(snapshot: Snapshot, table: str) -> DataFrame:
     """Live rows of a table under their dense doc_index, in place of rev and doc_key."""
+    if table != "documents" and _first_versions(snapshot):
+        return _under_rev(snapshot, live(snapshot, table), "rev")
     docs = with_index(snapshot, live(snapshot, "documents"))
     if table == "documents":
         return docs.drop("rev", "doc_key")
@@ -181,6 +208,8 @@ def _matches(snapshot: Snapshot, query: str, mode: str, view_mode: str | None, f
 
 def indexed(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
     """Rows whose doc_index is a rev, under the dense doc_index."""
+    if _first_versions(snapshot):
+        return _under_rev(snapshot, rows, "doc_index")
     keys = live(snapshot, "documents").select(F.col("rev").alias("doc_index"), "doc_key")
     return with_index(snapshot, rows.join(keys, "doc_index").drop("doc_index")).drop("doc_key")
 

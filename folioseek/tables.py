@@ -43,7 +43,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back. It stays there, unless it is made inside of ``scratch``."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if getattr(_made, "paths", None) is not None:
         _made.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 import re
 
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
 from test_store import text, versions
 
 from folioseek.functions import text as T
-from folioseek.operators import buckets, grams, index, numbering, segments
+from folioseek.operators import buckets, grams, index, maintenance, numbering, segments
 from folioseek.sources import docx, files
 from folioseek.sources.store import Store
 
@@ -195,3 +196,94 @@ def test_outlines_are_made_once(spark, tmp_path, monkeypatch):
         plans = dict(laid)
         assert "Window" not in plans["outline"] and ("strategy=broadcast" in plans["paragraphs"]) is (most == 10)
         seen.clear()
+
+
+def test_postings_are_dealt_as_lists(spark, tmp_path, monkeypatch):
+    """An index is built and rebuilt from lists of neighbouring documents, each made once; opened, they are the postings, in order."""
+    monkeypatch.setattr(index, "LISTED", 40)
+    monkeypatch.setattr(index, "OPENED", 50)
+    seen, laid, made, written = f"{tmp_path}/seen", [], index._lists_of_words, Store.written
+
+    def watched(table):
+        with open(seen, "a") as f:
+            f.write(f"{table.column('doc_index').combine_chunks().unique().to_pylist()}\n")
+        return made(table)
+
+    monkeypatch.setattr(index, "_lists_of_words", watched)
+    monkeypatch.setattr(Store, "written", lambda self, table, df, *a, **k: laid.append((table, df)) or written(self, table, df, *a, **k))
+    docs = {f"p/{i:03}": [f"солдат тут x{i}", "солдат солдата", f"x{i}"] for i in range(60)}
+    kept = Store(spark, str(tmp_path / "s"))
+    now = segments.update(kept.snapshot(), versions(spark, docs), text(spark, docs))
+    want = rows(index.build(now.read("paragraphs").withColumnRenamed("rev", "doc_index")))
+    assert rows(now.read("postings").select("term", "rev", "positions")) == want and len(want) == 60 * 3
+    kept.commit(now, postings=now.read("postings").where("rev % 3 = 0"))
+    for end in (1, 2):
+        with open(seen) as f:
+            dealt = sorted(d for line in f for d in eval(line))
+        assert dealt == sorted([*range(60)] * end)  # no document is gathered twice for one index
+        if end == 1:
+            assert maintenance.rebuild_if_needed(kept)
+    assert rows(kept.read("postings").select("term", "rev", "positions")) == want
+    lists = [df for table, df in laid if table == "postings" and "places" in df.columns]
+    assert len(lists) == 2 and all(df.where("term = 'солдат'").count() < 30 for df in lists)
+    for part in (tmp_path / "s" / kept.snapshot().tables["postings"][0]).glob("part-*.parquet"):
+        found = [(r["term"], r["rev"]) for r in spark.read.parquet(str(part)).collect()]
+        assert found == sorted(found, key=lambda r: (r[0].encode(), r[1]))
+
+
+def test_lists_hold_all_numbers(spark, monkeypatch):
+    """Documents far apart, great positions and other whole types are as in postings that are gathered without lists."""
+    data = [(d, p, f"слово{d % 3} слова{d % 3} a{p} ab") for d in (0, 1, 5, 1 << 20, 1 << 31, (1 << 31) + 1, 1 << 40) for p in (0, 3, 127, 128, 129, 20_000, 1 << 30)] + [(7, 0, None), (8, 0, "-")]
+    for kind in ("doc_index long, position long", "doc_index long, position int"):
+        lines = spark.createDataFrame(data, f"{kind}, text string").repartition(3)
+        lists, schema = index.lists(lines), index.build(lines).schema
+        got = index.opened(lists, schema["doc_index"].dataType, schema["positions"].dataType.elementType)
+        assert got.schema == schema and rows(got) == rows(index.build(lines))
+        sizes = index.build(lines).groupBy("doc_index").agg(F.count("term"), F.sum(F.size("positions")))
+        assert rows(index.list_sizes(lists)) == rows(sizes)
+    empty = lines.where("text is null")
+    assert index.lists(empty).count() == 0 == index.opened(index.lists(empty), schema["doc_index"].dataType, schema["positions"].dataType.elementType).count()
+
+
+def test_first_versions_are_not_joined(spark, tmp_path):
+    """While each document has its first version, postings get their documents' indexes without a join; after a change they are joined again."""
+    kept, docs = Store(spark, str(tmp_path / "s")), {"p/a": ["солдат"], "p/b": ["майор солдат"], "p/c": []}
+    now = segments.update(kept.snapshot(), versions(spark, docs), text(spark, {p: t for p, t in docs.items() if t}))
+    found = segments.numbered(now, "postings")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found.select("term", "doc_index")) == [("майор", 1), ("солдат", 0), ("солдат", 1)]
+    dropped = segments.live(now, "documents").where("file_path = 'p/a'").select("rev", "doc_key", F.lit(True).alias("gone"))
+    now = segments.update(now, versions(spark, []), text(spark, {"p/a": [""]}).where("false"), dropped)
+    found = segments.numbered(now, "postings")
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found.select("term", "doc_index")) == [("майор", 0), ("солдат", 0)]
+
+
+def test_beginnings_are_compared_alone(spark):
+    """A line begins as its whole lower case does, whatever white space and letters it has."""
+    texts = ["Підстава: наказ", " ПІДСТАВА", "підстав", "СТАРШИЙ солдат", " молодший", " ШТАБ", "İстарш", "ΣСТАРШ", "Видати", "ЗАРАХУВАТИ", " видати", "", None, "підполковник", "ПІДПОЛКОВНИК", "x підстава"]
+    whole = lambda t: F.lower(T.unicode_trim(t))
+    t = F.col("t")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        T.is_basis(t), F.startswith(T.unicode_trim(F.lower(t)), F.lit(T.BASIS)), T.ends_followup(t), whole(t).rlike(f"^(?:{'|'.join(T.FOLLOWUP_STOPS)})"),
+        T.is_action(t), F.lower(t).rlike(f"^(?:{'|'.join(T.ACTIONS)})"),
+    )
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in got.collect())
+
+
+def test_words_of_plain_texts(spark, monkeypatch):
+    """Plain texts are cut into words without an expression, as by it, whatever their letters; others go by the expression."""
+    monkeypatch.setattr(T, "CUT_BYTES", 50)
+    chars = [chr(c) for c in range(1, T.PLAIN)]
+    texts = [f"a{c}B {c} {c}{c}'x" for c in chars] + ["О'Нілові ІВАНЕНКА\nфедір'ор ' '' a' 'b", "ΣΊΣΥΦΟΣ", "İSTANBUL", "ʼ’ ́е́ 𝒳𐐀 ﬁ", "", " ", "x", None, "ab" * 100]
+    got = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", "t", T.unplain(F.col("t")).alias("odd"), T.words(F.col("t")).alias("words")).orderBy("n").collect()
+    assert {r["t"] for r in got if r["odd"]} == {t for t in texts if t and any(c >= chr(T.PLAIN) or c in T.UNLIKE for c in t)}
+    plain = [r for r in got if not r["odd"]]
+    row, words = T.words_of(pa.array([r["t"] for r in plain], pa.string()))
+    found = [[] for _ in plain]
+    for k, w in zip(row.tolist(), words.to_pylist(), strict=True):
+        found[k].append(w)
+    assert found == [r["words"] or [] for r in plain]
+    lines = spark.createDataFrame([(d // 7, d, t) for d, t in enumerate(texts)], "doc_index long, position long, text string")
+    built = index.build(lines)
+    assert rows(index.opened(index.lists(lines), built.schema["doc_index"].dataType, built.schema["positions"].dataType.elementType)) == rows(built)
