@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..functions import text as T
 from ..tables import stored
 from . import search
@@ -24,8 +26,11 @@ GRAM = 3
 LOOKED_UP = 4
 #: Characters whose runs share lists, about; a document is never parted.
 CHARACTERS = 1_000_000
-#: Rows of ``build``: the first document of a list; for each place how far its document is from that of the place before, and its position; documents.
-LISTS = "gram string, first long, steps array<int>, positions array<int>, documents long"
+#: Rows of ``build``: the first document of a list; places in it; for each of these how far its document is from that of the place before, then for each its
+#: position, or how far it is from that before in the same document, packed; documents.
+LISTS = "gram string, first long, n long, places binary, documents long"
+#: Bytes of packed lists that are opened at once, about.
+OPENED = 1 << 20
 
 
 def runs(text: Column) -> Column:
@@ -38,10 +43,13 @@ def runs_of(words: list[str]) -> list[str]:
 
 
 def build(paragraphs: DataFrame) -> DataFrame:
-    """doc_index, position, text -> ``LISTS``. Documents are dealt in ranges, each to one task, and only texts are shuffled."""
+    """doc_index, position, text -> ``LISTS``. Documents are dealt in ranges, each to one task, and only texts are shuffled.
+
+    Lists are packed, as places are many times the letters of the texts.
+    """
     norm = T.normalised(F.col("text")).alias("text")
     rows = paragraphs.where(F.col("text").isNotNull()).select(F.col("doc_index").cast("long"), F.col("position").cast("long"), norm)
-    return rows.repartitionByRange("doc_index").sortWithinPartitions("doc_index", "position").mapInArrow(_by_chunks, LISTS)
+    return rows.repartitionByRange("doc_index").sortWithinPartitions("doc_index", "position").mapInArrow(lambda batches: map(_packed, _by_chunks(batches)), LISTS)
 
 
 def _by_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,23 +112,38 @@ def _lists(docs: list[int], positions: list[int], texts: list[str]) -> Iterator[
     yield from (made.slice(i, 10_000) for i in range(0, made.num_rows, 10_000))
 
 
+def _packed(lists: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of ``_lists`` -> ``LISTS``."""
+    gram, first, steps, positions, documents = lists.columns
+    n = np.diff(steps.offsets.to_numpy()).astype(np.int64)
+    steps, positions, k = steps.flatten().to_numpy(), positions.flatten().to_numpy().astype(np.int64), numbers.within(n)
+    values, at = np.zeros(2 * len(steps), np.int64), np.repeat(2 * (np.cumsum(n) - n), n) + k
+    values[at] = steps
+    values[at + np.repeat(n, n)] = np.where((k == 0) | (steps > 0), positions, np.diff(positions, prepend=0))
+    return pa.RecordBatch.from_arrays([gram, first, pa.array(n), numbers.packed(values, 2 * n), documents], ["gram", "first", "n", "places", "documents"])
+
+
 def entries(grams: DataFrame) -> DataFrame:
     """``LISTS`` -> gram, doc_index, position: a row for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, first, steps, positions = batch.columns
-            sizes = np.diff(steps.offsets.to_numpy())
-            row, far = np.repeat(np.arange(batch.num_rows), sizes), np.cumsum(steps.flatten().to_numpy().astype(np.int64))
-            start = np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
-            base = np.zeros(batch.num_rows, np.int64)
-            base[sizes > 0] = far[start]  # the step of a first place is 0
-            docs = first.to_numpy()[row] + far - base[row]
-            out = [gram.take(pa.array(row)), pa.array(docs), pa.array(positions.flatten().to_numpy().astype(np.int64))]
-            for i in range(0, len(docs), 10_000):
-                yield pa.RecordBatch.from_arrays([c.slice(i, 10_000) for c in out], ["gram", "doc_index", "position"])
+            for i, size in numbers.slices(pc.binary_length(batch.column("places")).to_numpy(), OPENED):
+                made = _opened(batch.slice(i, size))
+                yield from (made.slice(k, 10_000) for k in range(0, made.num_rows, 10_000))
+
+    return grams.select("gram", "first", "places").mapInArrow(run, "gram string, doc_index long, position long")
+
 
-    return grams.select("gram", "first", "steps", "positions").mapInArrow(run, "gram string, doc_index long, position long")
+def _opened(lists: pa.RecordBatch) -> pa.RecordBatch:
+    values, counts = numbers.unpacked(lists.column("places"))
+    n = counts // 2
+    row, k = np.repeat(np.arange(len(n)), n), numbers.within(n)
+    at = np.repeat(np.cumsum(counts) - counts, n) + k
+    steps = values[at]
+    docs = lists.column("first").to_numpy()[row] + numbers.running(steps, k == 0)
+    positions = numbers.running(values[at + n[row]], (k == 0) | (steps > 0))
+    return pa.RecordBatch.from_arrays([lists.column("gram").take(pa.array(row)), pa.array(docs), pa.array(positions)], ["gram", "doc_index", "position"])
 
 
 def candidates(grams: DataFrame, words: list[str]) -> DataFrame | None:
@@ -129,7 +152,7 @@ def candidates(grams: DataFrame, words: list[str]) -> DataFrame | None:
     if not wanted:
         return None
     mine = grams.where(F.col("gram").isin(wanted))
-    sizes = {r["gram"]: r["n"] for r in mine.groupBy("gram").agg(F.sum(F.size("positions")).alias("n")).collect()}  # a row for each run of the query
+    sizes = {r["gram"]: r["n"] for r in mine.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each run of the query
     if len(sizes) < len(wanted):
         return entries(mine.where(F.lit(False))).select("doc_index", "position")
     rare = sorted(wanted, key=lambda g: (sizes[g], g))[:LOOKED_UP]

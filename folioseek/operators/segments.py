@@ -140,6 +140,18 @@ def update(base: Snapshot, fresh: DataFrame, lines: DataFrame, dropped: DataFram
     return store.commit(base, append=append, properties=properties)
 
 
+def add_grams(store: Store) -> bool:
+    """Add the runs of three characters to a store that was made without them, from its paragraphs; whether it did. Updates keep them from then on."""
+
+    def step(base: Snapshot) -> bool:
+        if base.has("grams"):
+            return False
+        store.commit(base, grams=grams.build(base.read("paragraphs").withColumnRenamed("rev", "doc_index")))
+        return True
+
+    return store.updated(step)
+
+
 def compact(store: Store, most_segments: int = 1) -> bool:
     """Write all live rows as one segment with dense keys, if there are more than ``most_segments`` of them or marks; whether it did."""
 

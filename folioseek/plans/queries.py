@@ -459,19 +459,21 @@ def _new_store(spark: SparkSession, kind: str) -> Store:
     return Store(spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> Store:
-    """The documents as a stored index of one segment; made at the first call and used again."""
+def _stored(spark: SparkSession, sf_dir: str, with_grams: bool = False) -> Store:
+    """The documents as a stored index of one segment; made at the first call and used again. Runs of three characters are added for the first query that reads them."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stores:
         store, docs = _new_store(spark, "index"), _named(spark, sf_dir)
-        segments.update(store.snapshot(), _versions(docs), _text(docs), with_grams=True)
+        segments.update(store.snapshot(), _versions(docs), _text(docs))
         _stores[key] = store
+    if with_grams:
+        segments.add_grams(_stores[key])
     return _stores[key]
 
 
 def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stored index holds."""
-    now = _stored(spark, sf_dir).snapshot()
+    now = _stored(spark, sf_dir, with_grams=True).snapshot()
     n = lambda t: F.sum("documents") if t == "grams" else F.count(F.lit(1))
     sizes = [now.read(t).groupBy(F.lit(t).alias("table")).agg(n(t).alias("n")) for t in sorted(now.tables)]
     return reduce(DataFrame.unionByName, sizes)
@@ -479,7 +481,7 @@ def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide query as a scan finds it, from the stored runs of three characters."""
-    return _results(segments.search(_stored(spark, sf_dir).snapshot(), WIDE_QUERY, substring=True))
+    return _results(segments.search(_stored(spark, sf_dir, with_grams=True).snapshot(), WIDE_QUERY, substring=True))
 
 
 def file_name_search_grams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from test_store import text, versions
 
 from folioseek.functions import text as T
 from folioseek.operators import buckets, grams, index, maintenance, numbering, segments
+from folioseek.plans import queries
 from folioseek.sources import docx, files
 from folioseek.sources.store import Store
 
@@ -287,3 +288,46 @@ def test_words_of_plain_texts(spark, monkeypatch):
     lines = spark.createDataFrame([(d // 7, d, t) for d, t in enumerate(texts)], "doc_index long, position long, text string")
     built = index.build(lines)
     assert rows(index.opened(index.lists(lines), built.schema["doc_index"].dataType, built.schema["positions"].dataType.elementType)) == rows(built)
+
+
+def test_places_of_runs_are_packed(spark, monkeypatch):
+    """A place takes few bytes where lists are shuffled, and lists opened a few at a time hold every place, however far documents and positions are apart."""
+    monkeypatch.setattr(grams, "OPENED", 100)
+    data = [(d, p, f"солдат {d % 3} тут") for d in range(100) for p in range(10)]
+    dense = grams.build(spark.createDataFrame(data, "doc_index long, position long, text string"))
+    assert dense.where("n >= 1000").count() and dense.where("n >= 1000 and octet_length(places) > 2.2 * n").count() == 0
+    far = data + [(d, p, "солдат їде") for d in (300, 1 << 20, 1 << 31, (1 << 31) + 1, 1 << 40) for p in (0, 127, 128, 20_000, 1 << 30)] + [(7000, 0, ""), (7001, 0, None), (7002, 0, "їд")]
+    lines = spark.createDataFrame(far, "doc_index long, position long, text string").repartition(3)
+    built = grams.build(lines)
+    want = rows(lines.select(F.explode(grams.runs(T.normalised(F.col("text")))).alias("gram"), "doc_index", "position"))
+    assert rows(grams.entries(built)) == want
+    n = rows(lines.select(F.explode(grams.runs(T.normalised(F.col("text")))).alias("gram"), "doc_index", "position").groupBy("gram").agg(F.countDistinct("doc_index"), F.count("position")))
+    assert rows(built.groupBy("gram").agg(F.sum("documents"), F.sum("n"))) == n
+
+
+def test_runs_are_added_when_they_are_asked_for(spark, tmp_path):
+    """A store made without runs gets them from its paragraphs, once, and they are those of a store made with them; updates keep them."""
+    docs = {f"p/{i}": [f"солдат номер{i}", "штаб"] for i in range(30)}
+    plain, whole = (Store(spark, str(tmp_path / n)) for n in "ab")
+    for kept in (plain, whole):
+        segments.update(kept.snapshot(), versions(spark, docs), text(spark, docs), with_grams=kept is whole)
+    assert not plain.snapshot().has("grams") and segments.add_grams(plain) and not segments.add_grams(plain) and not segments.add_grams(whole)
+    for more in ({}, {"q/1": ["солдати"]}):
+        if more:
+            for kept in (plain, whole):
+                segments.update(kept.snapshot(), versions(spark, more), text(spark, more))
+        now, want = plain.snapshot(), whole.snapshot()
+        assert rows(segments.live(now, "grams")) == rows(segments.live(want, "grams")) and len(now.tables["grams"]) == 1 + len(more)
+        found = [[(r["doc_index"], r["n_matches"]) for r in segments.search(s, "омер2", substring=True).collect()] for s in (now, want)]
+        assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 11
+
+
+def test_a_batch_of_words_asks_for_no_runs(spark):
+    """The stored index gets its runs with the first query that reads them, and the same index serves all."""
+    sf = "/root/testdata/sf0.001"
+    queries._stores.pop((spark.sparkContext.applicationId, sf), None)
+    first = rows(queries.batch_search_stored(spark, sf))
+    store = queries._stored(spark, sf)
+    assert not store.snapshot().has("grams")
+    held = {r["table"]: r["n"] for r in queries.index_stored(spark, sf).collect()}
+    assert held["grams"] > 0 and queries._stored(spark, sf) is store and store.snapshot().has("grams") and rows(queries.batch_search_stored(spark, sf)) == first
